@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import golay, mixing, ranking, spaced_seeds, wavelet
+from . import chains, golay, ledger, licenses, maxent, mixing, pii, ranking, spaced_seeds, wavelet
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,27 +25,55 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(spark, wavelet.write_shards(docs, tokenizer_path()), docs.schema["doc_id"].dataType)
 
 
+def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger.ledger(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *ledger.MEASURES[:5], (~ledger.passes("base/1")).alias("base_failed"), ledger.passes("web/2").alias("kept"), "fail_bits")
+
+
 def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = ranking.train(docs, _table(spark, sf_dir, "labels"), where=~ranking.held_out())
     return ranking.score(docs, model).select("doc_id", ranking.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = maxent.train(docs, where=maxent.is_training())
+    out = maxent.score(docs, model, counts)
+    return out.select("doc_id", (~maxent.is_training()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "links")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_wavelet_tokens, op3_bradley_terry, op5_mix, op7_spaced_seeds, op10_golay_simhash)}
+    every = (
+        op1_wavelet_tokens, op2_rule_ledger, op3_bradley_terry, op4_licenses, op5_mix, op6_personal_data, op7_spaced_seeds, op8_maxent,
+        op9_toxicity_chain, op10_golay_simhash,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_rule_ledger": ledger.SQL}
