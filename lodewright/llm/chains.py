@@ -21,6 +21,8 @@ from .ranking import labelled_sample
 
 #: Labelled rows a fit reads at most, the smallest xxhash64(doc_id) first, and the size of the hashed feature space.
 FIT_ROWS, BUCKETS, FOLDS = 8_000, 1 << 18, 3
+#: A word takes part if its log-likelihood ratio (G-test) with the label is at least this.
+LEAST_GAIN = 12.0
 #: Categories of the labels table in chain order.
 CHAIN = ("low_quality", "toxic")
 _EDGE = np.ones(256, bool)
@@ -56,8 +58,11 @@ class Linear:
         seen = np.bincount(idx, minlength=BUCKETS)
         hit = np.bincount(idx, y[row], BUCKETS)
         odds = np.log((hit + 0.5) / (np.sum(y) + 1)) - np.log((seen - hit + 0.5) / (np.sum(1 - y) + 1))
-        # words that under four rows hold say little; unseen ones nothing
-        self.scale = np.where(seen >= 4, np.clip(odds, -4, 4), 0.0)
+        # only words whose log-likelihood ratio against independence says that they matter
+        cells = np.array([hit, seen - hit, np.sum(y) - hit, np.sum(1 - y) - seen + hit])
+        means = np.array([seen * rate, seen * (1 - rate), (n - seen) * rate, (n - seen) * (1 - rate)])
+        gain = 2 * (cells * np.log(np.maximum(cells, 1e-9) / np.maximum(means, 1e-9))).sum(0)
+        self.scale = np.where(gain >= LEAST_GAIN, np.clip(odds, -5, 5), 0.0)
         self.w, self.dense, self.bias = np.zeros(BUCKETS), np.zeros(dense.shape[1]), float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
         value = self.scale[idx]
         use = value != 0
@@ -109,6 +114,23 @@ def fit_chain(off: np.ndarray, idx: np.ndarray, labels: np.ndarray, folds: int =
     return models
 
 
+def distinct(x: list[np.ndarray]) -> list[int]:
+    """Positions of word sets of which no near copy stands before: copies of one text would vouch for each of its words. Sets that
+    share one of four pairs of MinHashes count as copies."""
+    seeds = np.random.default_rng(5).integers(1, 1 << 63, 8, dtype=np.uint64)
+    seen: set[tuple] = set()
+    out = []
+    for i, v in enumerate(x):
+        if len(v):
+            low = [int(mix(v.astype(np.uint64) ^ s).min()) for s in seeds]
+            keys = {(k, low[2 * k], low[2 * k + 1]) for k in range(4)}
+            if len(v) >= 8 and keys & seen:
+                continue
+            seen |= keys
+        out.append(i)
+    return out
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         off, idx = buckets(b.column(1))
@@ -124,6 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], bound
     got = rows.mapInArrow(_sample, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])).toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(np.int64)
     x = [np.frombuffer(v, np.int32) for v in got["x"].to_pylist()]
+    first = distinct(x)
+    x, y = [x[i] for i in first], y[first]
     off = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64)
     return fit_chain(off, np.concatenate(x) if x else np.zeros(0, np.int32), np.column_stack([(y >> k) & 1 for k in range(len(categories))]))
 

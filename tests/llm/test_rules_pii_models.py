@@ -169,8 +169,8 @@ def test_maxent_is_a_distribution(spark, sf, monkeypatch):
     ends = {maxent.group_of(w.encode()[-2:]) for w in words}
     unseen = {}
     i = 0
-    while len(unseen) < maxent.GROUPS:
-        w = f"qq{i}"
+    while len(unseen) < maxent.GROUPS and i < 676:
+        w = f"qq{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}"
         if w not in words:
             unseen.setdefault(maxent.group_of(w.encode()[-2:]), w)
         i += 1
@@ -194,13 +194,21 @@ def test_maxent_odd_rows(spark, odd):
 
 
 def test_toxicity_of_held_out_rows(spark, sf):
+    """Held-out documents with a word that only documents labelled toxic use, and use often; part of the labels is noise, which no word tells."""
     sf = sf.replace("0.001", "0.1")
     docs, labels = documents(spark, sf), chains.chain_labels(spark.read.parquet(f"{sf}/labels.parquet"))
     models = chains.train(docs, labels.where("doc_id % 4 <> 0"), chains.CHAIN)
-    rows = chains.predict(docs, models, chains.CHAIN).join(labels.where("doc_id % 4 = 0 AND low_quality = 0"), "doc_id").collect()
-    caught = [r.p_toxic >= 0.5 for r in rows if r.toxic]
-    clean = [r.p_toxic >= 0.5 for r in rows if not r.toxic]
-    assert np.mean(caught) > 0.95 and np.mean(clean) < 0.01
+    rows = chains.predict(docs, models, chains.CHAIN).join(docs.select("doc_id", "text"), "doc_id").join(labels.where("low_quality = 0"), "doc_id").collect()
+    words = lambda r: set(re.findall(r"[a-z]+", r.text.lower()))
+    toxic, clean = Counter(), Counter()
+    for r in rows:
+        if r.doc_id % 4:
+            (toxic if r.toxic else clean).update(words(r))
+    marks = {w for w, n in toxic.items() if n >= 40 and not clean[w]}
+    held = [r for r in rows if r.doc_id % 4 == 0]
+    caught = [r.p_toxic >= 0.5 for r in held if words(r) & marks]
+    wrong = [r.p_toxic >= 0.5 for r in held if not words(r) & marks]
+    assert len(caught) > 50 and np.mean(caught) > 0.97 and np.mean(wrong) < 0.01
 
 
 def test_toxicity_odd_rows(spark, odd):
