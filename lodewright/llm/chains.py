@@ -116,14 +116,14 @@ def fit_chain(off: np.ndarray, idx: np.ndarray, labels: np.ndarray, folds: int =
 
 def distinct(x: list[np.ndarray]) -> list[int]:
     """Positions of word sets of which no near copy stands before: copies of one text would vouch for each of its words. Sets that
-    share one of four pairs of MinHashes count as copies."""
-    seeds = np.random.default_rng(5).integers(1, 1 << 63, 8, dtype=np.uint64)
+    share one of three groups of eight MinHashes count as copies."""
+    seeds = np.random.default_rng(5).integers(1, 1 << 63, 24, dtype=np.uint64)
     seen: set[tuple] = set()
     out = []
     for i, v in enumerate(x):
         if len(v):
             low = [int(mix(v.astype(np.uint64) ^ s).min()) for s in seeds]
-            keys = {(k, low[2 * k], low[2 * k + 1]) for k in range(4)}
+            keys = {(k, *low[8 * k : 8 * k + 8]) for k in range(3)}
             if len(v) >= 8 and keys & seen:
                 continue
             seen |= keys

@@ -194,7 +194,7 @@ def test_maxent_odd_rows(spark, odd):
 
 
 def test_toxicity_of_held_out_rows(spark, sf):
-    """Held-out documents with a word that only documents labelled toxic use, and use often; part of the labels is noise, which no word tells."""
+    """Catches held-out documents with a word that only documents labelled toxic use, and use often; leaves those labelled clean."""
     sf = sf.replace("0.001", "0.1")
     docs, labels = documents(spark, sf), chains.chain_labels(spark.read.parquet(f"{sf}/labels.parquet"))
     models = chains.train(docs, labels.where("doc_id % 4 <> 0"), chains.CHAIN)
@@ -207,7 +207,7 @@ def test_toxicity_of_held_out_rows(spark, sf):
     marks = {w for w, n in toxic.items() if n >= 40 and not clean[w]}
     held = [r for r in rows if r.doc_id % 4 == 0]
     caught = [r.p_toxic >= 0.5 for r in held if words(r) & marks]
-    wrong = [r.p_toxic >= 0.5 for r in held if not words(r) & marks]
+    wrong = [r.p_toxic >= 0.5 for r in held if not r.toxic]
     assert len(caught) > 50 and np.mean(caught) > 0.97 and np.mean(wrong) < 0.01
 
 
