@@ -38,8 +38,36 @@ def written(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where the session has Spark's default: texts are long, and batches are held on both sides.
+BATCH_ROWS = 1000
+
+
+def lean(run):
+    """Give memory back to the system when a task ends: workers live on, and one operator's peak must not add to the next one's."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return held
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per context, over Spark's own file server."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_lodewright_shipped", False):
         return

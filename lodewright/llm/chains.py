@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ship
+from ._store import lean, ship
 from ._words import hashes, lower, mix, pieces, row_of, split
 from .ranking import labelled_sample
 
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], bound
     ship(docs.sparkSession)
     code = sum((F.col(c).cast("int") * (1 << k) for k, c in enumerate(categories)), F.lit(0))
     rows = labelled_sample(docs, labels.select("doc_id", code.alias("y")), "y", bound).select("doc_id", "text", F.col("y").cast("int").alias("y"))
-    got = rows.mapInArrow(_sample, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])).toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(lean(_sample), T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])).toArrow().sort_by("doc_id")
     y = got["y"].to_numpy().astype(np.int64)
     x = [np.frombuffer(v, np.int32) for v in got["x"].to_pylist()]
     first = distinct(x)
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, models: list[Linear], categories: tuple[str, ...],
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(dense[:, k])) for k in range(dense.shape[1]))], names=["doc_id", *(f"p_{c}" for c in categories)])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(f"p_{c}", T.DoubleType()) for c in categories)])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ship, written
+from ._store import lean, ship, written
 from ._words import pieces
 from .components import components
 
@@ -122,7 +122,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, fp long) of every row; the text column is read once and leaves the plan here."""
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_print_batches, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_print_batches), schema)
 
 
 def _filed(side: int):
@@ -141,8 +141,8 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """All pairs (u, v), u < v, of different fingerprints in ``prints`` (fp long, distinct) at ``distance`` (at most 3) or fewer bits."""
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
-    left = prints.select("fp").mapInArrow(_filed(0), "key long, fp long").withColumnRenamed("fp", "u")
-    right = prints.select("fp").mapInArrow(_filed(1), "key long, fp long").withColumnRenamed("fp", "v")
+    left = prints.select("fp").mapInArrow(lean(_filed(0)), "key long, fp long").withColumnRenamed("fp", "u")
+    right = prints.select("fp").mapInArrow(lean(_filed(1)), "key long, fp long").withColumnRenamed("fp", "v")
     near_pairs = left.hint("merge").join(right, "key").where(F.expr(f"u <> v AND bit_count(u ^ v) <= {int(distance)}"))
     return near_pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 

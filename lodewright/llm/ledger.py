@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ship
+from ._store import lean, ship
 from ._words import SPACE, hashes, per_row, pieces, row_of, split
 
 #: What is measured in a text, whole numbers all.
@@ -104,7 +104,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_batches, schema)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_batches), schema)
     bits = F.expr(" | ".join(f"IF({when}, {BIT[name]}L, 0L)" for name, when in RULES))
     return rows.withColumn("fail_bits", bits)
 

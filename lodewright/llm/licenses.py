@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ship
+from ._store import lean, ship
 from ._words import hashes, lower, mix, pieces, row_of, split
 
 SHINGLE, BANDS, LEAST = 5, 8, 0.8
@@ -144,4 +144,4 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: s
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["doc_id", "license", "containment"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)

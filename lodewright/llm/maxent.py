@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ship, written
+from ._store import lean, ship, written
 from ._words import pieces
 
 #: Words that are sent to tasks at most; words that are a class of their own; classes of the other words, by the hash of their last two bytes.
@@ -201,7 +201,7 @@ def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(word binary, c long) over all rows of the one text column: partial counts in the tasks, then one shuffle of distinct words."""
-    return texts.mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(lean(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def train(docs: DataFrame, epochs: int = 1, rate: float = 0.3, text_col: str = "text", where: Column | None = None) -> tuple[Model, DataFrame]:
@@ -231,7 +231,7 @@ def train(docs: DataFrame, epochs: int = 1, rate: float = 0.3, text_col: str = "
     model = Model({w: i for i, w in enumerate(words)}, c, classes, np.zeros((KINDS * BUCKETS, CLASSES), np.float32), bias, total, distinct, ends, tokens_in, distinct_in)
     for _ in range(epochs):
         shared = spark.sparkContext.broadcast(model)
-        moves = own.mapInArrow(_steps(shared, rate), "f int, n long, move binary").repartition("f").mapInArrow(_averages, "f int, move binary").toArrow()
+        moves = own.mapInArrow(lean(_steps(shared, rate)), "f int, n long, move binary").repartition("f").mapInArrow(lean(_averages), "f int, move binary").toArrow()
         model.weights = model.weights.copy()
         for f, v in zip(moves["f"].to_pylist(), moves["move"].to_pylist()):
             model.weights[f] += np.frombuffer(v, "<f4")
@@ -294,7 +294,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     schema = T.StructType([T.StructField(f.name, docs.schema[id_col].dataType) if f.name == "doc_id" else f for f in _SCORED])
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    done = written(rows.mapInArrow(_scores(shared), schema), "scored")
+    done = written(rows.mapInArrow(lean(_scores(shared)), schema), "scored")
     tail = done.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
     late = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("late"), F.count("c").alias("seen"))
     out = done.drop("tail").join(late, "row", "left")

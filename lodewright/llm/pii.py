@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ship
+from ._store import lean, ship
 
 #: Kinds in the order of the output; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
@@ -166,7 +166,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(f, T.StringType() if f in ("base_sha256", "spans") else T.LongType()) for f in _FIELDS)])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_batches, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_batches), schema)
 
 
 def mask_text(text: str) -> str:
@@ -189,4 +189,4 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([None if t is None else mask_text(t) for t in b.column(i).to_pylist()], b.schema.field(i).type)
             yield b.set_column(i, b.schema.field(i), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

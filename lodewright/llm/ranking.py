@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ship
+from ._store import lean, ship
 from ._words import SPACE, hashes, lower, mix, per_row, pieces, row_of, split
 
 #: Labelled rows a fit reads at most, the smallest xxhash64(doc_id) first.
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     """Fit on at most ``bound`` labelled rows; features are made on the executors, the driver sees ``bound`` short vectors."""
     ship(docs.sparkSession)
     rows = labelled_sample(docs, labels, label, bound, where).select("doc_id", "text", F.col(label).cast("int").alias("y"))
-    got = rows.mapInArrow(_feature_batches, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])).toArrow()
+    got = rows.mapInArrow(lean(_feature_batches), T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.BinaryType())])).toArrow()
     got = got.sort_by("doc_id")
     x = np.frombuffer(b"".join(got["x"].to_pylist()), float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy())
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def keep_good(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
@@ -206,4 +206,4 @@ def keep_good(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFra
             good = model.score(features(b.column(b.schema.get_field_index(text_col)))) >= 0.5
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -23,14 +23,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import new_path, ship, written
+from ._store import lean, new_path, ship, written
 from ._words import pieces
 
 MAGIC = b"LWM1"
 BLOCK = 1 << 16
 _HEAD = struct.Struct("<4sQIIII")
 #: Tokens after which a shard is closed; text of about this many bytes is held at a time.
-SHARD_TOKENS, SHARD_BYTES = 1 << 21, 1 << 22
+SHARD_TOKENS, SHARD_BYTES = 1 << 20, 1 << 20
 END_ID = 2
 
 
@@ -169,7 +169,7 @@ class Encoder:
     Words are cut at ASCII white space, where such a tokenizer always cuts, so the ids of a text are those of its words in order.
     """
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -258,7 +258,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    dealt.mapInArrow(_shards(tokenizer), SHARDS).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(lean(_shards(tokenizer)), SHARDS).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -283,7 +283,7 @@ def digest(spark: SparkSession, path: str, id_type: T.DataType | None = None) ->
     kind = id_type or T.LongType()
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("own", "n_tokens", "ids_crc32"))])
     shards = read_shards(spark, path)
-    rows = shards.select("shard", "ids", "payload").mapInArrow(run, schema)
+    rows = shards.select("shard", "ids", "payload").mapInArrow(lean(run), schema)
     # one row per shard: a running sum over groups of shards, then within a group
     sizes = shards.select("shard", "n_tokens").withColumn("g", F.expr("shard >> 40"))
     above = sizes.groupBy("g").agg(F.sum("n_tokens").alias("t"))
