@@ -26,7 +26,9 @@ def value_score(question: Column, key: Column) -> Column:
         whole = F.contains(F.concat(F.lit(" "), q, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
         close = F.contains(F.regexp_replace(q, " ", ""), compact) & (F.length(compact) >= 3)
         shared = F.size(F.array_intersect(words, F.filter(F.split(a, " "), lambda w: F.length(w) > 2)))
-        return F.when(identifier, F.when(whole, n + 130).otherwise(0)).otherwise(F.greatest(F.when(whole, n + 120).otherwise(0), F.when(close, n + 110).otherwise(0), shared * 25))
+        # an identifier's characters in a row, anything but letters and digits between them, none beside them
+        bounded = F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace(compact, "(.)(?=.)", "$1[^a-z0-9]*"), F.lit("(?![a-z0-9])"))
+        return F.when(identifier, F.when(F.regexp_like(F.lower(question), bounded), n + 130).otherwise(0)).otherwise(F.greatest(F.when(whole, n + 120).otherwise(0), F.when(close, n + 110).otherwise(0), shared * 25))
 
     return F.coalesce(F.array_max(F.transform(aliases(key), one)), F.lit(0))
 
