@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import is_missing, truncated
+from ..functions.text import is_missing, redacted, truncated
 
 
 def _fingerprint(df: DataFrame):
@@ -149,3 +149,17 @@ def decide(df: DataFrame, order: str, kind: str = "parquet") -> DataFrame:
     s = strategy(p.row_count, shape, p.missing_fraction, v)
     schema = "row_count long, duplicate_count long, missing_fraction double, shape string, score int, recommendation string, risk string, reasons array<string>, strategy string, method string, confidence double"
     return df.sparkSession.createDataFrame([(p.row_count, p.duplicate_count, p.missing_fraction, shape, v["score"], v["recommendation"], v["risk"], v["reasons"], s["strategy"], s["method"], float(s["confidence"]))], schema)
+
+
+def provenance(decided: DataFrame, *, base_model: str | None = None, dataset: dict | None = None, method: str | None = None, hardware: str | None = None, timeout: str | None = None, cost: float | None = None, golden_cases: int | None = None, limitations: tuple[str, ...] = ()) -> DataFrame:
+    """(provenance): the row of ``decide`` and facts of a training run as redacted JSON; what is null is left out."""
+    lit = lambda v, kind, name: F.lit(v).cast(kind).alias(name)
+    facts = [lit(v, "string", k) for k, v in (dataset or {}).items() if v is not None]
+    payload = F.struct(
+        lit(base_model, "string", "base_model"), F.struct(*facts, "row_count", F.col("row_count").alias("examples_count"), F.col("shape").alias("inferred_shape")).alias("dataset"),
+        "row_count", F.col("row_count").alias("examples_count"), F.struct("score", "recommendation", "risk", "reasons").alias("trainability"),
+        F.struct("strategy", "method", "confidence").alias("strategy"), lit(golden_cases, "long", "golden_eval_cases"),
+        F.when(F.lit(len(limitations) > 0), F.array(*(F.lit(x) for x in limitations)).cast("array<string>")).alias("limitations"),
+        F.struct(lit(method, "string", "method"), lit(cost, "double", "cost_usd"), lit(hardware, "string", "hardware"), lit(timeout, "string", "timeout")).alias("training"),
+    )
+    return decided.select(redacted(F.to_json(payload)).alias("provenance"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions import text as X
 from ..functions.values import timeout_hours
 from ..operators import activity, conversations, evals, lookup
@@ -244,3 +245,38 @@ def json_field_extract(events: DataFrame) -> DataFrame:
 @query("SELECT conv_id, bool_or(role = 'user' AND trim(coalesce(text, '')) <> '') AND bool_or(role = 'assistant' AND trim(coalesce(text, '')) <> '') AS has_both FROM conversations GROUP BY conv_id", _CONV)
 def has_user_and_assistant(turns: DataFrame) -> DataFrame:
     return conversations.complete(turns)
+
+
+_MARKS = "[" + ", ".join(f"'{m}'" for m in paths.EXAMPLES) + "]"
+
+
+@query(
+    f"SELECT page_id, CAST(CASE WHEN parts[1] IN ('examples', 'example') THEN 0 ELSE 1 END AS BIGINT) AS outside, CAST(coalesce(list_position({_MARKS}, list_filter(parts, lambda x: list_contains({_MARKS}, x))[-1]) - 1, 999) AS BIGINT) AS pattern, CAST(len(parts) AS BIGINT) AS depth"
+    " FROM (SELECT page_id, string_split(lower(url), '/') AS parts FROM pages)",
+    "pages",
+)
+def path_priority(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", F.inline(F.array(paths.path_priority(F.col("url")))))
+
+
+@query(
+    "SELECT p_partkey, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), '-') AS words FROM (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS w FROM part)",
+    "part",
+)
+def upload_slug(part: DataFrame) -> DataFrame:
+    return part.select("p_partkey", paths.file_slug(F.array("p_name")).alias("words"))
+
+
+@query(None, "pages")
+def example_path_scores(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", paths.example_score(F.col("url")).alias("score"))
+
+
+@query(None, "documents")
+def dataset_provenance(docs: DataFrame) -> DataFrame:
+    return P.provenance(P.decide(docs, "doc_id"), dataset={"type": "table", "format": "parquet"}, method="sft")
+
+
+@query("SELECT doc_id, CAST(CASE WHEN strpos(text, 'the') > 0 THEN strpos(text, 'the') - 1 END AS INTEGER) AS at FROM documents", "documents")
+def text_found_at(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", paths.found_at(F.col("text"), F.lit("the"))["at"].alias("at"))

@@ -54,3 +54,25 @@ def fan_out(events: DataFrame, sinks: dict[str, object], checkpoint: str):
         batch.unpersist()
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def heartbeats(events: DataFrame, seconds: float, key: str = "session_id", ts: str = "ts") -> DataFrame:
+    """(key, ts) of the events at which a session is saved: the first one arms the timer, later ones fire once the interval has passed
+    since it was armed or fired last. For streams; the state is one time. No interval, no saves; null times are passed over."""
+
+    def gate(k, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        last, fired = state.get[0] if state.exists else None, []
+        for t in sorted(t for b in batches for t in b[ts].dropna()):
+            if last is None:
+                last = t.timestamp()
+            elif t.timestamp() - last >= seconds > 0:
+                last = t.timestamp()
+                fired.append(t)
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame({key: [k[0]] * len(fired), ts: pd.Series(fired, dtype="datetime64[ns]")})
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.select(key, ts).groupBy(key).applyInPandasWithState(gate, f"{key} {kind}, {ts} timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
