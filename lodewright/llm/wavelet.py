@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,17 +50,17 @@ def build(ids: np.ndarray, ends: np.ndarray) -> bytes:
     blocks = -(-n // BLOCK)
     parts, data, at = [_HEAD.pack(MAGIC, n, len(alphabet), planes, len(ends), blocks), alphabet.tobytes(), ends.astype("<u8").tobytes()], [], 0
     for bit in range(planes - 1, -1, -1):
-        ones = (seq >> bit & 1).astype(bool)
-        starts = np.arange(0, n, BLOCK)
-        before = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, starts, dtype=np.int64))[:-1]])
+        ones = (seq & seq.dtype.type(1 << bit)) != 0
+        up, packed = np.flatnonzero(ones), np.packbits(ones)
+        before = np.searchsorted(up, np.arange(0, n, BLOCK))
         offsets = [at]
-        for s in starts:
-            z = zlib.compress(np.packbits(ones[s : s + BLOCK]).tobytes(), 1)
+        for s in range(0, len(packed), BLOCK // 8):
+            z = zlib.compress(packed[s : s + BLOCK // 8], 1)
             data.append(z)
             at += len(z)
             offsets.append(at)
-        parts += [struct.pack("<Q", n - int(ones.sum())), before.astype("<u4").tobytes(), np.array(offsets, "<u8").tobytes()]
-        seq = np.concatenate([seq[~ones], seq[ones]])
+        parts += [struct.pack("<Q", n - len(up)), before.astype("<u4").tobytes(), np.array(offsets, "<u8").tobytes()]
+        seq = np.concatenate([seq.take(np.flatnonzero(~ones)), seq.take(up)])
     return b"".join([*parts, struct.pack("<Q", at), *data])
 
 
@@ -85,7 +86,7 @@ class Shard:
     def _bits(self, plane: int, block: int) -> np.ndarray:
         o = self.offsets[plane]
         raw = zlib.decompress(self.blob[self.base + int(o[block]) : self.base + int(o[block + 1])])
-        return np.unpackbits(np.frombuffer(raw, np.uint8), count=min(BLOCK, self.n - block * BLOCK)).astype(bool)
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=min(BLOCK, self.n - block * BLOCK)).view(bool)
 
     def _block(self, plane: int, block: int) -> np.ndarray:
         if (plane, block) not in self.cache:
@@ -156,39 +157,65 @@ class Shard:
         kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
         code = np.zeros(self.n, kind)
         for p in range(self.planes - 1, -1, -1):
-            ones, up = rows[p], np.empty(self.n, kind)
-            up[~ones] = code[: self.zeros[p]]
-            up[ones] = code[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
+            up = np.empty(self.n, kind)
+            up[np.flatnonzero(~rows[p])] = code[: self.zeros[p]]
+            up[np.flatnonzero(rows[p])] = code[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
             code = up
         return self.alphabet[code]
 
 
-class Encoder:
-    """Encodes texts word by word with a tokenizer that drops white space, keeping the ids of words seen lately.
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+class Encoder(dict):
+    """Word (UTF-8) -> its ids (little-endian u32), for a tokenizer that drops white space.
 
     Words are cut at ASCII white space, where such a tokenizer always cuts, so the ids of a text are those of its words in order.
+    The words of late are kept in two generations of MOST each: a full one becomes the old one, and words met again move up.
+    A new word's ids come from words already known where the tokenizer allows it: ``apart`` if it sets a trailing run of ASCII
+    punctuation apart from ASCII letters and digits, ``caseless`` if it ignores the case of ASCII words. Both are tried out on
+    the tokenizer; words with ``<``, which may hold special tokens, are never taken apart.
     """
 
-    MOST = 200_000
+    MOST = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        super().__init__()
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.old: dict[bytes, bytes] = {}
+        fresh, runs = self.fresh, [PUNCTUATION[i : i + k] for k in (1, 2, 5) for i in range(len(PUNCTUATION))]
+        self.apart = all(fresh(core + p) == fresh(core) + fresh(p) for core in (b"a", b"of", b"Words", b"7", b"a1") for p in runs if b"<" not in p)
+        self.caseless = all(fresh(w) == fresh(w.lower()) for w in (b"ABCDEFGHIJKLM", b"NOPQRSTUVWXYZ", b"Words", b"IT'S", b"A1B2-C"))
+
+    def fresh(self, word: bytes) -> bytes:
+        return array("I", self.encode([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self._pieced(word)
+        if len(self) >= self.MOST:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
+
+    def _pieced(self, word: bytes) -> bytes:
+        if b"<" not in word:
+            if self.apart:
+                core = word.rstrip(PUNCTUATION)
+                if len(core) < len(word) and core[-1:].isalnum():
+                    return self[core] + self[word[len(core) :]]
+            if self.caseless and word.isascii() and not word.islower():
+                low = word.lower()
+                if low != word:
+                    return self[low]
+        return self.fresh(word)
 
     def words(self, words: list[bytes]) -> bytes:
-        known = self.known
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) + len(new) > self.MOST:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in got)))
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = {}

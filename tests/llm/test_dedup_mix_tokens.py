@@ -289,3 +289,14 @@ def test_pipeline_stages(spark, sf):
     assert got == {k: v for k, v in want.items() if v}
     assert all(x.columns == docs.columns for x in (good, apart, clean, mixed))
     assert c.run(spark, sf).agg(F.max("start")).first()[0] > 0
+
+
+def test_words_taken_apart_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    whole, enc = Tokenizer.from_file(tokenizer_path()), wavelet.Encoder(tokenizer_path())
+    enc.MOST = 8
+    assert enc.apart and enc.caseless
+    texts = ["<|endoftext|>. x<|startoftext|>, <a>. b<c,", "It's, IT'S. o'clock's' 'S a'.'s ,'s 's, '", "ẖ H̱. É, é. ä̸. İI. ǅ Σας, ΣΑΣ.", "a b. c , 1,2.3. 5%%%", "\x00a\x01. \x1c. 😀!! ...", ""]
+    for text in texts * 2:
+        assert np.frombuffer(enc.words(text.encode().split()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
