@@ -150,6 +150,20 @@ def _gathered(column: pa.Array, tokens: int = 100_000) -> Iterator[tuple[int, li
         yield first, held
 
 
+def group_sums(g: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``g[order]`` between consecutive ``cut``: place by place over all groups, long groups' rests one by one."""
+    size = np.diff(np.append(cut, len(order)))
+    total = g[order[cut]]
+    for k in range(1, 8):
+        more = np.flatnonzero(size > k)
+        if not len(more):
+            return total
+        total[more] += g[order[cut[more] + k]]
+    for i in np.flatnonzero(size > 8):
+        total[i] += g[order[cut[i] + 8 : cut[i] + size[i]]].sum(axis=0)
+    return total
+
+
 def _steps(shared, rate: float):
     """Gradient steps of one task; yields (feature row, tokens, move as float16) of the rows it touched."""
 
@@ -172,7 +186,7 @@ def _steps(shared, rate: float):
                             order = np.argsort(part[k], kind="stable")
                             ids = part[k][order]
                             cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                            rows, total = ids[cut], np.add.reduceat(g[order], cut, axis=0)
+                            rows, total = ids[cut], group_sums(g, order, cut)
                             energy[rows] += np.einsum("ij,ij->i", total, total) / CLASSES * 4
                             w[rows] -= total * (rate / np.sqrt(energy[rows]))[:, None]
                             touched[rows] += np.diff(np.append(cut, len(ids)))
