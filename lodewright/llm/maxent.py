@@ -1,15 +1,18 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-p(w | h) = p(class(w) | h) p(w | class(w)). The class softmax has hashed features of the history h: the word before, the pair of
-words before, and, as a skip feature, the word two before. It is trained by gradient steps on every training document: each task
-takes mini-batch steps from the same start and returns how far each feature row moved, and the moves are averaged by the number of tokens
-that touched a row. Within a class a word has its smoothed relative frequency, the maximum-likelihood weights of a unigram feature.
-
-Frequent words (at most HEAD of them) go with the tasks; the counts of all others stay in a table that the tail of each document joins.
+p(w | h) = p(class(w) | h) p(w | class(w), h). Both factors have hashed features of the history h: the word before, the pair of
+words before, and, as a skip feature, the word two before. The class is a softmax; within a class a word is the end of a path of binary
+decisions (a Huffman tree over the class's counts), each with a bias, the log odds of the smoothed counts, and a weight for each
+feature of the history. All weights are trained by gradient steps on every training document, in ROUNDS rounds over parts of them: each task takes
+mini-batch steps from the same start and returns how far each weight moved, and the moves are averaged by the number of tokens that touched it.
+
+Frequent words (at most HEAD of them) go with the tasks; the counts of all others stay in a table that the tail of each document joins. In
+its class the tail is one leaf of the tree, and within that leaf a word has its smoothed relative frequency.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +31,12 @@ from ._words import pieces
 HEAD, SINGLE, GROUPS = 1 << 18, 31, 32
 END = SINGLE
 CLASSES = SINGLE + 1 + GROUPS
-#: Hash buckets of each of the three feature kinds.
-BUCKETS, KINDS = 1 << 12, 3
+#: Feature kinds. Hash buckets of each grow with the training tokens, as do the weights of the decisions within classes, by powers of two
+#: between these: so many at most are held twice by each task and go to the driver once a round.
+KINDS, BUCKETS, INNER = 3, (1 << 12, 1 << 16), (1 << 16, 1 << 22)
+#: Rounds of training, each over its own part of the rows and from the average of the one before (further passes over the same rows fit
+#: them and lose held-out likelihood); decision weights sent in one row.
+ROUNDS, SLAB = 3, 4096
 SMOOTH = 0.1
 BATCH = 4096
 #: Distinct words a counting task holds before it passes them on.
@@ -87,8 +94,13 @@ class Model:
     tokens: int
     distinct: int
     ends: int
-    group_tokens: np.ndarray
-    group_distinct: np.ndarray
+    tail_tokens: np.ndarray
+    tail_distinct: np.ndarray
+    inner: np.ndarray
+    at: np.ndarray
+    nodes: np.ndarray
+    turns: np.ndarray
+    odds: np.ndarray
 
     def ids(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """(context id, class, rank or -1, document) of each token, an end after each document, and the tail words in order."""
@@ -109,20 +121,45 @@ class Model:
         own[~known] = n + cls[~known]
         return own, cls, rank, np.repeat(np.arange(len(docs)), row), tail
 
-    def features(self, own: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The three feature rows of each token; before a document stand its starts, id 2**40."""
+    def histories(self, own: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The hashes of each token's three histories; before a document stand its starts, id 2**40."""
         one, two = np.full(len(own), 1 << 40, np.uint64), np.full(len(own), 1 << 40, np.uint64)
         same1, same2 = row[1:] == row[:-1], row[2:] == row[:-2]
         one[1:][same1] = own[:-1][same1]
         two[2:][same2] = own[:-2][same2]
         a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-        shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-        out = np.empty((KINDS, len(own)), np.int64)
-        out[0] = (one + np.uint64(1)) * a >> shift
-        out[1] = ((((one + np.uint64(3)) * b) ^ (two + np.uint64(7))) * a >> shift).astype(np.int64) + BUCKETS
-        out[2] = ((two + np.uint64(5)) * b >> shift).astype(np.int64) + 2 * BUCKETS
+        out = np.empty((KINDS, len(own)), np.uint64)
+        out[0] = (one + np.uint64(1)) * a
+        out[1] = (((one + np.uint64(3)) * b) ^ (two + np.uint64(7))) * a
+        out[2] = (two + np.uint64(5)) * b
         return out
 
+    def rows(self, h: np.ndarray) -> np.ndarray:
+        """The three rows of class weights of each token, of its histories' hashes."""
+        n = len(self.weights) // KINDS
+        return (h >> np.uint64(65 - n.bit_length())).astype(np.int64) + n * np.arange(KINDS)[:, None]
+
+    def features(self, own: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return self.rows(self.histories(own, row))
+
+    def decisions(self, own: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, turn 1 or -1, three places in ``inner``, log odds of a turn 1) of every decision on the tokens' paths."""
+        first, n = self.at[own], self.at[own + 1] - self.at[own]
+        token = np.repeat(np.arange(len(own)), n)
+        k = np.arange(len(token)) + np.repeat(first - np.cumsum(n) + n, n)
+        node = self.nodes[k]
+        mark = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        places = np.empty((KINDS, len(token)), np.int64)
+        shift = np.uint64(65 - len(self.inner).bit_length())
+        for j in range(KINDS):
+            x = h[j][token] + np.uint64(j)
+            x ^= x >> np.uint64(32)
+            places[j] = ((x ^ mark) * np.uint64(0x9E3779B97F4A7C15)) >> shift
+        z = self.odds[node]
+        for j in range(KINDS):
+            z += self.inner[places[j]]
+        return token, self.turns[k], places, z
+
     def probabilities(self, f: np.ndarray) -> np.ndarray:
         z = self.weights[f[0]]
         z += self.weights[f[1]]
@@ -164,21 +201,41 @@ def group_sums(g: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return total
 
 
+def _moves(f: np.ndarray, n: np.ndarray, move: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in move], pa.binary())], names=["f", "n", "move"])
+
+
 def _steps(shared, rate: float):
-    """Gradient steps of one task; yields (feature row, tokens, move as float16) of the rows it touched."""
+    """Gradient steps of one task; yields (row, tokens as float32, move as float16) of the class rows it touched, each with one number
+    of tokens, and, numbered after them, of the slabs of decision weights it touched, with a number for each weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         start = m.weights
         w = m.weights = start.copy()
+        inner_start = m.inner
+        inner = m.inner = inner_start.copy()
         try:
             energy = np.full(len(w), 1e-2, np.float32)
             touched = np.zeros(len(w), np.int64)
+            inner_energy, inner_sum, inner_touched = np.full(len(inner), 1e-2, np.float32), np.zeros(len(inner), np.float32), np.zeros(len(inner), np.float32)
             for b in batches:
                 for _, docs in _gathered(b.column(0)):
                     own, cls, _, row, _ = m.ids(docs)
-                    f = m.features(own, row)
+                    h = m.histories(own, row)
+                    f = m.rows(h)
                     for at in range(0, len(cls), BATCH):
+                        _, turn, places, z = m.decisions(own[at : at + BATCH], h[:, at : at + BATCH])
+                        e = turn / -(1 + np.exp(np.clip(turn * z, -30, 30)))
+                        for x in places:
+                            np.add.at(inner_sum, x, e)
+                            np.add.at(inner_touched, x, np.float32(1))
+                            # a place that comes more than once is set more than once, to the same value
+                            total = inner_sum[x]
+                            gain = inner_energy[x] + total * total
+                            inner_energy[x] = gain
+                            inner[x] -= rate * total / np.sqrt(gain)
+                            inner_sum[x] = 0
                         part = f[:, at : at + BATCH]
                         g = m.probabilities(part)
                         g[np.arange(part.shape[1]), cls[at : at + BATCH]] -= 1
@@ -193,24 +250,63 @@ def _steps(shared, rate: float):
             for rows in np.array_split(np.flatnonzero(touched), max(1, np.count_nonzero(touched) // 4096)):
                 if len(rows):
                     move = (w[rows] - start[rows]).astype("<f2")
-                    yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(touched[rows]), pa.array([x.tobytes() for x in move], pa.binary())], names=["f", "n", "move"])
+                    yield _moves(rows, touched[rows].astype("<f4")[:, None], move)
+            slabs = inner_touched.reshape(-1, SLAB).any(axis=1).nonzero()[0]
+            for part in np.array_split(slabs, max(1, len(slabs) // 64)):
+                if len(part):
+                    yield _moves(len(w) + part, inner_touched.reshape(-1, SLAB)[part].astype("<f4"), (inner - inner_start).reshape(-1, SLAB)[part].astype("<f2"))
         finally:
-            m.weights = start
+            m.weights, m.inner = start, inner_start
 
     return run
 
 
 def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token-weighted mean move of each feature row; there are KINDS * BUCKETS rows at most."""
+    """Token-weighted mean move of each weight."""
     total: dict[int, np.ndarray] = {}
-    weight: Counter = Counter()
+    weight: dict[int, np.ndarray] = {}
     for b in batches:
-        moves = np.frombuffer(b"".join(b.column(2).to_pylist()), "<f2").reshape(-1, CLASSES).astype(float)
-        for f, n, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), moves):
-            total[f] = total.get(f, 0) + n * v
-            weight[f] += n
+        for f, n, v in zip(*(c.to_pylist() for c in b.columns)):
+            n = np.frombuffer(n, "<f4")
+            v = n * np.frombuffer(v, "<f2")
+            if f in total:
+                total[f] += v
+                weight[f] = weight[f] + n
+            else:
+                total[f], weight[f] = v, n
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(v / weight[f]).astype("<f4").tobytes() for f, v in total.items()], pa.binary())], names=["f", "move"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(v / np.maximum(weight[f], 1)).astype("<f4").tobytes() for f, v in total.items()], pa.binary())], names=["f", "move"])
+
+
+def trees(mass: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, nodes, turns, log odds): a Huffman tree over the leaves of each class above END. Leaf i has ``mass`` i, and its path is
+    ``nodes`` and ``turns`` between its two starts; at zero weights a path's probability is its leaf's share of the class."""
+    paths: list[list] = [[] for _ in mass]
+    odds, count = [], 0
+    leaves = np.flatnonzero(classes > END)
+    order = leaves[np.argsort(classes[leaves], kind="stable")]
+    for own in np.split(order, np.flatnonzero(np.diff(classes[order])) + 1) if len(order) else []:
+        heap = [(float(mass[i]), int(i)) for i in own]
+        heapq.heapify(heap)
+        up: dict[int, tuple[int, int]] = {}
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            up[a[1]], up[b[1]] = (count, -1), (count, 1)
+            odds.append(np.log(b[0] / a[0]))
+            heapq.heappush(heap, (a[0] + b[0], len(mass) + count))
+            count += 1
+        for i in own:
+            x = int(i)
+            while x in up:
+                paths[i].append(up[x])
+                x = len(mass) + up[x][0]
+    at = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int64)
+    flat = np.array([x for p in paths for x in p], np.int32).reshape(-1, 2)
+    return at, flat[:, 0].copy(), flat[:, 1].astype(np.float32), np.array(odds, np.float32)
+
+
+def _sized(n: int, bounds: tuple[int, int]) -> int:
+    return min(max(1 << max(n - 1, 0).bit_length(), bounds[0]), bounds[1])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -218,7 +314,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(lean(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def train(docs: DataFrame, epochs: int = 1, rate: float = 0.3, text_col: str = "text", where: Column | None = None) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.3, text_col: str = "text", where: Column | None = None) -> tuple[Model, DataFrame]:
     """The model and the table of all counts, from every row of ``docs`` that ``where`` admits."""
     spark = docs.sparkSession
     ship(spark)
@@ -242,13 +338,30 @@ def train(docs: DataFrame, epochs: int = 1, rate: float = 0.3, text_col: str = "
     seen[: min(SINGLE, len(c))] = c[:SINGLE]
     seen[END] = ends
     bias = np.log((seen + SMOOTH) / (seen + SMOOTH).sum()).astype(np.float32)
-    model = Model({w: i for i, w in enumerate(words)}, c, classes, np.zeros((KINDS * BUCKETS, CLASSES), np.float32), bias, total, distinct, ends, tokens_in, distinct_in)
-    for _ in range(epochs):
+    # what the head does not hold of each class is one leaf
+    tail_tokens, tail_distinct = tokens_in.copy(), distinct_in.copy()
+    rest = classes > END
+    tail_tokens -= np.bincount(classes[rest], c[rest], CLASSES).astype(np.int64)
+    tail_distinct -= np.bincount(classes[rest], minlength=CLASSES)
+    mass = np.concatenate([c + SMOOTH, tail_tokens + SMOOTH * (tail_distinct + 1.0)])
+    tree = trees(mass, np.concatenate([classes, np.arange(CLASSES)]))
+    weights = np.zeros((KINDS * _sized(total, BUCKETS), CLASSES), np.float32)
+    model = Model({w: i for i, w in enumerate(words)}, c, classes, weights, bias, total, distinct, ends, tail_tokens, tail_distinct, np.zeros(_sized(4 * total, INNER), np.float32), *tree)
+    # few long tasks take more steps each and send fewer moves
+    parts = own.rdd.getNumPartitions()
+    rows = own.coalesce(max(2 * spark.sparkContext.defaultParallelism, parts // 4))
+    for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        moves = own.mapInArrow(lean(_steps(shared, rate)), "f int, n long, move binary").repartition("f").mapInArrow(lean(_averages), "f int, move binary").toArrow()
-        model.weights = model.weights.copy()
+        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
+        moves = part.mapInArrow(lean(_steps(shared, rate)), "f int, n binary, move binary").repartition("f").mapInArrow(lean(_averages), "f int, move binary").toArrow()
+        model.weights, model.inner = model.weights.copy(), model.inner.copy()
         for f, v in zip(moves["f"].to_pylist(), moves["move"].to_pylist()):
-            model.weights[f] += np.frombuffer(v, "<f4")
+            if f < len(model.weights):
+                model.weights[f] += np.frombuffer(v, "<f4")
+            else:
+                i = (f - len(model.weights)) * SLAB
+                model.inner[i : i + SLAB] += np.frombuffer(v, "<f4")
+        shared.destroy(blocking=True)
     return model, counts
 
 
@@ -263,26 +376,27 @@ def _scores(shared):
         m: Model = shared.value
         at_row = TaskContext.get().partitionId() << 36
         base_all = np.log10(m.tokens + SMOOTH * (m.distinct + 1))
-        # per class: log10 of what a count is divided by; nothing is divided in a class of one word
-        inner = np.log10(m.group_tokens + SMOOTH * (m.group_distinct + 1.0))
-        inner[: SINGLE + 1] = 0
+        # per class: log10 of what a count of its tail is divided by
+        inner = np.log10(m.tail_tokens + SMOOTH * (m.tail_distinct + 1.0))
         logc = np.log10(m.counts + SMOOTH)
         end = np.log10(m.ends + SMOOTH)
         for b in batches:
             for first, docs in _gathered(b.column(1)):
                 own, cls, rank, row, tail = m.ids(docs)
-                f = m.features(own, row)
-                lp = np.empty(len(cls))
+                h = m.histories(own, row)
+                f = m.rows(h)
+                lp, way = np.empty(len(cls)), np.empty(len(cls))
                 for at in range(0, len(cls), BATCH):
                     p = m.probabilities(f[:, at : at + BATCH])
                     lp[at : at + BATCH] = p[np.arange(len(p)), cls[at : at + BATCH]]
-                lp = np.log10(np.maximum(lp, 1e-30)) - inner[cls]
+                    token, turn, _, z = m.decisions(own[at : at + BATCH], h[:, at : at + BATCH])
+                    way[at : at + BATCH] = np.bincount(token, np.logaddexp(0, -turn * z), len(p))
                 known = rank >= 0
+                lp = np.log10(np.maximum(lp, 1e-30)) - way / np.log(10) - np.where(rank == -1, inner[cls], 0)
                 count = np.zeros(len(cls))
                 count[known] = logc[rank[known]]
                 base = count - base_all
                 base[rank == -2] += end
-                lp[known & (cls > SINGLE)] += count[known & (cls > SINGLE)]
                 n = len(docs)
                 tails = np.bincount(row[rank == -1], minlength=n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tails)]).astype(np.int32)), pa.array(tail, pa.binary()))

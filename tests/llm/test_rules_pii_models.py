@@ -218,3 +218,15 @@ def test_toxicity_odd_rows(spark, odd):
     rows = chains.predict(odd, models, chains.CHAIN).collect()
     assert len(rows) == odd.count() and all(r.p_toxic < 0.5 for r in rows)
     assert chains.predict(odd.limit(0), models, chains.CHAIN).count() == 0
+
+
+def test_maxent_words_of_a_class_depend_on_the_history(spark):
+    """Words of one class (they share their last two bytes) after words of another: only the history tells which."""
+    common = [f"c{i}" for i in range(maxent.SINGLE)]
+    rows = [(i, " ".join([*common, f"left{i % 20}ll q{i % 20}zz"])) for i in range(2000)]
+    model, counts = maxent.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    tests = [(20 * a + b, f"left{a}ll q{b}zz") for a in range(20) for b in range(20)]
+    got = {r.doc_id: r.score for r in maxent.score(spark.createDataFrame(tests, "doc_id long, text string"), model, counts).collect()}
+    assert all(got[21 * a] > max(got[20 * a + b] for b in range(20) if b != a) + 0.3 for a in range(20))
+    # buckets grow with the training tokens
+    assert len(model.weights) == maxent.KINDS << 16 and len(model.inner) == 1 << 19
