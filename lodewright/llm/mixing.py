@@ -20,8 +20,6 @@ PHI = (math.sqrt(5) - 1) / 2
 #: A source's total may be taken so many times at most.
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
-#: Slots of a whole mix at most; blocks get longer with the input, by powers of two from LEAST_BLOCK words.
-MOST_SLOTS, LEAST_BLOCK = 4_000_000, 256
 #: Rows that one group of a prefix sum holds on average.
 GROUP_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,7 +84,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     ``taken`` words of a document are in the mix, repeats counted: at most REPEATS times its size. Null and empty texts have size
     0 and take 0. Null sources are a source of their own, null ids are ordered first; repeated rows stand one after another, each
     with its own share. Sources without words have target 0. An empty table gives no rows. Extra columns are not read.
-    The number of sources is taken to be small (their sizes are gathered on the driver); documents and slots never are.
+    A source's documents add up to its target, rounded to a word, at any total: its slots take its stream of words from the start, again
+    and again, and the last one ends where the target is met. The number of sources is taken to be small (their sizes are gathered on the driver); documents never are.
     """
     spark = docs.sparkSession
     # a null source is keyed apart from any text; the order within a source is a hash of the id, then the id
@@ -97,32 +96,21 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sizes = {s: per[s][0] for s in order}
     want = targets(sizes, weights)
     total = sum(sizes.values())
-    names = spark.createDataFrame([(i, s, sizes[s], float(want[s])) for i, s in enumerate(order)], f"s int, source {base.schema['source'].dataType.simpleString()}, source_size long, target double")
+    names = spark.createDataFrame(
+        [(i, s, sizes[s], float(want[s]), *divmod(round(want[s]), max(sizes[s], 1))) for i, s in enumerate(order)],
+        f"s int, source {base.schema['source'].dataType.simpleString()}, source_size long, target double, passes long, rest long",
+    )
     rows = base.join(F.broadcast(names), base["source"].eqNullSafe(names["source"])).drop(names["source"])
     live = rows.where("size > 0")
     if not total:
         return rows.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    block = LEAST_BLOCK
-    while total / block > MOST_SLOTS:
-        block *= 2
-    # shorter blocks for small inputs, so that a small source's target is met within few words
-    while block > 1 and total / block < 20_000:
-        block //= 2
     count = sum(n for _, n in per.values())
     groups = max(1, math.ceil(count / GROUP_ROWS))
-    place = _prefix(live, "s", "size", F.pmod("h", F.lit(groups)), [F.col("h"), F.col("doc_id").asc_nulls_first()])
     # pmod cuts a source's order by residue, then by hash: a fixed shuffled order, consecutive within each group
-    slots = max(1, round(total / block))
-    chosen = [(i, s) for i, s in enumerate(order) if want[s] > 0]
-    turns = schedule(spark, [want[s] for _, s in chosen], slots)
-    index = spark.createDataFrame([(k, i, -(-sizes[s] // block)) for k, (i, s) in enumerate(chosen)], "s int, source_index int, n_blocks long")
-    uses = turns.join(F.broadcast(index), "s").where(F.col("rank") < REPEATS * F.col("n_blocks"))
-    uses = uses.groupBy("source_index", F.expr("rank % n_blocks").alias("turn_block")).agg(F.count("*").alias("times"))
-    piece = place.withColumn("block", F.explode(F.expr(f"sequence(before div {block}, (before + size - 1) div {block})")))
-    part = F.expr(f"(least(before + size, (block + 1) * {block}) - greatest(before, block * {block})) * coalesce(times, 0)")
+    place = _prefix(live, "s", "size", F.pmod("h", F.lit(groups)), [F.col("h"), F.col("doc_id").asc_nulls_first()])
     columns = ["doc_id", "source", "size", "source_size", "target"]
-    joined = piece.join(uses, F.expr("s = source_index AND block = turn_block"), "left").select("s", "before", *columns, part.alias("words"))
-    full = joined.groupBy("s", "before", *columns).agg(F.sum("words").cast("long").alias("taken"))
+    # the source's stream of words as often as it goes whole, and its first words for the rest
+    full = place.select(*columns, F.expr("size * passes + greatest(least(before + size, rest) - before, 0)").alias("taken"))
     empty = rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
     return full.select(*columns, "taken").union(empty)
 

@@ -300,3 +300,11 @@ def test_words_taken_apart_keep_their_ids():
     texts = ["<|endoftext|>. x<|startoftext|>, <a>. b<c,", "It's, IT'S. o'clock's' 'S a'.'s ,'s 's, '", "ẖ H̱. É, é. ä̸. İI. ǅ Σας, ΣΑΣ.", "a b. c , 1,2.3. 5%%%", "\x00a\x01. \x1c. 😀!! ...", ""]
     for text in texts * 2:
         assert np.frombuffer(enc.words(text.encode().split()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_mix_meets_targets_of_small_sources_beside_a_huge_one(spark):
+    huge = spark.range(16).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 1_000_000).alias("text"), F.lit("huge").alias("source"))
+    small = spark.createDataFrame([(100 + 10 * k + i, "w " * (n // 10), f"s{n}") for k, n in enumerate((300, 1000, 3000)) for i in range(10)], "doc_id long, text string, source string")
+    rows = mixing.mixed(huge.union(small)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r.source: r.taken for r in rows if r.source != "huge"} == {"s300": 900, "s1000": 3000, "s3000": 9000}
+    assert all(abs(r.taken - r.target) <= 0.5 for r in rows)
