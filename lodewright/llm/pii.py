@@ -29,15 +29,17 @@ _EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP_RUN, _IP, _IP_CHARS = re.compile(r"[0-9.]*"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), frozenset(_DIGITS + ".")
 _CARD_RUN, _CARD, _CARD_CHARS = re.compile(r"[0-9 -]*"), re.compile(r"[0-9]([\x20-]?[0-9])+"), frozenset(_DIGITS + " -")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s<>\"']+")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"']+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
+#: Characters after a cue in which an IBAN begins though the line has ended, and characters of an IBAN at most, spaces included.
+REACH, IBAN_MOST = 47, 43
 #: Words that announce an identifier, and the kind of what follows.
 CUES = {
     "iban": "iban", "account": "account", "acct": "account", "a/c": "account", "routing": "account", "ssn": "account", "passport": "account",
     "token": "secret", "api_key": "secret", "apikey": "secret", "api key": "secret", "secret": "secret", "password": "secret", "passwd": "secret",
 }
-_ACCOUNT = re.compile(r"[\x20\t]{0,2}(?:no\.?|number|nr\.?|id)?[\x20\t]{0,2}[:#=]?[\x20\t]{0,2}((?=[A-Z0-9-]*[0-9]{4})[A-Z0-9](?:[A-Z0-9-]{4,32})[A-Z0-9])", re.I | re.A)
-_SECRET = re.compile(r"[\x20\t]{0,2}[:=][\x20\t]{0,2}[\"']?([A-Za-z0-9_+/=.-]{16,256})", re.A)
+_ACCOUNT = re.compile(r"[\x20\t]{0,2}(?:no\.?|number|nr\.?|id)?[\x20\t]{0,2}[:#=]?[\x20\t]{0,2}((?=[A-Z0-9-]*[0-9]{4})[A-Z0-9](?:[A-Z0-9-]{4,})[A-Z0-9])", re.I | re.A)
+_SECRET = re.compile(r"[\x20\t]{0,2}[:=][\x20\t]{0,2}[\"']?([A-Za-z0-9_+/=.-]{16,})", re.A)
 
 _automaton = None
 
@@ -89,7 +91,7 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     done = dict.fromkeys(KINDS, 0)
     for last, (kind, n) in automaton().iter(text):
         at = last - n + 1
-        if at < done[kind]:
+        if at < done[kind] and kind != "iban":
             continue
         if kind == "email":
             lo, hi = _left(text, at, _EMAIL_CHARS), _EMAIL_RUN.match(text, at).end()
@@ -113,7 +115,7 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 done[kind] = m.end()
         elif kind == "url":
             lo = at
-            while lo > done[kind] and text[lo - 1] in "abcdefghijklmnopqrstuvwxyz0123456789+.-":
+            while lo > done[kind] and text[lo - 1] in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-":
                 lo -= 1
             if m := _URL.match(text, lo):
                 end = lo + len(m[0].rstrip(".,;:!?)]}"))
@@ -121,10 +123,15 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
                     found[kind].append((lo, end))
                     done[kind] = end
         elif kind == "iban":
-            if m := _IBAN.search(text, last + 1, last + 48):
+            # any that begins on the cue's line or within REACH characters; every stretch is searched once
+            at, line = max(last + 1, done[kind]), text.find("\n", last + 1)
+            end = max(len(text) if line < 0 else line, last + 1 + REACH)
+            while at < end and (m := _IBAN.search(text, at, end + IBAN_MOST)) and m.start() < end:
+                at = m.start() + 1
                 if iban(m[0]):
                     found[kind].append(m.span())
-                    done[kind] = m.end()
+                    at = m.end()
+            done[kind] = max(at, end)
         else:
             if at and (text[at - 1].isalnum()):
                 continue

@@ -230,3 +230,15 @@ def test_maxent_words_of_a_class_depend_on_the_history(spark):
     assert all(got[21 * a] > max(got[20 * a + b] for b in range(20) if b != a) + 0.3 for a in range(20))
     # buckets grow with the training tokens
     assert len(model.weights) == maxent.KINDS << 16 and len(model.inner) == 1 << 19
+
+
+def test_long_values_are_masked_whole():
+    token = "eyJhbGciOi.J" * 60
+    assert pii.mask_text(f"token={token} end") == "token=[SECRET] end"
+    run = "12345678-" * 9 + "1"
+    assert pii.mask_text(f"account no. {run} end") == "account no. [ACCOUNT] end"
+    own = "DE89 3704 0044 0532 0130 00"
+    for gap in (" of the beneficiary of this transfer: ", " (international number of the beneficiary of this transfer, as agreed): ", "\n" + " " * 30):
+        assert pii.mask_text(f"IBAN{gap}{own}, thanks") == f"IBAN{gap}[IBAN], thanks"
+    assert pii.mask_text(f"IBAN {own}, {own}; IBAN\n{own}.") == "IBAN [IBAN], [IBAN]; IBAN\n[IBAN]."
+    assert pii.mask_text("go to HTTPS://Example.org/A and Http://b.c now") == "go to [URL] and [URL] now"
