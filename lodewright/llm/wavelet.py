@@ -5,20 +5,24 @@ sequence is stored as bit-planes: plane l holds bit l of every element in the or
 With a count of ones at each BLOCK of bits, rank and select on planes give: the token at a position, the number of times a
 token occurs in a range, and the place of its k-th occurrence, each touching one block per plane.
 
-Bytes of a shard, little-endian: magic ``LWM1``; u64 tokens n, u32 alphabet size a, u32 planes p, u32 documents d, u32 blocks b per plane;
+Bytes of a shard, little-endian: magic ``LWM2``; u64 tokens n, u32 alphabet size a, u32 planes p, u32 documents d, u32 blocks b per plane;
 a x u32 alphabet; d x u64 ends of documents; then per plane u64 zeros, b x u32 ones before each block, (b + 1) x u64
-offsets of compressed blocks; then u64 length and the blocks, each one zlib level 1 of BLOCK bits (np.packbits order).
+offsets of compressed blocks; then u64 length and the blocks, each one Zstandard level 1 of BLOCK bits (np.packbits order).
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +31,7 @@ from pyspark.sql import types as T
 from ._store import lean, new_path, ship, written
 from ._words import pieces
 
-MAGIC = b"LWM1"
+MAGIC = b"LWM2"
 BLOCK = 1 << 16
 _HEAD = struct.Struct("<4sQIIII")
 #: Tokens after which a shard is closed; text of about this many bytes is held at a time.
@@ -47,7 +51,7 @@ def build(ids: np.ndarray, ends: np.ndarray) -> bytes:
     if len(alphabet) <= 1 << 16:
         seq = seq.astype(np.uint16)
     planes = max(1, int(len(alphabet) - 1).bit_length()) if n else 0
-    blocks = -(-n // BLOCK)
+    blocks, squeeze = -(-n // BLOCK), zstandard.ZstdCompressor(level=1).compress
     parts, data, at = [_HEAD.pack(MAGIC, n, len(alphabet), planes, len(ends), blocks), alphabet.tobytes(), ends.astype("<u8").tobytes()], [], 0
     for bit in range(planes - 1, -1, -1):
         ones = (seq & seq.dtype.type(1 << bit)) != 0
@@ -55,7 +59,7 @@ def build(ids: np.ndarray, ends: np.ndarray) -> bytes:
         before = np.searchsorted(up, np.arange(0, n, BLOCK))
         offsets = [at]
         for s in range(0, len(packed), BLOCK // 8):
-            z = zlib.compress(packed[s : s + BLOCK // 8], 1)
+            z = squeeze(packed[s : s + BLOCK // 8])
             data.append(z)
             at += len(z)
             offsets.append(at)
@@ -85,7 +89,7 @@ class Shard:
 
     def _bits(self, plane: int, block: int) -> np.ndarray:
         o = self.offsets[plane]
-        raw = zlib.decompress(self.blob[self.base + int(o[block]) : self.base + int(o[block + 1])])
+        raw = zstandard.ZstdDecompressor().decompress(self.blob[self.base + int(o[block]) : self.base + int(o[block + 1])])
         return np.unpackbits(np.frombuffer(raw, np.uint8), count=min(BLOCK, self.n - block * BLOCK)).view(bool)
 
     def _block(self, plane: int, block: int) -> np.ndarray:
@@ -164,58 +168,147 @@ class Shard:
         return self.alphabet[code]
 
 
-PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: The normaliser, the pre-tokenizer and the BPE settings of the one kind of tokenizer whose texts are taken apart.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+BPE = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
+_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_CONTROL = re.compile(rb"[\x00-\x1f\x7f]")
+#: ASCII punctuation, letters that NFC leaves alone and that are one letter in lower case too, ASCII punctuation.
+_MARKS = r"[!-/:-@\[-`{-~]*"
+_LETTERS = re.compile(rf"({_MARKS})([A-Za-zªµºÀ-ÖØ-öø-įı-ɏА-яЁё]+)({_MARKS})")
 
 
 class Encoder(dict):
-    """Word (UTF-8) -> its ids (little-endian u32), for a tokenizer that drops white space.
+    """Word (UTF-8) -> its ids (little-endian u32).
+
+    What may be done with a text is read from the tokenizer's own definition. If its normaliser, pre-tokenizer and model are those above,
+    ids of a text follow from its pre-tokens: white space is dropped and always cuts (no alternative of the pattern holds any, and NFC joins
+    nothing across it), so a text's ids are those of its words in order, and each is kept once met. A new word is cut into pre-tokens
+    where that is certain: printable ASCII by the pattern itself in lower case (NFC leaves ASCII alone), and letters of ``_LETTERS`` between
+    runs of ASCII punctuation, unless an apostrophe stands before them. Letters alone are one pre-token, and each pre-token's last id,
+    and no other, carries the model's end-of-word mark: so many new ones are encoded as one text and told apart by the marks. If the
+    count of marks is not the count of words, or a word is none of these or holds the first character of an added token, the word is
+    encoded by itself. Any other tokenizer gets whole texts.
 
-    Words are cut at ASCII white space, where such a tokenizer always cuts, so the ids of a text are those of its words in order.
     The words of late are kept in two generations of MOST each: a full one becomes the old one, and words met again move up.
-    A new word's ids come from words already known where the tokenizer allows it: ``apart`` if it sets a trailing run of ASCII
-    punctuation apart from ASCII letters and digits, ``caseless`` if it ignores the case of ASCII words. Both are tried out on
-    the tokenizer; words with ``<``, which may hold special tokens, are never taken apart.
     """
 
     MOST = 500_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.old: dict[bytes, bytes] = {}
-        fresh, runs = self.fresh, [PUNCTUATION[i : i + k] for k in (1, 2, 5) for i in range(len(PUNCTUATION))]
-        self.apart = all(fresh(core + p) == fresh(core) + fresh(p) for core in (b"a", b"of", b"Words", b"7", b"a1") for p in runs if b"<" not in p)
-        self.caseless = all(fresh(w) == fresh(w.lower()) for w in (b"ABCDEFGHIJKLM", b"NOPQRSTUVWXYZ", b"Words", b"IT'S", b"A1B2-C"))
-
-    def fresh(self, word: bytes) -> bytes:
-        return array("I", self.encode([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        got = self.old.get(word)
-        if got is None:
-            got = self._pieced(word)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode_batch_fast
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        self.apart = (
+            spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER and spec.get("post_processor") is None
+            and not spec.get("truncation") and not spec.get("padding") and all(spec["model"].get(k) == v for k, v in BPE.items())
+            and all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and 32 < ord(t["content"][0]) < 127 for t in added)
+        )
+        self.special = re.compile(b"[" + re.escape("".join({t["content"][0] for t in added})).encode() + b"]") if added else re.compile(b"(?!)")
+        if self.apart:
+            # what is left to do on words of letters: nothing but cutting on ASCII ones, else lower case and the bytes
+            cut = pre_tokenizers.WhitespaceSplit()
+            plain, other = Tokenizer.from_file(path), Tokenizer.from_file(path)
+            plain.normalizer, plain.pre_tokenizer = None, cut
+            other.normalizer, other.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.plain, self.other = plain.encode_batch_fast, other.encode_batch_fast
+        self.final = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.final[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def _alone(self, words: list[bytes]) -> None:
+        self.update(zip(words, self._ids([w.decode("utf-8", "replace") for w in words])))
+
+    def _together(self, words: list[bytes], encode) -> None:
+        """Words that are letters alone, so one pre-token each."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(part):
+                self._alone(part)
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, e in zip(part, (4 * ends).tolist()):
+                self[w] = raw[a:e]
+                a = e
+
+    def learn(self, words: set[bytes]) -> None:
+        """Ids of words not known yet."""
+        if self.old:
+            again = [w for w in words if w in self.old]
+            self.update(zip(again, map(self.old.__getitem__, again)))
+            words.difference_update(again)
+        alpha = [w for w in words if w.isalpha()]  # ASCII letters
+        small = [w.lower() for w in alpha]
+        letters, marks, odd = set(small), set(), []
+        cut: dict[bytes, list[bytes]] = {}
+        for w in words.difference(alpha):
+            if self.special.search(w):
+                odd.append(w)
+            elif w.isascii():
+                if _CONTROL.search(w):
+                    odd.append(w)
+                else:
+                    parts = cut[w] = _ASCII.findall(w.lower())
+                    for p in parts:
+                        (letters if p.isalpha() else marks).add(p)
+            else:
+                m = _LETTERS.fullmatch(w.decode("utf-8", "replace"))
+                if m is None or m[1].endswith("'"):
+                    odd.append(w)
+                elif m[1] or m[3]:
+                    head, core, tail = (x.encode() for x in m.groups())
+                    letters.add(core)
+                    marks.update((head, tail))
+                    cut[w] = [head, core, tail]
+                else:
+                    letters.add(w)
+        self[b""] = b""
+        self._alone([*odd, *marks.difference(self)])
+        letters.difference_update(self.keys() & letters)
+        self._together([w for w in letters if w.isascii()], self.plain)
+        self._together([w for w in letters if not w.isascii()], self.other)
+        self.update((w, self[low]) for w, low in zip(alpha, small) if w is not low)
+        get = self.__getitem__
+        for w, parts in cut.items():
+            self[w] = b"".join(map(get, parts))
+
+    def texts(self, rows: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        if not self.apart:
+            return self._ids([r.decode("utf-8", "replace") for r in rows])
         if len(self) >= self.MOST:
             self.old = dict(self)
             self.clear()
-        self[word] = got
-        return got
-
-    def _pieced(self, word: bytes) -> bytes:
-        if b"<" not in word:
-            if self.apart:
-                core = word.rstrip(PUNCTUATION)
-                if len(core) < len(word) and core[-1:].isalnum():
-                    return self[core] + self[word[len(core) :]]
-            if self.caseless and word.isascii() and not word.islower():
-                low = word.lower()
-                if low != word:
-                    return self[low]
-        return self.fresh(word)
-
-    def words(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+        split = [r.split() for r in rows]
+        words = list(chain.from_iterable(split))
+        got = list(map(self.get, words))
+        new = [i for i, g in enumerate(got) if g is None]
+        if new:
+            self.learn({words[i] for i in new})
+            for i in new:
+                got[i] = self[words[i]]
+        out, a = [], 0
+        for w in split:
+            out.append(b"".join(got[a : a + len(w)]))
+            a += len(w)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -257,8 +350,9 @@ def _shards(path: str):
         for b in batches:
             for lo, hi, raw, off in pieces(b.column(1), SHARD_BYTES):
                 data = raw.tobytes()
-                for i in range(hi - lo):
-                    got = enc.words(data[off[i] : off[i + 1]].split()) + end
+                at = off.tolist()
+                for got in enc.texts([data[x:y] for x, y in zip(at, at[1:])]):
+                    got += end
                     held.append(got)
                     lengths.append(len(got) // 4)
                     tokens += len(got) // 4
@@ -277,15 +371,16 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, id_co
     A shard file is one row of a Parquet file, put there by Spark's committer, so a lost executor leaves no half-written one and
     any store that Spark can write will do: shard number (ascending with the ids), tokens, the ids of its documents, and the
     bytes of the wavelet matrix. A task holds one shard at a time. Null texts are empty texts: their end id alone. Null ids come
-    first; rows with equal ids stand in the order of their texts.
+    first; rows with equal ids stand in the order of a hash of their texts, and that hash deals them out too, so that an id of a third of
+    all rows is not one task's. There are as many tasks as the session's shuffles have, and as the input has if that is more.
     """
     spark = docs.sparkSession
     ship(spark)
     path = path or new_path(spark, "shards")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    dealt.mapInArrow(lean(_shards(tokenizer)), SHARDS).write.option("compression", "none").parquet(path)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", F.col("text").asc_nulls_first())
+    dealt.select("doc_id", "text").mapInArrow(lean(_shards(tokenizer)), SHARDS).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -311,10 +406,68 @@ def digest(spark: SparkSession, path: str, id_type: T.DataType | None = None) ->
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("doc_id", kind), *(T.StructField(c, T.LongType()) for c in ("own", "n_tokens", "ids_crc32"))])
     shards = read_shards(spark, path)
     rows = shards.select("shard", "ids", "payload").mapInArrow(lean(run), schema)
-    # one row per shard: a running sum over groups of shards, then within a group
+    return rows.join(offsets(shards), "shard").select("doc_id", (F.col("first") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def offsets(shards: DataFrame) -> DataFrame:
+    """(shard, first): tokens before each shard. One row per shard: a running sum over groups of shards, then within a group."""
     sizes = shards.select("shard", "n_tokens").withColumn("g", F.expr("shard >> 40"))
     above = sizes.groupBy("g").agg(F.sum("n_tokens").alias("t"))
     above = above.select("g", F.coalesce(F.sum("t").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("a"))
     inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("g").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = written(sizes.withColumn("i", inside).join(above, "g").select("shard", F.expr("a + i").alias("first")), "offsets")
-    return rows.join(first, "shard").select("doc_id", (F.col("first") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+    return written(sizes.withColumn("i", inside).join(above, "g").select("shard", F.expr("a + i").alias("first")), "offsets")
+
+
+def _shard_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    wanted = sorted(set(tokens))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                shard = Shard(blob)
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(wanted), pa.int64()), pa.array(wanted, pa.int64()), pa.array([shard.count(t) for t in wanted], pa.int64())], names=["shard", "token", "n"])
+
+    return shards.select("shard", "payload").mapInArrow(lean(run), "shard long, token long, n long")
+
+
+def counts(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): occurrences of each of ``tokens`` in all shards, by rank on the bit-planes; no shard is decoded. Tokens that do not
+    occur have 0; without a shard there are no rows. ``tokens`` is a short list that goes with the tasks."""
+    ship(spark)
+    return _shard_counts(read_shards(spark, path), tokens).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, wanted: list[tuple[int, int]]) -> DataFrame:
+    """(token, k, position) of the k-th (from 0) occurrence of each wanted (token, k), the position counted over all shards: counts find
+    the shard, select the place in it. Pairs beyond a token's occurrences give no row. ``wanted`` is a short list."""
+    ship(spark)
+    shards = read_shards(spark, path)
+    per = written(_shard_counts(shards, [t for t, _ in wanted]), "counts")
+    before = per.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("token").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    asked = spark.createDataFrame(sorted(set(wanted)), "token long, k long")
+    hits = before.join(F.broadcast(asked), "token").where("before <= k AND k < before + n").select("shard", "token", "k", (F.col("k") - F.col("before")).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, token, k, own, blobs = (c.to_pylist() for c in b.columns)
+            at = [f + Shard(blob).occurrence(t, i) for f, t, i, blob in zip(first, token, own, blobs)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(at, pa.int64())], names=["token", "k", "position"])
+
+    found = hits.join(offsets(shards), "shard").join(shards.select("shard", "payload"), "shard").select("first", "token", "k", "own", "payload")
+    return found.mapInArrow(lean(run), "token long, k long, position long")
+
+
+def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
+    """(position, token) of each of ``positions``, counted over all shards; those beyond the last token give no row. A short list."""
+    ship(spark)
+    shards = read_shards(spark, path)
+    asked = spark.createDataFrame([(p,) for p in sorted(set(positions))], "position long")
+    hits = shards.select("shard", "n_tokens").join(offsets(shards), "shard").join(F.broadcast(asked), F.expr("first <= position AND position < first + n_tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [Shard(blob).access(i) for i, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], names=["position", "token"])
+
+    found = hits.select("shard", "position", (F.col("position") - F.col("first")).alias("own")).join(shards.select("shard", "payload"), "shard")
+    return found.select("position", "own", "payload").mapInArrow(lean(run), "position long, token long")
