@@ -2,8 +2,9 @@
 
 An Aho-Corasick automaton passes once over a text and reports anchors: at-signs, ``://`` and ``mailto:`` schemes, a plus before a
 digit, digits two places apart at most, and words that announce an identifier. Each anchor is expanded by a deterministic parser to
-the span around it, and the span is validated. A parser works within the longest run of its own characters around the anchor, so it
-finds just the leftmost non-overlapping matches that a scan of the whole text would.
+the span around it, and the span is validated. Parsers give just the leftmost non-overlapping matches that a scan of the whole text
+would, and pass over a stretch of text a fixed number of times, however long it is: an email is read left and right of its at-sign,
+whose two runs hold no other; numbers are read group by group, and a group starts a match at its first digit only.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from ._store import lean, ship
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
 BASE = 4
 _DIGITS = "0123456789"
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
-_IP_RUN, _IP, _IP_CHARS = re.compile(r"[0-9.]*"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), frozenset(_DIGITS + ".")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_IP_RUN, _IP_CHARS = re.compile(r"[0-9.]*"), frozenset(_DIGITS + ".")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD_RUN, _CARD, _CARD_CHARS = re.compile(r"[0-9 -]*"), re.compile(r"[0-9]([\x20-]?[0-9])+"), frozenset(_DIGITS + " -")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+_NOT_FIRST = frozenset("0123456789+.-")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s<>\"']+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
 #: Characters after a cue in which an IBAN begins though the line has ended, and characters of an IBAN at most, spaces included.
@@ -38,7 +41,8 @@ CUES = {
     "iban": "iban", "account": "account", "acct": "account", "a/c": "account", "routing": "account", "ssn": "account", "passport": "account",
     "token": "secret", "api_key": "secret", "apikey": "secret", "api key": "secret", "secret": "secret", "password": "secret", "passwd": "secret",
 }
-_ACCOUNT = re.compile(r"[\x20\t]{0,2}(?:no\.?|number|nr\.?|id)?[\x20\t]{0,2}[:#=]?[\x20\t]{0,2}((?=[A-Z0-9-]*[0-9]{4})[A-Z0-9](?:[A-Z0-9-]{4,})[A-Z0-9])", re.I | re.A)
+_ACCOUNT = re.compile(r"[\x20\t]{0,2}(?:no\.?|number|nr\.?|id)?[\x20\t]{0,2}[:#=]?[\x20\t]{0,2}(?=[A-Z0-9])", re.I | re.A)
+_ACCOUNT_RUN, _FOUR = re.compile(r"[A-Z0-9-]*", re.I | re.A), re.compile(r"[0-9]{4}")
 _SECRET = re.compile(r"[\x20\t]{0,2}[:=][\x20\t]{0,2}[\"']?([A-Za-z0-9_+/=.-]{16,})", re.A)
 
 _automaton = None
@@ -79,24 +83,42 @@ def iban(text: str) -> bool:
     return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
-def _left(text: str, at: int, chars: frozenset) -> int:
-    while at and text[at - 1] in chars:
+def _left(text: str, at: int, chars: frozenset, least: int = 0) -> int:
+    while at > least and text[at - 1] in chars:
         at -= 1
     return at
 
 
+class _Accounts:
+    """The account number after a cue: letters, digits and hyphens, six at least, four digits in a row among them, to the end of their run.
+    What is known of a run is kept, since each of many cues within one run begins in it."""
+
+    def __init__(self, text: str):
+        self.text, self.end, self.last, self.four = text, -1, -1, -1
+
+    def at(self, start: int) -> tuple[int, int] | None:
+        if start >= self.end:
+            run = _ACCOUNT_RUN.match(self.text, start)
+            self.end, self.last = run.end(), start + len(run[0].rstrip("-"))
+            self.four = max((m.end() for m in _FOUR.finditer(self.text, start, self.end)), default=-1)
+            while 0 < self.four < self.end and self.text[self.four] in _DIGITS:
+                self.four += 1
+        return (start, self.last) if self.last - start >= 6 and self.four - start >= 4 else None
+
+
 def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """(start, end) spans of each kind, in code points, ascending and without overlap within a kind."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    done = dict.fromkeys(KINDS, 0)
+    done, accounts = dict.fromkeys(KINDS, 0), _Accounts(text)
     for last, (kind, n) in automaton().iter(text):
         at = last - n + 1
         if at < done[kind] and kind != "iban":
             continue
         if kind == "email":
-            lo, hi = _left(text, at, _EMAIL_CHARS), _EMAIL_RUN.match(text, at).end()
-            found[kind] += [m.span() for m in _EMAIL.finditer(text, lo, hi)]
-            done[kind] = hi
+            lo = _left(text, at, _LOCAL_CHARS, done[kind])
+            if lo < at and (m := _DOMAIN.match(text, at)):
+                found[kind].append((lo, m.end()))
+                done[kind] = m.end()
         elif kind == "ip":
             lo, hi = _left(text, at, _IP_CHARS), _IP_RUN.match(text, at).end()
             found[kind] += [m.span() for m in _IP.finditer(text, lo, hi) if all(_byte(p) for p in m[0].split("."))]
@@ -115,8 +137,10 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 done[kind] = m.end()
         elif kind == "url":
             lo = at
-            while lo > done[kind] and text[lo - 1] in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-":
+            while lo > done[kind] and text[lo - 1] in _SCHEME_CHARS:
                 lo -= 1
+            while lo < at and text[lo] in _NOT_FIRST:
+                lo += 1
             if m := _URL.match(text, lo):
                 end = lo + len(m[0].rstrip(".,;:!?)]}"))
                 if end > at + 3:
@@ -135,7 +159,11 @@ def spans(text: str) -> dict[str, list[tuple[int, int]]]:
         else:
             if at and (text[at - 1].isalnum()):
                 continue
-            if m := (_ACCOUNT if kind == "account" else _SECRET).match(text, last + 1):
+            if kind == "account":
+                if (m := _ACCOUNT.match(text, last + 1)) and (span := accounts.at(m.end())):
+                    found[kind].append(span)
+                    done[kind] = span[1]
+            elif m := _SECRET.match(text, last + 1):
                 found[kind].append(m.span(1))
                 done[kind] = m.end()
     return found
@@ -150,7 +178,7 @@ def joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
     return ",".join(f"{k}:{a}:{b}" for k in kinds for a, b in found[k])
 
 
-_FIELDS = (*(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans")
+_FIELDS = (*(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans", "n_spans")
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,16 +188,16 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for text in part.column(1).to_pylist():
                 f = spans(text or "")
-                rows.append((*(len(f[k]) for k in KINDS[:BASE]), hashlib.sha256(joined(f, KINDS[:BASE]).encode()).hexdigest(), joined(f, KINDS)))
+                rows.append((*(len(f[k]) for k in KINDS[:BASE]), hashlib.sha256(joined(f, KINDS[:BASE]).encode()).hexdigest(), joined(f, KINDS), sum(map(len, f.values()))))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in cols[:BASE]), *(pa.array(c, pa.string()) for c in cols[BASE:])], names=["doc_id", *_FIELDS])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.string() if k in (BASE, BASE + 1) else pa.int64()) for k, c in enumerate(cols))], names=["doc_id", *_FIELDS])
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row, over whole texts and without a shuffle.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row, over whole texts and without a shuffle.
 
     Null texts read as empty: no spans, the hash of the empty string. Null ids and repeated rows come back as they are, an empty
-    table gives no rows, extra columns are not read. The counts and the hash are of the four base kinds, ``spans`` of all.
+    table gives no rows, extra columns are not read. The counts and the hash are of the four base kinds, ``spans`` and ``n_spans`` of all.
     """
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(f, T.StringType() if f in ("base_sha256", "spans") else T.LongType()) for f in _FIELDS)])
