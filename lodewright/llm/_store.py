@@ -35,7 +35,18 @@ def written(df: DataFrame, name: str, rows_per_file: int | None = None) -> DataF
     if rows_per_file:
         out = out.option("maxRecordsPerFile", rows_per_file)
     out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._lodewright_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for these tables, once everything made of them has been written itself."""
+    for t in tables:
+        if path := getattr(t, "_lodewright_path", None):
+            jvm = t.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 #: Rows of an Arrow batch where the session has Spark's default: texts are long, and batches are held on both sides.

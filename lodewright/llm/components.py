@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,7 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) pairs of comparable ids -> (node, root), root the smallest id reachable; nodes without an edge are absent.
 
-    Every round is written to the shared folder, so lineage stays short and a lost executor costs one round. A hub's edges
+    Every round is written to the shared folder and the one before deleted, so lineage stays short and a lost executor costs one round. A hub's edges
     meet only in a map-side-combined minimum and in a join that adaptive execution can split. Null ends are dropped,
     self-loops and repeated edges ignored; an empty table gives no rows.
     """
@@ -32,11 +32,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
     mark = None
     for _ in range(rounds):
-        now = written(_star(_star(now, True), False), "edges")
+        last, now = now, written(_star(_star(now, True), False), "edges")
+        discard(last)
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == got:
             break
         mark = got
     else:
         raise RuntimeError(f"components: no fixed point after {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+    out._lodewright_path = now._lodewright_path
+    return out

@@ -1,11 +1,15 @@
 """SimHash near-duplicates found through Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into segments of 21, 21 and 22 bits. At three or fewer differing bits, two of the three segments
-differ in at most one bit each (two segments with two errors or more would need four). The binary [23,12,7] Golay code is
-perfect: every 23-bit word lies within three bits of exactly one codeword. ``near(x)`` is the set of codewords that x or a
-one-bit neighbour of x decodes to, six at most; if x and y differ in one bit at most, decode(x) is in near(y) and the reverse.
-So for each pair of segments (i, j), x files under {decode(x_i)} x near(x_j) and looks up under near(x_i) x {decode(x_j)}:
-any linked pair meets in a bucket of a 24-bit key, and the whole fingerprint verifies it. Nothing is missed.
+A 64-bit fingerprint is cut into segments of 21, 21 and 22 bits. The binary [23,12,7] Golay code is perfect: every 23-bit word lies
+within three bits of exactly one codeword. ``near(x)`` is the set of codewords that x or a one-bit neighbour of x decodes to, six at
+most; if x and y differ in one bit at most, decode(x) is in near(y) and the reverse.
+
+At three or fewer differing bits the segments' errors are one of two kinds. Either some segment has none and another at most one
+(0-0-3, 0-1-2 and less): then for that ordered pair (i, j), x files under (x_i, decode(x_j)) and looks up under {x_i} x near(x_j), keys of
+33 bits or 34. Or each segment has exactly one (1-1-1): x files under (decode(x_1), decode(x_3)) with near(x_2) between, and looks up
+under near(x_1), decode(x_2), near(x_3), keys of 36 bits. Any linked pair meets, and the whole fingerprint verifies it: nothing is missed.
+A fingerprint has 12 keys to file under and 60 to look up, on average; with keys so long, 10^9 different fingerprints at random put under one
+row in a bucket, some 10 candidates for each.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import lean, ship, written
+from ._store import discard, lean, ship, written
 from ._words import pieces
 from .components import components
 
@@ -66,20 +70,34 @@ def near(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, first
 
 
+def _pairs(first: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in the second) of every pair of marked places of two matrices with the same rows."""
+    r, c = np.nonzero(first)
+    n = other.sum(axis=1)[r]
+    at = np.repeat(np.arange(len(r)), n)
+    return at, np.nonzero(other[r])[1]
+
+
 def bucket_keys(prints: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the buckets a fingerprint files under (side 0) or looks up (side 1)."""
     u = prints.view(np.uint64)
     seg = [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     exact = [decode(s) for s in seg]
     fuzzy = [near(s, n) for s, (_, n) in zip(seg, SEGMENTS)]
-    rows, keys = [], []
-    for p, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        e, (k, first) = (exact[i], fuzzy[j]) if side == 0 else (exact[j], fuzzy[i])
-        r, c = np.nonzero(first)
-        a, b = (e[r], k[r, c]) if side == 0 else (k[r, c], e[r])
+    every, rows, keys = np.arange(len(u)), [], []
+    for p, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
+        r, code = (every, exact[j]) if side == 0 else ((at := np.nonzero(fuzzy[j][1]))[0], fuzzy[j][0][at])
         rows.append(r)
-        keys.append((p << 24) | (a << 12) | b)
-    return np.concatenate(rows), np.concatenate(keys)
+        keys.append((p << 36) | (seg[i][r] << 12) | code)
+    if side == 0:
+        r, c = np.nonzero(fuzzy[1][1])
+        code = (exact[0][r] << 24) | (fuzzy[1][0][r, c] << 12) | exact[2][r]
+    else:
+        a, b = np.nonzero(fuzzy[0][1])
+        at, c = _pairs(fuzzy[0][1], fuzzy[2][1])
+        r = a[at]
+        code = (fuzzy[0][0][r, b[at]] << 24) | (exact[1][r] << 12) | fuzzy[2][0][r, c]
+    return np.concatenate([*rows, r]), np.concatenate([*keys, (6 << 36) | code])
 
 
 def fingerprints_of(column: pa.Array) -> np.ndarray:
@@ -166,6 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(
         member.join(names, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links")), "classes"
     )
+    discard(found, nodes, roots)
     out = _with_class(prints, classes)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("links").cast("long").alias("links"))
 
