@@ -1,9 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule, in DataFrame expressions only.
 
-Slot n of the mix takes the point frac(n * phi), phi the golden ratio's fraction; the interval of cumulative weights it falls in
-names the slot's source. The r-th slot of a source takes block r modulo the number of that source's blocks, so any prefix of
-the schedule is close to the weights, every block is used once before any is used again, and reruns agree.
-A source's documents stand in the order of a hash of their ids; the stream of their words is cut into blocks of equal length.
+A source's documents stand in the order of a hash of their ids and texts; the stream of their words, read again and again, is cut into
+blocks of BLOCK words, as many as its target takes, the last one shortened to end there. Slot n of the mix takes the point
+frac(n * phi), phi the golden ratio's fraction; the interval of cumulative weights it falls in, a source's weight being its number of
+blocks, names the slot's source, and the r-th slot of a source takes its block r. Any prefix of the schedule is thus close to the weights.
+A source that has had its last block leaves its later slots empty; blocks that the schedule has not reached, a few of each source,
+follow at its end. Every source's target is met to the word, whatever its size beside the others, and reruns agree.
 """
 
 from __future__ import annotations
@@ -14,14 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import discard, written
 
 PHI = (math.sqrt(5) - 1) / 2
 #: A source's total may be taken so many times at most.
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
+#: Words of a block, at any size of the input.
+BLOCK = 1024
 #: Rows that one group of a prefix sum holds on average.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,72 +58,113 @@ def targets(sizes: dict, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 def _prefix(rows: DataFrame, key: str, value: str, group: Column, order: list) -> DataFrame:
     """``before`` long: sum of ``value`` over the earlier rows of the same ``key``. ``group`` cuts the order in consecutive groups;
     a key of a third of all rows is thereby spread over many tasks, and only one sum per group meets in one."""
-    rows = rows.withColumn("_g", group)
-    sums = rows.groupBy(key, "_g").agg(F.sum(value).alias("_s"))
-    ahead = sums.withColumn("_a", F.sum("_s").over(W.partitionBy(key).orderBy("_g").rowsBetween(W.unboundedPreceding, -1))).drop("_s")
-    w = W.partitionBy(key, "_g").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    inside = rows.withColumn("_b", F.sum(value).over(w))
-    ahead = ahead.withColumnsRenamed({key: "_k", "_g": "_h"})
-    out = inside.join(ahead, (inside[key] == ahead["_k"]) & (inside["_g"] == ahead["_h"]))
-    return out.withColumn("before", F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0))).drop("_g", "_a", "_b", "_k", "_h")
-
-
-def schedule(spark: SparkSession, weights: list[float], slots: int) -> DataFrame:
-    """(slot, s, rank): the source index of every slot and its rank among that source's slots."""
-    total, at, edges = sum(weights), 0.0, []
-    for w in weights:
-        at += w
+    rows = rows.withColumn("group", group)
+    sums = rows.groupBy(key, "group").agg(F.sum(value).alias("sum"))
+    ahead = sums.withColumn("ahead", F.sum("sum").over(W.partitionBy(key).orderBy("group").rowsBetween(W.unboundedPreceding, -1))).drop("sum")
+    inside = F.sum(value).over(W.partitionBy(key, "group").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    out = rows.withColumn("inside", inside).join(ahead, [key, "group"])
+    return out.withColumn("before", F.coalesce("ahead", F.lit(0)) + F.coalesce("inside", F.lit(0))).drop("group", "ahead", "inside")
+
+
+def schedule(spark: SparkSession, blocks: list[int]) -> DataFrame:
+    """(slot, s, rank): the source of every used slot and its rank among that source's slots; source s has ``blocks[s]`` of them."""
+    total, at, edges = sum(blocks), 0, []
+    for n in blocks[:-1]:
+        at += n
         edges.append(at / total)
     point = F.expr(f"slot * {PHI!r}D - floor(slot * {PHI!r}D)")
-    s = F.lit(len(weights) - 1)
-    for i in range(len(weights) - 2, -1, -1):
-        s = F.when(F.col("p") < F.lit(edges[i]), i).otherwise(s)
-    named = spark.range(slots).select(F.col("id").alias("slot")).withColumn("p", point).select("slot", s.alias("s"), F.lit(1).alias("one"))
-    return _prefix(named, "s", "one", F.floor(F.col("slot") / GROUP_ROWS), ["slot"]).select("slot", "s", F.col("before").alias("rank"))
+    # how many edges the point has passed; the sources are few
+    s = F.size(F.filter(F.lit(edges) if edges else F.array().cast("array<double>"), lambda e: e <= F.col("p")))
+    named = spark.range(total).select(F.col("id").alias("slot")).withColumn("p", point).select("slot", s.alias("s"), F.lit(1).alias("one"))
+    ranked = _prefix(named, "s", "one", F.floor(F.col("slot") / (2 * GROUP_ROWS)), ["slot"]).select("slot", "s", F.col("before").alias("rank"))
+    own = spark.createDataFrame(list(enumerate(blocks)), "s int, blocks long")
+    ranked = written(ranked.join(F.broadcast(own), "s").where("rank < blocks").select("slot", "s", "rank"), "slots")
+    # what the schedule has not reached, some of each source in turn; slots end to end after the others
+    had = own.join(ranked.groupBy("s").agg(F.count("*").alias("had")), "s", "left").select("s", "blocks", F.coalesce("had", F.lit(0)).alias("had"))
+    late = had.where("had < blocks").select("s", F.explode(F.sequence("had", F.col("blocks") - 1)).alias("rank"))
+    late = late.select((F.row_number().over(W.orderBy("rank", "s")) + (total - 1)).cast("long").alias("slot"), "s", "rank")
+    return ranked.union(late)
+
+
+def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], seed: int) -> tuple[DataFrame, list]:
+    """The rows with their sources' numbers, written, and (s, source, size, documents, target, words, blocks) of each source."""
+    base = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), order_of(F.col(id_col), F.col(text_col), seed).alias("h")
+    )
+    base = written(base, "sizes")
+    per = {r.source: (r.size, r.n) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    order = sorted(per, key=lambda s: (s is None, s or ""))
+    want = targets({s: per[s][0] for s in order}, weights)
+    return base, [(i, s, *per[s], float(want[s]), round(want[s]), -(-round(want[s]) // BLOCK)) for i, s in enumerate(order)]
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row.
+def order_of(doc_id: Column, text: Column, seed: int = 42) -> Column:
+    """The place of a document in its source's stream: documents go by this, then by id."""
+    return F.xxhash64(F.lit(seed), doc_id, text)
 
-    ``taken`` words of a document are in the mix, repeats counted: at most REPEATS times its size. Null and empty texts have size
-    0 and take 0. Null sources are a source of their own, null ids are ordered first; repeated rows stand one after another, each
-    with its own share. Sources without words have target 0. An empty table gives no rows. Extra columns are not read.
-    A source's documents add up to its target, rounded to a word, at any total: its slots take its stream of words from the start, again
-    and again, and the last one ends where the target is met. The number of sources is taken to be small (their sizes are gathered on the driver); documents never are.
-    """
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], seed: int) -> tuple[DataFrame, DataFrame | None, list]:
+    """The rows with what their sources have, their pieces (None if there is no word), and the sources."""
     spark = docs.sparkSession
-    # a null source is keyed apart from any text; the order within a source is a hash of the id, then the id
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    base = written(base.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
-    per = {r.source: (r.size, r.n) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
-    order = sorted(per, key=lambda s: (s is None, s or ""))
-    sizes = {s: per[s][0] for s in order}
-    want = targets(sizes, weights)
-    total = sum(sizes.values())
-    names = spark.createDataFrame(
-        [(i, s, sizes[s], float(want[s]), *divmod(round(want[s]), max(sizes[s], 1))) for i, s in enumerate(order)],
-        f"s int, source {base.schema['source'].dataType.simpleString()}, source_size long, target double, passes long, rest long",
-    )
+    base, sources = _streams(docs, id_col, text_col, source_col, weights, seed)
+    names = spark.createDataFrame(sources, f"s int, source {base.schema['source'].dataType.simpleString()}, source_size long, n long, target double, words long, blocks long")
     rows = base.join(F.broadcast(names), base["source"].eqNullSafe(names["source"])).drop(names["source"])
-    live = rows.where("size > 0")
-    if not total:
-        return rows.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    count = sum(n for _, n in per.values())
-    groups = max(1, math.ceil(count / GROUP_ROWS))
-    # pmod cuts a source's order by residue, then by hash: a fixed shuffled order, consecutive within each group
-    place = _prefix(live, "s", "size", F.pmod("h", F.lit(groups)), [F.col("h"), F.col("doc_id").asc_nulls_first()])
-    columns = ["doc_id", "source", "size", "source_size", "target"]
-    # the source's stream of words as often as it goes whole, and its first words for the rest
-    full = place.select(*columns, F.expr("size * passes + greatest(least(before + size, rest) - before, 0)").alias("taken"))
-    empty = rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
-    return full.select(*columns, "taken").union(empty)
-
-
-def remixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    if not sum(b for *_, b in sources):
+        return rows, None, sources
+    # the hash's range is cut evenly, by each source's own number of documents
+    group = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("n") / GROUP_ROWS))
+    place = _prefix(rows.where("size > 0"), "s", "size", group, [F.col("h"), F.col("doc_id").asc_nulls_first(), "size"])
+    passes = place.select("*", F.explode(F.expr("sequence(0L, greatest((words - 1) div source_size, 0L))")).alias("pass"))
+    spans = passes.withColumn("lo", F.expr("pass * source_size + before")).withColumn("hi", F.expr("least(lo + size, words)")).where("lo < hi")
+    parts = spans.select("*", F.explode(F.expr(f"sequence(lo div {BLOCK}, (hi - 1) div {BLOCK})")).alias("rank"))
+    parts = parts.withColumn("a", F.expr(f"greatest(lo, rank * {BLOCK})")).withColumn("b", F.expr(f"least(hi, (rank + 1) * {BLOCK})"))
+    slots = schedule(spark, [b for *_, b in sources])
+    met = parts.join(slots, ["s", "rank"])
+    return rows, met.select("slot", "row", "doc_id", "source", "rank", F.expr("a - lo").alias("first"), F.expr("b - a").alias("words")), sources
+
+
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
+    """The mix itself: (slot, source, rank, doc_id, first, words), each a stretch of ``words`` words of a document from word ``first`` on.
+    Ordered by slot, then rank, ``first`` and id, it is the interleaved training stream; a writer sorts by slot range. Nulls, repeats and
+    empty tables are as in ``mixed``."""
+    _, met, _ = _mix(docs, id_col, text_col, source_col, weights, seed)
+    if met is None:
+        kinds = {c: docs.schema[x].dataType.simpleString() for c, x in (("source", source_col), ("doc_id", id_col))}
+        return docs.sparkSession.createDataFrame([], f"slot long, source {kinds['source']}, rank long, doc_id {kinds['doc_id']}, first long, words long")
+    return met.select("slot", "source", "rank", "doc_id", "first", "words")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, h) for every row, ``taken`` the words of its pieces in the mix.
+
+    ``taken`` is at most REPEATS times the size. Null and empty texts have size 0 and take 0. Null sources are a source of their own;
+    rows of one id go by a hash of their texts, and repeated rows stand one after another, each with its own share. Sources without words
+    have target 0. An empty table gives no rows. Extra columns are not read. A source's documents add up to its target, rounded to a word,
+    at any total. The number of sources is taken to be small (their sizes are gathered on the driver); documents never are.
+    """
+    rows, met, _ = _mix(docs, id_col, text_col, source_col, weights, seed)
+    out = rows.select("row", "doc_id", "source", "size", "source_size", "target", "h")
+    if met is None:
+        return out.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "h")
+    taken = met.groupBy("row").agg(F.sum("words").alias("taken"))
+    return out.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "h")
+
+
+def remixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
     """The mix as documents, columns as they were: each row comes taken / size times, rounded to whole documents (half up), so a
-    text is never cut. Rows without words, or of which under half is taken, do not come. Rows that share an id, null included,
-    share their mean."""
-    share = mixed(docs, id_col, text_col, source_col).where("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_z"))
-    share = written(share.select(F.col("doc_id").alias("_id"), F.expr("(2 * _t + _z) div (2 * _z)").alias("_n")).where("_n > 0"), "copies")
-    some = docs.where(size_of(F.col(text_col)) > 0).join(share, docs[id_col].eqNullSafe(share["_id"]))
-    return some.withColumn("_c", F.explode(F.expr("sequence(1, _n)"))).select(*[docs[c] for c in docs.columns])
+    text is never cut. Rows without words, or of which under half is taken, do not come.
+
+    A source's rows come equally often up to one place in its order and once less from there on. That place is all that is gathered, one
+    row a source, and the texts are read where they lie, without a shuffle. Rows that share id, text and source share that place,
+    so they come equally often. Null ids and sources are as in ``mixed``; an empty table gives no rows.
+    """
+    share = written(mixed(docs, id_col, text_col, source_col, seed=seed).where("size > 0"), "shares")
+    copies = share.withColumn("copies", F.expr("(2 * taken + size) div (2 * size)")).withColumn("low", F.expr("CAST(round(target) AS BIGINT) div source_size"))
+    cut = copies.groupBy("source").agg(F.first("low").alias("low"), F.max(F.when(F.expr("copies > low"), F.col("h"))).alias("cut"))
+    cut = written(cut.select(F.struct(F.col("source").alias("of"), "low", "cut").alias("cut")), "cuts")
+    discard(share)
+    own = docs.select(F.struct("*").alias("d"))
+    met = own.join(F.broadcast(cut), F.col("d")[source_col].eqNullSafe(F.col("cut.of")))
+    n = F.col("cut.low") + F.when(order_of(F.col("d")[id_col], F.col("d")[text_col], seed) <= F.col("cut.cut"), 1).otherwise(0)
+    some = met.where(size_of(F.col("d")[text_col]) > 0).select("d", n.alias("n")).where("n > 0")
+    return some.select("d", F.explode(F.expr("sequence(1L, n)"))).select("d.*")
