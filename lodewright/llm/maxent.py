@@ -202,7 +202,10 @@ def group_sums(g: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def _moves(f: np.ndarray, n: np.ndarray, move: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in move], pa.binary())], names=["f", "n", "move"])
+    from pyspark import TaskContext
+
+    task = pa.array(np.full(len(f), TaskContext.get().partitionId(), np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), task, pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in move], pa.binary())], names=["f", "task", "n", "move"])
 
 
 def _steps(shared, rate: float):
@@ -262,11 +265,11 @@ def _steps(shared, rate: float):
 
 
 def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token-weighted mean move of each weight."""
+    """Token-weighted mean move of each weight; tasks are added up in order, so that reruns agree to the last bit."""
     total: dict[int, np.ndarray] = {}
     weight: dict[int, np.ndarray] = {}
     for b in batches:
-        for f, n, v in zip(*(c.to_pylist() for c in b.columns)):
+        for f, _, n, v in zip(*(c.to_pylist() for c in b.columns)):
             n = np.frombuffer(n, "<f4")
             v = n * np.frombuffer(v, "<f2")
             if f in total:
@@ -314,6 +317,25 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(lean(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """About the ``most`` most frequent words of (word, c), never over: a histogram of counts (32 steps a doubling, some 2,000 rows at most)
+    gives the step from which all are taken; of the step below, words whose hash is low fill what is left. No word table is sorted."""
+    step = F.floor(F.log2("c") * 32)
+    rows = counts.groupBy(step.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("k")).collect()
+    taken, lowest, share = 0, None, 1 << 20
+    for r in rows:
+        lowest = r.k
+        if taken + r.n > most:
+            # the hashes' share of a step strays by the root of its size: four times that stays free
+            left = most - taken
+            share = max(0, int((left - 4 * left**0.5) / r.n * (1 << 20)))
+            break
+        taken += r.n
+    if lowest is None:
+        return counts.limit(0)
+    return counts.where((step > lowest) | ((step == lowest) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)))
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.3, text_col: str = "text", where: Column | None = None) -> tuple[Model, DataFrame]:
     """The model and the table of all counts, from every row of ``docs`` that ``where`` admits."""
     spark = docs.sparkSession
@@ -323,7 +345,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.3, text_col: st
     counts = written(count_words(own), "counts")
     group = F.lit(SINGLE + 1) + F.pmod(F.xxhash64(F.expr("right_two")), F.lit(GROUPS)).cast("int")
     stats = counts.withColumn("right_two", F.expr("substring(word, -2, 2)")).groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    top = frequent(counts, HEAD).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     words, c = top["word"].to_pylist(), top["c"].to_numpy().astype(np.int64)
     tokens_in, distinct_in = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in stats:
@@ -353,7 +375,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.3, text_col: st
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
-        moves = part.mapInArrow(lean(_steps(shared, rate)), "f int, n binary, move binary").repartition("f").mapInArrow(lean(_averages), "f int, move binary").toArrow()
+        moves = part.mapInArrow(lean(_steps(shared, rate)), "f int, task int, n binary, move binary").repartition("f").sortWithinPartitions("f", "task").mapInArrow(lean(_averages), "f int, move binary").toArrow()
         model.weights, model.inner = model.weights.copy(), model.inner.copy()
         for f, v in zip(moves["f"].to_pylist(), moves["move"].to_pylist()):
             if f < len(model.weights):
@@ -420,7 +442,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     spark = docs.sparkSession
     ship(spark)
     schema = T.StructType([T.StructField(f.name, docs.schema[id_col].dataType) if f.name == "doc_id" else f for f in _SCORED])
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)  # HEAD words and the bounded weights
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     done = written(rows.mapInArrow(lean(_scores(shared)), schema), "scored")
     tail = done.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
