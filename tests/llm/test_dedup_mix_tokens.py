@@ -139,7 +139,7 @@ def agreeing(doc, item):
     for at in range(-len(item) + 1, len(doc)):
         same = [0 <= at + j < len(doc) and doc[at + j] == w for j, w in enumerate(item)]
         run = max((len(x) for x in "".join("1" if s else "0" for s in same).split("0")), default=0)
-        if sum(same) >= max(6, 0.8 * len(item)) or run >= spaced_seeds.LEAST_RUN:
+        if sum(same) >= 6 and 5 * sum(same) >= 4 * len(item) or run >= spaced_seeds.LEAST_RUN:
             best = max(best, sum(same))
     return best
 
@@ -172,11 +172,66 @@ def test_spaced_seeds_tolerate_substitutions(spark, odd):
     assert spaced_seeds.decontaminated(odd, bench.limit(0)).count() == odd.count()
 
 
-def test_benchmark_goes_in_blocks(spark, monkeypatch):
-    items = [(k, " ".join(f"w{k}x{i}" for i in range(20))) for k in range(7)]
-    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(items, "doc_id long, text string")
-    monkeypatch.setattr(spaced_seeds, "BLOCK_TOKENS", 45)
-    assert {(r.doc_id, r.item_id) for r in spaced_seeds.overlaps(docs, bench).collect()} == {(k, k) for k in range(7)}
+def patterns(n, k, rng):
+    """Every choice of ``k`` of ``n`` positions if there are few, else some at random and the even ones."""
+    import itertools
+
+    if math.comb(n, k) <= 2000:
+        return list(itertools.combinations(range(n), k))
+    return [tuple(rng.choice(n, k, replace=False)) for _ in range(500)] + [tuple(range(o, n, 5))[:k] for o in range(5)]
+
+
+def test_every_accepted_pattern_is_hit_by_a_place():
+    rng = np.random.default_rng(6)
+    for n in range(1, 121):
+        at = [{o + x for x in spaced_seeds.MASKS[m]} for m, o in spaced_seeds.places(n)]
+        assert at and all(max(p) < n for p in at)
+        k = n // 5 if n >= spaced_seeds.LEAST_TOKENS else 0
+        for gone in patterns(n, k, rng):
+            assert any(not p & set(gone) for p in at), (n, gone)
+        if n > 16:
+            assert all(any(p <= set(range(a, a + spaced_seeds.LEAST_RUN)) for p in at) for a in range(n - spaced_seeds.LEAST_RUN + 1))
+
+
+def test_index_has_the_places(spark):
+    items = spark.createDataFrame([(n, list(range(n))) for n in range(1, 60)], "i long, g array<long>")
+    got = defaultdict(set)
+    for r in spaced_seeds.index(items).collect():
+        assert r.key is not None
+        got[r.i].add((r.mask, r.item_at))
+    assert got == {n: set(spaced_seeds.places(n)) for n in range(1, 60)}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_all_substitutions_are_found_at_any_length(spark, monkeypatch, broadcast):
+    """Items of 1 to 40 tokens with as many substitutions as the rule allows, and with one more."""
+    if not broadcast:
+        monkeypatch.setattr(spaced_seeds, "BROADCAST_KEYS", 0)
+    rng = np.random.default_rng(7)
+    items, docs, want = [], [], set()
+    for n in range(1, 41):
+        item = [f"n{n}t{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        k = n - max(min(n, 6), -(-4 * n // 5))
+        for extra in (0, 1):
+            for _ in range(6):
+                gone = set(rng.choice(n, min(n, k + extra), replace=False).tolist())
+                words = ["x"] * int(rng.integers(0, 3)) + [w if i not in gone else "other" for i, w in enumerate(item)] + ["y"] * int(rng.integers(0, 3))
+                docs.append((len(docs), " ".join(words)))
+                if agreeing(words, item) or n < 6 and not gone:
+                    want.add((len(docs) - 1, n))
+                assert extra or (len(docs) - 1, n) in want
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in spaced_seeds.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want
+
+
+def test_repeated_ids_with_other_texts_are_all_sought(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    bench = spark.createDataFrame([(1, one), (1, two), (1, one)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "nothing here"), (5, two), (6, one), (6, one), (7, one + " " + two)], "doc_id long, text string")
+    for rows in (spaced_seeds.overlaps(docs, bench), spaced_seeds.overlaps(docs.repartition(5), bench.repartition(3))):
+        assert sorted((r.doc_id, r.item_id, r.matched, r.item_tokens, r.at) for r in rows.collect()) == [(5, 1, 20, 20, 0), (6, 1, 20, 20, 0), (7, 1, 20, 20, 0)]
 
 
 def test_mix_meets_targets(spark, sf):
@@ -207,14 +262,58 @@ def test_targets_stop_and_reshare():
 
 
 def test_schedule_is_even(spark):
-    rows = mixing.schedule(spark, [1.0, 2.0, 5.0], 4000).orderBy("slot").collect()
+    rows = mixing.schedule(spark, [500, 1000, 2500]).orderBy("slot").collect()
     seen = defaultdict(int)
     for r in rows:
         assert r.rank == seen[r.s]
         seen[r.s] += 1
-        for s, w in enumerate((1, 2, 5)):
-            assert abs(seen[s] - (r.slot + 1) * w / 8) < 4
-    assert len(rows) == 4000
+        if r.slot < 3900:
+            for s, w in enumerate((1, 2, 5)):
+                assert abs(seen[s] - (r.slot + 1) * w / 8) < 4
+    assert seen == {0: 500, 1: 1000, 2: 2500}
+    rows = mixing.schedule(spark, [1, 3, 9000, 0]).collect()
+    assert sorted((r.s, r.rank) for r in rows) == [(0, 0), *((1, k) for k in range(3)), *((2, k) for k in range(9000))]
+    assert len({r.slot for r in rows}) == len(rows)
+
+
+def signed_order(spark, docs, seed=42):
+    return {(r.doc_id, r.text, r.source): r.h for r in docs.select("doc_id", "text", "source", mixing.order_of(F.col("doc_id"), F.col("text"), seed).alias("h")).collect()}
+
+
+@pytest.mark.parametrize("block", [1, 64, 1024])
+def test_mix_by_brute_force_schedule(spark, sf, monkeypatch, block):
+    """Streams, blocks, slots and pieces recomputed one by one."""
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    docs = documents(spark, sf).where("n_chars < 1500")
+    rows, h = docs.collect(), signed_order(spark, docs)
+    size = {r: len(WORD.findall(r.text or "")) for r in rows}
+    per = defaultdict(int)
+    for r in rows:
+        per[r.source] += size[r]
+    names = sorted(per, key=lambda s: (s is None, s or ""))
+    want = {s: round(t) for s, t in mixing.targets(per).items()}
+    blocks = [-(-want[s] // block) for s in names]
+    edges, slots, seen = np.cumsum(blocks)[:-1] / sum(blocks), [], defaultdict(int)
+    for n in range(sum(blocks)):
+        s = int((edges <= n * mixing.PHI - math.floor(n * mixing.PHI)).sum())
+        if seen[s] < blocks[s]:
+            slots.append((n, s, seen[s]))
+        seen[s] += 1
+    late = sorted((k, s) for s, n in enumerate(blocks) for k in range(seen[s], n))
+    slots += [(sum(blocks) + i, s, k) for i, (k, s) in enumerate(late)]
+    taken, stream = defaultdict(int), {}
+    for s in names:
+        stream[s] = [(r.doc_id, w) for r in sorted((r for r in rows if r.source == s and size[r]), key=lambda r: (h[r.doc_id, r.text, r.source], r.doc_id)) for w in range(size[r])]
+    mix = []
+    for n, s, k in slots:
+        name = names[s]
+        for x in range(k * block, min((k + 1) * block, want[name])):
+            doc, w = stream[name][x % len(stream[name])]
+            taken[doc] += 1
+            mix.append((n, doc, w))
+    assert {r.doc_id: r.taken for r in mixing.mixed(docs).collect()} == {r.doc_id: taken[r.doc_id] for r in rows}
+    got = [(r.slot, r.doc_id, r.first + i) for r in mixing.pieces(docs).collect() for i in range(r.words)]
+    assert sorted(got) == sorted(mix)
 
 
 def test_mix_odd_rows(spark, odd):
@@ -222,9 +321,18 @@ def test_mix_odd_rows(spark, odd):
     assert len(rows) == odd.count()
     assert {r.doc_id: (r.size, r.taken) for r in rows if r.doc_id in (1, 2)} == {1: (0, 0), 2: (0, 0)}
     assert all(r.taken <= 3 * r.size for r in rows)
-    assert mixing.mixed(odd.limit(0)).count() == 0
+    assert mixing.mixed(odd.limit(0)).count() == 0 and mixing.pieces(odd.limit(0)).count() == 0 and mixing.remixed(odd.limit(0)).count() == 0
     assert mixing.mixed(odd.where("doc_id < 3")).count() == 2
-    assert mixing.remixed(odd).columns == odd.columns
+    clash = odd.withColumns({c: F.lit(1) for c in ("_id", "_n", "_c", "d", "n", "cut", "row", "size", "rank", "group", "before", "slot")})
+    assert mixing.remixed(clash).columns == clash.columns and mixing.remixed(clash).count() == mixing.remixed(odd).count()
+
+
+def test_mix_of_repeated_rows_and_ties(spark):
+    """Rows of one id with other texts, and equal rows: the parts do not depend on how the rows lie."""
+    rows = [(1, "a b c d", "x"), (1, "a b", "x"), (1, "a b", "x"), (2, "a b c d", "x"), (2, "q", "y"), (2, "q", "y"), (None, "r s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    parts = [sorted(map(str, mixing.mixed(d).drop("h").collect())) for d in (docs, docs.repartition(5), docs.orderBy(F.desc("text")).coalesce(1))]
+    assert parts[0] == parts[1] == parts[2]
 
 
 def test_tokens_by_brute_force(spark, sf):
@@ -245,7 +353,7 @@ def test_tokens_odd_rows(spark, odd):
 
     tok = Tokenizer.from_file(tokenizer_path())
     rows = sorted(wavelet.digest(spark, wavelet.write_shards(odd, tokenizer_path())).collect(), key=lambda r: r.start)
-    docs = sorted(odd.collect(), key=lambda d: (d.doc_id is not None, d.doc_id or 0, d.text is not None, d.text or ""))
+    docs = sorted(odd.withColumn("x", F.xxhash64("text")).collect(), key=lambda d: (d.doc_id is not None, d.doc_id or 0, d.x, d.text or ""))
     start = 0
     for r, d in zip(rows, docs, strict=True):
         ids = tok.encode(d.text or "", add_special_tokens=False).ids + [2]
@@ -284,7 +392,7 @@ def test_pipeline_stages(spark, sf):
     leaked = {r.doc_id for r in queries()["op7_spaced_seeds"](spark, sf).collect()}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect()} - leaked
     mixed = c.mix(spark, docs, sf)
-    want = {r.doc_id: (2 * r.taken + r.size) // (2 * r.size) for r in queries()["op5_mix"](spark, sf).collect() if r.size}
+    want = {r.doc_id: (2 * r.taken + r.size) // (2 * r.size) for r in queries()["op5_mix"](spark, sf).collect() if r.size}  # whole documents
     got = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert got == {k: v for k, v in want.items() if v}
     assert all(x.columns == docs.columns for x in (good, apart, clean, mixed))
@@ -296,10 +404,44 @@ def test_words_taken_apart_keep_their_ids():
 
     whole, enc = Tokenizer.from_file(tokenizer_path()), wavelet.Encoder(tokenizer_path())
     enc.MOST = 8
-    assert enc.apart and enc.caseless
-    texts = ["<|endoftext|>. x<|startoftext|>, <a>. b<c,", "It's, IT'S. o'clock's' 'S a'.'s ,'s 's, '", "ẖ H̱. É, é. ä̸. İI. ǅ Σας, ΣΑΣ.", "a b. c , 1,2.3. 5%%%", "\x00a\x01. \x1c. 😀!! ...", ""]
+    assert enc.apart
+    texts = ["<|endoftext|>. x<|startoftext|>, <a>. b<c,", "It's, IT'S. o'clock's' 'S a'.'s ,'s 's, ' 'été l'été", "ẖ H̱. É, é. ä̸. İI. ǅ Σας, ΣΑΣ.", "a b. c , 1,2.3. 5%%%", "\x00a\x01. \x1c. 😀!! ...", "a b c a b c A B. c", ""]
     for text in texts * 2:
-        assert np.frombuffer(enc.words(text.encode().split()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(enc.texts([text.encode()])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    chars = list("abzTSdmlveré'’ß.,;<>=|!-_ \t\n\x0b\x1c\x85 İıªºµĸŉДя1²½٣é̸̈ǅΣσς😀中가가ᄀ' ' '")
+    rng = np.random.default_rng(4)
+    for _ in range(4000):
+        text = "".join(rng.choice(chars, rng.integers(0, 30)))
+        assert np.frombuffer(enc.texts([text.encode()])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_any_other_tokenizer_gets_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    spec["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "a b"}, "content": "c"})
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    whole, enc = Tokenizer.from_file(str(tmp_path / "t.json")), wavelet.Encoder(str(tmp_path / "t.json"))
+    assert not enc.apart
+    for text in ("a b, a b. c", "", "Été a b"):
+        assert np.frombuffer(enc.texts([text.encode()])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_shards_answer_without_decoding(spark, sf):
+    from collections import Counter
+
+    path = wavelet.write_shards(documents(spark, sf), tokenizer_path(), partitions=5)
+    shards = wavelet.read_shards(spark, path).orderBy("shard").collect()
+    ids = np.concatenate([wavelet.Shard(bytes(r.payload)).tokens() for r in shards]).tolist()
+    most = [t for t, _ in Counter(ids).most_common(5)] + [2, 49_000]
+    assert {r.token: r.n for r in wavelet.counts(spark, path, most).collect()} == {t: ids.count(t) for t in set(most)}
+    where = np.flatnonzero(np.array(ids) == most[0]).tolist()
+    asked = [(most[0], k) for k in (0, 7, len(where) // 2, len(where) - 1, len(where))]
+    assert {(r.k, r.position) for r in wavelet.occurrences(spark, path, asked).collect()} == {(k, where[k]) for _, k in asked[:-1]}
+    at = [0, len(ids) // 3, len(ids) - 1, len(ids)]
+    assert {(r.position, r.token) for r in wavelet.tokens_at(spark, path, at).collect()} == {(i, ids[i]) for i in at[:-1]}
 
 
 def test_mix_meets_targets_of_small_sources_beside_a_huge_one(spark):

@@ -156,7 +156,9 @@ def test_maxent_base_scores_and_gain(spark, sf):
         want = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (len(c) + 1))) for w in [*words, None])
         assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.held_out == (i in held)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words) + 1, sum(w in c for w in [*words, None]), total)
-    assert sum(rows[i].score for i in held) > 0.99 * sum(rows[i].base_score for i in held)
+    assert sum(rows[i].score for i in held) > 0.9 * sum(rows[i].base_score for i in held)
+    again = {r.doc_id: r.score for r in queries()["op8_maxent"](spark, sf).collect()}
+    assert again == {i: r.score for i, r in rows.items()}
     assert all(r.score < 0 for r in rows.values())
 
 
@@ -242,3 +244,47 @@ def test_long_values_are_masked_whole():
         assert pii.mask_text(f"IBAN{gap}{own}, thanks") == f"IBAN{gap}[IBAN], thanks"
     assert pii.mask_text(f"IBAN {own}, {own}; IBAN\n{own}.") == "IBAN [IBAN], [IBAN]; IBAN\n[IBAN]."
     assert pii.mask_text("go to HTTPS://Example.org/A and Http://b.c now") == "go to [URL] and [URL] now"
+
+
+def test_time_is_linear_in_long_runs():
+    """A million characters of any one run take about a second, not hours."""
+    import time
+
+    n = 1_000_000
+    for text in ("a" * n + "@", "x@" + "a" * n, "a@" * (n // 2), "a@b." * (n // 4), "1." + "1" * n, "1.2." * (n // 4), "1" * n, "1 " * (n // 2), "+1" * (n // 2), "+1" + " " * n,
+                 "account-" * (n // 8), "account 1234-" * (n // 13), "token=" * (n // 6), "a://" * (n // 4), "http://" + "a" * n, "IBAN" + "A" * n, "IBAN " * (n // 5)):
+        began = time.process_time()
+        pii.spans(text)
+        assert time.process_time() - began < 8, text[:20]
+    for text in ("a@" * 300, "a@b." * 200, "1.2." * 100 + "3", "1" * 17, "1 " * 9, "+1" * 20, "a" * 99 + "@b.c"):
+        assert {k: v for k, v in pii.spans(text).items() if k in pii.KINDS[:4]} == base_spans(text)
+
+
+def test_account_numbers_end_with_their_run():
+    for text, want in (
+        ("account no. AB-1234-", ["AB-1234"]), ("account 12345", []), ("account abcdef", []), ("acct: 123456 account 999999", ["123456", "999999"]),
+        ("account account-123456", ["account-123456"]), ("account 12-34-56-78", []), ("SSN 078-05-1120.", ["078-05-1120"]), ("account: 12345-account-1 a/c 1-1-1-1111-", ["12345-account-1", "1-1-1-1111"]),
+    ):
+        got = pii.spans(text)["account"]
+        assert [text[a:b] for a, b in got] == want, text
+
+
+def test_secrets_and_long_tokens_are_spanned(spark, sf):
+    """Recall of ``spans`` on what stands after key= and on long hexadecimal strings in the documents."""
+    sf = sf.replace("0.001", "0.1")
+    rows = {r.doc_id: r.spans for r in queries()["op6_personal_data"](spark, sf).collect()}
+    hit = total = 0
+    for d in documents(spark, sf).collect():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in rows[d.doc_id].split(",") if x]
+        for m in re.finditer(r"(?:api_key|token|secret|password)\s?[=:]\s?["']?([A-Za-z0-9_+/=.-]{16,})", d.text or ""):
+            total += 1
+            hit += any(a <= m.start(1) and m.end(1) <= b for a, b in spans)
+    assert total > 50 and hit == total
+
+
+def test_frequent_words_by_histogram(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1 + 5000 // (i + 1)) for i in range(5000)], "word binary, c long")
+    for most in (0, 1, 7, 500, 4000, 9999):
+        got = sorted((r.c for r in maxent.frequent(counts, most).collect()), reverse=True)
+        assert len(got) <= most and len(got) >= min(5000, 0.75 * most - 10)
+    assert maxent.frequent(counts.limit(0), 5).count() == 0
