@@ -276,7 +276,7 @@ def test_secrets_and_long_tokens_are_spanned(spark, sf):
     hit = total = 0
     for d in documents(spark, sf).collect():
         spans = [tuple(map(int, x.split(":")[1:])) for x in rows[d.doc_id].split(",") if x]
-        for m in re.finditer(r"(?:api_key|token|secret|password)\s?[=:]\s?["']?([A-Za-z0-9_+/=.-]{16,})", d.text or ""):
+        for m in re.finditer(r'(?:api_key|token|secret|password)\s?[=:]\s?"?([A-Za-z0-9_+/=.-]{16,})', d.text or ""):
             total += 1
             hit += any(a <= m.start(1) and m.end(1) <= b for a, b in spans)
     assert total > 50 and hit == total
