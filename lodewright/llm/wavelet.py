@@ -178,35 +178,38 @@ PRE_TOKENIZER = {
     ],
 }
 BPE = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"}
-_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_CONTROL = re.compile(rb"[\x00-\x1f\x7f]")
-#: ASCII punctuation, letters that NFC leaves alone and that are one letter in lower case too, ASCII punctuation.
-_MARKS = r"[!-/:-@\[-`{-~]*"
-_LETTERS = re.compile(rf"({_MARKS})([A-Za-zªµºÀ-ÖØ-öø-įı-ɏА-яЁё]+)({_MARKS})")
+_SPACE = r"\x20\t-\r"
+#: Letters that NFC leaves alone and that are one letter in lower case too, and other signs that NFC and lower case leave alone.
+_CAPITALS, _SMALL, _SIGNS = "A-ZÀ-ÖØ-ÞĀ-įı-ſА-ЯЁ", "a-zªµºß-öø-ÿĀ-įı-ſа-яё", "!-/:-@\\[-`{-~§°«»€‐-‧"
+_WORD = re.compile(f"[^{_SPACE}]+")
+#: The tokenizer's own pattern, on ASCII in lower case and on the characters above in lower case. Letters, which most pieces are, come first:
+#: no other alternative begins with one.
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+_ASCII_PARTS = re.compile(f"[a-z]+|{_ENDINGS}|[0-9]|[^a-z0-9{_SPACE}]+")
+_PARTS = re.compile(f"[{_SMALL}]+|{_ENDINGS}|[0-9]|[{_SIGNS}]+")
 
 
 class Encoder(dict):
-    """Word (UTF-8) -> its ids (little-endian u32).
+    """Piece of a text without white space -> its ids (little-endian u32).
 
     What may be done with a text is read from the tokenizer's own definition. If its normaliser, pre-tokenizer and model are those above,
-    ids of a text follow from its pre-tokens: white space is dropped and always cuts (no alternative of the pattern holds any, and NFC joins
-    nothing across it), so a text's ids are those of its words in order, and each is kept once met. A new word is cut into pre-tokens
-    where that is certain: printable ASCII by the pattern itself in lower case (NFC leaves ASCII alone), and letters of ``_LETTERS`` between
-    runs of ASCII punctuation, unless an apostrophe stands before them. Letters alone are one pre-token, and each pre-token's last id,
-    and no other, carries the model's end-of-word mark: so many new ones are encoded as one text and told apart by the marks. If the
-    count of marks is not the count of words, or a word is none of these or holds the first character of an added token, the word is
-    encoded by itself. Any other tokenizer gets whole texts.
-
-    The words of late are kept in two generations of MOST each: a full one becomes the old one, and words met again move up.
+    ids of a text follow from its pre-tokens in order: white space is dropped and always cuts (no alternative of the pattern holds any,
+    and NFC joins nothing across it). Texts of printable ASCII and of the letters and signs above are in NFC, so lower case and the pattern
+    give their pre-tokens, and each pre-token's ids are kept once met. Letters alone are one pre-token, and a pre-token's last id,
+    and no other, carries the model's end-of-word mark: so many new ones are encoded as one text and told apart by the marks; if the count
+    of marks is not the count of pre-tokens, each is encoded by itself. In a text with any other character, or with the first character of
+    an added token, each word that holds one is encoded by itself, as it is. Any other tokenizer gets whole texts.
+
+    The pieces of late are kept in two generations of MOST each: a full one becomes the old one, and pieces met again move up.
     """
 
-    MOST = 500_000
+    MOST = 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
-        self.old: dict[bytes, bytes] = {}
+        self.old: dict[str, bytes] = {}
         tokenizer = Tokenizer.from_file(path)
         self.encode = tokenizer.encode_batch_fast
         with open(path, encoding="utf-8") as f:
@@ -217,7 +220,10 @@ class Encoder(dict):
             and not spec.get("truncation") and not spec.get("padding") and all(spec["model"].get(k) == v for k, v in BPE.items())
             and all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and 32 < ord(t["content"][0]) < 127 for t in added)
         )
-        self.special = re.compile(b"[" + re.escape("".join({t["content"][0] for t in added})).encode() + b"]") if added else re.compile(b"(?!)")
+        first = re.escape("".join({t["content"][0] for t in added}))
+        #: What keeps a text from being taken apart as a whole, and a word from being taken apart.
+        self.bad = re.compile(f"[^{_SPACE}0-9{_CAPITALS}{_SMALL}{_SIGNS}]" + (f"|[{first}]" if added else ""))
+        self.bad_ascii = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f" + first + "]")
         if self.apart:
             # what is left to do on words of letters: nothing but cutting on ASCII ones, else lower case and the bytes
             cut = pre_tokenizers.WhitespaceSplit()
@@ -231,14 +237,14 @@ class Encoder(dict):
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.encode(texts, add_special_tokens=False)]
 
-    def _alone(self, words: list[bytes]) -> None:
-        self.update(zip(words, self._ids([w.decode("utf-8", "replace") for w in words])))
+    def _alone(self, pieces: list[str]) -> None:
+        self.update(zip(pieces, self._ids(pieces)))
 
-    def _together(self, words: list[bytes], encode) -> None:
-        """Words that are letters alone, so one pre-token each."""
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            ids = np.array(encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def _together(self, pieces: list[str], encode) -> None:
+        """Pieces that are letters alone, so one pre-token each."""
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
+            ids = np.array(encode([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) != len(part):
                 self._alone(part)
@@ -248,46 +254,39 @@ class Encoder(dict):
                 self[w] = raw[a:e]
                 a = e
 
-    def learn(self, words: set[bytes]) -> None:
-        """Ids of words not known yet."""
+    def learn(self, pieces: set[str]) -> None:
+        """Ids of pieces not known yet."""
         if self.old:
-            again = [w for w in words if w in self.old]
+            again = [w for w in pieces if w in self.old]
             self.update(zip(again, map(self.old.__getitem__, again)))
-            words.difference_update(again)
-        alpha = [w for w in words if w.isalpha()]  # ASCII letters
-        small = [w.lower() for w in alpha]
-        letters, marks, odd = set(small), set(), []
-        cut: dict[bytes, list[bytes]] = {}
-        for w in words.difference(alpha):
-            if self.special.search(w):
+            pieces.difference_update(again)
+        odd, plain, other = [], [], []
+        for w in pieces:
+            if not w.isalpha() or self.bad.search(w):
                 odd.append(w)
             elif w.isascii():
-                if _CONTROL.search(w):
-                    odd.append(w)
-                else:
-                    parts = cut[w] = _ASCII.findall(w.lower())
-                    for p in parts:
-                        (letters if p.isalpha() else marks).add(p)
+                (plain if w.islower() else odd).append(w)
             else:
-                m = _LETTERS.fullmatch(w.decode("utf-8", "replace"))
-                if m is None or m[1].endswith("'"):
-                    odd.append(w)
-                elif m[1] or m[3]:
-                    head, core, tail = (x.encode() for x in m.groups())
-                    letters.add(core)
-                    marks.update((head, tail))
-                    cut[w] = [head, core, tail]
-                else:
-                    letters.add(w)
-        self[b""] = b""
-        self._alone([*odd, *marks.difference(self)])
-        letters.difference_update(self.keys() & letters)
-        self._together([w for w in letters if w.isascii()], self.plain)
-        self._together([w for w in letters if not w.isascii()], self.other)
-        self.update((w, self[low]) for w, low in zip(alpha, small) if w is not low)
-        get = self.__getitem__
-        for w, parts in cut.items():
-            self[w] = b"".join(map(get, parts))
+                other.append(w)
+        self._alone(odd)
+        self._together(plain, self.plain)
+        self._together(other, self.other)
+
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text in order."""
+        if text.isascii():
+            bad, parts = self.bad_ascii, _ASCII_PARTS
+        else:
+            bad, parts = self.bad, _PARTS
+        if bad.search(text) is None:
+            return parts.findall(text.lower())
+        out = []
+        for w in _WORD.findall(text):
+            if bad.search(w) is None:
+                out += parts.findall(w.lower())
+            else:
+                out.append(w)
+        return out
 
     def texts(self, rows: list[bytes]) -> list[bytes]:
         """The ids of each text."""
@@ -296,19 +295,19 @@ class Encoder(dict):
         if len(self) >= self.MOST:
             self.old = dict(self)
             self.clear()
-        split = [r.split() for r in rows]
-        words = list(chain.from_iterable(split))
-        got = list(map(self.get, words))
-        new = [i for i, g in enumerate(got) if g is None]
-        if new:
-            self.learn({words[i] for i in new})
-            for i in new:
-                got[i] = self[words[i]]
-        out, a = [], 0
-        for w in split:
-            out.append(b"".join(got[a : a + len(w)]))
-            a += len(w)
-        return out
+        get, held, late = self.get, [], []
+        for r in rows:
+            # looked up text by text, while its pieces are in the processor's cache; what is new is encoded for all texts together
+            pieces = self.cut(r.decode("utf-8", "replace"))
+            got = list(map(get, pieces))
+            if new := [i for i, g in enumerate(got) if g is None]:
+                late.append((got, new, [pieces[i] for i in new]))
+            held.append(got)
+        self.learn(set(chain.from_iterable(pieces for *_, pieces in late)))
+        for got, new, pieces in late:
+            for i, w in zip(new, pieces):
+                got[i] = self[w]
+        return [b"".join(got) for got in held]
 
 
 _encoders: dict[str, Encoder] = {}
