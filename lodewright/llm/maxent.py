@@ -1,9 +1,8 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-p(w | h) = p(class(w) | h) p(w | class(w), h). Both factors have hashed features of the history h: the word before, the pair of
-words before, and, as a skip feature, the word two before. The class is a softmax; within a class a word is the end of a path of binary
-decisions (a Huffman tree over the class's counts), each with a bias, the log odds of the smoothed counts, and a weight for each
-feature of the history. All weights are trained by gradient steps on every training document, in ROUNDS rounds over parts of them: each task takes
+p(w | h) = p(class(w) | h) p(w | class(w), h). The class is a softmax over hashed features of the history h: the word before and, as a skip
+feature, the word two before. Within a class a word is the end of a path of binary decisions (a Huffman tree over the class's counts), each
+with a bias, the log odds of the smoothed counts, and, if enough tokens meet it, a hashed weight of it and the word before. All weights are trained by gradient steps on every training document, in ROUNDS rounds over parts of them: each task takes
 mini-batch steps from the same start and returns how far each weight moved, and the moves are averaged by the number of tokens that touched it.
 
 Frequent words (at most HEAD of them) go with the tasks; the counts of all others stay in a table that the tail of each document joins. In
@@ -12,6 +11,7 @@ its class the tail is one leaf of the tree, and within that leaf a word has its
 
 from __future__ import annotations
 
+import gc
 import heapq
 from collections import Counter
 from collections.abc import Iterator
@@ -31,13 +31,17 @@ from ._words import pieces
 HEAD, SINGLE, GROUPS = 1 << 18, 31, 32
 END = SINGLE
 CLASSES = SINGLE + 1 + GROUPS
-#: Feature kinds. Hash buckets of each grow with the training tokens, as do the weights of the decisions within classes, by powers of two
+#: Feature kinds of the class, and of the decisions, the first of these. Hash buckets of each grow with the training tokens, as do the weights of the decisions within classes, by powers of two
 #: between these: so many at most are held twice by each task and go to the driver once a round.
-KINDS, BUCKETS, INNER = 3, (1 << 12, 1 << 16), (1 << 16, 1 << 22)
+KINDS, INNER_KINDS, BUCKETS, INNER = 2, 1, (1 << 12, 1 << 16), (1 << 16, 1 << 22)
+#: Decisions depend on the history if at least this share of all tokens meets them; a Huffman tree's deeper ones are met by few.
+LEAST_MET = 1 / 1024
 #: Rounds of training, each over its own part of the rows and from the average of the one before (further passes over the same rows fit
 #: them and lose held-out likelihood); decision weights sent in one row.
 ROUNDS, SLAB = 3, 4096
 SMOOTH = 0.1
+#: Step of a decision weight, divided by the root of the decisions that touched it.
+INNER_RATE = 1.5
 BATCH = 4096
 #: Distinct words a counting task holds before it passes them on.
 HELD = 400_000
@@ -101,6 +105,7 @@ class Model:
     nodes: np.ndarray
     turns: np.ndarray
     odds: np.ndarray
+    below: np.ndarray
 
     def ids(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """(context id, class, rank or -1, document) of each token, an end after each document, and the tail words in order."""
@@ -122,20 +127,18 @@ class Model:
         return own, cls, rank, np.repeat(np.arange(len(docs)), row), tail
 
     def histories(self, own: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The hashes of each token's three histories; before a document stand its starts, id 2**40."""
+        """The hashes of each token's histories; before a document stand its starts, id 2**40."""
         one, two = np.full(len(own), 1 << 40, np.uint64), np.full(len(own), 1 << 40, np.uint64)
         same1, same2 = row[1:] == row[:-1], row[2:] == row[:-2]
         one[1:][same1] = own[:-1][same1]
         two[2:][same2] = own[:-2][same2]
-        a, b = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
         out = np.empty((KINDS, len(own)), np.uint64)
-        out[0] = (one + np.uint64(1)) * a
-        out[1] = (((one + np.uint64(3)) * b) ^ (two + np.uint64(7))) * a
-        out[2] = (two + np.uint64(5)) * b
+        out[0] = (one + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        out[1] = (two + np.uint64(5)) * np.uint64(0xC2B2AE3D27D4EB4F)
         return out
 
     def rows(self, h: np.ndarray) -> np.ndarray:
-        """The three rows of class weights of each token, of its histories' hashes."""
+        """The rows of class weights of each token, of its histories' hashes."""
         n = len(self.weights) // KINDS
         return (h >> np.uint64(65 - n.bit_length())).astype(np.int64) + n * np.arange(KINDS)[:, None]
 
@@ -143,27 +146,26 @@ class Model:
         return self.rows(self.histories(own, row))
 
     def decisions(self, own: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(token, turn 1 or -1, three places in ``inner``, log odds of a turn 1) of every decision on the tokens' paths."""
+        """(token, turn 1 or -1, places in ``inner``, log odds of a turn 1) of every decision on the tokens' paths."""
         first, n = self.at[own], self.at[own + 1] - self.at[own]
         token = np.repeat(np.arange(len(own)), n)
         k = np.arange(len(token)) + np.repeat(first - np.cumsum(n) + n, n)
         node = self.nodes[k]
         mark = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        places = np.empty((KINDS, len(token)), np.int64)
+        places = np.empty((INNER_KINDS, len(token)), np.int64)
         shift = np.uint64(65 - len(self.inner).bit_length())
-        for j in range(KINDS):
-            x = h[j][token] + np.uint64(j)
+        for j in range(INNER_KINDS):
+            x = h[j][token]
             x ^= x >> np.uint64(32)
             places[j] = ((x ^ mark) * np.uint64(0x9E3779B97F4A7C15)) >> shift
         z = self.odds[node]
-        for j in range(KINDS):
+        for j in range(INNER_KINDS):
             z += self.inner[places[j]]
         return token, self.turns[k], places, z
 
     def probabilities(self, f: np.ndarray) -> np.ndarray:
         z = self.weights[f[0]]
         z += self.weights[f[1]]
-        z += self.weights[f[2]]
         z += self.bias
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
@@ -209,7 +211,7 @@ def _moves(f: np.ndarray, n: np.ndarray, move: np.ndarray) -> pa.RecordBatch:
 
 
 def _steps(shared, rate: float):
-    """Gradient steps of one task; yields (row, tokens as float32, move as float16) of the class rows it touched, each with one number
+    """Gradient steps of one task; yields (row, task, tokens and move as float16, tokens 65,504 at most) of the class rows it touched, each with one number
     of tokens, and, numbered after them, of the slabs of decision weights it touched, with a number for each weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +223,7 @@ def _steps(shared, rate: float):
         try:
             energy = np.full(len(w), 1e-2, np.float32)
             touched = np.zeros(len(w), np.int64)
-            inner_energy, inner_sum, inner_touched = np.full(len(inner), 1e-2, np.float32), np.zeros(len(inner), np.float32), np.zeros(len(inner), np.float32)
+            inner_sum, inner_touched = np.zeros(len(inner), np.float32), np.zeros(len(inner), np.float32)
             for b in batches:
                 for _, docs in _gathered(b.column(0)):
                     own, cls, _, row, _ = m.ids(docs)
@@ -234,10 +236,7 @@ def _steps(shared, rate: float):
                             np.add.at(inner_sum, x, e)
                             np.add.at(inner_touched, x, np.float32(1))
                             # a place that comes more than once is set more than once, to the same value
-                            total = inner_sum[x]
-                            gain = inner_energy[x] + total * total
-                            inner_energy[x] = gain
-                            inner[x] -= rate * total / np.sqrt(gain)
+                            inner[x] -= INNER_RATE * inner_sum[x] / np.sqrt(inner_touched[x] + 1)
                             inner_sum[x] = 0
                         part = f[:, at : at + BATCH]
                         g = m.probabilities(part)
@@ -253,11 +252,11 @@ def _steps(shared, rate: float):
             for rows in np.array_split(np.flatnonzero(touched), max(1, np.count_nonzero(touched) // 4096)):
                 if len(rows):
                     move = (w[rows] - start[rows]).astype("<f2")
-                    yield _moves(rows, touched[rows].astype("<f4")[:, None], move)
+                    yield _moves(rows, np.minimum(touched[rows], 65504).astype("<f2")[:, None], move)
             slabs = inner_touched.reshape(-1, SLAB).any(axis=1).nonzero()[0]
             for part in np.array_split(slabs, max(1, len(slabs) // 64)):
                 if len(part):
-                    yield _moves(len(w) + part, inner_touched.reshape(-1, SLAB)[part].astype("<f4"), (inner - inner_start).reshape(-1, SLAB)[part].astype("<f2"))
+                    yield _moves(len(w) + part, np.minimum(inner_touched.reshape(-1, SLAB)[part], 65504).astype("<f2"), (inner - inner_start).reshape(-1, SLAB)[part].astype("<f2"))
         finally:
             m.weights, m.inner = start, inner_start
 
@@ -270,7 +269,7 @@ def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight: dict[int, np.ndarray] = {}
     for b in batches:
         for f, _, n, v in zip(*(c.to_pylist() for c in b.columns)):
-            n = np.frombuffer(n, "<f4")
+            n = np.frombuffer(n, "<f2").astype("<f4")
             v = n * np.frombuffer(v, "<f2")
             if f in total:
                 total[f] += v
@@ -281,10 +280,13 @@ def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(v / np.maximum(weight[f], 1)).astype("<f4").tobytes() for f, v in total.items()], pa.binary())], names=["f", "move"])
 
 
-def trees(mass: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, nodes, turns, log odds): a Huffman tree over the leaves of each class above END. Leaf i has ``mass`` i, and its path is
-    ``nodes`` and ``turns`` between its two starts; at zero weights a path's probability is its leaf's share of the class."""
+def trees(mass: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, nodes, turns, log odds, below): a Huffman tree over the leaves of each class above END. Leaf i has ``mass`` i, and the
+    decisions of its path that enough tokens meet are ``nodes`` and ``turns`` between its two starts; ``below`` is the natural log of its share of
+    what hangs from the last.
+    At zero weights a path's probability is its leaf's share of the class."""
     paths: list[list] = [[] for _ in mass]
+    below, size, least = np.zeros(len(mass)), [], LEAST_MET * mass.sum()
     odds, count = [], 0
     leaves = np.flatnonzero(classes > END)
     order = leaves[np.argsort(classes[leaves], kind="stable")]
@@ -297,15 +299,20 @@ def trees(mass: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray
             up[a[1]], up[b[1]] = (count, -1), (count, 1)
             odds.append(np.log(b[0] / a[0]))
             heapq.heappush(heap, (a[0] + b[0], len(mass) + count))
+            size.append(a[0] + b[0])
             count += 1
         for i in own:
-            x = int(i)
+            x, path = int(i), []
             while x in up:
-                paths[i].append(up[x])
+                path.append(up[x])
                 x = len(mass) + up[x][0]
+            k = next((k for k, (node, _) in enumerate(path) if size[node] >= least), len(path))
+            if k:
+                below[i] = np.log(mass[i] / size[path[k - 1][0]])
+            paths[i] = path[k:]
     at = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int64)
     flat = np.array([x for p in paths for x in p], np.int32).reshape(-1, 2)
-    return at, flat[:, 0].copy(), flat[:, 1].astype(np.float32), np.array(odds, np.float32)
+    return at, flat[:, 0].copy(), flat[:, 1].astype(np.float32), np.array(odds, np.float32), below
 
 
 def _sized(n: int, bounds: tuple[int, int]) -> int:
@@ -336,7 +343,7 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where((step > lowest) | ((step == lowest) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < share)))
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.3, text_col: str = "text", where: Column | None = None) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.6, text_col: str = "text", where: Column | None = None) -> tuple[Model, DataFrame]:
     """The model and the table of all counts, from every row of ``docs`` that ``where`` admits."""
     spark = docs.sparkSession
     ship(spark)
@@ -371,7 +378,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.3, text_col: st
     model = Model({w: i for i, w in enumerate(words)}, c, classes, weights, bias, total, distinct, ends, tail_tokens, tail_distinct, np.zeros(_sized(4 * total, INNER), np.float32), *tree)
     # few long tasks take more steps each and send fewer moves
     parts = own.rdd.getNumPartitions()
-    rows = own.coalesce(max(2 * spark.sparkContext.defaultParallelism, parts // 4))
+    rows = own.coalesce(max(spark.sparkContext.defaultParallelism, parts // 4))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
@@ -384,6 +391,10 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.3, text_col: st
                 i = (f - len(model.weights)) * SLAB
                 model.inner[i : i + SLAB] += np.frombuffer(v, "<f4")
         shared.destroy(blocking=True)
+        # Spark deletes a round's shuffled moves once nothing on the driver refers to them any more
+        del moves
+        gc.collect()
+        spark._jvm.System.gc()
     return model, counts
 
 
@@ -412,7 +423,7 @@ def _scores(shared):
                     p = m.probabilities(f[:, at : at + BATCH])
                     lp[at : at + BATCH] = p[np.arange(len(p)), cls[at : at + BATCH]]
                     token, turn, _, z = m.decisions(own[at : at + BATCH], h[:, at : at + BATCH])
-                    way[at : at + BATCH] = np.bincount(token, np.logaddexp(0, -turn * z), len(p))
+                    way[at : at + BATCH] = np.bincount(token, np.logaddexp(0, -turn * z), len(p)) - m.below[own[at : at + BATCH]]
                 known = rank >= 0
                 lp = np.log10(np.maximum(lp, 1e-30)) - way / np.log(10) - np.where(rank == -1, inner[cls], 0)
                 count = np.zeros(len(cls))
