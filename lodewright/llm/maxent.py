@@ -38,7 +38,7 @@ KINDS, INNER_KINDS, BUCKETS, INNER = 2, 1, (1 << 12, 1 << 16), (1 << 16, 1 << 22
 LEAST_MET = 1 / 1024
 #: Rounds of training, each over its own part of the rows and from the average of the one before (further passes over the same rows fit
 #: them and lose held-out likelihood); decision weights sent in one row.
-ROUNDS, SLAB = 3, 4096
+ROUNDS, SLAB = 2, 4096
 SMOOTH = 0.1
 #: Step of a decision weight, divided by the root of the decisions that touched it.
 INNER_RATE = 1.5
