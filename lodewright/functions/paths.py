@@ -107,12 +107,11 @@ def repo_name(repo: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(repo), "^datasets/", ""), "^/+|/+$", "")
 
 
-def owned_repo(repo: Column, owner: Column, app_user: Column) -> Column:
-    """The repository under its owner's name where its namespace is missing or a placeholder; as it is without an owner."""
-    # The placeholder namespaces.
-    bare, placeholders = repo_name(repo), ["dev", "ml-intern"]
+def owned_repo(repo: Column, owner: Column, app_user: Column, placeholders: tuple[str, ...] = ("dev",)) -> Column:
+    """The repository under its owner's name where its namespace is missing or one of ``placeholders``; as it is without an owner."""
+    bare = repo_name(repo)
     space, rest = F.substring_index(bare, "/", 1), F.regexp_extract(bare, "^[^/]*/(.*)$", 1)
-    move = space.isin(placeholders) | F.coalesce(space == app_user, F.lit(False))
+    move = space.isin(*placeholders) | F.coalesce(space == app_user, F.lit(False))
     named = F.coalesce(F.length(owner) > 0, F.lit(False)) & (bare != "")
     return F.when(named & ~bare.contains("/"), F.concat_ws("/", owner, bare)).when(named & move, F.concat_ws("/", owner, rest)).otherwise(bare)
 

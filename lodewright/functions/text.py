@@ -55,21 +55,35 @@ def aliases(c: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(F.array(*parts), spaced)), lambda a: a != "")
 
 
-#: Words that say nothing about a fact.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+#: Words that say nothing about a fact, and words that any grounded answer may use.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "its", "of", "on", "or", "the", "this", "to", "used", "with")
+GENERIC_WORDS = ("according", "answer", "based", "context", "given", "information", "provided", "provides", "source", "states", "table")
+
+
+def plain(c: Column) -> Column:
+    """Lower case without accents and other marks, what is not ASCII then dropped, hyphens as spaces, white space collapsed.
+
+    Letters of Latin script lose their marks by a table made from Unicode's compatibility decompositions; ``ß`` is ``ss``."""
+    import unicodedata
+
+    pairs = [(ch, d) for ch in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFKD", ch.casefold()).encode("ascii", "ignore").decode()) == 1 and ch != d]
+    one = F.translate(F.lower(c), "".join(ch for ch, _ in pairs), "".join(d for _, d in pairs))
+    for long, short in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("…", "...")):
+        one = F.replace(one, F.lit(long), F.lit(short))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(one, r"[^\x00-\x7F]", ""), "-", " "), r"\s+", " "))
 
 
 def content_tokens(c: Column) -> Column:
-    """Distinct ``[a-z0-9]+`` tokens of the lower-case text without stop words, light plural endings removed."""
-    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
-    kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    """Distinct ``[a-z0-9]+`` tokens of the plain text without stop words and generic ones, light plural endings removed."""
+    words = F.regexp_extract_all(plain(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS, *GENERIC_WORDS))
 
     def stem(w: Column) -> Column:
         n = F.length(w)
         return (
             F.when((n > 4) & w.endswith("ies"), F.concat(F.left(w, n - 3), F.lit("y")))
             .when((n > 4) & w.endswith("es"), F.left(w, n - 2))
-            .when((n > 3) & w.endswith("s") & ~w.endswith("ss"), F.left(w, n - 1))
+            .when((n > 3) & w.endswith("s"), F.left(w, n - 1))
             .otherwise(w)
         )
 
@@ -79,7 +93,7 @@ def content_tokens(c: Column) -> Column:
 def fact_present(fact: Column, output: Column) -> Column:
     """The fact's text occurs, or it has two to six tokens of which 80 % occur."""
     f, o = content_tokens(fact), content_tokens(output)
-    return F.contains(F.lower(output), F.lower(fact)) | (F.size(f).between(2, 6) & (F.size(F.array_intersect(f, o)) >= 0.8 * F.size(f)))
+    return F.contains(plain(output), plain(fact)) | (F.size(f).between(2, 6) & (F.size(F.array_intersect(f, o)) >= 0.8 * F.size(f)))
 
 
 def slug(c: Column) -> Column:
@@ -188,7 +202,7 @@ def redacted(c: Column) -> Column:
     """All rewrites in order, then ``NAME=value`` for secret names; ``(?U)`` gives ``\\d \\s \\b`` their Unicode meaning.
 
     A secret value that itself holds something redactable is replaced whole."""
-    done = reduce(lambda x, r: F.regexp_replace(x, "(?U)" + r[1], r[2].replace("[", "[")), REDACTIONS, c)
+    done = reduce(lambda x, r: F.regexp_replace(x, "(?U)" + r[1], r[2]), REDACTIONS, c)
     return F.regexp_replace(done, rf"(?Ui)\b({SECRET_NAMES})\s*+[:=]\s*+(?!\[REDACTED_)[^\s\"']+", "$1=[REDACTED_SECRET]")
 
 

@@ -6,55 +6,142 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import aliases, is_missing_text, spaced
+from ..functions.text import aliases, is_missing_text, redacted, spaced
 
-#: Bytes of reference data that a broadcast may carry; beyond it the sides meet on shared words instead.
-BROADCAST_ROWS = 50_000
+#: Scores below this answer nothing.
 LEAST_SCORE = 40
+#: Letters and digits of a key, spaces ignored, by which it meets the questions that hold them.
+GRAM = 6
 
 
 def value_score(question: Column, key: Column) -> Column:
-    """How well a key answers a question: 130 + length for an identifier found whole, 120 + length for the words in a row, 110 + length
-    with spaces ignored, else 25 for each shared word; the best over the key's spellings."""
+    """How well a key answers a question: 130 + length for an identifier (letters and digits) found whole, else the best of 120 + length for its
+    words standing in the question, 110 + length with spaces ignored, and 25 for each shared word; the best over the key's spellings."""
     q = spaced(question)
     words = F.split(q, " ")
 
     def one(a: Column) -> Column:
-        n = F.length(a)
         compact = F.regexp_replace(a, " ", "")
-        identifier = a.rlike("[0-9]") & ~a.rlike("^[0-9 ]+$")
-        whole = F.contains(F.concat(F.lit(" "), q, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
-        close = F.contains(F.regexp_replace(q, " ", ""), compact) & (F.length(compact) >= 3)
-        shared = F.size(F.array_intersect(words, F.filter(F.split(a, " "), lambda w: F.length(w) > 2)))
+        identifier = compact.rlike("[0-9]") & compact.rlike("[a-z]")
+        whole, close = F.contains(q, a), F.contains(F.regexp_replace(q, " ", ""), compact)
+        shared = F.size(F.array_intersect(words, F.split(a, " ")))
         # an identifier's characters in a row, anything but letters and digits between them, none beside them
         bounded = F.concat(F.lit("(?<![a-z0-9])"), F.regexp_replace(compact, "(.)(?=.)", "$1[^a-z0-9]*"), F.lit("(?![a-z0-9])"))
-        return F.when(identifier, F.when(F.regexp_like(F.lower(question), bounded), n + 130).otherwise(0)).otherwise(F.greatest(F.when(whole, n + 120).otherwise(0), F.when(close, n + 110).otherwise(0), shared * 25))
+        found = F.when(F.regexp_like(F.lower(question), bounded), F.length(compact) + 130).otherwise(0)
+        return F.when(identifier, found).otherwise(F.greatest(F.when(whole, F.length(a) + 120).otherwise(0), F.when(close, F.length(compact) + 110).otherwise(0), shared * 25))
 
     return F.coalesce(F.array_max(F.transform(aliases(key), one)), F.lit(0))
 
 
 def scored(questions: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """Pairs of questions (question_id, question) and reference rows (row_index, key...) with a score above 0.
+    """Pairs of questions (question_id, question) and reference rows (row_index, key...) that score LEAST_SCORE or more.
 
-    A pair can score only if it shares a word, or the key's letters stand in the question; a reference of up to BROADCAST_ROWS rows
-    (counted first) is sent to the questions, a larger one meets them on shared words."""
+    Such a pair shares two words with one spelling of the key, or the spelling's letters and digits stand in the question, spaces ignored. So
+    the sides meet, at any size in the same way, on words other than a spelling's most frequent one (of two shared words one is another), and on
+    the first GRAM characters of a spelling. Every pair that meets is scored once. Blank keys and null questions give no pair."""
     rows = reference.where(~is_missing_text(F.col(key)))
-    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = questions.join(F.broadcast(rows), F.lit(True))
-    else:
-        left = questions.select("question_id", F.explode(F.array_distinct(F.split(spaced(F.col("question")), " "))).alias("_w"))
-        right = rows.select("row_index", F.explode(F.array_distinct(F.flatten(F.transform(aliases(F.col(key)), lambda a: F.split(a, " "))))).alias("_w"))
-        ids = left.join(right, "_w").select("question_id", "row_index").distinct()
-        pairs = ids.join(questions, "question_id").join(rows, "row_index")
-    return pairs.withColumn("score", value_score(F.col("question"), F.col(key))).where("score > 0")
+    spelt = rows.select("row_index", F.explode(aliases(F.col(key))).alias("alias"))
+    words = spelt.select("row_index", "alias", F.explode(F.array_distinct(F.split("alias", " "))).alias("meet"))
+    often = words.groupBy("meet").agg(F.count("*").alias("often"))
+    first = F.row_number().over(W.partitionBy("row_index", "alias").orderBy(F.desc("often"), "meet"))
+    rare = words.join(often, "meet").withColumn("first", first).where("first > 1").select("row_index", "meet")
+    compact = F.regexp_replace("alias", " ", "")
+    starts = spelt.select("row_index", F.concat(F.lit(" "), F.left(compact, F.lit(GRAM))).alias("meet"))
+    q = spaced(F.col("question"))
+    run = F.regexp_replace(q, " ", "")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - (n - 1), F.lit(1))), lambda i: F.concat(F.lit(" "), F.substr(run, i, F.lit(n))))
+    asked = questions.where("question IS NOT NULL").select("question_id", F.explode(F.array_distinct(F.concat(F.split(q, " "), *(grams(n) for n in range(1, GRAM + 1))))).alias("meet"))
+    ids = asked.join(rare.union(starts).distinct(), "meet").select("question_id", "row_index").distinct()
+    pairs = ids.join(questions, "question_id").join(rows, "row_index")
+    return pairs.withColumn("score", value_score(F.col("question"), F.col(key))).where(F.col("score") >= LEAST_SCORE)
+
+
+#: What a question must hold, in order, and the columns that then answer it, the first that is there.
+ANSWER_RULES = (
+    (("which form", "what form"), ("form no", "form")),
+    (("due date", "deadline", "when"), ("due dates",)),
+    (("who", "user categor", "eligible"), ("user categories", "applicability")),
+    (("section",), ("applicable sections", "section")),
+    (("how often", "frequency", "filed"), ("filing frequency",)),
+    (("regime",), ("old/new regime applicability",)),
+    (("category", "type of"), ("category",)),
+    (("api", "e filing", "mapping"), ("api / e-filing mapping possibilities",)),
+    (("used for", "purpose"), ("purpose", "description", "applicability")),
+)
+#: Columns that can hold keys and answers, in order.
+KEY_COLUMNS = ("Form No", "Form", "Category", "Purpose", "Applicable Sections", "Section", "User Categories", "Filing Frequency")
+ANSWER_COLUMNS = (
+    "Purpose", "Form No", "Due Dates", "Applicable Sections", "User Categories", "Filing Frequency", "Old/New Regime Applicability", "Category",
+    "API / E-Filing Mapping Possibilities", "Description", "Limit", "Applicability", "Rate",
+)
+
+
+def answer_column(question: Column, columns: list[str]) -> Column:
+    """The column that a question asks for: that of the first rule it meets, null where there is none or the table lacks it."""
+    have = {c.lower(): c for c in columns}
+    q, out = spaced(question), F.lit(None).cast("string")
+    for marks, names in reversed(ANSWER_RULES):
+        name = next((have[n] for n in names if n in have), None)
+        met = F.contains(q, F.lit(marks[0]))
+        for m in marks[1:]:
+            met = met | F.contains(q, F.lit(m))
+        out = F.when(met, F.lit(name).cast("string")).otherwise(out)
+    return out
+
+
+def _present(names: tuple[str, ...], columns: list[str]) -> list[str]:
+    have = {c.lower(): c for c in columns}
+    return [have[n.lower()] for n in names if n.lower() in have]
+
+
+def table_answers(questions: DataFrame, reference: DataFrame) -> DataFrame:
+    """(question_id, status, answer, answer_column, reason, rows): each question answered from the table row that fits best.
+
+    The question names the column of the answer; a row's score is its best over the other key columns; ties go to the lowest row_index unless
+    their answers differ (no_answer, ambiguous_top_match, with all rows tied). A blank answer is no_answer; no row at LEAST_SCORE, or no
+    column, is unsupported. A table without key columns answers nothing. Answers are redacted."""
+    keys, targets = _present(KEY_COLUMNS, reference.columns), reference.columns
+    asked = questions.select("question_id", "question", answer_column(F.col("question"), targets).alias("answer_column"))
+    found = None
+    for k in keys:
+        own = reference.select("row_index", F.col(f"`{k}`").cast("string").alias("key"))
+        hit = scored(questions, own, "key").select("question_id", "row_index", "score", F.lit(k).alias("key_column"))
+        found = hit if found is None else found.union(hit)
+    if found is None:
+        found = questions.where("false").select("question_id", F.lit(0).cast("long").alias("row_index"), F.lit(0).alias("score"), F.lit("").alias("key_column"))
+    only = F.lit(len(keys) == 1)
+    met = found.join(asked.select("question_id", "answer_column"), "question_id").where(F.col("answer_column").isNotNull() & (only | (F.col("key_column") != F.col("answer_column"))))
+    per = met.groupBy("question_id", "answer_column", "row_index").agg(F.max("score").alias("score"))
+    top = per.withColumn("place", F.rank().over(W.partitionBy("question_id").orderBy(F.desc("score")))).where("place = 1")
+    held = reference.select("row_index", F.map_from_arrays(F.array(*(F.lit(c) for c in targets)), F.array(*(F.col(f"`{c}`").cast("string") for c in targets))).alias("held"))
+    value = F.element_at("held", F.col("answer_column"))
+    told = top.join(held, "row_index").withColumn("value", F.when(is_missing_text(value), F.lit("Not specified in the source table")).otherwise(redacted(F.trim(value))))
+    best = told.groupBy("question_id").agg(F.min_by("value", "row_index").alias("value"), F.count_distinct("value").alias("n"), F.sort_array(F.collect_list("row_index")).alias("rows"))
+    out = asked.join(best, "question_id", "left")
+    many, blank = F.coalesce(F.col("n") > 1, F.lit(False)), F.col("value") == "Not specified in the source table"
+    status = F.when(F.col("n").isNull(), "unsupported").when(many | blank, "no_answer").otherwise("answered")
+    answer = F.when(F.col("n").isNull() | many, F.lit("Not specified in the source table")).otherwise(F.col("value"))
+    return out.select(
+        "question_id", status.alias("status"), answer.alias("answer"), "answer_column", F.when(many, F.lit("ambiguous_top_match")).alias("reason"),
+        F.coalesce(F.when(many, F.col("rows")), F.slice("rows", 1, 1)).alias("rows"),
+    )
+
+
+def reference_summary(reference: DataFrame) -> DataFrame:
+    """(ready, row_count, key_columns, answer_columns, status): a table answers questions if it has rows, a key and an answer column."""
+    keys, targets = (_present(names, reference.columns) for names in (KEY_COLUMNS, ANSWER_COLUMNS))
+    listed = lambda names: F.array(*(F.lit(n) for n in names)).cast("array<string>")
+    ready = (F.col("row_count") > 0) & F.lit(bool(keys and targets))
+    one = reference.agg(F.count("*").alias("row_count"))
+    return one.select(ready.alias("ready"), "row_count", listed(keys).alias("key_columns"), listed(targets).alias("answer_columns"), F.when(ready, "ready").otherwise("insufficient_reference_columns").alias("status"))
 
 
 def answers(questions: DataFrame, reference: DataFrame, key: str, answer: str) -> DataFrame:
     """(question_id, status, answer, score, rows): the best row of each question, ties to the lowest row; ties with different answers are
     ambiguous, blank answers and scores under LEAST_SCORE are no answer, no pair at all is unsupported."""
-    best = scored(questions, reference, key).where(F.col("score") >= LEAST_SCORE)
-    top = best.withColumn("_k", F.rank().over(W.partitionBy("question_id").orderBy(F.desc("score")))).where("_k = 1")
-    per = top.groupBy("question_id").agg(F.min_by(F.col(answer).cast("string"), "row_index").alias("answer"), F.max("score").alias("score"), F.sort_array(F.collect_list("row_index")).alias("rows"), F.count_distinct(F.col(answer)).alias("n"))
+    best = scored(questions, reference, key).select("question_id", "row_index", F.col(answer).alias("answer"), "score")
+    top = best.withColumn("place", F.rank().over(W.partitionBy("question_id").orderBy(F.desc("score")))).where("place = 1")
+    per = top.groupBy("question_id").agg(F.min_by(F.col("answer").cast("string"), "row_index").alias("answer"), F.max("score").alias("score"), F.sort_array(F.collect_list("row_index")).alias("rows"), F.count_distinct("answer").alias("n"))
     out = questions.select("question_id").join(per, "question_id", "left")
     status = F.when(F.col("rows").isNull(), "unsupported").when(F.col("n") > 1, "ambiguous").when(is_missing_text(F.col("answer")), "no_answer").otherwise("answered")
     return out.select("question_id", status.alias("status"), F.when(F.col("n") == 1, F.col("answer")).alias("answer"), F.coalesce("score", F.lit(0)).cast("long").alias("score"), F.coalesce(F.when(F.col("n") > 1, F.col("rows")), F.slice("rows", 1, 1)).alias("rows"))
@@ -64,13 +151,29 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
+#: Words of questions that go to the tasks at once; more questions are answered in further passes over the rows.
+QUESTION_WORDS = 200_000
+
+
 def overlap_top1(questions: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of (question_id, question) and (row_id, text): (question_id, row_id, shared), most shared words, ties to the lowest row. The
-    sides meet on words, never as a product; rare words only narrow, so a word in over half the rows still counts."""
-    left = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("w"))
-    right = rows.select("row_id", F.explode(tokens(F.col("text"))).alias("w"))
-    shared = left.join(right, "w").groupBy("question_id", "row_id").agg(F.count("*").alias("shared"))
-    return shared.groupBy("question_id").agg(F.max(F.struct("shared", (-F.col("row_id")).alias("r"))).alias("b")).select("question_id", (-F.col("b.r")).alias("row_id"), F.col("b.shared").alias("shared"))
+    """Of (question_id, question) and (row_id long, text): (question_id, row_id, shared), most shared words, ties to the lowest row.
+
+    The questions' words go to the tasks in blocks of a bounded size; each row is held against a block's questions where it lies, and every
+    task keeps one best row a question (the count and the row in one number), so no pair is shuffled, whatever word all share. Questions or
+    texts that are null share nothing; a question that shares no word has no row."""
+    asked = questions.select("question_id", tokens(F.col("question")).alias("words")).where("size(words) > 0")
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("words"))).first()[0] or 0) // QUESTION_WORDS))
+    wide = lambda x: F.expr(x).cast("decimal(38,0)")
+    found = None
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("question_id", "words")).alias("block"))
+        held = rows.select(F.col("row_id").cast("long").alias("row_id"), tokens(F.col("text")).alias("own")).join(F.broadcast(block))
+        each = held.select("row_id", F.inline(F.expr("transform(block, q -> named_struct('question_id', q.question_id, 'shared', size(array_intersect(q.words, own))))"))).where("shared > 0")
+        best = each.select("question_id", (wide("shared") * F.lit(2**64).cast("decimal(20,0)") + (wide("9223372036854775807") - wide("row_id"))).cast("decimal(38,0)").alias("x"))
+        top = best.groupBy("question_id").agg(F.max("x").alias("x"))
+        found = top if found is None else found.union(top)
+    rest = F.expr("x % 18446744073709551616BD")
+    return found.select("question_id", (wide("9223372036854775807") - rest).cast("long").alias("row_id"), F.expr("x div 18446744073709551616BD").cast("long").alias("shared"))
 
 
 def _times(word: str) -> Column:

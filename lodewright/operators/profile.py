@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,16 +11,21 @@ from pyspark.sql import types as T
 from ..functions.text import is_missing, redacted, truncated
 
 
+def _own(name: str):
+    """A column by its name as it is, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _fingerprint(df: DataFrame):
     """A hash wide enough to stand for the whole row; null, type and field order count."""
-    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    row = F.to_json(F.struct(*map(_own, df.columns)), {"ignoreNullFields": "false"})
     return F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b"))
 
 
 def profile(df: DataFrame) -> DataFrame:
     """One row: row_count, column_count, missing_summary, missing_fraction, duplicate_count, duplicate_fraction. Missing is null or
     blank; a null number counts too. The table is scanned once; copies meet under a 128-bit hash of the row, so no row is shuffled."""
-    missing = [F.count_if(is_missing(df[c]) if isinstance(df.schema[c].dataType, T.StringType) else df[c].isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
+    missing = [F.count_if(is_missing(_own(c)) if isinstance(df.schema[c].dataType, T.StringType) else _own(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
     one = df.agg(F.count("*").alias("n"), F.count_distinct(_fingerprint(df)).alias("d"), *missing)
     total = sum((F.col(f"m{i}") for i in range(len(missing))), F.lit(0))
     share = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(F.round(a / b, 6))
@@ -31,92 +38,115 @@ def profile(df: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, order: str, n: int = 3) -> DataFrame:
     """First rows by the order column, long strings cut at 150 characters."""
-    cut = [truncated(F.col(f.name), 150).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema]
+    cut = [truncated(_own(f.name), 150).alias(f.name) if isinstance(f.dataType, T.StringType) else _own(f.name) for f in df.schema]
     return df.orderBy(order).limit(min(n, 10)).select(*cut)
 
 
-def _filled(rows: list[dict], names: list[str]) -> bool:
-    keyed = [{k.lower(): v for k, v in r.items()} for r in rows]
-    return any(all(isinstance(r.get(n), (str, int, float)) and str(r[n]).strip() for n in names) for r in keyed)
+def _filled(rows: list[dict], names: tuple[str, ...], text_only: bool = False) -> bool:
+    """Whether some row has a value for every name; only texts count if ``text_only``, else anything but null, blanks and NaN."""
+
+    def full(v) -> bool:
+        return isinstance(v, str) and bool(v.strip()) if text_only else v is not None and v == v and str(v).strip() != ""
+
+    keyed = ({str(k).lower(): v for k, v in r.items()} for r in rows)
+    return any(all(full(r.get(n)) for n in names) for r in keyed)
+
 
+def _chat(rows: list[dict]) -> bool:
+    """Whether some row's messages hold a user's and an assistant's turn that say something; messages may be JSON text."""
+    for r in rows:
+        said = {k.lower(): v for k, v in r.items()}.get("messages")
+        try:
+            said = json.loads(said) if isinstance(said, str) else said
+        except ValueError:
+            continue
+        turns = [m for m in said if isinstance(m, dict) and str(m.get("content") or "").strip()] if isinstance(said, list) else []
+        if {"user", "assistant"} <= {m.get("role") for m in turns}:
+            return True
+    return False
 
-#: Column sets in the order they are tried, and the shape each means.
-SHAPES = (
-    (("prompt", "chosen", "rejected"), "dpo_preference"), (("prompt", "completion"), "prompt_completion"), (("instruction", "output"), "prompt_completion"),
-    (("instruction", "response"), "prompt_completion"),
-)
-CHAT = {"messages", "conversations"}
-REFERENCE_HINTS = {"form no", "section", "category", "purpose", "description", "limit", "applicability", "due dates", "filing frequency", "applicable sections", "code", "rate"}
 
+#: Columns that mark a reference table.
+REFERENCE_HINTS = {
+    "form no", "purpose", "section", "applicable sections", "description", "limit", "applicability", "rule", "rate", "category", "deduction", "due dates",
+    "filing frequency", "user categories", "old/new regime applicability",
+}
+#: Columns of instruction data, and file formats by what they are good for.
+INSTRUCTION_COLUMNS = (("messages",), ("prompt", "completion"), ("instruction", "output"), ("instruction", "response"), ("input", "output"), ("prompt", "chosen", "rejected"))
+TABULAR, DOCUMENTS, TRAINABLE = {"csv", "xlsx", "xls"}, {"pdf", "docx"}, {"jsonl", "json", "parquet"}
+#: Shapes by columns that some row must fill, in the order they are tried; a shape whose columns are there but empty is passed over.
+SHAPES = (("dpo", ("prompt", "chosen", "rejected")), ("prompt_completion", ("prompt", "completion")), ("prompt_completion", ("instruction", "output")), ("prompt_completion", ("instruction", "response")))
 
-def infer_shape(columns: list[str], rows: list[dict]) -> str:
-    """Shape of a dataset from its columns and first rows; the first rule that holds decides."""
-    have = {c.lower() for c in columns}
-    if have & CHAT:
+
+def _flat(rows: list[dict]) -> bool:
+    return bool(rows) and not any(isinstance(v, (list, dict)) for r in rows for v in r.values())
+
+
+def infer_shape(columns: list[str], rows: list[dict], kind: str | None = None) -> str:
+    """Shape of a dataset from its columns, first rows and file format ``kind``; the first rule that holds decides."""
+    have, kind = {c.lower() for c in columns}, (kind or "").lower()
+    if "messages" in have and _chat(rows):
         return "sft_messages"
-    for names, shape in SHAPES:
-        if set(names) <= have and _filled(rows, list(names)):
-            return shape
-    if have == {"prompt"} and _filled(rows, ["prompt"]):
+    # response stands in for output only where there is no output
+    tried = [(s, n) for s, n in SHAPES if set(n) <= have and not ("response" in n and "output" in have)]
+    if shape := next((s for s, names in tried if _filled(rows, names)), None):
+        return shape
+    if have == {"prompt"} and _filled(rows, ("prompt",)):
         return "grpo_prompt_only"
-    if {"question", "answer"} <= have:
-        return "qa"
-    if "text" in have and have & {"chunk_index", "page_number", "source_file", "source_format", "doc_id", "source"}:
-        return "document_corpus"
-    if "text" in have and have & {"label", "labels", "category"}:
-        return "classification"
-    if len(have) >= 3 and len(have & REFERENCE_HINTS) >= 2:
-        return "structured_reference_table"
-    return "unknown"
-
-
-def trainability(n: int | None, shape: str, kind: str, missing: float, duplicates: float) -> dict:
-    """Points from 100 down, a recommendation and a risk. ``kind`` is the file format."""
-    points, why = 100, []
-
-    def less(by: int, reason: str) -> None:
-        nonlocal points
-        points -= by
-        why.append(reason)
-
-    if n is None:
-        less(20, "row count unknown")
-    elif n == 0:
-        less(70, "no rows")
-    else:
-        for limit, by in ((50, 40), (200, 25), (1000, 10)):
-            if n < limit:
-                less(by, f"fewer than {limit} rows")
-                break
-    instruct = shape in ("sft_messages", "dpo_preference", "prompt_completion", "grpo_prompt_only")
-    if not instruct:
-        less(25, "not instruction data")
-    if shape == "structured_reference_table":
-        less(30, "reference table")
-    if shape == "document_corpus":
-        less(35, "document corpus")
-    if kind in ("csv", "xlsx", "pdf", "docx"):
-        less(10, "tabular or document format")
-    for share, steps, name in ((missing, ((0.3, 20), (0.1, 10)), "missing cells"), (duplicates, ((0.25, 15), (0.1, 8)), "duplicate rows")):
-        for limit, by in steps:
-            if share >= limit:
-                less(by, name)
-                break
-    points = max(0, min(100, points))
-    if n == 0 or missing >= 0.4:
+    formats = {str(r.get("source_format") or "").lower() for r in rows} if "source_format" in have else set()
+    shapes = (
+        ("qa", {"question", "answer"} <= have),
+        ("document_corpus", "text" in have and (bool(formats & DOCUMENTS) or {"source_file", "chunk_index"} <= have)),
+        ("classification", "label" in have and bool(have & {"text", "sentence", "content"})),
+        ("structured_reference_table", len(have) >= 3 and len(have & REFERENCE_HINTS) >= 2 and (_flat(rows) or kind in TABULAR)),
+    )
+    return next((name for name, holds in shapes if holds), "unknown")
+
+
+def traits(n: int | None, columns: list[str], rows: list[dict] | None, kind: str | None) -> dict:
+    """What trainability depends on: instruction columns and whether rows fill them, a reference table, a document corpus. Rows not given
+    (None) are taken on trust."""
+    have = {c.strip().lower() for c in columns if c.strip()}
+    first = next((s for s in INSTRUCTION_COLUMNS if set(s) <= have), None)
+    usable = first is not None and (rows is None or (_chat(rows) if first == ("messages",) else _filled(rows, first, text_only=True)))
+    given = rows or []
+    hints = len(have & REFERENCE_HINTS)
+    table = bool(have) and first is None and hints >= 2 and ((n is not None and n < 100) or (kind in TABULAR and len(have) >= 3 and _flat(given)))
+    formats = {str(r.get("source_format") or "").lower() for r in given} if "source_format" in have else set()
+    corpus = kind in DOCUMENTS or ("text" in have and bool(formats & DOCUMENTS))
+    return {"named": first is not None, "instruction": usable, "reference": table, "corpus": corpus, "rows": rows is not None}
+
+
+def trainability(n: int | None, kind: str | None, t: dict, missing: float | None, duplicates: float | None) -> dict:
+    """Points from 100 down for ``n`` rows of file format ``kind`` with ``traits``, a recommendation, a risk and the reasons."""
+    kind = (kind or "").strip().lower().lstrip(".") or None
+    low = lambda share, steps: next((by for limit, by in steps if share is not None and share >= limit), 0)
+    size = 20 if n is None else 70 if n == 0 else next((by for limit, by in ((50, 40), (200, 25), (1000, 10)) if n < limit), 0)
+    charges = (
+        (size, "row count unknown" if n is None else f"{n} rows"),
+        (0 if t["instruction"] else 25, "no usable instruction fields"),
+        (25 if t["instruction"] and t["named"] and not t["rows"] else 0, "no rows to confirm the fields"),
+        (30 if t["reference"] else 0, "reference table"),
+        (35 if t["corpus"] else 0, "document corpus"),
+        (10 if kind and kind not in TRAINABLE else 0, f"{kind} format"),
+        (low(missing, ((0.3, 20), (0.1, 10))), "missing cells"),
+        (low(duplicates, ((0.25, 15), (0.1, 8))), "duplicate rows"),
+    )
+    points = max(0, 100 - sum(by for by, _ in charges))
+    if n == 0 or (missing or 0) >= 0.4:
         advice = "data_needed"
-    elif shape == "document_corpus":
+    elif t["corpus"]:
         advice = "rag"
-    elif shape == "structured_reference_table":
+    elif t["reference"]:
         advice = "rag" if (n or 0) < 200 else "hybrid"
     elif points < 35:
         advice = "data_needed"
-    elif instruct:
+    elif t["instruction"]:
         advice = "fine_tune" if points >= 55 else "data_needed"
     else:
         advice = "hybrid" if points >= 50 else "data_needed"
     risk = "high" if advice == "data_needed" or points < 50 else "medium" if points < 80 or advice in ("rag", "hybrid") else "low"
-    return {"score": points, "recommendation": advice, "risk": risk, "reasons": why}
+    return {"score": points, "recommendation": advice, "risk": risk, "reasons": [why for by, why in charges if by]}
 
 
 def strategy(n: int | None, shape: str, missing: float, verdict: dict) -> dict:
@@ -128,7 +158,7 @@ def strategy(n: int | None, shape: str, missing: float, verdict: dict) -> dict:
         return {"strategy": "rag", "method": None, "confidence": 0.88}
     if shape == "structured_reference_table":
         return {"strategy": "rag" if n < 200 else "hybrid", "method": None, "confidence": 0.88}
-    method = {"dpo_preference": "dpo", "grpo_prompt_only": "grpo", "sft_messages": "sft", "prompt_completion": "sft"}.get(shape)
+    method = {"dpo": "dpo", "grpo_prompt_only": "grpo", "sft_messages": "sft", "prompt_completion": "sft"}.get(shape)
     if method and (advice == "data_needed" or risk == "high"):
         return {"strategy": "data_needed", "method": None, "confidence": 0.84}
     if method:
@@ -144,8 +174,9 @@ def decide(df: DataFrame, order: str, kind: str = "parquet") -> DataFrame:
     """The profile row with shape, score, recommendation, risk, reasons, strategy and method. Only the one-row aggregate and three
     sample rows come to the driver."""
     p = profile(df).first()
-    shape = infer_shape(df.columns, [r.asDict(True) for r in sample(df, order).collect()])
-    v = trainability(p.row_count, shape, kind, p.missing_fraction, p.duplicate_fraction)
+    rows = [r.asDict(True) for r in sample(df, order).collect()]
+    shape = infer_shape(df.columns, rows, kind)
+    v = trainability(p.row_count, kind, traits(p.row_count, df.columns, rows, kind), p.missing_fraction, p.duplicate_fraction)
     s = strategy(p.row_count, shape, p.missing_fraction, v)
     schema = "row_count long, duplicate_count long, missing_fraction double, shape string, score int, recommendation string, risk string, reasons array<string>, strategy string, method string, confidence double"
     return df.sparkSession.createDataFrame([(p.row_count, p.duplicate_count, p.missing_fraction, shape, v["score"], v["recommendation"], v["risk"], v["reasons"], s["strategy"], s["method"], float(s["confidence"]))], schema)

@@ -26,23 +26,89 @@ def test_profile_counts_missing_and_copies(spark):
     assert P.profile(df.limit(0)).first().missing_fraction == 0.0
 
 
-@pytest.mark.parametrize("case,want", [
-    ((26, "structured_reference_table", "xlsx", 0.0, 0.0), (0, "rag", "high")), ((26_000, "prompt_completion", "csv", 0.0, 0.0), (90, "fine_tune", "low")),
-    ((800, "prompt_completion", "jsonl", 0.0, 0.0), (90, "fine_tune", "low")), ((0, "unknown", "csv", 0.45, 0.35), (0, "data_needed", "high")),
+REFERENCE = ["Form No", "Category", "Purpose", "Due Dates"]
+PAIR = [{"prompt": "a", "completion": "b"}]
+
+
+@pytest.mark.parametrize("n,columns,rows,kind,missing,duplicates,want", [
+    (26, REFERENCE, [{"Form No": "1"}], "xlsx", 0.0, 0.0, (0, "rag", "high")), (26_000, ["prompt", "completion"], PAIR, "csv", 0.0, 0.0, (90, "fine_tune", "low")),
+    (800, ["prompt", "completion"], PAIR, "jsonl", 0.0, 0.0, (90, "fine_tune", "low")), (0, ["x"], [], "csv", 0.45, 0.35, (0, "data_needed", "high")),
+    (1200, ["messages"], [{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}], "jsonl", 0.0, 0.0, (100, "fine_tune", "low")),
+    (1200, ["messages"], [{"messages": None}], "jsonl", 0.0, 0.0, (75, "hybrid", "medium")), (1200, ["input", "output"], [{"input": "a", "output": "b"}], "jsonl", 0.1, 0.1, (82, "fine_tune", "low")),
+    (1200, ["prompt", "completion"], None, "jsonl", None, None, (75, "fine_tune", "medium")), (None, ["text", "source_format"], [{"text": "x", "source_format": "pdf"}], None, 0.0, 0.0, (20, "rag", "high")),
+    (5000, ["a", "b"], [{"a": 1, "b": 2}], "parquet", 0.3, 0.25, (40, "data_needed", "high")), (500, REFERENCE, [{"Form No": [1]}], "csv", 0.0, 0.0, (55, "hybrid", "medium")),
 ])
-def test_trainability(case, want):
-    v = P.trainability(*case)
+def test_trainability(n, columns, rows, kind, missing, duplicates, want):
+    v = P.trainability(n, kind, P.traits(n, columns, rows, kind), missing, duplicates)
     assert (v["score"], v["recommendation"], v["risk"]) == want
 
 
 def test_shapes():
-    assert P.infer_shape(["messages"], [{}]) == "sft_messages"
-    assert P.infer_shape(["prompt", "completion"], [{"prompt": "a", "completion": "b"}]) == "prompt_completion"
-    assert P.infer_shape(["prompt", "completion"], [{"prompt": " ", "completion": None}]) == "unknown"
-    assert P.infer_shape(["prompt", "chosen", "rejected"], [{"prompt": "a", "chosen": "b", "rejected": "c"}]) == "dpo_preference"
-    assert P.infer_shape(["prompt"], [{"prompt": "a"}]) == "grpo_prompt_only"
-    assert P.infer_shape(["text", "chunk_index"], [{}]) == "document_corpus"
-    assert P.infer_shape(["Section", "Description", "Limit", "Applicability"], [{}]) == "structured_reference_table"
+    chat = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    for columns, rows, kind, want in (
+        (["messages"], [{}], None, "unknown"), (["messages"], [{"messages": None}], None, "unknown"), (["messages"], [{"messages": chat}], None, "sft_messages"),
+        (["Messages"], [{"Messages": '[{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]'}], None, "sft_messages"), (["messages"], [{"messages": chat[:1]}], None, "unknown"),
+        (["prompt", "completion"], PAIR, None, "prompt_completion"), (["prompt", "completion"], [{"prompt": " ", "completion": None}], None, "unknown"),
+        (["prompt", "chosen", "rejected"], [{"prompt": "a", "chosen": "b", "rejected": "c"}], None, "dpo"), (["prompt"], [{"prompt": "a"}], None, "grpo_prompt_only"),
+        (["instruction", "response"], [{"instruction": "a", "response": "b"}], None, "prompt_completion"), (["instruction", "response", "output"], [{"instruction": "a", "response": "b", "output": ""}], None, "unknown"),
+        (["question", "answer"], [], None, "qa"), (["text", "chunk_index"], [{}], None, "unknown"), (["text", "chunk_index", "source_file"], [{}], None, "document_corpus"),
+        (["text", "source_format"], [{"source_format": "PDF"}], None, "document_corpus"), (["sentence", "label"], [], None, "classification"), (["content", "label"], [], None, "classification"),
+        (["Section", "Description", "Limit", "Applicability"], [{"Section": "80C"}], None, "structured_reference_table"), (["Section", "Rule", "x"], [], "csv", "structured_reference_table"),
+        (["Section", "Rule", "x"], [{"x": [1]}], None, "unknown"), (["Section", "code", "x"], [{"x": 1}], None, "unknown"),
+    ):
+        assert P.infer_shape(columns, rows, kind) == want, (columns, rows)
+
+
+def test_names_with_dots_and_ticks(spark):
+    df = spark.createDataFrame([("x", None), ("x", None)], "`a.b` string, `c``d` string")
+    r = P.profile(df).first()
+    assert (r.missing_summary, r.duplicate_count) == ({"a.b": 0, "c`d": 2}, 1)
+    assert P.sample(df, "`a.b`").count() == 2
+
+
+def test_content_tokens_and_plain_text(spark):
+    assert one(spark, X.plain, "  Café-Straße\tÀ  b… ") == "cafe strasse a b..."
+    assert sorted(spark.range(1).select(X.content_tokens(F.lit("The classes of its companies: based on boxes, given tax")).alias("t")).first().t) == ["box", "class", "company", "tax"]
+
+
+TAX = [(0, "ITR-1", "Returns", "Simple income return", "31 July", "Both"), (1, "Form 16", "TDS", "Salary TDS certificate", "15 June", "Both"), (2, "Form 10E", "Relief", "Relief claim", None, "Old"),
+       (3, "Form 49B", "TAN", "TAN application", "Any time", "Both")]
+TAX_COLUMNS = "row_index long, `Form No` string, Category string, Purpose string, `Due Dates` string, `Old/New Regime Applicability` string"
+SENTINEL = "Not specified in the source table"
+
+
+def test_tables_answer_questions(spark):
+    asked = [
+        ("What is ITR-1 used for?", "answered", "Simple income return", 0), ("what is itr 1 used for", "answered", "Simple income return", 0), ("what is form16 used for", "answered", "Salary TDS certificate", 1),
+        ("Which form is used for TAN application?", "answered", "Form 49B", 3), ("What due date is listed for Form 10E?", "no_answer", SENTINEL, 2), ("What penalty applies if I file ITR-1 late?", "unsupported", SENTINEL, None),
+        ("What is ITR-10 used for?", "unsupported", SENTINEL, None), ("What is ITR-1A used for?", "unsupported", SENTINEL, None),
+    ]
+    questions = spark.createDataFrame([(i, q) for i, (q, *_) in enumerate(asked)], "question_id long, question string")
+    table = spark.createDataFrame(TAX, TAX_COLUMNS)
+    got = {r.question_id: r for r in lookup.table_answers(questions.where("question_id < 6"), table).collect()}
+    got |= {r.question_id: r for r in lookup.table_answers(questions.where("question_id >= 6"), table.where("row_index = 0")).collect()}
+    for i, (q, status, answer, row) in enumerate(asked):
+        assert (got[i].status, got[i].answer, got[i].rows) == (status, answer, None if row is None else [row]), q
+    twice = spark.createDataFrame([(0, "Form DUP", "One thing"), (1, "Form DUP", "Another")], "row_index long, `Form No` string, Purpose string")
+    r = lookup.table_answers(spark.createDataFrame([(0, "What is Form DUP used for?")], "question_id long, question string"), twice).first()
+    assert (r.status, r.reason, r.rows) == ("no_answer", "ambiguous_top_match", [0, 1])
+    tiers = spark.createDataFrame([(0, "Starter", "Entry-level product tier", "All")], "row_index long, Category string, Description string, Applicability string")
+    r = lookup.table_answers(spark.createDataFrame([(0, "What is Starter used for?")], "question_id long, question string"), tiers).first()
+    assert (r.status, r.answer, r.rows) == ("answered", "Entry-level product tier", [0])
+    s = lookup.reference_summary(table).first()
+    assert (s.ready, s.row_count, s.key_columns) == (True, 4, ["Form No", "Category", "Purpose"])
+    assert not lookup.reference_summary(table.limit(0)).first().ready
+
+
+def test_lookup_meets_every_scoring_pair(spark):
+    """The same pairs as scoring each question against each key."""
+    keys = ["data base", "Viet Nam", "80CC", "section 80 cc", "new york city", "of the", "a", "Form 16 (part b)", "form", "x1", "big red fox", "red"]
+    asked = ["what is database used for", "Vietnam?", "section 8 0 c c", "the city of new york", "of", "part b of form-16", "fox red", "big", "", None, "x-1!", "a"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "question_id long, question string")
+    table = spark.createDataFrame(list(enumerate(keys)), "row_index long, key string")
+    every = questions.crossJoin(table).withColumn("score", lookup.value_score(F.col("question"), F.col("key"))).where("score >= 40")
+    want = {(r.question_id, r.row_index, r.score) for r in every.collect()}
+    assert {(r.question_id, r.row_index, r.score) for r in lookup.scored(questions, table, "key").collect()} == want and len(want) >= 10
 
 
 def test_redaction(spark):
