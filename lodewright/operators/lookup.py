@@ -169,7 +169,7 @@ def overlap_top1(questions: DataFrame, rows: DataFrame) -> DataFrame:
         block = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("question_id", "words")).alias("block"))
         held = rows.select(F.col("row_id").cast("long").alias("row_id"), tokens(F.col("text")).alias("own")).join(F.broadcast(block))
         each = held.select("row_id", F.inline(F.expr("transform(block, q -> named_struct('question_id', q.question_id, 'shared', size(array_intersect(q.words, own))))"))).where("shared > 0")
-        best = each.select("question_id", (wide("shared") * F.lit(2**64).cast("decimal(20,0)") + (wide("9223372036854775807") - wide("row_id"))).cast("decimal(38,0)").alias("x"))
+        best = each.select("question_id", (wide("shared * 18446744073709551616BD") + (wide("9223372036854775807") - wide("row_id"))).cast("decimal(38,0)").alias("x"))
         top = best.groupBy("question_id").agg(F.max("x").alias("x"))
         found = top if found is None else found.union(top)
     rest = F.expr("x % 18446744073709551616BD")

@@ -11,6 +11,7 @@ from ..functions import paths
 from ..functions import text as X
 from ..functions.values import timeout_hours
 from ..operators import activity, conversations, evals, lookup
+from ..operators import listings as L
 from ..operators import profile as P
 from ..sources.formats import sections, union_by_name
 
@@ -222,7 +223,14 @@ def union_by_name_files(region: DataFrame, nation: DataFrame) -> DataFrame:
     return union_by_name([region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region"))])
 
 
-@query(None, "documents")
+_BM25 = " + ".join(f"ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in range(3))
+
+
+@query(
+    "WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), t AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'clown')) AS t0, len(list_filter(w, lambda x: x = 'idiot')) AS t1, "
+    "len(list_filter(w, lambda x: x = 'the')) AS t2 FROM w), s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2 FROM t) "
+    f"SELECT doc_id, round({_BM25}, 4) AS score FROM t, s WHERE t0 + t1 + t2 > 0 ORDER BY 2 DESC, 1 LIMIT 10", "documents",
+)
 def bm25_search(docs: DataFrame) -> DataFrame:
     return lookup.bm25(docs, "the idiot clown", 10)
 
@@ -280,3 +288,220 @@ def dataset_provenance(docs: DataFrame) -> DataFrame:
 @query("SELECT doc_id, CAST(CASE WHEN strpos(text, 'the') > 0 THEN strpos(text, 'the') - 1 END AS INTEGER) AS at FROM documents", "documents")
 def text_found_at(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", paths.found_at(F.col("text"), F.lit("the"))["at"].alias("at"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id < (SELECT CAST(floor(count(*) * 0.95) AS BIGINT) FROM documents) THEN 'train' ELSE 'test' END AS part FROM documents", "documents")
+def head_split(docs: DataFrame) -> DataFrame:
+    return L.head_split(docs, "doc_id").select("doc_id", "part")
+
+
+@query(None, "documents")
+def seeded_split(docs: DataFrame) -> DataFrame:
+    return L.seeded_split(docs, "doc_id").select("doc_id", "part")
+
+
+@query(
+    "SELECT *, CASE WHEN size <= 0 THEN 'empty' WHEN size > 104857600 THEN 'too_large' WHEN total > 104857600 THEN 'total_too_large' ELSE 'ok' END AS verdict FROM (SELECT upload_id, ord, size, "
+    "CAST(sum(size) OVER (PARTITION BY upload_id ORDER BY ord) AS BIGINT) AS total FROM (SELECT o_custkey AS upload_id, o_orderkey AS ord, (o_orderkey % 11) * 11000000 AS size FROM orders))", "orders",
+)
+def checked_uploads(orders: DataFrame) -> DataFrame:
+    return L.checked_uploads(orders.select(F.col("o_custkey").alias("upload_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 11 * 11000000).alias("size")))
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN nth = 1 THEN n || '.csv' ELSE n || '-' || nth || '.csv' END AS unique_name FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS n, "
+    "row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS nth FROM part)", "part",
+)
+def unique_upload_names(part: DataFrame) -> DataFrame:
+    files = part.select("p_partkey", "p_brand", F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".csv")).alias("name"))
+    return L.unique_names(files, "p_brand", "name", "p_partkey").select("p_partkey", "unique_name")
+
+
+@query(
+    "SELECT event_id, first_id FROM events JOIN (SELECT p_type AS method, p_size AS path, min(p_partkey) AS first_id FROM part GROUP BY ALL) ON path = user_id AND method = upper(CASE event_type WHEN 'click' THEN 'economy' ELSE 'standard' END)", "events", "part",
+)
+def matched_endpoints(events: DataFrame, part: DataFrame) -> DataFrame:
+    hits = events.select("event_id", F.col("user_id").alias("path"), F.when(F.col("event_type") == "click", "ECONOMY").otherwise("STANDARD").alias("method"))
+    ends = part.select(F.col("p_size").cast("long").alias("path"), F.col("p_type").alias("method"), "p_partkey")
+    return L.matched_endpoints(hits, ends, "p_partkey").select("event_id", F.col("endpoint.p_partkey").alias("first_id"))
+
+
+@query("SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id) THEN 'output-available' WHEN doc_id % 10 = 0 THEN 'approval-requested' ELSE 'input-available' END AS state FROM documents", "documents", "labels")
+def tool_call_states(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    calls = docs.select(F.col("doc_id").alias("tool_call_id"), (F.col("doc_id") % 10 == 0).alias("needs_approval"))
+    return L.call_states(calls, labels.select(F.col("doc_id").alias("tool_call_id"))).select(F.col("tool_call_id").alias("doc_id"), "state")
+
+
+@query(
+    "SELECT c_custkey AS session_id, CASE WHEN s_suppkey IS NULL THEN c_name ELSE s_name END AS name, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE s_nationkey END AS nation FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey", "customer", "supplier",
+)
+def live_sessions(customer: DataFrame, supplier: DataFrame) -> DataFrame:
+    live = supplier.select(F.col("s_suppkey").alias("session_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return L.live_sessions(customer.select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation")), live, "session_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)", "documents", "labels")
+def present_files(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return L.present(docs.select("doc_id"), labels, "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'of the') THEN 2 ELSE 0 END AS points FROM documents", "documents")
+def intent_bonus(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(L.intent_bonus(F.col("text"), F.lit("OF_the")), F.lit(0)).alias("points"))
+
+
+@query(
+    "SELECT config, string_agg(split, ',' ORDER BY a) AS splits, min(a) AS first FROM (SELECT coalesce(source, '-') AS config, coalesce(lang, '-') AS split, min(doc_id) AS a FROM documents GROUP BY ALL) GROUP BY config", "documents",
+)
+def dataset_configs(docs: DataFrame) -> DataFrame:
+    own = docs.select(F.coalesce("source", F.lit("-")).alias("config"), F.coalesce("lang", F.lit("-")).alias("split"), "doc_id")
+    return L.configs(own, "doc_id").select("config", F.array_join("splits", ",").alias("splits"), "first")
+
+
+@query("SELECT source AS config, lang AS split, count(*) AS n_files, CAST(sum(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END) AS BIGINT) AS bytes FROM documents GROUP BY ALL ORDER BY bytes DESC, config NULLS FIRST, split NULLS FIRST LIMIT 10", "documents")
+def file_groups(docs: DataFrame) -> DataFrame:
+    return L.file_groups(docs.select(F.col("source").alias("config"), F.col("lang").alias("split"), F.when(F.col("doc_id") % 7 == 0, "unknown").otherwise(F.col("n_chars").cast("string")).alias("size")))
+
+
+@query(
+    "SELECT n_files, bytes, CASE WHEN bytes >= 1073741824 THEN printf('%.1f GB', bytes / 1073741824) WHEN bytes >= 1048576 THEN printf('%.1f MB', bytes / 1048576) WHEN bytes >= 1024 THEN printf('%.1f KB', bytes / 1024) ELSE bytes || ' B' END AS shown "
+    "FROM (SELECT count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents)", "documents",
+)
+def file_total(docs: DataFrame) -> DataFrame:
+    return L.file_total(docs.select(F.col("n_chars").alias("size")))
+
+
+@query("SELECT count(*) AS n, (SELECT string_agg(lang, ',' ORDER BY lang) FROM (SELECT DISTINCT lang FROM documents)) AS langs FROM documents", "documents")
+def distinct_languages(docs: DataFrame) -> DataFrame:
+    return L.distinct_values(docs, "lang").select("n", F.array_join("values", ",").alias("langs"))
+
+
+@query("SELECT provider, ready, bool_and(ready) OVER () AS ok FROM (SELECT user_id AS provider, bool_and(event_type <> 'error') AS ready FROM events GROUP BY user_id)", "events")
+def provider_health(events: DataFrame) -> DataFrame:
+    return L.provider_health(events.select(F.col("user_id").alias("provider"), (F.col("event_type") != "error").alias("ready")))
+
+
+@query("SELECT o_orderkey AS session_id, strftime(o_orderdate, '%Y-%m-%d') AS updated_at FROM orders WHERE o_orderstatus <> 'F' AND o_custkey = 7 ORDER BY 2 DESC, 1 LIMIT 20", "orders")
+def listed_sessions(orders: DataFrame) -> DataFrame:
+    own = orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").cast("string").alias("user_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"), F.when(F.col("o_orderstatus") == "F", "deleted").otherwise("live").alias("visibility"))
+    return L.listed_sessions(own, "7", 20).select("session_id", "updated_at")
+
+
+@query("SELECT s_name AS name, s_acctbal AS stars FROM supplier ORDER BY s_acctbal DESC, s_name LIMIT 30", "supplier")
+def listed_repos(supplier: DataFrame) -> DataFrame:
+    return L.listed_repos(supplier.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("stars"))).select("name", "stars")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '%URGENT%'", "orders")
+def filtered_jobs(orders: DataFrame) -> DataFrame:
+    return L.jobs(orders.withColumn("stage", F.upper("o_orderpriority")), every=True, status="urgent").select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_name LIKE '%ring%' OR p_type LIKE '%PROMO%' OR p_brand = 'Brand#17ring' ORDER BY p_partkey LIMIT 40", "part")
+def trending_papers(part: DataFrame) -> DataFrame:
+    rows = part.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), F.when(F.contains("p_type", F.lit("PROMO")), "of a RING").alias("summary"), F.array("p_brand").alias("keywords"))
+    return L.trending(rows, "Ring", 40).select(F.col("ord").alias("p_partkey"))
+
+
+@query("SELECT o_orderkey AS paper_id, o_totalprice AS citations FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' AND o_totalprice >= 100000 AND o_orderstatus IN ('F', 'O') ORDER BY 2 DESC, 1 LIMIT 25", "orders")
+def papers_between(orders: DataFrame) -> DataFrame:
+    rows = orders.select(F.col("o_orderkey").alias("paper_id"), F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("citations"), F.col("o_orderstatus").alias("field"))
+    return L.papers_between(rows, "1996-01-01", "1997-12-31", 100000, 25, ("F", "O")).select("paper_id", "citations")
+
+
+@query("SELECT doc_id, CAST(u.n AS INTEGER) AS n, u.line AS line FROM (SELECT doc_id, unnest(list_transform(range(2, least(len(l), 4) + 1), lambda i: {'n': i, 'line': l[i]})) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))", "documents")
+def line_range(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.inline(L.lines(F.col("text"), 2, 4)))
+
+
+@query("SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'other' END AS lang FROM documents", "documents")
+def clamped_ids(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", L.clamped(F.upper("lang"), ("en", "de"), "other").alias("lang"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'org' WHEN c_custkey % 3 = 0 OR c_mktsegment = 'BUILDING' THEN 'pro' ELSE 'free' END AS plan FROM customer", "customer")
+def plans(customer: DataFrame) -> DataFrame:
+    org = F.array(F.lit("none"), F.when(F.col("c_mktsegment") == "MACHINERY", "Team").otherwise("free"))
+    return customer.select("c_custkey", L.plan_of(F.when(F.col("c_mktsegment") == "BUILDING", "PRO"), F.col("c_custkey") % 3 == 0, org).alias("plan"))
+
+
+@query("SELECT o_custkey AS list_id, o_orderkey AS ord, 'bad status' AS problem FROM orders WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1", "orders")
+def first_bad_todo(orders: DataFrame) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("parked")
+    return L.first_bad_todo(orders.select(F.col("o_custkey").alias("list_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("content"), status.alias("status")))
+
+
+@query(
+    "SELECT user_id, event_id FROM (SELECT *, min(CASE WHEN event_type = 'signup' THEN event_id END) OVER w AS m, min(event_id) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id)) WHERE m IS NULL OR m = s OR event_id >= m", "events",
+)
+def log_after_install(events: DataFrame) -> DataFrame:
+    line = F.when(F.col("event_type") == "signup", "Installed 12 packages in 30ms").otherwise(F.col("event_type"))
+    return L.after_install(events.select(F.col("user_id").alias("log_id"), F.col("event_id").alias("n"), line.alias("line"))).select(F.col("log_id").alias("user_id"), F.col("n").alias("event_id"))
+
+
+@query(
+    "SELECT direction, paper, count(*) AS n FROM (SELECT 'references' AS direction, l_partkey AS paper FROM lineitem WHERE l_suppkey = 3 UNION ALL SELECT 'citations', l_suppkey FROM lineitem WHERE l_partkey = 3) GROUP BY ALL", "lineitem",
+)
+def citation_graph(lineitem: DataFrame) -> DataFrame:
+    return L.cited(lineitem.select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")), 3)
+
+
+@query(
+    "(SELECT 'model' AS kind, p_name AS name FROM part ORDER BY 2 LIMIT 10) UNION ALL (SELECT 'dataset', s_name FROM supplier ORDER BY 2 LIMIT 10) UNION ALL (SELECT 'space', n_name FROM nation ORDER BY 2 LIMIT 10)", "part", "supplier", "nation",
+)
+def all_resources(part: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    return L.resources({"model": (part, "p_name"), "dataset": (supplier, "s_name"), "space": (nation, "n_name")})
+
+
+@query("SELECT item_id, 'system: help;user: ' || trim(text) || ';assistant: item ' || item_id AS said FROM benchmark", "benchmark")
+def training_messages(benchmark: DataFrame) -> DataFrame:
+    made = L.to_messages(F.col("text"), F.concat(F.lit(" item "), F.col("item_id").cast("string")), "help")
+    return benchmark.select("item_id", F.array_join(F.transform(made, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), ";").alias("said"))
+
+
+@query("SELECT event_id, event_id % 5 <> 0 AS good, CASE WHEN event_id % 5 <> 0 THEN props ELSE '{}' END AS arguments FROM events", "events")
+def good_tool_calls(events: DataFrame) -> DataFrame:
+    return L.good_calls(events.select("event_id", F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("arguments")))
+
+
+@query("SELECT event_id, event_type AS tool, CAST(event_id AS VARCHAR) AS tool_call_id, CASE WHEN event_id % 2 = 0 THEN props ELSE '{}' END AS arguments FROM events", "events")
+def pending_approvals(events: DataFrame) -> DataFrame:
+    key = F.col("event_id").cast("string")
+    nested = F.to_json(F.struct(key.alias("id"), F.struct(F.col("event_type").alias("name"), F.col("props").alias("arguments")).alias("function")))
+    flat = F.to_json(F.struct(key.alias("tool_call_id"), F.col("event_type").alias("tool"), F.lit("not json").alias("arguments")))
+    return events.select("event_id", L.pending_calls(F.when(F.col("event_id") % 2 == 0, nested).otherwise(flat)).alias("c")).select("event_id", "c.*")
+
+
+@query(
+    "SELECT event_id, CASE WHEN p >= 60 OR k > 60 THEN 'stop' WHEN p >= 40 AND coalesce(b, 0) < 40 THEN 'warn' ELSE 'go' END AS state FROM (SELECT event_id, max(value) OVER w AS p, row_number() OVER w AS k, "
+    "max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))", "events",
+)
+def token_budget(events: DataFrame) -> DataFrame:
+    return L.budget_state(events.select("event_id", F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("value").alias("tokens")), 40, 60).select("event_id", "state")
+
+
+@query("SELECT 'red widget' AS model, max(p_size) AS context FROM part WHERE p_name = 'red widget' AND p_type = 'ECONOMY'", "part")
+def model_context(part: DataFrame) -> DataFrame:
+    rows = part.select(F.col("p_name").alias("model"), F.col("p_brand").alias("provider"), F.when(F.col("p_type") == "ECONOMY", "live").otherwise("down").alias("status"), F.col("p_size").alias("context"))
+    return L.context_length(rows, "red widget:fast")
+
+
+@query("SELECT doc_id, source IN ('eval', 'test') OR doc_id % 4 = 1 AS holdout FROM documents", "documents")
+def holdout_sources(docs: DataFrame) -> DataFrame:
+    k = F.col("doc_id") % 4
+    name = F.when(k == 1, "Data\\Test/part").when(k == 2, "attestation").when(k == 3, "testset").otherwise(F.col("source"))
+    return docs.select("doc_id", L.names_holdout(name).alias("holdout"))
+
+
+@query("SELECT string_agg(role, ',' ORDER BY role) AS roles, (SELECT count(*) FROM (SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_and(coalesce(text, '') <> ''))) AS with_content, (SELECT count(DISTINCT conv_id) FROM conversations) AS n FROM (SELECT DISTINCT role FROM conversations)", _CONV)
+def message_structure(turns: DataFrame) -> DataFrame:
+    return L.message_structure(conversations.assembled(turns)).select(F.array_join("roles", ",").alias("roles"), "with_content", "n")
+
+
+@query(
+    "SELECT n_nationkey AS question_id, 'answered' AS status, n_name AS answer, 'Purpose' AS answer_column FROM nation", "nation",
+)
+def table_answers(nation: DataFrame) -> DataFrame:
+    rows = nation.select(F.col("n_nationkey").cast("long").alias("row_index"), F.format_string("Form N%d", "n_nationkey").alias("Form No"), F.col("n_name").alias("Purpose"))
+    asked = nation.select(F.col("n_nationkey").alias("question_id"), F.format_string("What is form n-%d used for?", "n_nationkey").alias("question"))
+    return lookup.table_answers(asked, rows).select("question_id", "status", "answer", "answer_column")
