@@ -21,6 +21,8 @@ from .ranking import labelled_sample
 
 #: Labelled rows a fit reads at most, the smallest xxhash64(doc_id) first, and the size of the hashed feature space.
 FIT_ROWS, BUCKETS, FOLDS = 8_000, 1 << 18, 3
+#: Lengths in bytes of the beginnings of words that count as features of their own.
+STEMS = (5, 7)
 #: A word takes part if its log-likelihood ratio (G-test) with the label is at least this.
 LEAST_GAIN = 12.0
 #: Categories of the labels table in chain order.
@@ -30,13 +32,19 @@ _EDGE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fal
 
 
 def buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row offsets, buckets): the distinct hashed words of each text; letters and digits, A-Z in lower case."""
+    """(row offsets, buckets): the distinct hashed words of each text, letters and digits with A-Z in lower case, and the distinct beginnings of
+    STEMS bytes of its longer words, which inflected forms of one stem share."""
     parts, sizes = [], []
     for a, b, raw, off in pieces(column):
         raw = lower(raw)
         starts, ends, woff = split(raw, off, _EDGE)
-        key = (row_of(woff).astype(np.uint64) << np.uint64(32)) | (hashes(raw, starts, ends) % np.uint64(BUCKETS))
-        key = np.unique(key)
+        row = row_of(woff).astype(np.uint64) << np.uint64(32)
+        keys = [row | (hashes(raw, starts, ends) % np.uint64(BUCKETS))]
+        for k, n in enumerate(STEMS, 1):
+            long = np.flatnonzero(ends - starts > n)
+            stem = mix(hashes(raw, starts[long], starts[long] + n) + np.uint64(k))
+            keys.append(row[long] | (stem % np.uint64(BUCKETS)))
+        key = np.unique(np.concatenate(keys))
         sizes.append(np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=b - a))
         parts.append((key & np.uint64(0xFFFFFFFF)).astype(np.int32))
     n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
