@@ -154,12 +154,12 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300, seed:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, where=None) -> DataFrame:
     """At most ``bound`` labelled rows (doc_id, text, labels), those whose ids hash lowest. Null ids and labels are left out;
-    an id labelled twice takes its lowest label. ``bound`` is the documented limit of what a fit reads."""
+    an id labelled twice takes its lowest label, one of several texts the first in byte order (null if all are). ``bound`` is the documented limit of what a fit reads."""
     own = labels.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if where is not None:
         own = own.where(where)
     own = own.groupBy("doc_id").agg(F.min(label).alias(label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label)
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
