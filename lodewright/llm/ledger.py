@@ -144,5 +144,15 @@ m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_rep
              CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_upper,
              len(regexp_extract_all(t, '[!?]')) AS n_marks, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_stutter FROM w LEFT JOIN c USING (k))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (%RULES%) AS kept, CAST(%BITS% AS BIGINT) AS fail_bits FROM m
+       NOT (%RULES%) AS kept, CAST(%BITS% AS BIGINT) AS fail_bits, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper AS BIGINT) AS n_upper,
+       CAST(n_marks AS BIGINT) AS n_marks, CAST(n_stutter AS BIGINT) AS n_stutter FROM m
 """.replace("%RULES%", " OR ".join(f"({when})" for _, when in RULES)).replace("%BITS%", " + ".join(f"(CASE WHEN {when} THEN {BIT[name]} ELSE 0 END)" for name, when in RULES))
+
+
+def ablation_sql(policy: str) -> str:
+    """DuckDB SQL of ``ablations`` over the ledger of documents."""
+    m = mask(policy)
+    rules = ", ".join(f"('{r}', {BIT[r]})" for r in POLICIES[policy])
+    return f"""SELECT '{policy}' AS policy, r.rule, count(*) AS n_docs, count(*) FILTER (bits & bit <> 0) AS n_fail, count(*) FILTER (bits = bit) AS n_only,
+    count(*) FILTER (bits = 0) AS kept, count(*) FILTER (bits = 0 OR bits = bit) AS kept_without
+    FROM (SELECT fail_bits & {m} AS bits FROM ({SQL})), (VALUES {rules}) AS r(rule, bit) GROUP BY r.rule"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chains, golay, ledger, licenses, maxent, mixing, pii, ranking, spaced_seeds, wavelet
+from ._store import written
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,8 +27,13 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger.ledger(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", *ledger.MEASURES[:5], (~ledger.passes("base/1")).alias("base_failed"), ledger.passes("web/2").alias("kept"), "fail_bits")
+    rows = written(ledger.ledger(_table(spark, sf_dir, "documents")), "ledger")
+    return rows.select("doc_id", *ledger.MEASURES[:5], (~ledger.passes("base/1")).alias("base_failed"), ledger.passes("web/2").alias("kept"), "fail_bits", *ledger.MEASURES[5:])
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the latest web policy removes alone, from the stored ledger."""
+    return ledger.ablations(written(ledger.ledger(_table(spark, sf_dir, "documents")), "ledger"), "web/2")
 
 
 def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +76,10 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_wavelet_tokens, op2_rule_ledger, op3_bradley_terry, op4_licenses, op5_mix, op6_personal_data, op7_spaced_seeds, op8_maxent,
-        op9_toxicity_chain, op10_golay_simhash,
+        op9_toxicity_chain, op10_golay_simhash, rule_ablations,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_rule_ledger": ledger.SQL}
+    return {"op2_rule_ledger": ledger.SQL, "rule_ablations": ledger.ablation_sql("web/2")}
