@@ -450,3 +450,48 @@ def test_mix_meets_targets_of_small_sources_beside_a_huge_one(spark):
     rows = mixing.mixed(huge.union(small)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert {r.source: r.taken for r in rows if r.source != "huge"} == {"s300": 900, "s1000": 3000, "s3000": 9000}
     assert all(abs(r.taken - r.target) <= 0.5 for r in rows)
+
+
+def slow_features(text):
+    """The ranker's features, one text at a time."""
+    raw = (text or "").encode()
+    low = re.sub(b"[A-Z]", lambda m: m[0].lower(), raw)
+    words = raw.split()
+    if not words:
+        return [0.0] * len(ranking.FEATURES)
+    keys = low.split()
+    chars = max(1, sum(map(len, words)))
+    n = len(words)
+    later = lambda xs: len(xs) - len(set(xs))
+    lines = [x for x in raw.split(b"\n") if x]
+    inside = b"".join(words)
+    count = lambda s: sum(inside.count(bytes([c])) for c in s)
+    return [
+        math.log1p(n), count(range(65, 91)) / chars, count(b"#*$%&<>{}[]\\^~=_@") / chars, count(b"!?") / n, count(b"0123456789") / chars, count(range(128, 256)) / chars,
+        len(inside.decode()) / n / 10, sum(w[-1:] in (b".", b",", b";", b":") for w in words) / n, 1 - later(keys) / n, later(list(zip(keys, keys[1:]))) / n,
+        later(list(zip(keys, keys[1:], keys[2:]))) / n, sum(a == b for a, b in zip(keys, keys[1:])) / n, later(lines) / max(1, len(lines)), len(lines) / n,
+        sum(65 <= w[0] <= 90 for w in words) / n, count(b"|") / n,
+    ]
+
+
+def test_ranking_by_brute_force(spark, sf):
+    """Scores recomputed text by text from the model; the fitted weights lower the pairs' loss and stand near its minimum."""
+    docs = documents(spark, sf)
+    model = ranking.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r.score for r in ranking.score(docs, model).collect()}
+    for d in docs.collect():
+        x = np.array(slow_features(d.text))
+        z = np.clip((x - model.mean) / model.spread, -6, 6)
+        bent = [*z, *(max(0.0, v - k) if k > 0 else max(0.0, k - v) for k in ranking.KNOTS for v in z)]
+        s = (sum(a * b for a, b in zip(bent, model.weights)) - model.threshold) / model.scale
+        assert math.isclose(got[d.doc_id], 1 / (1 + math.exp(-max(-30, min(30, s)))), abs_tol=1e-6), d.doc_id
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(slow_features(d.text), label[d.doc_id]) for d in docs.collect() if d.doc_id in label]
+    b = ranking.basis((np.array([x for x, _ in rows]) - model.mean) / model.spread)
+    good, bad = (b[[i for i, (_, y) in enumerate(rows) if y == v]] for v in (1, 0))
+    diff = (good[:, None] - bad[None]).reshape(-1, b.shape[1])
+    loss = lambda w: np.logaddexp(0, -diff @ w).mean() + 5e-4 * w @ w
+    best = model.weights.copy()
+    for _ in range(300):
+        best -= 0.05 * (-(diff * (1 / (1 + np.exp(np.clip(diff @ best, -30, 30))))[:, None]).mean(0) + 1e-3 * best)
+    assert loss(model.weights) < 0.2 * loss(np.zeros_like(best)) and loss(model.weights) < loss(best) + 0.05

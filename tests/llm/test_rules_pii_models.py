@@ -38,8 +38,9 @@ def test_ledger_matches_sql(spark, sf):
     sf = sf.replace("0.001", "0.01")
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = sorted(con.execute(ledger.SQL).fetchall())
-    assert sorted(tuple(r) for r in queries()["op2_rule_ledger"](spark, sf).collect()) == want
+    for name, sql in (("op2_rule_ledger", ledger.SQL), ("rule_ablations", ledger.ablation_sql("web/2"))):
+        got, cur = queries()[name](spark, sf), con.execute(sql)
+        assert got.columns == [d[0] for d in cur.description] and sorted(tuple(r) for r in got.collect()) == sorted(cur.fetchall())
 
 
 def test_ledger_by_brute_force_and_odd_rows(spark, odd):
@@ -288,3 +289,38 @@ def test_frequent_words_by_histogram(spark):
         got = sorted((r.c for r in maxent.frequent(counts, most).collect()), reverse=True)
         assert len(got) <= most and len(got) >= min(5000, 0.75 * most - 10)
     assert maxent.frequent(counts.limit(0), 5).count() == 0
+
+
+def test_toxicity_by_language(spark, sf):
+    """Of all held-out rows of good quality that are labelled toxic, marked or not, by language."""
+    sf = sf.replace("0.001", "0.1")
+    docs, labels = documents(spark, sf), chains.chain_labels(spark.read.parquet(f"{sf}/labels.parquet"))
+    models = chains.train(docs, labels.where("doc_id % 4 <> 0"), chains.CHAIN)
+    rows = chains.predict(docs, models, chains.CHAIN).join(docs.select("doc_id", "lang"), "doc_id").join(labels.where("low_quality = 0 AND doc_id % 4 = 0"), "doc_id").collect()
+    caught = Counter((r.lang, r.p_toxic >= 0.5) for r in rows if r.toxic)
+    print(caught, np.mean([r.p_toxic >= 0.5 for r in rows if not r.toxic]))
+    share = {x: caught[x, True] / (caught[x, True] + caught[x, False]) for x in {x for x, _ in caught} if caught[x, True] + caught[x, False] >= 5}
+    assert sum(n for (_, yes), n in caught.items() if yes) >= 0.88 * sum(caught.values()), share
+    assert np.mean([r.p_toxic >= 0.5 for r in rows if not r.toxic]) < 0.01
+
+
+def test_chain_by_brute_force(spark, sf):
+    """Probabilities recomputed word by word from the chain's weights."""
+    docs, labels = documents(spark, sf), chains.chain_labels(spark.read.parquet(f"{sf}/labels.parquet"))
+    models = chains.train(docs, labels, chains.CHAIN)
+    got = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in chains.predict(docs, models, chains.CHAIN).collect()}
+    one = lambda w: int(chains.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    for d in docs.collect():
+        words = set(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), (d.text or "").encode())))
+        found = {one(w) % chains.BUCKETS for w in words}
+        for k, n in enumerate(chains.STEMS, 1):
+            found |= {int(chains.mix(np.array([one(w[:n])], np.uint64) + np.uint64(k))[0]) % chains.BUCKETS for w in words if len(w) > n}
+        p = []
+        for m in models:
+            z = sum(float(m.weight[i]) for i in found) + sum(a * b for a, b in zip(p, m.dense)) + m.bias
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert np.allclose(p, got[d.doc_id], atol=1e-6)
+
+
+def test_stored_measures_are_whole(spark, sf):
+    assert set(ledger.MEASURES) <= set(queries()["op2_rule_ledger"](spark, sf).columns)
