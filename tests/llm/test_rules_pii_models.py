@@ -324,3 +324,22 @@ def test_chain_by_brute_force(spark, sf):
 
 def test_stored_measures_are_whole(spark, sf):
     assert set(ledger.MEASURES) <= set(queries()["op2_rule_ledger"](spark, sf).columns)
+
+
+def test_licenses_with_substitutions(spark):
+    """Notices with words changed are found whenever 0.8 of their shingles stand together, and only then."""
+    rng = np.random.default_rng(12)
+    cut = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    docs, want = [], set()
+    for name, text in licenses.TEMPLATES.items():
+        for k in (1, 2, 3):
+            words = cut(text)
+            for i in rng.choice(len(words), min(k, len(words)), replace=False):
+                words[i] = "changed"
+            words = [f"x{j}" for j in range(int(rng.integers(0, 40)))] + words + ["y"] * 9
+            docs.append((len(docs), " ".join(words)))
+            have = grams(words)
+            want |= {(len(docs) - 1, n) for n, t in licenses.TEMPLATES.items() if len(grams(cut(t)) & have) >= 0.8 * len(grams(cut(t)))}
+    got = {(r.doc_id, r.license) for r in licenses.licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and len(want) > 10
