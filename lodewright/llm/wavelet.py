@@ -203,7 +203,7 @@ class Encoder(dict):
     The pieces of late are kept in two generations of MOST each: a full one becomes the old one, and pieces met again move up.
     """
 
-    MOST = 700_000
+    MOST = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
