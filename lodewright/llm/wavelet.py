@@ -203,7 +203,7 @@ class Encoder(dict):
     The pieces of late are kept in two generations of MOST each: a full one becomes the old one, and pieces met again move up.
     """
 
-    MOST = 500_000
+    MOST = 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -218,7 +218,7 @@ class Encoder(dict):
         self.apart = (
             spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER and spec.get("post_processor") is None
             and not spec.get("truncation") and not spec.get("padding") and all(spec["model"].get(k) == v for k, v in BPE.items())
-            and all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and 32 < ord(t["content"][0]) < 127 for t in added)
+            and all(not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and 32 < ord(t["content"][0]) < 127 and not t["content"][0].isalnum() for t in added)
         )
         first = re.escape("".join({t["content"][0] for t in added}))
         #: What keeps a text from being taken apart as a whole, and a word from being taken apart.
@@ -262,12 +262,10 @@ class Encoder(dict):
             pieces.difference_update(again)
         odd, plain, other = [], [], []
         for w in pieces:
-            if not w.isalpha() or self.bad.search(w):
-                odd.append(w)
-            elif w.isascii():
-                (plain if w.islower() else odd).append(w)
+            if w.isascii():
+                (plain if w.isalpha() and w.islower() else odd).append(w)
             else:
-                other.append(w)
+                (other if w.isalpha() and not self.bad.search(w) else odd).append(w)
         self._alone(odd)
         self._together(plain, self.plain)
         self._together(other, self.other)
