@@ -495,3 +495,18 @@ def test_ranking_by_brute_force(spark, sf):
     for _ in range(300):
         best -= 0.05 * (-(diff * (1 / (1 + np.exp(np.clip(diff @ best, -30, 30))))[:, None]).mean(0) + 1e-3 * best)
     assert loss(model.weights) < 0.2 * loss(np.zeros_like(best)) and loss(model.weights) < loss(best) + 0.05
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_odd_rows(spark, odd, sf, tmp_path, empty):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables go through every stage."""
+    import corpus_pipeline as c
+
+    (odd.limit(0) if empty else odd).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (5, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").limit(0 if empty else 3).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "null id text here and more"), (None, "x"), (2, None)], "item_id long, text string").limit(0 if empty else 3).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in c.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    rows = c.run(spark, str(tmp_path)).collect()
+    assert all(r.n_tokens >= 1 for r in rows) and (not rows) == empty
