@@ -13,29 +13,34 @@ from lodewright.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the Bradley-Terry ranker does not reject, as learnt from the labelled rows that are not held out."""
+    """Documents the Bradley-Terry ranker does not reject, as learnt from the labelled rows that are not held out. Null texts score as empty
+    ones; repeated rows share their verdict; without labels all stay; an empty table stays empty."""
     every = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = ranking.train(every, spark.read.parquet(f"{sf_dir}/labels.parquet"), where=~ranking.held_out())
     return ranking.keep_good(docs, model)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the one with the smallest id."""
+    """One document of each SimHash group, the one with the smallest id; of repeated rows of that id one. Null and empty texts are one group; rows
+    with a null id all stay."""
     return golay.one_per_group(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null texts hold none, null items are not sought, and rows with a null id stay; all rows of an id
+    go if one text of it holds an item; with an empty benchmark all stay."""
     return spaced_seeds.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights, in whole documents."""
+    """The sources at their target weights, in whole documents. Documents without words do not come; a null source is one of its own; rows
+    that share id, text and source come equally often."""
     return mixing.remixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Wavelet-matrix shards, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    """Wavelet-matrix shards, read back: (doc_id, start, n_tokens, ids_crc32). Null ids come first, null texts are their end id alone, and
+    every copy of a row is written; an empty table gives no rows."""
     return wavelet.digest(spark, wavelet.write_shards(docs, tokenizer_path()), docs.schema["doc_id"].dataType)
 
 
