@@ -268,9 +268,8 @@ def save_warning(script: Column) -> Column:
 
 
 def push_to_hub(script: Column) -> Column:
-    """The first value that ``push_to_hub`` is set to; null if none."""
-    said = F.lower(F.regexp_extract(script, r"(?i)push_to_hub\s*=\s*(true|false)", 1))
-    return F.when(said != "", said == "true")
+    """The first value that ``push_to_hub`` is set to; false if none."""
+    return F.coalesce(F.lower(F.regexp_extract(script, r"(?i)push_to_hub\s*=\s*(true|false)", 1)) == "true", F.lit(False))
 
 
 #: Names of held-out splits, and what parts them from their surroundings.

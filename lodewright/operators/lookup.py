@@ -176,8 +176,8 @@ def overlap_top1(questions: DataFrame, rows: DataFrame) -> DataFrame:
     return found.select("question_id", (wide("9223372036854775807") - rest).cast("long").alias("row_id"), F.expr("x div 18446744073709551616BD").cast("long").alias("shared"))
 
 
-def _times(word: str) -> Column:
-    return F.size(F.filter("w", lambda x: x == word))
+def _times(word: str, words: str = "w") -> Column:
+    return F.size(F.filter(words, lambda x: x == word))
 
 
 def bm25(docs: DataFrame, query: str, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -192,3 +192,52 @@ def bm25(docs: DataFrame, query: str, k: int = 10, k1: float = 1.2, b: float = 0
     part = lambda i: idf(i) * F.col(f"t{i}") * (k1 + 1) / (F.col(f"t{i}") + k1 * (1 - b + b * F.col("n") / F.col("avg")))
     hit = F.greatest(*[F.col(f"t{i}") for i in range(len(words))], F.lit(0)) > 0
     return one.where(hit).select("doc_id", F.round(sum((part(i) for i in range(len(words))), F.lit(0.0)), 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def stem(word: Column) -> Column:
+    """A word without a common English ending, if four letters or more stay: sses to ss, ies to y, ing, ed, es after a hiss, and a plural s."""
+    rules = ((r"^(.{2,}ss)es$", "$1"), (r"^(.{3,})ies$", "$1y"), (r"^(.{4,})ing$", "$1"), (r"^(.{4,})ed$", "$1"), (r"^(.{2,}(?:x|ch|sh|z))es$", "$1"), (r"^(.{3,}[^su])s$", "$1"))
+    out = word
+    for pattern, to in reversed(rules):
+        out = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, to)).otherwise(out)
+    return out
+
+
+#: Weights of the fields of an endpoint in a search.
+ENDPOINT_FIELDS = {"summary": 3.0, "operation_id": 2.0, "description": 1.0, "tags": 1.5, "param_names": 1.0}
+
+
+def field_search(rows: DataFrame, fields: dict[str, float], query: str, k: int = 20, where: Column | None = None, order: tuple[str, ...] = ("path", "method"), k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The first ``k`` rows, all columns and ``score``, by the weighted sum of each field's BM25 over stemmed words, for any word of the query;
+    ties by ``order``. Rows that ``where`` does not admit count in the statistics but never take a place: the filter comes before the limit.
+    Null fields are empty. A query without a word finds nothing."""
+    asked = sorted(set(_query_words(rows, query)))
+    if not asked:
+        return rows.withColumn("score", F.lit(0.0)).limit(0)
+    names = list(fields)
+    words = {f: F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{f}`").cast("string"), F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)), stem) for f in names}
+    split = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), *(words[f].alias(f"w{i}") for i, f in enumerate(names)))
+    counts = [_times(q, f"w{i}").alias(f"t{i}_{j}") for i in range(len(names)) for j, q in enumerate(asked)]
+    base = split.select("row", *(F.size(f"w{i}").alias(f"n{i}") for i in range(len(names))), *counts)
+    met = [(i, j) for i in range(len(names)) for j in range(len(asked))]
+    stats = base.agg(F.count("*").alias("docs"), *(F.avg(f"n{i}").alias(f"mean{i}") for i in range(len(names))), *(F.count_if(F.col(f"t{i}_{j}") > 0).alias(f"d{i}_{j}") for i, j in met))
+    hit = F.greatest(*(F.col(f"t{i}_{j}") for i, j in met), F.lit(0)) > 0
+
+    def part(i: int, j: int) -> Column:
+        t, d = F.col(f"t{i}_{j}"), F.col(f"d{i}_{j}")
+        idf = F.log(1 + (F.col("docs") - d + 0.5) / (d + 0.5))
+        return F.when(t > 0, F.lit(fields[names[i]]) * idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col(f"n{i}") / F.col(f"mean{i}")))).otherwise(0.0)
+
+    scored_rows = base.where(hit).join(F.broadcast(stats)).select("row.*", F.round(sum((part(i, j) for i, j in met), F.lit(0.0)), 2).alias("score"))
+    admitted = scored_rows if where is None else scored_rows.where(where)
+    return admitted.orderBy(F.desc("score"), *order).limit(k)
+
+
+def _query_words(rows: DataFrame, query: str) -> list[str]:
+    one = rows.sparkSession.range(1).select(F.transform(F.regexp_extract_all(F.lower(F.lit(query)), F.lit("([a-z0-9]+)"), F.lit(1)), stem).alias("w"))
+    return one.first()["w"]
+
+
+def tagged(tag: str | None, tags: str = "tags") -> Column | None:
+    """Rows whose joined tags hold ``tag`` as a part; no filter for no tag."""
+    return F.contains(F.coalesce(F.col(tags), F.lit("")), F.lit(tag)) if tag else None

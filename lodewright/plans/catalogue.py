@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions import text as X
 from ..functions.values import timeout_hours
-from ..operators import activity, conversations, evals, lookup
+from ..operators import activity, conversations, evals, exchange, lookup, training
 from ..operators import listings as L
 from ..operators import profile as P
 from ..sources.formats import sections, union_by_name
@@ -505,3 +505,92 @@ def table_answers(nation: DataFrame) -> DataFrame:
     rows = nation.select(F.col("n_nationkey").cast("long").alias("row_index"), F.format_string("Form N%d", "n_nationkey").alias("Form No"), F.col("n_name").alias("Purpose"))
     asked = nation.select(F.col("n_nationkey").alias("question_id"), F.format_string("What is form n-%d used for?", "n_nationkey").alias("question"))
     return lookup.table_answers(asked, rows).select("question_id", "status", "answer", "answer_column")
+
+
+@query(r"SELECT conv_id, turn, regexp_matches(text || CASE WHEN turn % 3 = 0 THEN ' Fine-tune' ELSE 'sft' END, '(?i)\b(?:fine[-\s]?tune|finetune|sft)\b') AS wanted FROM conversations", _CONV)
+def finetune_requests(turns: DataFrame) -> DataFrame:
+    said = F.concat("text", F.when(F.col("turn") % 3 == 0, " Fine-tune").otherwise("sft"))
+    return turns.select("conv_id", "turn", training.wants_finetune(said).alias("wanted"))
+
+
+@query(
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'trackio_sync_failure' END AS error, CASE event_id % 4 WHEN 0 THEN 'n = ' || event_id || chr(10) || 'a(max_seq_length=1)' WHEN 1 THEN 'import trackio' || chr(10) || 'n = ' || event_id || chr(10) || 'a(max_length=1)' END AS script FROM events", "events",
+)
+def training_repairs(events: DataFrame) -> DataFrame:
+    k = F.col("event_id") % 4
+    log = F.when(k == 0, "rank_pattern: cannot write struct type (trackio)").when(k == 1, "unknown argument max_seq_length").when(k == 2, "rank_pattern only")
+    script = F.concat(F.lit("import trackio\nn = "), F.col("event_id").cast("string"), F.lit("\na(max_seq_length=1)"))
+    return events.select("event_id", training.known_error(log).alias("error"), training.repaired_script(script, log).alias("script"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS status, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 1 END AS issues FROM events", "events")
+def script_checks(events: DataFrame) -> DataFrame:
+    severity = F.when(F.col("event_id") % 3 == 0, "Error").when(F.col("event_id") % 3 == 1, "warning").otherwise("note")
+    given = F.to_json(F.struct(F.lit("pass").alias("status"), F.array(F.struct(severity.alias("severity"), F.col("event_type").alias("code"))).alias("issues")))
+    checked = training.checked_script(given)
+    return events.select("event_id", checked["status"].alias("status"), F.size(checked["issues"]).alias("issues"))
+
+
+@query("SELECT event_type AS model, 'main' AS kind, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS latency_ms, CAST(sum(user_id) AS DOUBLE) / 4 AS cost_usd FROM events GROUP BY ALL", "events")
+def model_call_totals(events: DataFrame) -> DataFrame:
+    data = F.to_json(F.struct(F.col("event_type").alias("model"), F.col("user_id").alias("latency_ms"), (F.col("user_id") / 4).alias("cost_usd")))
+    return training.model_calls(events.select(F.lit("llm_call").alias("event_type"), data.alias("data"))).drop("total_tokens")
+
+
+@query("SELECT event_id, CAST(0 AS INTEGER) AS pos, event_id AS seq, props AS body FROM events UNION ALL SELECT event_id, 1, event_id + 5, '{\"seq\":' || (event_id + 5) || '}' FROM events", "events")
+def parsed_streams(events: DataFrame) -> DataFrame:
+    key = F.col("event_id").cast("string")
+    text = F.concat(F.lit(": on\r\nid: "), key, F.lit("\r\ndata: "), "props", F.lit('\r\n\r\ndata: {"seq":'), (F.col("event_id") + 5).cast("string"), F.lit("}"))
+    return exchange.stream_events(events.select("event_id", text.alias("text")), "event_id").select("event_id", "pos", "seq", "body")
+
+
+@query(
+    "SELECT conv_id, turn AS pos, CAST(0 AS INTEGER) AS sub, role, text AS content, NULL AS tool_call_id FROM conversations WHERE role IN ('user', 'assistant') AND text <> '' UNION ALL "
+    "SELECT conv_id, turn, 1, 'tool', 'done', 'c' || turn FROM conversations WHERE role = 'assistant' AND turn % 2 = 1", _CONV,
+)
+def exploded_chat(turns: DataFrame) -> DataFrame:
+    null = F.lit(None).cast("string")
+    part = lambda kind, text, call, output: F.struct(F.lit(kind).alias("type"), text.alias("text"), call.alias("toolCallId"), null.alias("toolName"), null.alias("input"), output.alias("output"), null.alias("errorText"))
+    parts = F.array(part("text", F.col("text"), null, null), part("tool-read", null, F.concat(F.lit("c"), F.col("turn").cast("string")), F.when(F.col("turn") % 2 == 1, "done")))
+    return exchange.turns_of(turns.select("conv_id", F.col("turn").alias("pos"), "role", parts.alias("parts")), "conv_id").drop("tool_calls")
+
+
+@query(
+    "SELECT r_regionkey, min(n_nationkey) FILTER (CAST(n_nationkey AS VARCHAR) LIKE '%' || r_regionkey || '%') AS found FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey", "region", "nation",
+)
+def found_sections(region: DataFrame, nation: DataFrame) -> DataFrame:
+    """Of each region's nations the first whose name's number holds the region's."""
+    own = nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("at"), F.lit("-").alias("id"), F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("title")))).alias("s"))
+    asked = region.join(own, F.col("r_regionkey") == F.col("n_regionkey"))
+    return asked.select("r_regionkey", exchange.found_section(F.col("s"), F.col("r_regionkey").cast("string"))["at"].alias("found"))
+
+
+@query(
+    "WITH j AS (SELECT n_nationkey AS ord, n_name AS id, 'image ' || repeat('x', CAST(n_nationkey AS INTEGER)) AS image FROM nation), w AS (SELECT greatest(max(length(id)), 6) AS w FROM j) "
+    "SELECT ord, '| ' || rpad(id, CAST(w AS INTEGER), ' ') || ' | ' || rpad(CASE WHEN length(image) > 20 THEN left(image, 17) || '...' ELSE image END, 20, ' ') || ' | ' || rpad('python train.py', 30, ' ') || ' | ' || rpad('N/A', 19, ' ') || ' | ' || rpad('RUNNING', 12, ' ') || ' |' AS line FROM j, w", "nation",
+)
+def job_table(nation: DataFrame) -> DataFrame:
+    rows = nation.select("n_nationkey", F.col("n_name").alias("id"), F.concat(F.lit("image "), F.repeat(F.lit("x"), F.col("n_nationkey").cast("int"))).alias("image"), F.lit("python train.py").alias("command"), F.lit("N/A").alias("created"), F.lit("RUNNING").alias("status"))
+    return exchange.job_lines(rows, "n_nationkey").where("head = 1").select("ord", "line")
+
+
+def _field_score(query: tuple[str, ...], fields: dict[str, float]) -> str:
+    """DuckDB SQL of the weighted BM25 sum over columns t{i}_{j}, n{i} and statistics d{i}_{j}, mean{i}, docs."""
+    part = "CASE WHEN t{i}_{j} > 0 THEN {w} * ln(1 + (docs - d{i}_{j} + 0.5) / (d{i}_{j} + 0.5)) * t{i}_{j} * 2.2 / (t{i}_{j} + 1.2 * (0.25 + 0.75 * n{i} / mean{i})) ELSE 0 END"
+    met = [(i, j) for i in range(len(fields)) for j in range(len(query))]
+    words = ", ".join(f"list_transform(regexp_extract_all(lower({f}), '[a-z0-9]+'), lambda x: regexp_replace(x, '^(.{{3,}}[^su])s$', '\\1')) AS w{i}" for i, f in enumerate(fields))
+    counts = ", ".join([f"len(w{i}) AS n{i}" for i in range(len(fields))] + [f"len(list_filter(w{i}, lambda x: x = '{query[j]}')) AS t{i}_{j}" for i, j in met])
+    stats = ", ".join([f"avg(n{i}) AS mean{i}" for i in range(len(fields))] + [f"count(*) FILTER (t{i}_{j} > 0) AS d{i}_{j}" for i, j in met])
+    total = " + ".join(part.format(i=i, j=j, w=list(fields.values())[i]) for i, j in met)
+    return (
+        f"WITH s AS (SELECT *, {words} FROM part), t AS (SELECT p_partkey, p_brand, {counts} FROM s), a AS (SELECT count(*) AS docs, {stats} FROM t) SELECT p_partkey, round({total}, 2) AS score FROM t, a "
+        f"WHERE ({' OR '.join(f't{i}_{j} > 0' for i, j in met)}) AND contains(p_brand, '#1') ORDER BY 2 DESC, 1 LIMIT 20"
+    )
+
+
+_PART_FIELDS = {"p_name": 3.0, "p_type": 1.5}
+
+
+@query(_field_score(("promo", "small"), _PART_FIELDS), "part")
+def endpoint_search(part: DataFrame) -> DataFrame:
+    return lookup.field_search(part, _PART_FIELDS, "Promos, small!", 20, lookup.tagged("#1", "p_brand"), ("p_partkey",)).select("p_partkey", "score")
