@@ -17,6 +17,39 @@ def prompt_cases(rows: DataFrame, prompt: str, answer: str, task: str = "sft", l
     return usable.orderBy("row_index").limit(limit).select(F.concat_ws(":", F.lit(task), "row_index", F.lit("pair")).alias("case_id"), truncated(F.trim(prompt), 240).alias("question"), truncated(F.trim(answer), 240).alias("expected"))
 
 
+def message_cases(rows: DataFrame, messages: str = "messages", task: str = "sft", limit: int = CASES) -> DataFrame:
+    """(case_id, question, expected): one case for each of the first ``limit`` rows, by row_index, whose messages hold an answered question.
+
+    Turns of other roles than system, user and assistant and blank ones do not count. The answer is the last assistant's turn that any
+    user's precedes, the question the last user's turn before it; null and empty arrays have no case."""
+    said = F.transform(F.filter(messages, lambda m: m["role"].isin("system", "user", "assistant") & ~is_missing_text(m["content"])), lambda m: F.struct(m["role"].alias("role"), F.trim(m["content"]).alias("content")))
+    places = lambda role: F.filter(F.transform("m", lambda m, i: F.when(m["role"] == role, i)), lambda i: i.isNotNull())
+    each = rows.select("row_index", said.alias("m")).withColumns({"asked": places("user"), "told": places("assistant")})
+    answer = F.array_max(F.filter("told", lambda i: i > F.array_min("asked")))
+    pair = each.withColumn("a", answer).where("a IS NOT NULL").withColumn("q", F.array_max(F.filter("asked", lambda i: i < F.col("a"))))
+    text = lambda at: truncated(F.get("m", F.col(at))["content"], 240)
+    return pair.orderBy("row_index").limit(limit).select(F.concat_ws(":", F.lit(task), "row_index", F.lit("messages")).alias("case_id"), text("q").alias("question"), text("a").alias("expected"))
+
+
+#: Columns of rows that hold a prompt, and its answer, first match first.
+PROMPTS, COMPLETIONS = ("prompt", "instruction"), ("completion", "output", "response")
+
+
+def golden_cases(rows: DataFrame, key: str | None = None, limit: int = CASES) -> DataFrame:
+    """(case_id, question, expected) by the kind of table: messages, prompts with answers, else a reference table with ``key``. Column names
+    are matched in any case. A table of none of these kinds has no case."""
+    have = {c.lower(): c for c in rows.columns}
+    prompt, answer = (next((have[n] for n in names if n in have), None) for names in (PROMPTS, COMPLETIONS))
+    if "messages" in have:
+        return message_cases(rows, have["messages"], limit=limit)
+    if prompt and answer:
+        return prompt_cases(rows, prompt, answer, limit=limit)
+    if key:
+        return reference_cases(rows, key, limit=limit)
+    blank = F.lit("")
+    return rows.where("false").select(blank.alias("case_id"), blank.alias("question"), blank.alias("expected"))
+
+
 #: Question templates of a reference row: kind, text with the key, answer column.
 FORM_CASES = (("purpose", "What is %s used for?", "Purpose"), ("due_date", "What due date is listed for %s?", "Due Dates"), ("regime", "Which regime applies to %s?", "Old/New Regime Applicability"))
 

@@ -594,3 +594,12 @@ _PART_FIELDS = {"p_name": 3.0, "p_type": 1.5}
 @query(_field_score(("promo", "small"), _PART_FIELDS), "part")
 def endpoint_search(part: DataFrame) -> DataFrame:
     return lookup.field_search(part, _PART_FIELDS, "Promos, small!", 20, lookup.tagged("#1", "p_brand"), ("p_partkey",)).select("p_partkey", "score")
+
+
+@query(
+    "WITH m AS (SELECT * FROM conversations WHERE trim(text) <> ''), u AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM m), "
+    "p AS (SELECT conv_id, trim(q) AS q, trim(text) AS a FROM u WHERE role = 'assistant' AND q IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1) SELECT 'sft:' || conv_id || ':messages' AS case_id, "
+    "CASE WHEN length(q) > 240 THEN rtrim(left(q, 240)) || '...' ELSE q END AS question, CASE WHEN length(a) > 240 THEN rtrim(left(a, 240)) || '...' ELSE a END AS expected FROM p ORDER BY conv_id LIMIT 25", _CONV,
+)
+def golden_cases_messages(turns: DataFrame) -> DataFrame:
+    return evals.golden_cases(conversations.assembled(turns).withColumn("row_index", F.col("conv_id")))

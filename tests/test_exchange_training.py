@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodewright.operators import evals
 from lodewright.operators import exchange as E
 from lodewright.operators import lookup
 from lodewright.operators import training as T
@@ -174,3 +175,17 @@ def test_field_search(spark):
 @pytest.mark.parametrize("word, wanted", [("models", "model"), ("queries", "query"), ("training", "train"), ("classes", "class"), ("boxes", "box"), ("class", "class"), ("status", "status"), ("sing", "sing"), ("uploaded", "upload")])
 def test_stem(spark, word, wanted):
     assert value(spark, lookup.stem(lit(word))) == (wanted,)
+
+
+def test_golden_cases_by_kind_of_table(spark):
+    turn = lambda *pairs: [{"role": r, "content": c} for r, c in pairs]
+    rows = [
+        (0, turn(("assistant", "hello"), ("user", "a"), ("system", "s"), ("user", " b "), ("assistant", " c "), ("tool", "t"), ("user", "d"))),
+        (1, turn(("assistant", "x"), ("user", "y"))), (2, turn(("user", "q"), ("assistant", " "))), (3, []), (4, None), (5, turn(("user", "u" * 300), ("assistant", "v"))),
+    ]
+    df = spark.createDataFrame(rows, "row_index long, Messages array<struct<role:string,content:string>>")
+    assert [tuple(r) for r in evals.golden_cases(df).collect()] == [("sft:0:messages", "b", "c"), ("sft:5:messages", "u" * 240 + "...", "v")]
+    assert evals.golden_cases(df, limit=1).count() == 1 and evals.golden_cases(df.limit(0)).count() == 0
+    pairs = spark.createDataFrame([(0, "i", "o"), (1, "", "o")], "row_index long, Instruction string, output string")
+    assert [tuple(r) for r in evals.golden_cases(pairs).collect()] == [("sft:0:pair", "i", "o")]
+    assert evals.golden_cases(pairs.select("row_index")).count() == 0
