@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions import text as X
 from ..functions.values import timeout_hours
-from ..operators import activity, conversations, evals, exchange, lookup, training
+from ..operators import activity, conversations, evals, exchange, lookup, scripts, training
 from ..operators import listings as L
 from ..operators import profile as P
 from ..sources.formats import sections, union_by_name
@@ -603,3 +603,15 @@ def endpoint_search(part: DataFrame) -> DataFrame:
 )
 def golden_cases_messages(turns: DataFrame) -> DataFrame:
     return evals.golden_cases(conversations.assembled(turns).withColumn("row_index", F.col("conv_id")))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'pass' WHEN event_id % 4 = 3 THEN 'pass' ELSE 'fail' END AS status, event_id % 4 <> 3 AND event_id % 4 <> 2 AS trains, "
+    "CASE event_id % 4 WHEN 1 THEN 'missing_push_to_hub' WHEN 2 THEN 'python_syntax_error' ELSE '' END AS codes FROM events", "events",
+)
+def checked_scripts(events: DataFrame) -> DataFrame:
+    k = F.col("event_id") % 4
+    named = F.concat(F.lit("hub_model_id='o/m"), F.col("event_id").cast("string"), F.lit("')\n"))
+    script = F.when(k == 0, F.concat(F.lit("import trackio\nSFTConfig(push_to_hub=True, "), named)).when(k == 1, F.concat(F.lit("import trackio\nSFTConfig("), named)).when(k == 2, "x = (").otherwise("print(1)")
+    found = scripts.script_check(script, F.lit("8h"), F.array(F.lit("trackio")))
+    return events.select("event_id", found.alias("c")).select("event_id", "c.status", F.col("c.is_training_script").alias("trains"), F.array_join(F.transform("c.issues", lambda i: i["code"]), ",").alias("codes"))
