@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, golay, ledger, licenses, maxent, mixing, pii, ranking, spaced_seeds, wavelet
+from . import chains, golay, ledger, licenses, maxent, mixing, passages, pii, ranking, spaced_seeds, wavelet
 from ._store import written
 
 
@@ -73,13 +73,17 @@ def op10_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "links")
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_wavelet_tokens, op2_rule_ledger, op3_bradley_terry, op4_licenses, op5_mix, op6_personal_data, op7_spaced_seeds, op8_maxent,
-        op9_toxicity_chain, op10_golay_simhash, rule_ablations,
+        op9_toxicity_chain, op10_golay_simhash, op11_repeated_passages, rule_ablations,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_rule_ledger": ledger.SQL, "rule_ablations": ledger.ablation_sql("web/2")}
+    return {"op2_rule_ledger": ledger.SQL, "rule_ablations": ledger.ablation_sql("web/2"), "op11_repeated_passages": passages.SQL}
