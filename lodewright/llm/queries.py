@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, golay, ledger, licenses, maxent, mixing, passages, pii, ranking, spaced_seeds, tries, wavelet
+from . import chains, golay, ledger, licenses, maxent, mixing, passages, pii, prefix_tree, ranking, spaced_seeds, tries, wavelet
 from ._store import written
 
 
@@ -81,13 +81,17 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.prefix_tree(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_wavelet_tokens, op2_rule_ledger, op3_bradley_terry, op4_licenses, op5_mix, op6_personal_data, op7_spaced_seeds, op8_maxent,
-        op9_toxicity_chain, op10_golay_simhash, op11_repeated_passages, op12_collocations, rule_ablations,
+        op9_toxicity_chain, op10_golay_simhash, op11_repeated_passages, op12_collocations, op13_prefix_tree, rule_ablations,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_rule_ledger": ledger.SQL, "rule_ablations": ledger.ablation_sql("web/2"), "op11_repeated_passages": passages.SQL, "op12_collocations": tries.SQL}
+    return {"op2_rule_ledger": ledger.SQL, "rule_ablations": ledger.ablation_sql("web/2"), "op11_repeated_passages": passages.SQL, "op12_collocations": tries.SQL, "op13_prefix_tree": prefix_tree.SQL}
