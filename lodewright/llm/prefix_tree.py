@@ -125,24 +125,28 @@ def _totals(chains: DataFrame) -> DataFrame:
     return every.select("conv_id", "leaves", "saved")
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (digest, conv_id) -> (digest, first, ids): runs of at most IDS ids as one string."""
-    kinds = (pa.binary(), pa.int64(), pa.string())
-    now, ids = None, []
+def _strings(most: int):
+    """Sorted (digest, conv_id) -> (digest, first, ids): runs of at most ``most`` ids as one string."""
 
-    def batch(rows) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) if rows else [[]] * 3, kinds)], names=["digest", "first", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.int64(), pa.string())
+        now, ids = None, []
 
-    for b in batches:
-        out = []
-        for digest, conv in zip(b.column("digest").to_pylist(), b.column("conv_id").to_pylist()):
-            if digest != now or len(ids) >= IDS:
-                if ids:
-                    out.append((now, ids[0], ",".join(map(str, ids))))
-                now, ids = digest, []
-            ids.append(conv)
-        yield batch(out)
-    yield batch([(now, ids[0], ",".join(map(str, ids)))] if ids else [])
+        def batch(rows) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) if rows else [[]] * 3, kinds)], names=["digest", "first", "ids"])
+
+        for b in batches:
+            out = []
+            for digest, conv in zip(b.column("digest").to_pylist(), b.column("conv_id").to_pylist()):
+                if digest != now or len(ids) >= most:
+                    if ids:
+                        out.append((now, ids[0], ",".join(map(str, ids))))
+                    now, ids = digest, []
+                ids.append(conv)
+            yield batch(out)
+        yield batch([(now, ids[0], ",".join(map(str, ids)))] if ids else [])
+
+    return run
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def _ends(every: DataFrame, owned: DataFrame) -> DataFrame:
     last = written(every.join(owned.select("conv_id", F.col("n").alias("depth")), ["conv_id", "depth"]).select("digest", "conv_id"), "ends")
     count = written(last.groupBy("digest").agg(F.count("*").alias("c"), F.min("conv_id").alias("one")), "ends")
     many = last.join(count.where("c > 1").select("digest"), "digest")
-    strings = many.repartitionByRange("digest", "conv_id").sortWithinPartitions("digest", "conv_id").mapInArrow(_strings, "digest binary, first long, ids string")
+    strings = many.repartitionByRange("digest", "conv_id").sortWithinPartitions("digest", "conv_id").mapInArrow(_strings(IDS), "digest binary, first long, ids string")
     shas = strings.repartition("digest").sortWithinPartitions("digest", "first").mapInArrow(_hashed, "digest binary, sha string")
     return count.where("c = 1").select("digest", F.sha2(F.col("one").cast("string"), 256).alias("sha")).union(shas)
 

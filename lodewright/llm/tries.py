@@ -90,12 +90,14 @@ def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
         yield from cut(held)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, s in _shards(batches, SHARD):
-        n = np.bincount(s.ids, minlength=len(s.words))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(n), pa.string()), s.words.cast(pa.string()), pa.array(s.hashes(lang).view(np.int64)), pa.array(n)], names=["lang", "phrase", "hash", "a"]
-        )
+def _counted(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, s in _shards(batches, size):
+            n = np.bincount(s.ids, minlength=len(s.words))
+            columns = [pa.array([lang] * len(n), pa.string()), s.words.cast(pa.string()), pa.array(s.hashes(lang).view(np.int64)), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "hash", "a"])
+
+    return run
 
 
 def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -111,16 +113,16 @@ def _pairs(s: _Shard, lang: str, words) -> tuple[np.ndarray, np.ndarray]:
     return at, _words.mix(h[s.ids[at - 1]] * _B + h[s.ids[at]])
 
 
-def _serialised_pairs(words, ranges: int):
+def _serialised_pairs(words, ranges: int, least: int, size: int):
     """(range, blob) of each shard: sorted pair hashes, then their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(words.value, np.uint8)
-        for lang, s in _shards(batches, SHARD):
+        for lang, s in _shards(batches, size):
             keys, n = np.unique(_pairs(s, lang, bits)[1], return_counts=True)
             which = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
             edges = np.searchsorted(which, np.arange(ranges + 1)) if ranges < len(keys) else np.append(np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(keys) else [], len(keys)).astype(np.int64)
-            n = np.minimum(n, LEAST).astype(np.uint8)
+            n = np.minimum(n, least).astype(np.uint32)
             full = np.flatnonzero(np.diff(edges))
             blobs = [keys[edges[i] : edges[i + 1]].tobytes() + n[edges[i] : edges[i + 1]].tobytes() for i in full]
             yield pa.RecordBatch.from_arrays([pa.array(which[edges[full]].astype(np.int64) if len(full) else [], pa.int64()), pa.array(blobs, pa.binary())], names=["range", "blob"])
@@ -128,18 +130,21 @@ def _serialised_pairs(words, ranges: int):
     return run
 
 
-def _merged_pairs(table: pa.Table) -> pa.Table:
-    keys, counts = [], []
-    for blob in table.column("blob"):
-        raw = blob.as_py()
-        n = len(raw) // 9
-        keys.append(np.frombuffer(raw, np.uint64, n))
-        counts.append(np.frombuffer(raw, np.uint8, n, 8 * n))
-    k = np.concatenate(keys)
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], np.concatenate(counts)[order].astype(np.int64)
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return pa.table({"hash": pa.array(k[first][np.add.reduceat(n, first) >= LEAST].view(np.int64))})
+def _merged_pairs(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for blob in table.column("blob"):
+            raw = blob.as_py()
+            n = len(raw) // 12
+            keys.append(np.frombuffer(raw, np.uint64, n))
+            counts.append(np.frombuffer(raw, np.uint32, n, 8 * n))
+        k = np.concatenate(keys)
+        order = np.argsort(k, kind="stable")
+        k, n = k[order], np.concatenate(counts)[order].astype(np.int64)
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        return pa.table({"hash": pa.array(k[first][np.add.reduceat(n, first) >= least].view(np.int64))})
+
+    return run
 
 
 def _filter(hashes: DataFrame):
@@ -155,12 +160,12 @@ def _filter(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def _tries(words, pairs):
+def _tries(words, pairs, size: int):
     """(lang, path, n) of each shard in order; a path's words each end with a blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, kept = np.frombuffer(words.value, np.uint8), np.frombuffer(pairs.value, np.uint8)
-        for lang, s in _shards(batches, SHARD):
+        for lang, s in _shards(batches, size):
             at, h = _pairs(s, lang, known)
             on = np.zeros(len(s.ids) + DEPTH, bool)  # whether a word goes on a pair that may be frequent
             on[at[_holds(kept, h)]] = True
@@ -181,58 +186,62 @@ def _tries(words, pairs):
     return run
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted paths -> nodes (lang, phrase, depth, a) of two words or more that reach LEAST, or that the range's edges may cut."""
-    stack: list[list] = []  # [prefix, count, on the range's left edge], outermost first
-    lang, edge, out = None, True, []
+def _walk(least: int):
+    """Sorted paths -> nodes (lang, phrase, depth, a) of two words or more that reach ``least``, or that the range's edges may cut."""
 
-    def leave(depth: int, last: bool = False) -> None:
-        while len(stack) > depth:
-            prefix, n, cut = stack.pop()
-            if (n >= LEAST or cut or last) and stack:
-                out.append((lang, prefix[:-1], len(stack) + 1, n))
-            if stack:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[list] = []  # [prefix, count, on the range's left edge], outermost first
+        lang, edge, out = None, True, []
+
+        def leave(depth: int, last: bool = False) -> None:
+            while len(stack) > depth:
+                prefix, n, cut = stack.pop()
+                if (n >= least or cut or last) and stack:
+                    out.append((lang, prefix[:-1], len(stack) + 1, n))
+                if stack:
+                    stack[-1][1] += n
+
+        def batch() -> pa.RecordBatch:
+            rows, out[:] = list(out), []
+            cols = list(zip(*rows)) if rows else [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "depth", "a"])
+
+        for b in batches:
+            for own, path, n in zip(b.column("lang").to_pylist(), b.column("path").to_pylist(), b.column("n").to_pylist()):
+                if own != lang:
+                    leave(0)
+                    lang, edge = own, lang is None
+                while stack and not path.startswith(stack[-1][0]):
+                    leave(len(stack) - 1)
+                at = len(stack[-1][0]) if stack else 0
+                while at < len(path):
+                    at = path.index(" ", at) + 1
+                    stack.append([path[:at], 0, edge])
+                edge = False
                 stack[-1][1] += n
+            if len(out) > 10_000:
+                yield batch()
+        leave(0, True)
+        yield batch()
+
+    return run
 
-    def batch() -> pa.RecordBatch:
-        rows, out[:] = list(out), []
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "depth", "a"])
 
-    for b in batches:
-        for own, path, n in zip(b.column("lang").to_pylist(), b.column("path").to_pylist(), b.column("n").to_pylist()):
-            if own != lang:
-                leave(0)
-                lang, edge = own, lang is None
-            while stack and not path.startswith(stack[-1][0]):
-                leave(len(stack) - 1)
-            at = len(stack[-1][0]) if stack else 0
-            while at < len(path):
-                at = path.index(" ", at) + 1
-                stack.append([path[:at], 0, edge])
-            edge = False
-            stack[-1][1] += n
-        if len(out) > 10_000:
-            yield batch()
-    leave(0, True)
-    yield batch()
-
-
-def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((lang, n) of every language with a word, (lang, phrase, depth, a) of every phrase of up to DEPTH words that occurs LEAST times or more)."""
+def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """((lang, n) of every language with a word, (lang, phrase, depth, a) of every phrase of up to DEPTH words that occurs ``least`` times or more)."""
     ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = written(docs.mapInArrow(lean(_counted), "lang string, phrase string, hash long, a long").groupBy("lang", "phrase", "hash").agg(F.sum("a").alias("a")), "words")
+    words = written(docs.mapInArrow(lean(_counted(shard)), "lang string, phrase string, hash long, a long").groupBy("lang", "phrase", "hash").agg(F.sum("a").alias("a")), "words")
     total = words.groupBy("lang").agg(F.sum("a").alias("n"))
     every = total.agg(F.sum("n")).first()[0] or 0
-    known = _filter(words.where(f"a >= {LEAST}").select("hash"))
-    blobs = docs.mapInArrow(lean(_serialised_pairs(known, max(1, every // RANGE))), "range long, blob binary")
-    kept = written(blobs.groupBy("range").applyInArrow(_merged_pairs, "hash long"), "pairs")
-    tries = written(docs.mapInArrow(lean(_tries(known, _filter(kept))), "lang string, path string, n long"), "tries")
+    known = _filter(words.where(f"a >= {least}").select("hash"))
+    blobs = docs.mapInArrow(lean(_serialised_pairs(known, max(1, every // RANGE), least, shard)), "range long, blob binary")
+    kept = written(blobs.groupBy("range").applyInArrow(_merged_pairs(least), "hash long"), "pairs")
+    tries = written(docs.mapInArrow(lean(_tries(known, _filter(kept), shard)), "lang string, path string, n long"), "tries")
     ranges = tries.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
-    parts = ranges.mapInArrow(_walk, "lang string, phrase string, depth int, a long")
-    nodes = parts.groupBy("lang", "phrase", "depth").agg(F.sum("a").alias("a")).where(f"a >= {LEAST}")
-    first = words.where(f"a >= {LEAST}").select("lang", "phrase", F.lit(1).alias("depth"), "a")
+    parts = ranges.mapInArrow(_walk(least), "lang string, phrase string, depth int, a long")
+    nodes = parts.groupBy("lang", "phrase", "depth").agg(F.sum("a").alias("a")).where(f"a >= {least}")
+    first = words.where(f"a >= {least}").select("lang", "phrase", F.lit(1).alias("depth"), "a")
     out = written(first.union(nodes.select("lang", "phrase", "depth", "a")), "nodes")
     total = written(total, "totals")
     discard(words, kept, tries)
@@ -265,13 +274,13 @@ def linked(nodes: DataFrame) -> DataFrame:
     return every.drop("parent", "suffix").join(inside, ["lang", "phrase"], "left")
 
 
-def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP, least: int = LEAST, shard: int = SHARD) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` collocations.
 
     Null texts are empty, a null language is UNKNOWN; repeated rows all count; empty tables and languages without a candidate give no rows;
     extra columns are not read. Scores are whole-number quotients of decimals of 38 digits.
     """
-    total, nodes = phrases(docs, lang_col, text_col)
+    total, nodes = phrases(docs, lang_col, text_col, least, shard)
     big = lambda c: c.cast("decimal(19,0)")
     one = linked(nodes).join(F.broadcast(total), "lang") if total.count() <= 10_000 else linked(nodes).join(total, "lang")
     one = one.where("longer IS NULL OR longer < a").withColumn("upper", (big(F.col("a") * 1000) * big(F.col("n"))))
