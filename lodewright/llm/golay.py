@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,11 +136,11 @@ def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], "fp"])
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every row; the text column is read once and leaves the plan here."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """(id, fp long) of every row, with ``row`` between them if given; the text column is read once and leaves the plan here."""
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_print_batches), schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *([T.StructField("row", T.LongType())] if row is not None else []), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col).alias("doc_id"), *([row.alias("row")] if row is not None else []), F.col(text_col).alias("text")).mapInArrow(lean(_print_batches), schema)
 
 
 def _filed(side: int):
@@ -175,6 +175,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies are folded to one row per fingerprint before anything is joined, by a map-side-combined minimum.
     """
     prints = written(fingerprint_table(docs, id_col, text_col), "prints")
+    out = _with_class(prints, _classes(prints, distance))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("links").cast("long").alias("links"))
+
+
+def _classes(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, root, component_id, links) of every fingerprint; ``root`` tells components apart, also where repeated ids give two the same smallest id."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = written(links(nodes, distance), "links")
     degree = found.select(F.explode(F.array("u", "v")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
@@ -182,11 +188,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = member.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(
-        member.join(names, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links")), "classes"
+        member.join(names, "root").join(degree, "fp", "left").select("fp", "root", "component_id", F.coalesce("links", F.lit(0)).alias("links")), "classes"
     )
     discard(found, nodes, roots)
-    out = _with_class(prints, classes)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("links").cast("long").alias("links"))
+    return classes
 
 
 def _with_class(prints: DataFrame, classes: DataFrame) -> DataFrame:
@@ -195,14 +200,24 @@ def _with_class(prints: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """Rows of ``docs`` without all but one document of each near-duplicate group: the one with the smallest id stays.
+    """One row of each near-duplicate group: the one with the smallest id, null after all ids, and of several rows of that id the one with the
+    smallest hash of all columns. Of rows alike in every column one stays. Columns are as they were.
 
-    Of repeated rows with that id one stays. A row with a null id cannot be named, so it stays. Columns are as they were.
+    Rows are told apart by id and that 64-bit hash, so repeated ids with other texts are rows of their own, each in its own group.
     """
-    found = written(near_duplicates(docs, id_col, text_col, distance).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "groups")
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    again = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col)), "again")
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    prints = written(fingerprint_table(docs, id_col, text_col, row), "prints")
+    classes = _classes(prints, distance)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
+    named = written(prints.join(classes.select("fp", "root").hint("merge"), "fp").select("root", order.alias("at")), "named")
+    first = written(named.groupBy("root").agg(F.min("at").alias("stays")), "stays")
+    gone = written(named.join(first.hint("merge"), "root").where("at <> stays").select("at.*").distinct(), "gone")
+    again = written(named.groupBy("at").agg(F.count("*").alias("n")).where("n > 1").join(first.select(F.col("stays").alias("at")), "at", "left_semi").select("at.*"), "again")
+    discard(prints, classes, named, first)
+    keyed = docs.select(F.struct("*").alias("d"), row.alias("key"))
+    same = lambda t: (F.col("key") == t["row"]) & F.col("d")[id_col].eqNullSafe(t["doc_id"])
+    kept = keyed.join(gone, same(gone), "left_anti")
     if again.isEmpty():
-        return kept
-    return kept.join(again, id_col, "left_anti").select(*docs.columns).union(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns))
+        return kept.select("d.*")
+    once = kept.join(again, same(again), "left_semi").dropDuplicates(["key"])
+    return kept.join(again, same(again), "left_anti").select("d.*").union(once.select("d.*"))

@@ -6,6 +6,7 @@ frac(n * phi), phi the golden ratio's fraction; the interval of cumulative weigh
 blocks, names the slot's source, and the r-th slot of a source takes its block r. Any prefix of the schedule is thus close to the weights.
 A source that has had its last block leaves its later slots empty; blocks that the schedule has not reached, a few of each source,
 follow at its end. Every source's target is met to the word, whatever its size beside the others, and reruns agree.
+Equal rows are one row with a count until their places are known, so a row that a third of the table repeats is no large group.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ WEIGHTS = (1, 2, 3)
 BLOCK = 1024
 #: Rows that one group of a prefix sum holds on average.
 GROUP_ROWS = 2_000
+#: Equal rows that one task lays out at a time.
+LAID_OUT = 4_096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -88,9 +91,7 @@ def schedule(spark: SparkSession, blocks: list[int]) -> DataFrame:
 
 def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], seed: int) -> tuple[DataFrame, list]:
     """The rows with their sources' numbers, written, and (s, source, size, documents, target, words, blocks) of each source."""
-    base = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), order_of(F.col(id_col), F.col(text_col), seed).alias("h")
-    )
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), order_of(F.col(id_col), F.col(text_col), seed).alias("h"))
     base = written(base, "sizes")
     per = {r.source: (r.size, r.n) for r in base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     order = sorted(per, key=lambda s: (s is None, s or ""))
@@ -108,19 +109,24 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     spark = docs.sparkSession
     base, sources = _streams(docs, id_col, text_col, source_col, weights, seed)
     names = spark.createDataFrame(sources, f"s int, source {base.schema['source'].dataType.simpleString()}, source_size long, n long, target double, words long, blocks long")
-    rows = base.join(F.broadcast(names), base["source"].eqNullSafe(names["source"])).drop(names["source"])
-    if not sum(b for *_, b in sources):
-        return rows, None, sources
+    alike = base.groupBy("source", "h", "doc_id", "size").agg(F.count("*").alias("m"))
+    known = alike.join(F.broadcast(names), alike["source"].eqNullSafe(names["source"])).drop(names["source"]).withColumn("sum_size", F.expr("m * size"))
     # the hash's range is cut evenly, by each source's own number of documents
     group = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("n") / GROUP_ROWS))
-    place = _prefix(rows.where("size > 0"), "s", "size", group, [F.col("h"), F.col("doc_id").asc_nulls_first(), "size"])
-    passes = place.select("*", F.explode(F.expr("sequence(0L, greatest((words - 1) div source_size, 0L))")).alias("pass"))
+    place = _prefix(known, "s", "sum_size", group, [F.col("h"), F.col("doc_id").asc_nulls_first(), "size"])
+    laid = place.select("*", F.explode(F.expr(f"sequence(0L, (m - 1) div {LAID_OUT})")).alias("part")).repartition("h", "doc_id", "part")
+    laid = laid.select("*", F.explode(F.expr(f"sequence(part * {LAID_OUT}, least(m, (part + 1) * {LAID_OUT}) - 1)")).alias("nth")).withColumn("before", F.expr("before + nth * size"))
+    rows = written(laid.drop("m", "sum_size", "part", "nth").withColumn("row", F.monotonically_increasing_id()), "places")
+    discard(base)
+    if not sum(b for *_, b in sources):
+        return rows, None, sources
+    passes = rows.where("size > 0").select("*", F.explode(F.expr("sequence(0L, greatest((words - 1) div source_size, 0L))")).alias("pass"))
     spans = passes.withColumn("lo", F.expr("pass * source_size + before")).withColumn("hi", F.expr("least(lo + size, words)")).where("lo < hi")
     parts = spans.select("*", F.explode(F.expr(f"sequence(lo div {BLOCK}, (hi - 1) div {BLOCK})")).alias("rank"))
     parts = parts.withColumn("a", F.expr(f"greatest(lo, rank * {BLOCK})")).withColumn("b", F.expr(f"least(hi, (rank + 1) * {BLOCK})"))
     slots = schedule(spark, [b for *_, b in sources])
     met = parts.join(slots, ["s", "rank"])
-    return rows, met.select("slot", "row", "doc_id", "source", "rank", F.expr("a - lo").alias("first"), F.expr("b - a").alias("words")), sources
+    return rows, met.select("slot", "row", "h", "doc_id", "source", "pass", "rank", F.expr("a - lo").alias("first"), F.expr("b - a").alias("words")), sources
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
@@ -135,7 +141,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, h) for every row, ``taken`` the words of its pieces in the mix.
+    """(doc_id, source, size, source_size, target, taken, first_slot, last_slot, n_pieces, h) for every row, ``taken`` the words of its pieces in
+    the mix, which stand in the slots from first_slot to last_slot (null where nothing is taken).
 
     ``taken`` is at most REPEATS times the size. Null and empty texts have size 0 and take 0. Null sources are a source of their own;
     rows of one id go by a hash of their texts, and repeated rows stand one after another, each with its own share. Sources without words
@@ -144,27 +151,41 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     rows, met, _ = _mix(docs, id_col, text_col, source_col, weights, seed)
     out = rows.select("row", "doc_id", "source", "size", "source_size", "target", "h")
+    none = F.lit(None).cast("long")
     if met is None:
-        return out.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "h")
-    taken = met.groupBy("row").agg(F.sum("words").alias("taken"))
-    return out.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "h")
+        zero = F.lit(0).cast("long")
+        return out.select("doc_id", "source", "size", "source_size", "target", zero.alias("taken"), none.alias("first_slot"), none.alias("last_slot"), zero.alias("n_pieces"), "h")
+    taken = met.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count("*").alias("n_pieces"))
+    full = out.join(taken, "row", "left")
+    return full.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "last_slot", F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"), "h")
 
 
 def remixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42) -> DataFrame:
-    """The mix as documents, columns as they were: each row comes taken / size times, rounded to whole documents (half up), so a
-    text is never cut. Rows without words, or of which under half is taken, do not come.
+    """The mix as documents in the order of the schedule, columns as they were: each row comes taken / size times, rounded to whole documents (half
+    up), so a text is never cut; its n-th copy stands where the mix has the first piece of its n-th reading. Rows without words, or of
+    which under half is taken, do not come. Partition k holds the k-th range of slots, sorted, so files written from it are in order.
 
-    A source's rows come equally often up to one place in its order and once less from there on. That place is all that is gathered, one
-    row a source, and the texts are read where they lie, without a shuffle. Rows that share id, text and source share that place,
-    so they come equally often. Null ids and sources are as in ``mixed``; an empty table gives no rows.
+    A source's rows come equally often up to one place in its order and once less from there on; that place is all that is gathered, one
+    row a source. Rows that share id, text and source share that place, so they come equally often, and the n-th copies of all stand
+    together. Null ids and sources are as in ``mixed``; an empty table gives no rows.
     """
-    share = written(mixed(docs, id_col, text_col, source_col, seed=seed).where("size > 0"), "shares")
-    copies = share.withColumn("copies", F.expr("(2 * taken + size) div (2 * size)")).withColumn("low", F.expr("CAST(round(target) AS BIGINT) div source_size"))
-    cut = copies.groupBy("source").agg(F.first("low").alias("low"), F.max(F.when(F.expr("copies > low"), F.col("h"))).alias("cut"))
+    rows, met, _ = _mix(docs, id_col, text_col, source_col, WEIGHTS, seed)
+    if met is None:
+        return docs.limit(0)
+    met = written(met.groupBy("row", "h", "doc_id", "source", "pass").agg(F.sum("words").alias("words"), F.min("slot").alias("slot")), "readings")
+    taken = met.groupBy("row").agg(F.sum("words").alias("taken"))
+    share = rows.where("size > 0").join(taken, "row", "left").withColumn("copies", F.expr("(2 * coalesce(taken, 0) + size) div (2 * size)"))
+    share = share.withColumn("low", F.expr("CAST(round(target) AS BIGINT) div source_size"))
+    cut = share.groupBy("source").agg(F.first("low").alias("low"), F.max(F.when(F.expr("copies > low"), F.col("h"))).alias("cut"))
     cut = written(cut.select(F.struct(F.col("source").alias("of"), "low", "cut").alias("cut")), "cuts")
-    discard(share)
-    own = docs.select(F.struct("*").alias("d"))
-    met = own.join(F.broadcast(cut), F.col("d")[source_col].eqNullSafe(F.col("cut.of")))
-    n = F.col("cut.low") + F.when(order_of(F.col("d")[id_col], F.col("d")[text_col], seed) <= F.col("cut.cut"), 1).otherwise(0)
-    some = met.where(size_of(F.col("d")[text_col]) > 0).select("d", n.alias("n")).where("n > 0")
-    return some.select("d", F.explode(F.expr("sequence(1L, n)"))).select("d.*")
+    total = met.agg(F.max("slot")).first()[0] + 1
+    place = met.groupBy("h", "doc_id", "source", "pass").agg(F.min("slot").alias("slot")).select(F.struct("*").alias("p"))
+    own = docs.select(F.struct("*").alias("d"), order_of(F.col(id_col), F.col(text_col), seed).alias("h"))
+    here = own.join(F.broadcast(cut), F.col("d")[source_col].eqNullSafe(F.col("cut.of"))).where(size_of(F.col("d")[text_col]) > 0)
+    n = F.col("cut.low") + F.when(F.col("h") <= F.col("cut.cut"), 1).otherwise(0)
+    copies = here.select("d", "h", n.alias("n")).where("n > 0").select("d", "h", F.explode(F.expr("sequence(0L, n - 1)")).alias("pass"))
+    same = (F.col("h") == F.col("p.h")) & (F.col("pass") == F.col("p.pass")) & F.col("d")[id_col].eqNullSafe(F.col("p.doc_id")) & F.col("d")[source_col].eqNullSafe(F.col("p.source"))
+    stood = copies.join(place, same, "left").select("d", "h", F.coalesce("p.slot", F.lit(total)).alias("slot"))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    range_of = F.least(F.expr(f"slot * {ranges} div {total}"), F.lit(ranges - 1)).cast("int")
+    return stood.repartitionById(ranges, range_of).sortWithinPartitions("slot", "h", F.col("d")[id_col]).select("d.*")

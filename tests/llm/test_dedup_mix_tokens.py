@@ -98,11 +98,23 @@ def test_simhash_odd_rows(spark, odd):
     assert len(got) == odd.count()
     zero = {r.doc_id: r.component_id for r in got if r.fingerprint == "0" * 16}
     assert zero == {1: 1, 2: 1}
-    assert sorted((r.doc_id for r in golay.one_per_group(odd).collect()), key=str) == [1, 3, 4, 5, 6, 7, None]
+    assert sorted((r.doc_id for r in golay.one_per_group(odd).collect()), key=str) == [1, 3, 4, 5, 6, 7, None]  # the row without an id has a text of its own
     assert golay.near_duplicates(odd.limit(0)).count() == 0
     assert golay.one_per_group(odd).columns == odd.columns
 
 
+def test_one_row_of_every_group_with_repeated_ids(spark):
+    """Rows of one id with other texts stand in their own groups: every group keeps exactly one row, and the same one each time."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, "p"), (4, a, "p"), (4, b, "p"), (4, b, "q"), (4, b, "q"), (7, c, "x"), (7, c, "y"), (7, c, "y"), (None, a, "p"), (None, c + " d", "z"), (None, "", "z"), (None, None, "y"), (9, "  ", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at string")
+    kept = [sorted(map(str, golay.one_per_group(d).collect())) for d in (docs, docs.repartition(5), docs.orderBy(F.desc("at")).coalesce(1))]
+    assert kept[0] == kept[1] == kept[2]
+    got = [(r.doc_id, (r.text or "").strip()[:2]) for r in golay.one_per_group(docs).collect()]
+    near = simhash(c + " d") ^ simhash(c)
+    assert sorted(got, key=str) == sorted([(1, "a0"), (4, "b0"), (7, "c0"), (9, "")] + ([(None, "c0")] if bin(near).count("1") > 3 else []), key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(10, 60)] + [(7, 7), (None, 3), (200, 100), (200, 100)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -311,7 +323,12 @@ def test_mix_by_brute_force_schedule(spark, sf, monkeypatch, block):
             doc, w = stream[name][x % len(stream[name])]
             taken[doc] += 1
             mix.append((n, doc, w))
-    assert {r.doc_id: r.taken for r in mixing.mixed(docs).collect()} == {r.doc_id: taken[r.doc_id] for r in rows}
+    mixed = mixing.mixed(docs).collect()
+    assert {r.doc_id: r.taken for r in mixed} == {r.doc_id: taken[r.doc_id] for r in rows}
+    at = defaultdict(list)
+    for n, doc, _ in mix:
+        at[doc].append(n)
+    assert {r.doc_id: (r.first_slot, r.last_slot) for r in mixed} == {r.doc_id: (min(at[r.doc_id]), max(at[r.doc_id])) if at[r.doc_id] else (None, None) for r in rows}
     got = [(r.slot, r.doc_id, r.first + i) for r in mixing.pieces(docs).collect() for i in range(r.words)]
     assert sorted(got) == sorted(mix)
 
@@ -323,10 +340,40 @@ def test_mix_odd_rows(spark, odd):
     assert all(r.taken <= 3 * r.size for r in rows)
     assert mixing.mixed(odd.limit(0)).count() == 0 and mixing.pieces(odd.limit(0)).count() == 0 and mixing.remixed(odd.limit(0)).count() == 0
     assert mixing.mixed(odd.where("doc_id < 3")).count() == 2
-    clash = odd.withColumns({c: F.lit(1) for c in ("_id", "_n", "_c", "d", "n", "cut", "row", "size", "rank", "group", "before", "slot")})
+    clash = odd.withColumns({c: F.lit(1) for c in ("_id", "_n", "_c", "d", "n", "cut", "row", "size", "rank", "group", "before", "slot", "pass", "p")})
     assert mixing.remixed(clash).columns == clash.columns and mixing.remixed(clash).count() == mixing.remixed(odd).count()
 
 
+def test_mixed_documents_stand_in_slot_order(spark, sf, monkeypatch):
+    """The files' order is the schedule's: a copy stands where its reading begins, and sources alternate by weight."""
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    docs = documents(spark, sf)
+    begins = defaultdict(dict)
+    _, met, _ = mixing._mix(docs, "doc_id", "text", "source", mixing.WEIGHTS, 42)
+    for r in met.collect():
+        begins[r.doc_id][r["pass"]] = min(r.slot, begins[r.doc_id].get(r["pass"], r.slot))
+    got = [r.doc_id for part in mixing.remixed(docs).rdd.glom().collect() for r in part]
+    seen, slots = defaultdict(int), []
+    for doc in got:
+        slots.append(begins[doc][seen[doc]])
+        seen[doc] += 1
+    assert slots == sorted(slots) and len(set(slots)) > 50
+
+
+def test_mix_lays_out_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LAID_OUT", 7)
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    docs = spark.createDataFrame([(1, "a b c", "x")] * 100 + [(i, "d e f g", "x") for i in range(2, 30)] + [(50, "one two", "y")], "doc_id long, text string, source string")
+    rows = mixing.mixed(docs).collect()
+    assert len(rows) == 129
+    per = defaultdict(int)
+    for r in rows:
+        per[r.source] += r.taken
+    assert per == {"x": round(next(r.target for r in rows if r.source == "x")), "y": 6}
+    whole = [r.taken for r in rows if r.doc_id == 1]
+    assert len(whole) == 100 and sum(t % 3 > 0 for t in whole) <= 1
+
+
 def test_mix_of_repeated_rows_and_ties(spark):
     """Rows of one id with other texts, and equal rows: the parts do not depend on how the rows lie."""
     rows = [(1, "a b c d", "x"), (1, "a b", "x"), (1, "a b", "x"), (2, "a b c d", "x"), (2, "q", "y"), (2, "q", "y"), (None, "r s", None)]
