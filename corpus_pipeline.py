@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, the one with the smallest id; of repeated rows of that id one. Null and empty texts are one group; rows
-    with a null id all stay."""
+    """One row of each SimHash group, the one with the smallest id (null after all ids), of several of that id the one with the smallest hash of
+    all columns. Null and empty texts are one group; repeated ids with other texts are rows of their own groups."""
     return golay.one_per_group(docs)
 
 
@@ -33,7 +33,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights, in whole documents. Documents without words do not come; a null source is one of its own; rows
+    """The sources at their target weights, in whole documents, in the order of the schedule. Documents without words do not come; a null source is one of its own; rows
     that share id, text and source come equally often."""
     return mixing.remixed(docs)
 
