@@ -3,14 +3,16 @@
 1. Words are counted; a phrase that is frequent has frequent words and word pairs only, so two filters cut the texts into the stretches in which
    frequent phrases can stand. The words' filter is a bit table; for the pairs each shard serialises its sorted pair hashes with their counts, cut
    by hash range, and each range is merged. Both filters let more through at worst, never less, at a fixed greatest size.
-2. A shard (some SHARD bytes of text) counts its paths of up to DEPTH words: a trie, written as its sorted paths with the count of each end.
-3. Ranges of paths, which share prefixes, are merged in order; the walk adds up each node below its prefix. A node that a range's edge cuts
-   comes in two parts, summed afterwards.
+2. A shard (some SHARD bytes of text) counts its paths of up to DEPTH words: a trie, serialised as its sorted paths with the count of each end,
+   one piece for each range of prefixes, a prefix being the hash of the first two words.
+3. A range's pieces are merged in order; the walk adds up each node below its prefix. The paths of a pair that would fill a range alone are
+   dealt by four words, and such a pair's nodes of two and three words come in parts, summed afterwards.
 4. A node's left parts are the nodes on its way from the root, its right parts those on its suffix links, level by level.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ LEAST = 100
 TOP = 2000
 #: Bytes of text of one trie.
 SHARD = 12 << 20
-#: Pair hashes of one merge, on average.
+#: Words of the texts for each range, so pairs or paths of one merge at most, on average.
 RANGE = 1 << 21
 #: Bits of a filter at most (32 MB).
 MOST_BITS = 1 << 28
@@ -142,7 +144,8 @@ def _merged_pairs(least: int):
         order = np.argsort(k, kind="stable")
         k, n = k[order], np.concatenate(counts)[order].astype(np.int64)
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        return pa.table({"hash": pa.array(k[first][np.add.reduceat(n, first) >= least].view(np.int64))})
+        n = np.add.reduceat(n, first)
+        return pa.table({"hash": pa.array(k[first][n >= least].view(np.int64)), "n": pa.array(n[n >= least])})
 
     return run
 
@@ -160,15 +163,17 @@ def _filter(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def _tries(words, pairs, size: int):
-    """(lang, path, n) of each shard in order; a path's words each end with a blank."""
+def _tries(words, pairs, hot, ranges: int, size: int):
+    """(range, lang, piece) of each shard. Ranges from ``ranges`` on hold the paths of the pairs in ``hot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, kept = np.frombuffer(words.value, np.uint8), np.frombuffer(pairs.value, np.uint8)
+        known, kept, full = (np.frombuffer(x.value, kind) for x, kind in ((words, np.uint8), (pairs, np.uint8), (hot, np.uint64)))
         for lang, s in _shards(batches, size):
             at, h = _pairs(s, lang, known)
             on = np.zeros(len(s.ids) + DEPTH, bool)  # whether a word goes on a pair that may be frequent
             on[at[_holds(kept, h)]] = True
+            prefix = np.zeros(len(on), np.uint64)
+            prefix[at] = h
             start = np.flatnonzero(on[1 : len(s.ids) + 1])
             code, ids, go = s.ids[start], [s.ids[start]], np.ones(len(start), bool)
             for d in range(1, DEPTH):
@@ -177,52 +182,73 @@ def _tries(words, pairs, size: int):
                 ids.append(step)
                 code = np.unique(code * (len(s.words) + 1) + step + 1, return_inverse=True)[1]
             _, first, n = np.unique(code, return_index=True, return_counts=True)
+            if not len(first):
+                continue
+            ids, prefix, own = [i[first] for i in ids], prefix[start[first] + 1], s.hashes(lang)
+            alone = np.isin(prefix, full)
+            for i in ids[2:4]:
+                prefix = np.where(alone, _words.mix(prefix * _B + np.where(i >= 0, own[np.maximum(i, 0)], np.uint64(0))), prefix)
+            which = (((prefix >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64) + np.where(alone, ranges, 0)
             blank = pa.scalar("", pa.large_string())
-            own = [pc.if_else(pa.array(i[first] >= 0), pc.binary_join_element_wise(s.words.take(pa.array(np.maximum(i[first], 0))), blank, pa.scalar(" ", pa.large_string())), blank) for i in ids]
-            path = pc.binary_join_element_wise(*own, blank).cast(pa.string())
-            order = pc.array_sort_indices(path)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), path.take(order), pa.array(n).take(order)], names=["lang", "path", "n"])
+            parts = [pc.if_else(pa.array(i >= 0), pc.binary_join_element_wise(s.words.take(pa.array(np.maximum(i, 0))), blank, pa.scalar(" ", pa.large_string())), blank) for i in ids]
+            table = pa.table({"range": which, "path": pc.binary_join_element_wise(*parts, blank), "n": n})
+            table = table.take(pc.sort_indices(table, [("range", "ascending"), ("path", "ascending")])).combine_chunks()
+            which, n = table.column("range").to_numpy(), table.column("n").to_numpy()
+            raw, off = _words.buffers(table.column("path"))
+            edges = np.append(np.flatnonzero(np.r_[True, which[1:] != which[:-1]]), len(which))
+            pieces = [_piece(raw[off[a] : off[b]], off[a : b + 1] - off[a], n[a:b]) for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(which[edges[:-1]]), pa.array([lang] * len(pieces), pa.string()), pa.array(pieces, pa.binary())], names=["range", "lang", "piece"])
 
     return run
 
 
-def _walk(least: int):
-    """Sorted paths -> nodes (lang, phrase, depth, a) of two words or more that reach ``least``, or that the range's edges may cut."""
+def _piece(raw: np.ndarray, off: np.ndarray, n: np.ndarray) -> bytes:
+    """Number of paths, their ends, their counts, their bytes."""
+    return np.array([len(n)], np.int64).tobytes() + off[1:].astype(np.int64).tobytes() + n.astype(np.int64).tobytes() + raw.tobytes()
+
+
+def _paths(piece: bytes) -> Iterator[tuple[bytes, int]]:
+    k = int(np.frombuffer(piece, np.int64, 1)[0])
+    ends, n, at = np.frombuffer(piece, np.int64, k, 8).tolist(), np.frombuffer(piece, np.int64, k, 8 + 8 * k).tolist(), 8 + 16 * k
+    a = 0
+    for b, count in zip(ends, n):
+        yield piece[at + a : at + b], count
+        a = b
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[list] = []  # [prefix, count, on the range's left edge], outermost first
-        lang, edge, out = None, True, []
 
-        def leave(depth: int, last: bool = False) -> None:
+def _merged_tries(least: int, ranges: int):
+    """The pieces of one range -> nodes (lang, phrase, depth, a) of two words or more that reach ``least``, and all whose counts other ranges share."""
+
+    def walk(stream: Iterator[tuple[bytes, int]], parts: bool) -> Iterator[tuple[bytes, int, int]]:
+        stack: list[list] = []  # [prefix, count], outermost first
+
+        def leave(depth: int) -> Iterator[tuple[bytes, int, int]]:
             while len(stack) > depth:
-                prefix, n, cut = stack.pop()
-                if (n >= least or cut or last) and stack:
-                    out.append((lang, prefix[:-1], len(stack) + 1, n))
+                prefix, n = stack.pop()
                 if stack:
                     stack[-1][1] += n
+                    if n >= least or parts and len(stack) < 3:
+                        yield prefix[:-1], len(stack) + 1, n
+
+        for path, n in stream:
+            while stack and not path.startswith(stack[-1][0]):
+                yield from leave(len(stack) - 1)
+            at = len(stack[-1][0]) if stack else 0
+            while at < len(path):
+                at = path.index(b" ", at) + 1
+                stack.append([path[:at], 0])
+            stack[-1][1] += n
+        yield from leave(0)
 
-        def batch() -> pa.RecordBatch:
-            rows, out[:] = list(out), []
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "depth", "a"])
-
-        for b in batches:
-            for own, path, n in zip(b.column("lang").to_pylist(), b.column("path").to_pylist(), b.column("n").to_pylist()):
-                if own != lang:
-                    leave(0)
-                    lang, edge = own, lang is None
-                while stack and not path.startswith(stack[-1][0]):
-                    leave(len(stack) - 1)
-                at = len(stack[-1][0]) if stack else 0
-                while at < len(path):
-                    at = path.index(" ", at) + 1
-                    stack.append([path[:at], 0, edge])
-                edge = False
-                stack[-1][1] += n
-            if len(out) > 10_000:
-                yield batch()
-        leave(0, True)
-        yield batch()
+    def run(table: pa.Table) -> pa.Table:
+        by, out = {}, []
+        parts = table.num_rows > 0 and table.column("range")[0].as_py() >= ranges
+        for lang, piece in zip(table.column("lang").to_pylist(), table.column("piece")):
+            by.setdefault(lang, []).append(piece.as_py())
+        for lang, pieces in by.items():
+            out += [(lang, p.decode(), d, n) for p, d, n in walk(heapq.merge(*map(_paths, pieces)), parts)]
+        cols = list(zip(*out)) if out else [[]] * 4
+        return pa.table({k: pa.array(c, t) for (k, t), c in zip({"lang": pa.string(), "phrase": pa.string(), "depth": pa.int32(), "a": pa.int64()}.items(), cols)})
 
     return run
 
@@ -236,15 +262,17 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     every = total.agg(F.sum("n")).first()[0] or 0
     known = _filter(words.where(f"a >= {least}").select("hash"))
     blobs = docs.mapInArrow(lean(_serialised_pairs(known, max(1, every // RANGE), least, shard)), "range long, blob binary")
-    kept = written(blobs.groupBy("range").applyInArrow(_merged_pairs(least), "hash long"), "pairs")
-    tries = written(docs.mapInArrow(lean(_tries(known, _filter(kept), shard)), "lang string, path string, n long"), "tries")
-    ranges = tries.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
-    parts = ranges.mapInArrow(_walk(least), "lang string, phrase string, depth int, a long")
+    kept = written(blobs.groupBy("range").applyInArrow(_merged_pairs(least), "hash long, n long"), "pairs")
+    ranges = max(1, every // RANGE)
+    # at most one pair in RANGE words
+    hot = np.array([r.hash for r in kept.where(F.col("n") >= RANGE).select("hash").collect()], np.int64)
+    pieces = docs.mapInArrow(lean(_tries(known, _filter(kept.select("hash")), docs.sparkSession.sparkContext.broadcast(hot.tobytes()), ranges, shard)), "range long, lang string, piece binary")
+    parts = pieces.groupBy("range").applyInArrow(_merged_tries(least, ranges), "lang string, phrase string, depth int, a long")
     nodes = parts.groupBy("lang", "phrase", "depth").agg(F.sum("a").alias("a")).where(f"a >= {least}")
     first = words.where(f"a >= {least}").select("lang", "phrase", F.lit(1).alias("depth"), "a")
     out = written(first.union(nodes.select("lang", "phrase", "depth", "a")), "nodes")
     total = written(total, "totals")
-    discard(words, kept, tries)
+    discard(words, kept)
     return total, out
 
 
