@@ -151,29 +151,49 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
-#: Words of questions that go to the tasks at once; more questions are answered in further passes over the rows.
-QUESTION_WORDS = 200_000
+#: Words kept out of the join of questions and rows: one bit each of a long.
+FREQUENT = 64
+#: Sets of frequent words that go to the tasks at once, when rows that share nothing else are sought.
+SETS = 50_000
 
 
 def overlap_top1(questions: DataFrame, rows: DataFrame) -> DataFrame:
     """Of (question_id, question) and (row_id long, text): (question_id, row_id, shared), most shared words, ties to the lowest row.
 
-    The questions' words go to the tasks in blocks of a bounded size; each row is held against a block's questions where it lies, and every
-    task keeps one best row a question (the count and the row in one number), so no pair is shuffled, whatever word all share. Questions or
-    texts that are null share nothing; a question that shares no word has no row."""
-    asked = questions.select("question_id", tokens(F.col("question")).alias("words")).where("size(words) > 0")
-    blocks = max(1, -(-(asked.agg(F.sum(F.size("words"))).first()[0] or 0) // QUESTION_WORDS))
+    Questions and rows meet on their words, but for the FREQUENT words that would join most pairs: each side has those as bits of one number,
+    and a met pair adds their overlap. A row that shares frequent words alone never meets, but shares no more than the question has of them;
+    only for questions whose best pair has no more than that are the rows' different sets of frequent words gone through, with their lowest row.
+    Questions or texts that are null share nothing; a question that shares no word has no row. Rows and questions of one id count apart."""
+    asked = questions.select("question_id", F.monotonically_increasing_id().alias("q"), tokens(F.col("question")).alias("words")).where("size(words) > 0")
+    held = rows.select(F.col("row_id").cast("long").alias("row_id"), F.monotonically_increasing_id().alias("r"), tokens(F.col("text")).alias("own")).where("size(own) > 0")
+    counts = asked.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("asked"))
+    often = held.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("held")).join(counts, "word")
+    hot = [r.word for r in often.orderBy((F.col("asked").cast("double") * F.col("held")).desc(), "word").limit(FREQUENT).collect()]
+    frequent = F.array(*(F.lit(w) for w in hot)).cast("array<string>")
+
+    def bits(words: Column) -> Column:
+        return F.aggregate(F.array_intersect(words, frequent), F.lit(0).cast("long"), lambda x, w: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(frequent, w) - 1).cast("int"))))
+
+    ask = asked.select("question_id", "q", bits(F.col("words")).alias("asks"), F.array_except("words", frequent).alias("words"))
+    have = held.select("row_id", "r", bits(F.col("own")).alias("has"), F.array_except("own", frequent).alias("own"))
+    met = ask.select("question_id", "q", "asks", F.explode("words").alias("word")).join(have.select("row_id", "r", "has", F.explode("own").alias("word")), "word")
+    pairs = met.groupBy("question_id", "q", "asks", "row_id", "r", "has").agg(F.count("*").alias("n"))
     wide = lambda x: F.expr(x).cast("decimal(38,0)")
-    found = None
+    best = pairs.withColumn("shared", F.col("n") + F.bit_count(F.col("asks").bitwiseAND(F.col("has"))))
+    packed = (wide("shared * 18446744073709551616BD") + (wide("9223372036854775807") - wide("row_id"))).cast("decimal(38,0)")
+    found = best.select("question_id", "q", packed.alias("x")).groupBy("question_id", "q").agg(F.max("x").alias("x"))
+    open_ = ask.join(found.select("q", F.expr("x div 18446744073709551616BD").alias("top")), "q", "left").where("asks <> 0 AND coalesce(top, 0) <= bit_count(asks)")
+    sets = open_.select("asks").distinct()
+    lowest = have.where("has <> 0").groupBy("has").agg(F.min("row_id").alias("row_id"))
+    blocks = max(1, -(-sets.count() // SETS))
     for k in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("question_id", "words")).alias("block"))
-        held = rows.select(F.col("row_id").cast("long").alias("row_id"), tokens(F.col("text")).alias("own")).join(F.broadcast(block))
-        each = held.select("row_id", F.inline(F.expr("transform(block, q -> named_struct('question_id', q.question_id, 'shared', size(array_intersect(q.words, own))))"))).where("shared > 0")
-        best = each.select("question_id", (wide("shared * 18446744073709551616BD") + (wide("9223372036854775807") - wide("row_id"))).cast("decimal(38,0)").alias("x"))
-        top = best.groupBy("question_id").agg(F.max("x").alias("x"))
-        found = top if found is None else found.union(top)
+        block = sets.where(F.pmod(F.xxhash64("asks"), F.lit(blocks)) == k).agg(F.collect_list("asks").alias("b")).scalar()
+        each = lowest.select("row_id", "has", F.explode(block).alias("asks")).withColumn("shared", F.bit_count(F.col("asks").bitwiseAND(F.col("has")))).where("shared > 0")
+        of = each.select("asks", packed.alias("x")).groupBy("asks").agg(F.max("x").alias("x"))
+        found = found.union(open_.join(of, "asks").select("question_id", "q", "x"))
     rest = F.expr("x % 18446744073709551616BD")
-    return found.select("question_id", (wide("9223372036854775807") - rest).cast("long").alias("row_id"), F.expr("x div 18446744073709551616BD").cast("long").alias("shared"))
+    top = found.groupBy("question_id").agg(F.max("x").alias("x"))
+    return top.select("question_id", (wide("9223372036854775807") - rest).cast("long").alias("row_id"), F.expr("x div 18446744073709551616BD").cast("long").alias("shared"))
 
 
 def _times(word: str, words: str = "w") -> Column:
