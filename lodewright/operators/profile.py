@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,30 +40,6 @@ def sample(df: DataFrame, order: str, n: int = 3) -> DataFrame:
     return df.orderBy(order).limit(min(n, 10)).select(*cut)
 
 
-def _filled(rows: list[dict], names: tuple[str, ...], text_only: bool = False) -> bool:
-    """Whether some row has a value for every name; only texts count if ``text_only``, else anything but null, blanks and NaN."""
-
-    def full(v) -> bool:
-        return isinstance(v, str) and bool(v.strip()) if text_only else v is not None and v == v and str(v).strip() != ""
-
-    keyed = ({str(k).lower(): v for k, v in r.items()} for r in rows)
-    return any(all(full(r.get(n)) for n in names) for r in keyed)
-
-
-def _chat(rows: list[dict]) -> bool:
-    """Whether some row's messages hold a user's and an assistant's turn that say something; messages may be JSON text."""
-    for r in rows:
-        said = {k.lower(): v for k, v in r.items()}.get("messages")
-        try:
-            said = json.loads(said) if isinstance(said, str) else said
-        except ValueError:
-            continue
-        turns = [m for m in said if isinstance(m, dict) and str(m.get("content") or "").strip()] if isinstance(said, list) else []
-        if {"user", "assistant"} <= {m.get("role") for m in turns}:
-            return True
-    return False
-
-
 #: Columns that mark a reference table.
 REFERENCE_HINTS = {
     "form no", "purpose", "section", "applicable sections", "description", "limit", "applicability", "rule", "rate", "category", "deduction", "due dates",
@@ -78,108 +52,19 @@ TABULAR, DOCUMENTS, TRAINABLE = {"csv", "xlsx", "xls"}, {"pdf", "docx"}, {"jsonl
 SHAPES = (("dpo", ("prompt", "chosen", "rejected")), ("prompt_completion", ("prompt", "completion")), ("prompt_completion", ("instruction", "output")), ("prompt_completion", ("instruction", "response")))
 
 
-def _flat(rows: list[dict]) -> bool:
-    return bool(rows) and not any(isinstance(v, (list, dict)) for r in rows for v in r.values())
-
-
-def infer_shape(columns: list[str], rows: list[dict], kind: str | None = None) -> str:
-    """Shape of a dataset from its columns, first rows and file format ``kind``; the first rule that holds decides."""
-    have, kind = {c.lower() for c in columns}, (kind or "").lower()
-    if "messages" in have and _chat(rows):
-        return "sft_messages"
-    # response stands in for output only where there is no output
-    tried = [(s, n) for s, n in SHAPES if set(n) <= have and not ("response" in n and "output" in have)]
-    if shape := next((s for s, names in tried if _filled(rows, names)), None):
-        return shape
-    if have == {"prompt"} and _filled(rows, ("prompt",)):
-        return "grpo_prompt_only"
-    formats = {str(r.get("source_format") or "").lower() for r in rows} if "source_format" in have else set()
-    shapes = (
-        ("qa", {"question", "answer"} <= have),
-        ("document_corpus", "text" in have and (bool(formats & DOCUMENTS) or {"source_file", "chunk_index"} <= have)),
-        ("classification", "label" in have and bool(have & {"text", "sentence", "content"})),
-        ("structured_reference_table", len(have) >= 3 and len(have & REFERENCE_HINTS) >= 2 and (_flat(rows) or kind in TABULAR)),
-    )
-    return next((name for name, holds in shapes if holds), "unknown")
-
-
-def traits(n: int | None, columns: list[str], rows: list[dict] | None, kind: str | None) -> dict:
-    """What trainability depends on: instruction columns and whether rows fill them, a reference table, a document corpus. Rows not given
-    (None) are taken on trust."""
-    have = {c.strip().lower() for c in columns if c.strip()}
-    first = next((s for s in INSTRUCTION_COLUMNS if set(s) <= have), None)
-    usable = first is not None and (rows is None or (_chat(rows) if first == ("messages",) else _filled(rows, first, text_only=True)))
-    given = rows or []
-    hints = len(have & REFERENCE_HINTS)
-    table = bool(have) and first is None and hints >= 2 and ((n is not None and n < 100) or (kind in TABULAR and len(have) >= 3 and _flat(given)))
-    formats = {str(r.get("source_format") or "").lower() for r in given} if "source_format" in have else set()
-    corpus = kind in DOCUMENTS or ("text" in have and bool(formats & DOCUMENTS))
-    return {"named": first is not None, "instruction": usable, "reference": table, "corpus": corpus, "rows": rows is not None}
-
-
-def trainability(n: int | None, kind: str | None, t: dict, missing: float | None, duplicates: float | None) -> dict:
-    """Points from 100 down for ``n`` rows of file format ``kind`` with ``traits``, a recommendation, a risk and the reasons."""
-    kind = (kind or "").strip().lower().lstrip(".") or None
-    low = lambda share, steps: next((by for limit, by in steps if share is not None and share >= limit), 0)
-    size = 20 if n is None else 70 if n == 0 else next((by for limit, by in ((50, 40), (200, 25), (1000, 10)) if n < limit), 0)
-    charges = (
-        (size, "row count unknown" if n is None else f"{n} rows"),
-        (0 if t["instruction"] else 25, "no usable instruction fields"),
-        (25 if t["instruction"] and t["named"] and not t["rows"] else 0, "no rows to confirm the fields"),
-        (30 if t["reference"] else 0, "reference table"),
-        (35 if t["corpus"] else 0, "document corpus"),
-        (10 if kind and kind not in TRAINABLE else 0, f"{kind} format"),
-        (low(missing, ((0.3, 20), (0.1, 10))), "missing cells"),
-        (low(duplicates, ((0.25, 15), (0.1, 8))), "duplicate rows"),
-    )
-    points = max(0, 100 - sum(by for by, _ in charges))
-    if n == 0 or (missing or 0) >= 0.4:
-        advice = "data_needed"
-    elif t["corpus"]:
-        advice = "rag"
-    elif t["reference"]:
-        advice = "rag" if (n or 0) < 200 else "hybrid"
-    elif points < 35:
-        advice = "data_needed"
-    elif t["instruction"]:
-        advice = "fine_tune" if points >= 55 else "data_needed"
-    else:
-        advice = "hybrid" if points >= 50 else "data_needed"
-    risk = "high" if advice == "data_needed" or points < 50 else "medium" if points < 80 or advice in ("rag", "hybrid") else "low"
-    return {"score": points, "recommendation": advice, "risk": risk, "reasons": [why for by, why in charges if by]}
-
-
-def strategy(n: int | None, shape: str, missing: float, verdict: dict) -> dict:
-    """What to do with the data, with which method and how sure."""
-    advice, risk = verdict["recommendation"], verdict["risk"]
-    if not n or missing >= 0.4:
-        return {"strategy": "data_needed", "method": None, "confidence": 0.9}
-    if shape == "document_corpus":
-        return {"strategy": "rag", "method": None, "confidence": 0.88}
-    if shape == "structured_reference_table":
-        return {"strategy": "rag" if n < 200 else "hybrid", "method": None, "confidence": 0.88}
-    method = {"dpo": "dpo", "grpo_prompt_only": "grpo", "sft_messages": "sft", "prompt_completion": "sft"}.get(shape)
-    if method and (advice == "data_needed" or risk == "high"):
-        return {"strategy": "data_needed", "method": None, "confidence": 0.84}
-    if method:
-        share = verdict["score"] / 100
-        low, high = (0.86, 0.96) if n >= 1000 else (0.65, 0.84)
-        return {"strategy": "fine_tune", "method": method, "confidence": round(max(low, min(high, share)), 2)}
-    if advice in ("rag", "hybrid"):
-        return {"strategy": advice, "method": None, "confidence": round(max(0.6, min(0.85, verdict["score"] / 100)), 2)}
-    return {"strategy": "data_needed", "method": None, "confidence": 0.8}
-
-
 def decide(df: DataFrame, order: str, kind: str = "parquet") -> DataFrame:
-    """The profile row with shape, score, recommendation, risk, reasons, strategy and method. Only the one-row aggregate and three
-    sample rows come to the driver."""
-    p = profile(df).first()
-    rows = [r.asDict(True) for r in sample(df, order).collect()]
-    shape = infer_shape(df.columns, rows, kind)
-    v = trainability(p.row_count, kind, traits(p.row_count, df.columns, rows, kind), p.missing_fraction, p.duplicate_fraction)
-    s = strategy(p.row_count, shape, p.missing_fraction, v)
-    schema = "row_count long, duplicate_count long, missing_fraction double, shape string, score int, recommendation string, risk string, reasons array<string>, strategy string, method string, confidence double"
-    return df.sparkSession.createDataFrame([(p.row_count, p.duplicate_count, p.missing_fraction, shape, v["score"], v["recommendation"], v["risk"], v["reasons"], s["strategy"], s["method"], float(s["confidence"]))], schema)
+    """The profile row with shape, score, recommendation, risk, reasons, strategy and method, in one plan: the table's aggregate and its first
+    three rows by the order column go through the rule tables of ``decisions``."""
+    from .decisions import assessed, inferred, strategies
+
+    rows = sample(df, order).select(F.to_json(F.struct(*map(_own, df.columns)), {"ignoreNullFields": "false"}).alias("r")).agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("r")), F.lit("]")).alias("r"))
+    one = profile(df).select("row_count", "duplicate_count", "missing_fraction", "duplicate_fraction", F.array(*(F.lit(c) for c in df.columns)).alias("columns"), F.lit(kind).alias("format"), rows.scalar().alias("sample_rows"))
+    done = strategies(assessed(inferred(one)))
+    t, s = F.col("trainability"), F.col("strategy")
+    return done.select(
+        "row_count", "duplicate_count", "missing_fraction", "shape", t["score"].alias("score"), t["recommendation"].alias("recommendation"), t["risk_level"].alias("risk"), t["reasons"].alias("reasons"),
+        s["strategy"].alias("strategy"), s["method"].alias("method"), s["confidence"].alias("confidence"),
+    )
 
 
 def provenance(decided: DataFrame, *, base_model: str | None = None, dataset: dict | None = None, method: str | None = None, hardware: str | None = None, timeout: str | None = None, cost: float | None = None, golden_cases: int | None = None, limitations: tuple[str, ...] = ()) -> DataFrame:

@@ -12,14 +12,18 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import chunks
+from .pdf import read_pdf
+
 FORMATS = ("csv", "json", "jsonl", "parquet", "xlsx", "pdf", "docx")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, every column a string, quoted newlines; of repeated headers the last column stays."""
+    """Header row, every column a string, quoted newlines; of repeated headers the last column stays. Values beyond the header are lost."""
     df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    head = spark.read.text(path, wholetext=False).first()
-    names = [h.strip().strip('"') for h in head.value.lstrip("﻿").split(",")] if head else []
+    # the header as it stands, quotes, commas and line ends within them included: Spark renames repeated names
+    head = spark.read.csv(path, header=False, inferSchema=False, multiLine=True, escape='"').first()
+    names = [(h or "").lstrip("\ufeff") for h in head] if head else []
     if len(names) != len(df.columns):
         return df
     last = {n: i for i, n in enumerate(names)}
@@ -127,6 +131,11 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
 
 
+def read_docx_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, chunk_index, text) of each document."""
+    return read_docx(spark, path).select("path", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
 def html_sections(html: str) -> list[dict]:
     """Headings of a page with the text under each, in order: position, level, title, text."""
     from html.parser import HTMLParser
@@ -198,7 +207,7 @@ def read_any(spark: SparkSession, path: str, sheet: str | None = None) -> DataFr
         raise ValueError(f"Unsupported dataset extension: .{ext}")
     df = {
         "csv": read_csv, "json": read_json, "jsonl": read_jsonl, "parquet": lambda s, p: s.read.parquet(p), "xlsx": lambda s, p: read_xlsx(s, p, sheet),
-        "pdf": read_pdf_literals, "docx": read_docx,
+        "pdf": read_pdf, "docx": read_docx_chunks,
     }[ext](spark, path)
     name = re.split(r"[/\\]", path)[-1]
     for column, value in (("source_file", name), ("source_format", ext)):

@@ -1,5 +1,6 @@
 """Expected results on small inputs: profile, decisions, redaction, lookup, cases, conversations, activity, sources and streams."""
 
+import json
 import zipfile
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lodewright.functions import text as X
 from lodewright.functions.values import messages, timeout_hours, usage
 from lodewright.operators import activity, conversations, evals, lookup
+from lodewright.operators import decisions as D
 from lodewright.operators import profile as P
 from lodewright.sources import formats, sinks
 from lodewright.streaming import events as S
@@ -30,22 +32,26 @@ REFERENCE = ["Form No", "Category", "Purpose", "Due Dates"]
 PAIR = [{"prompt": "a", "completion": "b"}]
 
 
-@pytest.mark.parametrize("n,columns,rows,kind,missing,duplicates,want", [
+TRAINABILITY = [
     (26, REFERENCE, [{"Form No": "1"}], "xlsx", 0.0, 0.0, (0, "rag", "high")), (26_000, ["prompt", "completion"], PAIR, "csv", 0.0, 0.0, (90, "fine_tune", "low")),
     (800, ["prompt", "completion"], PAIR, "jsonl", 0.0, 0.0, (90, "fine_tune", "low")), (0, ["x"], [], "csv", 0.45, 0.35, (0, "data_needed", "high")),
     (1200, ["messages"], [{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}], "jsonl", 0.0, 0.0, (100, "fine_tune", "low")),
     (1200, ["messages"], [{"messages": None}], "jsonl", 0.0, 0.0, (75, "hybrid", "medium")), (1200, ["input", "output"], [{"input": "a", "output": "b"}], "jsonl", 0.1, 0.1, (82, "fine_tune", "low")),
     (1200, ["prompt", "completion"], None, "jsonl", None, None, (75, "fine_tune", "medium")), (None, ["text", "source_format"], [{"text": "x", "source_format": "pdf"}], None, 0.0, 0.0, (20, "rag", "high")),
     (5000, ["a", "b"], [{"a": 1, "b": 2}], "parquet", 0.3, 0.25, (40, "data_needed", "high")), (500, REFERENCE, [{"Form No": [1]}], "csv", 0.0, 0.0, (55, "hybrid", "medium")),
-])
-def test_trainability(n, columns, rows, kind, missing, duplicates, want):
-    v = P.trainability(n, kind, P.traits(n, columns, rows, kind), missing, duplicates)
-    assert (v["score"], v["recommendation"], v["risk"]) == want
+]
+PROFILE = "i int, row_count long, columns array<string>, sample_rows string, format string, missing_fraction double, duplicate_fraction double"
 
 
-def test_shapes():
+def test_trainability(spark):
+    rows = [(i, n, columns, None if given is None else json.dumps(given), kind, missing, twice) for i, (n, columns, given, kind, missing, twice, _) in enumerate(TRAINABILITY)]
+    got = {r.i: r.trainability for r in D.assessed(spark.createDataFrame(rows, PROFILE)).collect()}
+    assert {i: (t.score, t.recommendation, t.risk_level) for i, t in got.items()} == {i: x[-1] for i, x in enumerate(TRAINABILITY)}
+
+
+def test_shapes(spark):
     chat = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
-    for columns, rows, kind, want in (
+    cases = (
         (["messages"], [{}], None, "unknown"), (["messages"], [{"messages": None}], None, "unknown"), (["messages"], [{"messages": chat}], None, "sft_messages"),
         (["Messages"], [{"Messages": '[{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]'}], None, "sft_messages"), (["messages"], [{"messages": chat[:1]}], None, "unknown"),
         (["prompt", "completion"], PAIR, None, "prompt_completion"), (["prompt", "completion"], [{"prompt": " ", "completion": None}], None, "unknown"),
@@ -55,8 +61,10 @@ def test_shapes():
         (["text", "source_format"], [{"source_format": "PDF"}], None, "document_corpus"), (["sentence", "label"], [], None, "classification"), (["content", "label"], [], None, "classification"),
         (["Section", "Description", "Limit", "Applicability"], [{"Section": "80C"}], None, "structured_reference_table"), (["Section", "Rule", "x"], [], "csv", "structured_reference_table"),
         (["Section", "Rule", "x"], [{"x": [1]}], None, "unknown"), (["Section", "code", "x"], [{"x": 1}], None, "unknown"),
-    ):
-        assert P.infer_shape(columns, rows, kind) == want, (columns, rows)
+    )
+    df = spark.createDataFrame([(i, 9, columns, json.dumps(rows), kind, 0.0, 0.0) for i, (columns, rows, kind, _) in enumerate(cases)], PROFILE)
+    got = {r.i: r["shape"] for r in D.inferred(df).collect()}
+    assert [(cases[i][:2], got[i]) for i in got] == [(cases[i][:2], cases[i][3]) for i in got]
 
 
 def test_names_with_dots_and_ticks(spark):
