@@ -39,7 +39,7 @@ def _prepared(profiles: DataFrame) -> DataFrame:
     lower = F.transform(F.coalesce("columns", F.array().cast("array<string>")), lambda c: F.lower(F.trim(c)))
     rows = F.filter(F.from_json("sample_rows", ROWS), lambda r: r.isNotNull())
     return profiles.withColumns({
-        "_n": F.greatest(F.col("row_count"), F.lit(0).cast("long")), "_have": F.array_distinct(F.filter(lower, lambda c: c != "")), "_kind": F.nullif(F.ltrim(F.lower(F.trim("format")), F.lit(".")), F.lit("")),
+        "_n": F.when(F.col("row_count").isNotNull(), F.greatest(F.col("row_count"), F.lit(0).cast("long"))), "_have": F.array_distinct(F.filter(lower, lambda c: c != "")), "_kind": F.nullif(F.ltrim(F.lower(F.trim("format")), F.lit(".")), F.lit("")),
         "_rows": rows, "_missing": fraction("missing_fraction"), "_twice": fraction("duplicate_fraction"), "_shape": F.lower(F.coalesce("shape", F.lit(""))),
     })
 

@@ -150,7 +150,8 @@ def assembled_stream(pieces: DataFrame, late: str = "1 hour", ts: str = "ts") ->
                 state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + wait)
         yield pd.DataFrame(rows, columns=["message_id", "content", "tool_calls", "finish_reason", "total_tokens", "complete"]).astype({"total_tokens": "Int64"})
 
-    wait = int(pieces.sparkSession.range(1).select(F.expr(f"CAST(EXTRACT(DAY FROM INTERVAL {late}) * 86400 + EXTRACT(HOUR FROM INTERVAL {late}) * 3600 + EXTRACT(MINUTE FROM INTERVAL {late}) * 60 + EXTRACT(SECOND FROM INTERVAL {late}) AS BIGINT)")).first()[0]) * 1000
+    epoch = "TIMESTAMP'1970-01-01 00:00:00'"
+    wait = pieces.sparkSession.range(1).select(F.expr(f"unix_millis({epoch} + INTERVAL {late}) - unix_millis({epoch})")).first()[0]
     kind = pieces.schema["message_id"].dataType.simpleString()
     known = pieces.where("message_id IS NOT NULL AND seq IS NOT NULL").withWatermark(ts, late)
     flat = known.select("message_id", "seq", "content", F.to_json("tool_calls").alias("calls"), "finish_reason", "total_tokens", F.coalesce("last", F.lit(False)).alias("last"), ts)
