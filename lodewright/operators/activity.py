@@ -21,7 +21,8 @@ def session_kpis(sessions: DataFrame) -> DataFrame:
 
 
 def cap_for(plan: Column) -> Column:
-    return F.when(plan == "free", 1).otherwise(20)
+    """Sessions a day: one on the free plan and without one, twenty on any other."""
+    return F.when(F.coalesce(plan, F.lit("")).isin("", "free"), 1).otherwise(20)
 
 
 def daily_quota(marks: DataFrame) -> DataFrame:

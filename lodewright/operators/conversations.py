@@ -70,20 +70,28 @@ def compacted(turns: DataFrame, keep: int = 5) -> DataFrame:
     return ranked.withColumn("_s", start).where("role = 'system' OR turn = _u OR turn >= coalesce(_s, -1)").drop("_r", "_u", "_s")
 
 
-def repeated_calls(calls: DataFrame, lookback: int = 30, least: int = 3) -> DataFrame:
-    """Of (conv_id, turn, name, arguments): (conv_id, kind, pattern) where the last ``lookback`` calls hold ``least`` equal ones in a row,
-    or end in a block of two to five calls that stands twice or more."""
-    recent = calls.withColumn("_r", F.row_number().over(_by().orderBy(F.desc("turn")))).where(F.col("_r") <= lookback)
-    signed = recent.select("conv_id", "turn", F.concat_ws(":", "name", F.left(F.md5(F.coalesce("arguments", F.lit("")).cast("binary")), F.lit(12))).alias("s"))
-    lists = signed.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]).alias("a"))
+def repeated_calls(calls: DataFrame, turns: DataFrame | None = None, lookback: int = 30, least: int = 3) -> DataFrame:
+    """Of (conv_id, turn, name, arguments, and place within the turn if there): (conv_id, kind, pattern) where the calls of the last ``lookback``
+    messages hold ``least`` equal ones in a row, or end in a block of two to five calls that stands twice or more, the shortest first.
+
+    ``turns`` (conv_id, turn) are all messages; without them turn numbers count messages and the last call's is the last. Calls of one turn
+    without a place stand by signature. A pattern is the name of the equal call, or the signatures of the block."""
+    if turns is None:
+        recent = calls.withColumn("_from", F.max("turn").over(_by()) - (lookback - 1))
+    else:
+        nth = F.row_number().over(_by().orderBy(F.desc("turn")))
+        first = turns.select("conv_id", "turn").distinct().withColumn("_n", nth).where(F.col("_n") <= lookback).groupBy("conv_id").agg(F.min("turn").alias("_from"))
+        recent = calls.join(first, "conv_id")
+    signed = F.concat_ws(":", "name", F.left(F.md5(F.coalesce("arguments", F.lit("")).cast("binary")), F.lit(12)))
+    place = F.col("place") if "place" in calls.columns else F.lit(0)
+    own = recent.where("turn >= _from").select("conv_id", F.struct(F.col("turn"), place.alias("place"), signed.alias("s"), F.coalesce("name", F.lit("")).alias("name")).alias("c"))
+    lists = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("c")).alias("c")).select("conv_id", F.transform("c", lambda x: x["s"]).alias("a"), F.transform("c", lambda x: x["name"]).alias("names")).where(F.size("a") >= least)
     same = F.filter(F.sequence(F.lit(0), F.size("a") - least), lambda i: F.size(F.array_distinct(F.slice("a", i + 1, least))) == 1)
-    out = F.when(F.size("a") >= least, F.when(F.size(same) > 0, F.struct(F.lit("identical").alias("kind"), F.get("a", F.get(same, F.lit(0)).cast("int")).alias("pattern"))))
-    for k in range(5, 1, -1):
+    out = F.when(F.size(same) > 0, F.struct(F.lit("identical").alias("kind"), F.get("names", F.get(same, F.lit(0)).cast("int")).alias("pattern")))
+    for k in range(2, 6):
         tail, before = F.slice("a", F.greatest(F.size("a") - k + 1, F.lit(1)), k), F.slice("a", F.greatest(F.size("a") - 2 * k + 1, F.lit(1)), k)
-        hit = (F.size("a") >= 2 * k) & (tail == before)
-        block = F.when(hit, F.struct(F.lit("repeating").alias("kind"), F.array_join(tail, " ").alias("pattern")))
-        sequence = block if k == 5 else F.coalesce(block, sequence)
-    return lists.select("conv_id", F.coalesce(out, sequence).alias("d")).where("d IS NOT NULL").select("conv_id", "d.*")
+        out = F.coalesce(out, F.when((F.size("a") >= 2 * k) & (tail == before), F.struct(F.lit("repeating").alias("kind"), F.array_join(tail, " ").alias("pattern"))))
+    return lists.select("conv_id", out.alias("d")).where("d IS NOT NULL").select("conv_id", "d.*")
 
 
 def dangling(calls: DataFrame, results: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ UPLOAD_LIMIT = 100 * 1024 * 1024
 
 def head_split(df: DataFrame, row_index: str, share: float = 0.95) -> DataFrame:
     """Rows with ``part``: train for those whose place (from 0, dense) is under ``share`` of the count, rounded down, test for the others."""
-    n = df.agg(F.floor(F.count("*") * F.lit(share)).alias("cut"))
-    return df.join(F.broadcast(n)).withColumn("part", F.when(F.col(row_index) < F.col("cut"), "train").otherwise("test")).drop("cut")
+    n = df.agg(F.floor(F.count("*") * F.lit(share))).scalar()
+    return df.withColumn("part", F.when(F.col(row_index) < n, "train").otherwise("test"))
 
 
 def seeded_split(df: DataFrame, key: str, seed: int = 42, percent: int = 10, least: int = 20) -> DataFrame:
@@ -37,11 +37,29 @@ def checked_uploads(files: DataFrame, limit: int = UPLOAD_LIMIT) -> DataFrame:
 
 
 def unique_names(files: DataFrame, group: str, name: str, order: str) -> DataFrame:
-    """Rows with ``unique_name``: the first of a name within a group keeps it, later ones get -2, -3 before the ending."""
-    nth = F.row_number().over(W.partitionBy(group, name).orderBy(order))
-    ending = F.regexp_extract(name, r"(?s)^.+(\.[^./]*)$", 1)
-    stem = F.left(F.col(name), F.length(name) - F.length(ending))
-    return files.withColumn("nth", nth).withColumn("unique_name", F.when(F.col("nth") == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), F.col("nth").cast("string"), ending))).drop("nth")
+    """Rows with ``unique_name``: by order within a group, a name not yet used is kept, else -2, -3 and so on is put before its ending until it is
+    not used. A group's names meet as one list, as those of one upload; rows of one order and name are told apart by no more than their place."""
+    rest = [c for c in files.columns if c != group]
+    lists = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("f"), F.struct(*rest).alias("row")))).alias("files"))
+
+    @F.pandas_udf("array<string>")
+    def named(lists_of_names):
+        def each(names):
+            used, out = set(), []
+            for full in names:
+                stem, dot, ending = full.rpartition(".")
+                stem, ending = (stem, dot + ending) if stem.strip(".") and "/" not in ending else (full, "")
+                made, k = full, 2
+                while made in used:
+                    made, k = f"{stem}-{k}{ending}", k + 1
+                used.add(made)
+                out.append(made)
+            return out
+
+        return lists_of_names.map(each)
+
+    both = lists.withColumn("names", named(F.transform("files", lambda x: F.coalesce(x["f"], F.lit("")))))
+    return both.select(F.col(group), F.inline(F.arrays_zip(F.transform("files", lambda x: x["row"]).alias("row"), F.col("names").alias("unique_name")))).select(F.col(group), "row.*", "unique_name").select(*files.columns, "unique_name")
 
 
 def matched_endpoints(hits: DataFrame, endpoints: DataFrame, order: str) -> DataFrame:
@@ -147,14 +165,17 @@ def papers_between(papers: DataFrame, first: str, last: str, citations: int, lim
     return out.orderBy(F.desc("citations"), "paper_id").limit(limit)
 
 
-def lines(text: Column, start: int = 1, end: int | None = None, most: int = 300) -> Column:
-    """Lines ``start`` to ``end`` (from 1, clamped) as an array of (n, line), at most ``most`` of them."""
-    if start < 1 or (end is not None and end < start):
-        raise ValueError("lines run from 1 and end no earlier than they start")
+def lines(text: Column, start: int | None = None, end: int | None = None, most: int = 300) -> Column:
+    """Lines ``start`` to ``end`` (from 1, clamped to the text) as an array of (n, line); without a range the first ``most``. A range that begins
+    behind its end or the text's gives null. How many lines there are is ``line_count``."""
     every = F.split(text, "\n", -1)
-    many = F.least(F.size(every) if end is None else F.least(F.size(every), F.lit(end)) - (start - 1), F.lit(most)) if end is not None else F.least(F.size(every) - (start - 1), F.lit(most))
-    cut = F.slice(every, F.lit(start), F.greatest(many, F.lit(0)))
-    return F.transform(cut, lambda x, i: F.struct((i + start).alias("n"), x.alias("line")))
+    first, last = (1, F.least(F.size(every), F.lit(most))) if start is None and end is None else (max(1, start or 1), F.size(every) if end is None else F.least(F.size(every), F.lit(end)))
+    cut = F.slice(every, F.lit(first), F.greatest(last - (first - 1), F.lit(0)))
+    return F.when(last >= first, F.transform(cut, lambda x, i: F.struct((i + first).alias("n"), x.alias("line"))))
+
+
+def line_count(text: Column) -> Column:
+    return F.size(F.split(text, "\n", -1))
 
 
 def clamped(value: Column, allowed: tuple[str, ...], default: str) -> Column:
@@ -163,10 +184,16 @@ def clamped(value: Column, allowed: tuple[str, ...], default: str) -> Column:
     return F.when(v.isin(*allowed), v).otherwise(default)
 
 
+def _paid(plan: Column) -> Column:
+    """Whether a plan's text speaks of a paid one."""
+    return F.coalesce(F.lower(plan).rlike("pro|enterprise|team"), F.lit(False))
+
+
 def plan_of(kind: Column, is_pro: Column, organisations: Column) -> Column:
-    """org if any organisation pays, else pro, else free. ``organisations`` is an array of their plans."""
-    paid = F.coalesce(F.exists(organisations, lambda o: F.lower(o).isin("team", "enterprise", "org")), F.lit(False))
-    return F.when(paid, "org").when(F.coalesce(is_pro, F.lit(False)) | F.lower(F.coalesce(kind, F.lit(""))).isin("pro", "paid"), "pro").otherwise("free")
+    """pro by the plan's text, or by the mark if there is no text; else org if any organisation (an array of their plans) pays; else free."""
+    said = F.coalesce(kind, F.lit(""))
+    pro = _paid(said) | ((said == "") & F.coalesce(is_pro, F.lit(False)))
+    return F.when(pro, "pro").when(F.coalesce(F.exists(organisations, _paid), F.lit(False)), "org").otherwise("free")
 
 
 #: What a task of a to-do list must have, and its states.
@@ -181,10 +208,14 @@ def first_bad_todo(todos: DataFrame) -> DataFrame:
 
 
 def after_install(log: DataFrame) -> DataFrame:
-    """Log lines (log_id, n, line) from the first ``Installed k packages in`` on; all of them where there is none or it comes first."""
+    """Log lines (log_id, n, line) from the first that tells of installed packages and the time taken on, after one line that says what was left
+    out, under the number of the line before; all of them where there is none or it comes first."""
     w = W.partitionBy("log_id")
-    mark = F.min(F.when(F.col("line").rlike(r"^Installed \d+ packages? in "), F.col("n"))).over(w)
-    return log.withColumns({"mark": mark, "start": F.min("n").over(w)}).where("mark IS NULL OR mark = start OR n >= mark").drop("mark", "start")
+    told = F.trim("line").rlike(r"^Installed\s+\d+\s+packages?\s+in\s+\d+(?:\.\d+)?\s*(?:ms|s)$")
+    own = log.select("log_id", "n", "line", F.min(F.when(told, F.col("n"))).over(w).alias("at"), F.lag("n").over(w.orderBy("n")).alias("before"))
+    kept = own.where("at IS NULL OR n >= at OR before IS NULL AND at IS NULL").select("log_id", "n", "line")
+    note = own.where("n = at AND before IS NOT NULL").select("log_id", F.col("before").alias("n"), F.lit("[installs truncated]").alias("line"))
+    return kept.unionByName(note)
 
 
 def cited(edges: DataFrame, paper: object) -> DataFrame:
@@ -230,9 +261,7 @@ def budget_state(turns: DataFrame, warn: int, stop: int, most: int = 60) -> Data
     warn on the first that reaches ``warn``, else go."""
     w = W.partitionBy("session_id").orderBy("seq")
     peak, before = F.max("tokens").over(w), F.max("tokens").over(w.rowsBetween(W.unboundedPreceding, -1))
-    out = turns.withColumns({"peak": peak, "was": before, "nth": F.row_number().over(w)})
-    state = F.when((F.col("peak") >= stop) | (F.col("nth") > most), "stop").when((F.col("peak") >= warn) & (F.coalesce("was", F.lit(0)) < warn), "warn").otherwise("go")
-    return out.withColumn("state", state).drop("peak", "was", "nth")
+    return turns.withColumn("state", F.when((peak >= stop) | (F.row_number().over(w) > most), "stop").when((peak >= warn) & (F.coalesce(before, F.lit(0)) < warn), "warn").otherwise("go"))
 
 
 def context_length(providers: DataFrame, model: str) -> DataFrame:
@@ -242,9 +271,9 @@ def context_length(providers: DataFrame, model: str) -> DataFrame:
 
 
 def base_model(tags: Column, own: Column) -> Column:
-    """The first ``base_model:`` tag that is not the model itself and no fine-tune mark, else the first fine-tune's."""
+    """The first ``base_model:`` tag's model that is not the model itself and speaks of no fine-tune, else that of the first fine-tune's tag."""
     names = F.transform(F.filter(tags, lambda t: F.startswith(t, F.lit("base_model:"))), lambda t: F.substr(t, F.lit(12)))
-    plain = F.filter(names, lambda n: ~F.startswith(n, F.lit("finetune")) & (n != own))
+    plain = F.filter(names, lambda n: ~F.contains(n, F.lit("finetune")) & (n != own))
     tuned = F.transform(F.filter(names, lambda n: F.startswith(n, F.lit("finetune:"))), lambda n: F.substr(n, F.lit(10)))
     return F.coalesce(F.get(plain, F.lit(0)), F.get(tuned, F.lit(0)))
 
@@ -254,11 +283,20 @@ def shown_tags(tags: Column, most: int = 5) -> Column:
     return F.slice(F.filter(tags, lambda t: ~F.startswith(t, F.lit("arxiv:")) & ~F.startswith(t, F.lit("region:"))), 1, most)
 
 
+#: How Python text begins, and names that only it has.
+SCRIPT_STARTS, SCRIPT_NAMES = ("import ", "from ", "def ", "class ", "print(", "#"), ("trainer.train", "trainingarguments", "sftconfig", "sfttrainer")
+
+
 def is_inline_script(script: Column) -> Column:
     """Whether a text is Python itself and not a path or address of one."""
-    t = F.trim(script)
-    place = t.rlike(r"^(https?://|/|\./|~)") | (t.rlike(r"^\S+\.py$"))
-    return F.coalesce((F.contains(t, F.lit("\n")) | t.rlike(r"^(import|from|print|def|class)\b")) & ~place, F.lit(False))
+    t = F.regexp_replace(script, r"^\s+|\s+$", "")
+    place = F.lower(t).rlike(r"^(https?://|/|\./|\.\./)") | t.rlike(r"(?:^|[\\/])[\w.-]+\.py$")
+    holds = F.contains(t, F.lit("\n"))
+    for s in SCRIPT_STARTS:
+        holds = holds | F.startswith(t, F.lit(s))
+    for s in SCRIPT_NAMES:
+        holds = holds | F.contains(F.lower(t), F.lit(s))
+    return F.coalesce((t != "") & holds & ~place, F.lit(False))
 
 
 def save_warning(script: Column) -> Column:
@@ -307,9 +345,16 @@ def other_topics(domain: Column, known: Column, output: Column) -> Column:
 
 
 def title(text: Column, limit: int = 40) -> Column:
-    """A title from a first message: white space collapsed, quotes and stops off its ends, ``limit`` characters at most."""
-    t = F.btrim(F.regexp_replace(F.trim(text), r"\s+", " "), F.lit("\"'.` "))
-    return F.when(F.coalesce(t, F.lit("")) == "", F.lit("Untitled")).otherwise(F.rtrim(F.left(t, F.lit(limit))))
+    """A title from a first message: white space off its ends, over ``limit`` characters cut and marked, New chat for none."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.when(t == "", F.lit("New chat")).when(F.length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit))), F.lit("…"))).otherwise(t)
+
+
+def clean_title(made: Column, limit: int = 50) -> Column:
+    """A title that a model made: quotes off its ends, marks of Markdown removed, over ``limit`` characters cut and marked."""
+    t = F.btrim(F.btrim(F.btrim(F.coalesce(made, F.lit(""))), F.lit('"')), F.lit("'"))
+    t = F.btrim(F.translate(t, "`*_~#[]()", ""))
+    return F.when(F.length(t) > limit, F.concat(F.rtrim(F.left(t, F.lit(limit))), F.lit("…"))).otherwise(t)
 
 
 def message_structure(conversations: DataFrame, messages: str = "messages") -> DataFrame:

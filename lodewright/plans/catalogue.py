@@ -130,17 +130,17 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("chunk_index", "text"))
 
 
-@query("SELECT 'sft:' || doc_id || ':pair' AS case_id, lang AS expected FROM documents WHERE trim(text) <> '' AND trim(lang) <> '' ORDER BY doc_id LIMIT 25", "documents")
+@query("SELECT 'sft_reference_eval:' || doc_id || ':prompt_completion' AS case_id, lang AS expected FROM documents WHERE trim(text) <> '' AND trim(lang) <> '' ORDER BY doc_id LIMIT 25", "documents")
 def golden_cases_prompt_completion(docs: DataFrame) -> DataFrame:
     return evals.prompt_cases(docs.withColumn("row_index", F.col("doc_id")), "text", "lang").select("case_id", "expected")
 
 
-@query("SELECT count(*) AS cases, count(*) FILTER (quality IS NULL) AS needs_more_data, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality = 0) AS failed FROM documents LEFT JOIN labels USING (doc_id)", "documents", "labels")
+@query("SELECT count(*) AS cases, count(*) FILTER (quality IS NULL) AS needs_more_data, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality = 0) AS failed, CASE WHEN count(*) FILTER (quality = 0) > 0 THEN 'failed' ELSE 'needs_more_data' END AS overall FROM documents LEFT JOIN labels USING (doc_id)", "documents", "labels")
 def score_outputs_status_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document is a case that expects a word its output holds if it is labelled good; unlabelled ones have no output."""
     cases = docs.select(F.col("doc_id").cast("string").alias("case_id"), F.lit("verdict?").alias("question"), F.lit("accepted").alias("expected"))
     outputs = labels.select(F.col("doc_id").cast("string").alias("case_id"), F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("output"))
-    return evals.status_counts(evals.score_outputs(cases, outputs)).select("cases", "needs_more_data", "passed", "failed")
+    return evals.status_counts(evals.score_outputs(cases, outputs)).select("cases", "needs_more_data", "passed", "failed", "overall")
 
 
 @query("SELECT n_nationkey AS question_id, 'answered' AS status, CAST(n_regionkey AS VARCHAR) AS answer FROM nation", "nation")
@@ -409,9 +409,9 @@ def papers_between(orders: DataFrame) -> DataFrame:
     return L.papers_between(rows, "1996-01-01", "1997-12-31", 100000, 25, ("F", "O")).select("paper_id", "citations")
 
 
-@query("SELECT doc_id, CAST(u.n AS INTEGER) AS n, u.line AS line FROM (SELECT doc_id, unnest(list_transform(range(2, least(len(l), 4) + 1), lambda i: {'n': i, 'line': l[i]})) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))", "documents")
+@query("SELECT doc_id, CAST(u.n AS INTEGER) AS n, u.line AS line FROM (SELECT doc_id, unnest(list_transform(range(2, least(len(l), 4000) + 1), lambda i: {'n': i, 'line': l[i]})) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))", "documents")
 def line_range(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.inline(L.lines(F.col("text"), 2, 4)))
+    return docs.select("doc_id", F.inline(L.lines(F.col("text"), 2, 4000)))
 
 
 @query("SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'other' END AS lang FROM documents", "documents")
@@ -419,10 +419,12 @@ def clamped_ids(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", L.clamped(F.upper("lang"), ("en", "de"), "other").alias("lang"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'org' WHEN c_custkey % 3 = 0 OR c_mktsegment = 'BUILDING' THEN 'pro' ELSE 'free' END AS plan FROM customer", "customer")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' OR c_mktsegment = 'FURNITURE' AND c_custkey % 2 = 0 THEN 'pro' WHEN c_custkey % 3 = 0 AND NOT (c_mktsegment = 'FURNITURE') THEN 'pro' WHEN c_mktsegment = 'MACHINERY' OR c_custkey % 7 = 0 THEN 'org' ELSE 'free' END AS plan FROM customer", "customer")
 def plans(customer: DataFrame) -> DataFrame:
-    org = F.array(F.lit("none"), F.when(F.col("c_mktsegment") == "MACHINERY", "Team").otherwise("free"))
-    return customer.select("c_custkey", L.plan_of(F.when(F.col("c_mktsegment") == "BUILDING", "PRO"), F.col("c_custkey") % 3 == 0, org).alias("plan"))
+    """Every branch: a plan's text of a paid plan, one of another plan that overrules the mark, the mark alone, an organisation that pays."""
+    org = F.array(F.lit("none"), F.when(F.col("c_mktsegment") == "MACHINERY", "My Team").when(F.col("c_custkey") % 7 == 0, "ENTERPRISE hub"))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "PRO").when(F.col("c_mktsegment") == "FURNITURE", F.when(F.col("c_custkey") % 2 == 0, "team").otherwise("user"))
+    return customer.select("c_custkey", L.plan_of(kind, F.col("c_custkey") % 3 == 0, org).alias("plan"))
 
 
 @query("SELECT o_custkey AS list_id, o_orderkey AS ord, 'bad status' AS problem FROM orders WHERE o_orderstatus = 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1", "orders")
@@ -432,11 +434,13 @@ def first_bad_todo(orders: DataFrame) -> DataFrame:
 
 
 @query(
-    "SELECT user_id, event_id FROM (SELECT *, min(CASE WHEN event_type = 'signup' THEN event_id END) OVER w AS m, min(event_id) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id)) WHERE m IS NULL OR m = s OR event_id >= m", "events",
+    "WITH e AS (SELECT *, min(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) AS m, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) "
+    "SELECT user_id, event_id, CASE WHEN event_type = 'signup' THEN 'Installed 12 packages in 30ms' WHEN event_type = 'view' THEN 'Installed 3 packages in /tmp' ELSE event_type END AS line FROM e WHERE m IS NULL OR event_id >= m "
+    "UNION ALL SELECT user_id, before, '[installs truncated]' FROM e WHERE event_id = m AND before IS NOT NULL", "events",
 )
 def log_after_install(events: DataFrame) -> DataFrame:
-    line = F.when(F.col("event_type") == "signup", "Installed 12 packages in 30ms").otherwise(F.col("event_type"))
-    return L.after_install(events.select(F.col("user_id").alias("log_id"), F.col("event_id").alias("n"), line.alias("line"))).select(F.col("log_id").alias("user_id"), F.col("n").alias("event_id"))
+    line = F.when(F.col("event_type") == "signup", "Installed 12 packages in 30ms").when(F.col("event_type") == "view", "Installed 3 packages in /tmp").otherwise(F.col("event_type"))
+    return L.after_install(events.select(F.col("user_id").alias("log_id"), F.col("event_id").alias("n"), line.alias("line"))).select(F.col("log_id").alias("user_id"), F.col("n").alias("event_id"), "line")
 
 
 @query(
@@ -598,7 +602,7 @@ def endpoint_search(part: DataFrame) -> DataFrame:
 
 @query(
     "WITH m AS (SELECT * FROM conversations WHERE trim(text) <> ''), u AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM m), "
-    "p AS (SELECT conv_id, trim(q) AS q, trim(text) AS a FROM u WHERE role = 'assistant' AND q IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1) SELECT 'sft:' || conv_id || ':messages' AS case_id, "
+    "p AS (SELECT conv_id, trim(q) AS q, trim(text) AS a FROM u WHERE role = 'assistant' AND q IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1) SELECT 'sft_reference_eval:' || conv_id || ':messages' AS case_id, "
     "CASE WHEN length(q) > 240 THEN rtrim(left(q, 240)) || '...' ELSE q END AS question, CASE WHEN length(a) > 240 THEN rtrim(left(a, 240)) || '...' ELSE a END AS expected FROM p ORDER BY conv_id LIMIT 25", _CONV,
 )
 def golden_cases_messages(turns: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scrub import scrubbed_json
-from ..operators import decisions, structure, telemetry, text_index
+from ..operators import conversations, decisions, evals, structure, telemetry, text_index
 from ..sources import formats, pdf, sinks
 from ..streaming import replay
 from .catalogue import query
@@ -210,3 +210,29 @@ def strategy_per_source(docs: DataFrame) -> DataFrame:
     done = decisions.strategies(decisions.assessed(decisions.inferred(given)))
     t, s = F.col("trainability"), F.col("strategy")
     return done.select("dataset", "row_count", t["score"].alias("score"), t["recommendation"].alias("recommendation"), t["risk_level"].alias("risk"), s["strategy"].alias("strategy"), s["method"].alias("method"), s["confidence"].alias("confidence"), s["risk_level"].alias("own_risk"), s["requires_override"].alias("requires_override"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, trim(p_name) AS name, p_partkey % 5 AS k FROM part WHERE trim(p_name) <> '' ORDER BY p_partkey LIMIT 100000)
+    SELECT 'structured_reference_qa:' || p_partkey || ':lookup' AS case_id, CASE k WHEN 0 THEN 'passed' WHEN 1 THEN 'needs_more_data' WHEN 2 THEN 'needs_rag' ELSE 'failed' END AS status, CASE WHEN k IN (0, 4) THEN 1.0 ELSE 0.0 END AS score,
+    CASE WHEN k = 2 OR k = 3 THEN name END AS missing, CASE WHEN k IN (3, 4) THEN 'automatic guarantee refund tax' END AS claim FROM p""", "part",
+)
+def eval_statuses(part: DataFrame) -> DataFrame:
+    """Cases of a reference table and outputs that meet every status: right, none, asking, wrong, right with a claim of its own."""
+    rows = part.select(F.col("p_partkey").alias("row_index"), F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("Section"), F.col("p_name").alias("Description"))
+    cases = evals.reference_cases(rows, 100_000)
+    k, claim = F.col("p_partkey") % 5, F.lit("It guarantees automatic tax refunds.")
+    said = F.when(k == 0, F.col("p_name")).when(k == 2, F.lit("I do not know.")).when(k == 3, claim).when(k == 4, F.concat("p_name", F.lit(". "), claim))
+    outputs = part.select(F.concat(F.lit("structured_reference_qa:"), F.col("p_partkey").cast("string"), F.lit(":lookup")).alias("case_id"), said.alias("output"))
+    return evals.score_outputs(cases, outputs).select("case_id", "status", "score", F.get("missing_facts", F.lit(0)).alias("missing"), F.get("claims", F.lit(0)).alias("claim"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, turn % 2 AS place, CASE WHEN conv_id % 3 = 0 THEN 'same' WHEN conv_id % 3 = 1 THEN 'ab'[1 + turn % 2:1 + turn % 2] ELSE 'f' || turn END AS name FROM conversations),
+    n AS (SELECT conv_id, count(*) AS n FROM c GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'identical' ELSE 'repeating' END AS kind FROM n WHERE (conv_id % 3 = 0 AND n >= 3) OR (conv_id % 3 = 1 AND n >= 4)""", "conversations",
+)
+def call_loops(turns: DataFrame) -> DataFrame:
+    """Conversations whose turns are calls: equal ones, alternating ones and ones of their own."""
+    name = F.when(F.col("conv_id") % 3 == 0, "same").when(F.col("conv_id") % 3 == 1, F.when(F.col("turn") % 2 == 0, "a").otherwise("b")).otherwise(F.concat(F.lit("f"), F.col("turn").cast("string")))
+    return conversations.repeated_calls(turns.select("conv_id", "turn", name.alias("name"), F.lit("{}").alias("arguments")), turns).select("conv_id", "kind")

@@ -184,8 +184,8 @@ def test_golden_cases_by_kind_of_table(spark):
         (1, turn(("assistant", "x"), ("user", "y"))), (2, turn(("user", "q"), ("assistant", " "))), (3, []), (4, None), (5, turn(("user", "u" * 300), ("assistant", "v"))),
     ]
     df = spark.createDataFrame(rows, "row_index long, Messages array<struct<role:string,content:string>>")
-    assert [tuple(r) for r in evals.golden_cases(df).collect()] == [("sft:0:messages", "b", "c"), ("sft:5:messages", "u" * 240 + "...", "v")]
+    assert [tuple(r) for r in evals.golden_cases(df).collect()] == [("sft_reference_eval:0:messages", "b", "c"), ("sft_reference_eval:5:messages", "u" * 240 + "...", "v")]
     assert evals.golden_cases(df, limit=1).count() == 1 and evals.golden_cases(df.limit(0)).count() == 0
     pairs = spark.createDataFrame([(0, "i", "o"), (1, "", "o")], "row_index long, Instruction string, output string")
-    assert [tuple(r) for r in evals.golden_cases(pairs).collect()] == [("sft:0:pair", "i", "o")]
+    assert [tuple(r) for r in evals.golden_cases(pairs).collect()] == [("sft_reference_eval:0:prompt_completion", "i", "o")]
     assert evals.golden_cases(pairs.select("row_index")).count() == 0

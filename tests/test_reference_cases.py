@@ -159,11 +159,12 @@ def test_lookup(spark):
 
 def test_cases_and_scores(spark):
     rows = spark.createDataFrame([(0, "ITR-1", "Simple income return")], "row_index long, `Form No` string, Purpose string")
-    cases = evals.reference_cases(rows, "Form No")
-    assert [r.case_id for r in cases.collect()] == ["lookup:0:purpose", "lookup:0:reverse"]
-    said = spark.createDataFrame([("lookup:0:purpose", "It is a simple income return."), ("lookup:0:reverse", "I need more context.")], "case_id string, output string")
+    cases = evals.reference_cases(rows)
+    task = "structured_reference_qa:0:"
+    assert [r.case_id for r in cases.collect()] == [task + "purpose", task + "reverse_lookup"]
+    said = spark.createDataFrame([(task + "purpose", "It is a simple income return."), (task + "reverse_lookup", "I need context.")], "case_id string, output string")
     got = {r.case_id: r.status for r in evals.score_outputs(cases, said).collect()}
-    assert got == {"lookup:0:purpose": "passed", "lookup:0:reverse": "needs_rag"}
+    assert got == {task + "purpose": "passed", task + "reverse_lookup": "needs_rag"}
     assert evals.status_counts(evals.score_outputs(cases, said.limit(0))).first().overall == "needs_more_data"
     made = evals.examples(rows, "Form No", {"purpose": ("What is %s used for?", "Purpose"), "summary": ("Summarise %s.", "Purpose")}, "Answer from the table.")
     assert made.count() == 2 and [m.role for m in made.first().messages] == ["system", "user", "assistant"]
