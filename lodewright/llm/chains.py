@@ -21,8 +21,9 @@ from .ranking import labelled_sample
 
 #: Labelled rows a fit reads at most, the smallest xxhash64(doc_id) first, and the size of the hashed feature space.
 FIT_ROWS, BUCKETS, FOLDS = 8_000, 1 << 18, 3
-#: Lengths in bytes of the beginnings of words that count as features of their own.
-STEMS = (5, 7)
+#: Lengths in bytes of the beginnings of words that count as features of their own, and how often a word or beginning must come in a text to
+#: count once more: chance brings a stem once, a subject brings it again.
+STEMS, OFTEN = (4, 6, 8), (2, 4)
 #: A word takes part if its log-likelihood ratio (G-test) with the label is at least this.
 LEAST_GAIN = 12.0
 #: Categories of the labels table in chain order.
@@ -32,8 +33,8 @@ _EDGE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Fal
 
 
 def buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row offsets, buckets): the distinct hashed words of each text, letters and digits with A-Z in lower case, and the distinct beginnings of
-    STEMS bytes of its longer words, which inflected forms of one stem share."""
+    """(row offsets, buckets): the distinct hashed words of each text, letters and digits with A-Z in lower case, the distinct beginnings of
+    STEMS bytes of its longer words, which inflected forms of one stem share, and those of both that come OFTEN times or more."""
     parts, sizes = [], []
     for a, b, raw, off in pieces(column):
         raw = lower(raw)
@@ -44,7 +45,10 @@ def buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             long = np.flatnonzero(ends - starts > n)
             stem = mix(hashes(raw, starts[long], starts[long] + n) + np.uint64(k))
             keys.append(row[long] | (stem % np.uint64(BUCKETS)))
-        key = np.unique(np.concatenate(keys))
+        key, times = np.unique(np.concatenate(keys), return_counts=True)
+        low = np.uint64(0xFFFFFFFF)
+        more = [(key[times >= n] & ~low) | (mix((key[times >= n] & low) + np.uint64(n << 40)) % np.uint64(BUCKETS)) for n in OFTEN]
+        key = np.unique(np.concatenate([key, *more]))
         sizes.append(np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=b - a))
         parts.append((key & np.uint64(0xFFFFFFFF)).astype(np.int32))
     n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
@@ -57,7 +61,7 @@ def _sums(off: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """Logistic regression on word presence and a few dense columns. A word's weight is scaled by its log-odds between the labels
+    """Logistic regression on the presence of words and of repeated ones and a few dense columns. A word's weight is scaled by its log-odds between the labels
     in the rows it is fitted on, so that rare and common words meet on one scale."""
 
     def __init__(self, off, idx, dense, y, steps: int = 60, l2: float = 2e-4):
