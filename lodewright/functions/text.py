@@ -198,12 +198,41 @@ SECRET_FIELD = (
 COUNTERS = ("prompt_tokens", "completion_tokens", "total_tokens", "cache_read_tokens", "cache_creation_tokens")
 
 
+#: What a text must hold for a rewrite to change it: one of some words in lower case, or a run of so many digits.
+NEEDS = {
+    "hf_token": ("hf_",), "anthropic_key": ("sk-ant-",), "openai_key": ("sk-",), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "github_pat": ("github_pat_",), "aws_key_id": ("akia", "asia"), "aws_secret": ("aws_secret_access_key",),
+    "azure_key": ("accountkey", "azure_client_secret"), "private_key": ("-----begin private key-----",), "bearer": ("bearer",), "aadhaar": 4, "pan": 4, "gstin": 4, "ifsc": ("0",), "email": ("@",), "phone": 5, "invoice": ("inv",), "name": ("customer", "client"),
+    "address": ("addr",), "street": 1, "bank_account": 9, "secret": ("key", "token", "secret", "passw", "credentials"),
+}
+
+
 def redacted(c: Column) -> Column:
     """All rewrites in order, then ``NAME=value`` for secret names; ``(?U)`` gives ``\\d \\s \\b`` their Unicode meaning.
 
-    A secret value that itself holds something redactable is replaced whole."""
-    done = reduce(lambda x, r: F.regexp_replace(x, "(?U)" + r[1], r[2]), REDACTIONS, c)
-    return F.regexp_replace(done, rf"(?Ui)\b({SECRET_NAMES})\s*+[:=]\s*+(?!\[REDACTED_)[^\s\"']+", "$1=[REDACTED_SECRET]")
+    A secret value that itself holds something redactable is replaced whole. A rewrite runs only on texts that hold what it needs, which a plain
+    search tells; clean texts meet no rewrite."""
+
+    def step(x: Column, name: str, pattern: str, to: str) -> Column:
+        def one(t: Column) -> Column:
+            need = NEEDS[name]
+            if isinstance(need, int):
+                holds = F.regexp_like(t, F.lit(rf"\p{{Nd}}{{{need}}}"))
+            else:
+                low = F.lower(F.replace(t, F.lit("ſ"), F.lit("s")))  # the one letter that matches s in any case and is no S
+                holds = reduce(lambda a, b: a | b, (F.contains(low, F.lit(word)) for word in need))
+            return F.when(holds, F.regexp_replace(t, pattern, to)).otherwise(t)
+
+        # a lambda, so that a text is computed once and then looked at and rewritten
+        return F.get(F.transform(F.array(x), one), F.lit(0))
+
+    def rewritten(t: Column) -> Column:
+        done = reduce(lambda x, r: step(x, r[0], "(?U)" + r[1], r[2]), REDACTIONS, t)
+        return step(done, "secret", rf"(?Ui)\b({SECRET_NAMES})\s*+[:=]\s*+(?!\[REDACTED_)[^\s\"']+", "$1=[REDACTED_SECRET]")
+
+    words = sorted({w for need in NEEDS.values() if not isinstance(need, int) for w in need if not w.isdigit()})
+    any_word = lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+    held = F.array(F.struct(c.alias("t"), F.lower(F.replace(c, F.lit("ſ"), F.lit("s"))).alias("low")))
+    return F.get(F.transform(held, lambda x: F.when(any_word(x["low"]) | F.regexp_like(x["t"], F.lit(r"\p{Nd}")), rewritten(x["t"])).otherwise(x["t"])), F.lit(0))
 
 
 def redacted_value(c: Column, kind: T.DataType) -> Column:

@@ -87,9 +87,12 @@ def admitted_sessions(sessions: DataFrame, overall: int = 200, per_user: int = 1
     return out.withColumn("admitted", (F.col("_a") + F.col("_p") <= overall) & ((F.col("_m") <= per_user) | (F.col("user_id") == "dev"))).drop("_d", "_m", "_p", "_a")
 
 
-def approval(profile_known: Column, blocked: Column, smoke_failed: Column, scheduled: Column, required: Column, automatic: Column, cost: Column, remaining: Column) -> Column:
-    """Decision on a tool call; the first reason that holds wins."""
+def approval(profile_known: Column, blocked: Column, smoke_failed: Column, scheduled: Column, required: Column, automatic: Column, cost: Column, remaining: Column, budgeted: Column | None = None) -> Column:
+    """Decision on a tool call; the first reason that holds wins. Only calls that are ``budgeted`` (all unless given) are held to their cost: one
+    without an estimate, or over what remains, is asked about. A null condition does not hold; nothing remaining named means no limit."""
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    costed = F.lit(True) if budgeted is None else holds(budgeted)
     return (
-        F.when(blocked, "block_trainability").when(~profile_known, "block_no_profile").when(smoke_failed, "block_smoke").when(scheduled, "ask_scheduled")
-        .when(~required, "allow").when(~automatic, "ask").when(cost.isNull(), "ask_unknown_cost").when(cost > remaining, "ask_over_cap").otherwise("allow_auto")
+        F.when(holds(blocked), "block_trainability").when(~holds(profile_known), "block_no_profile").when(holds(smoke_failed), "block_smoke").when(holds(scheduled), "ask_scheduled")
+        .when(~holds(required), "allow").when(~holds(automatic), "ask").when(costed & cost.isNull(), "ask_unknown_cost").when(costed & holds(cost > remaining), "ask_over_cap").otherwise("allow_auto")
     )

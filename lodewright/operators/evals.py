@@ -186,6 +186,35 @@ def examples(records: DataFrame, key: str, templates: dict[str, tuple[str, str]]
     return records.select("row_index", F.posexplode(F.array(*made)).alias("pos", "e")).select("row_index", "pos", "e.*")
 
 
+#: Columns of a table of forms under the names the templates use, and the templates: kind, question, answer.
+FORM_FIELDS = {"form": "Form No", "category": "Category", "purpose": "Purpose", "sections": "Applicable Sections", "filing": "Filing Frequency", "due": "Due Dates", "users": "User Categories", "regime": "Old/New Regime Applicability", "mapping": "API / E-Filing Mapping Possibilities"}
+FORM_EXAMPLES = (
+    ("purpose", "What is {form} used for?", "{form} is used for {purpose}."),
+    ("applicability", "Who should use {form}, and which section applies?", "{form} applies to {users}. The applicable section is {sections}."),
+    ("filing_timeline", "How often is {form} filed and what is its due date?", "{form} has {filing} filing frequency. The due date is {due}."),
+    ("regime", "Is {form} applicable under the old regime, new regime, or both?", "For {form}, old/new regime applicability is {regime}."),
+    ("efiling_mapping", "What e-filing or API mapping is listed for {form}?", "The listed e-filing/API mapping for {form} is {mapping}."),
+    ("summary", "Summarize the Income Tax Master entry for {form}.", "{form} is a {category} form used for {purpose}. It applies to {users}, references {sections}, is filed {filing}, has due date {due}, regime applicability {regime}, and maps to {mapping}."),
+)
+
+
+def form_examples(rows: DataFrame, system: str) -> DataFrame:
+    """Six training examples of each row of a table of forms: (row_index, qa_type, messages, form, category), in the order of the templates. Missing
+    columns and blank values are said to be not specified."""
+    import re
+
+    value = {k: or_sentinel(F.col(f"`{c}`")) if c in rows.columns else F.lit(SENTINEL) for k, c in FORM_FIELDS.items()}
+
+    def filled(template: str) -> Column:
+        parts = re.split(r"\{(\w+)\}", template)
+        return F.concat(*(value[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    made = [F.struct(F.lit(kind).alias("qa_type"), F.array(turn("system", F.lit(system)), turn("user", filled(q)), turn("assistant", filled(a))).alias("messages")) for kind, q, a in FORM_EXAMPLES]
+    each = rows.select("row_index", value["form"].alias("form"), value["category"].alias("category"), F.posexplode(F.array(*made)).alias("pos", "e"))
+    return each.select("row_index", "pos", "e.*", "form", "category")
+
+
 def formatted(rows: DataFrame, prompts: tuple[str, ...], answers: tuple[str, ...]) -> DataFrame:
     """``### User / ### Assistant`` text from the first non-empty of the prompt and of the answer columns."""
     first = lambda names: F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in names if c in rows.columns), F.lit(""))

@@ -130,3 +130,71 @@ def job_lines(jobs: DataFrame, ord: str) -> DataFrame:
     top = wide.select(F.explode(F.when(F.col("n") == 0, F.array(F.lit("No jobs found."))).otherwise(F.array(title, rule))).alias("line"))
     named = top.select(F.when(F.startswith("line", F.lit("|-")), 0).otherwise(-1).alias("head"), F.lit(None).cast(own.schema["ord"].dataType).alias("ord"), "line")
     return named.unionByName(body)
+
+
+def restored_calls(pending: Column) -> Column:
+    """Of an array of pending calls in JSON, flat or with a ``function``, those that can be called again, as JSON with id, type and function; flat
+    ones without an id or a tool, and what is no object, are dropped. Null if none is left."""
+    get = lambda c, p: F.get_json_object(c, p)
+    quoted = lambda v: F.regexp_extract(F.to_json(F.struct(v.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+
+    def one(c: Column) -> Column:
+        given = F.coalesce(F.when(F.json_object_keys(get(c, "$.arguments")).isNotNull(), get(c, "$.arguments")), F.lit("{}"))
+        flat = F.concat(F.lit('{"id": '), quoted(get(c, "$.tool_call_id")), F.lit(', "type": "function", "function": {"name": '), quoted(get(c, "$.tool")), F.lit(', "arguments": '), quoted(given), F.lit("}}"))
+        whole = get(c, "$.function.name").isNotNull() & get(c, "$.id").isNotNull()
+        return F.when(whole, c).when(get(c, "$.function").isNull() & get(c, "$.tool").isNotNull() & get(c, "$.tool_call_id").isNotNull(), flat)
+
+    kept = F.array_compact(F.transform(pending, one))
+    return F.when(F.size(kept) > 0, kept)
+
+
+#: Roles that a message can have.
+ROLES = ("system", "user", "assistant", "tool", "function", "developer")
+
+
+def seeds(messages: DataFrame, message: str = "message") -> DataFrame:
+    """Messages (JSON) a new session starts from: those with a known role other than the system's whose content is a text, a list or absent."""
+    role, content = F.get_json_object(message, "$.role"), F.try_variant_get(F.try_parse_json(message), "$.content", "variant")
+    kind = F.coalesce(F.schema_of_variant(content), F.lit("VOID"))
+    return messages.where(role.isin(*(r for r in ROLES if r != "system")) & kind.rlike("^(STRING|ARRAY|VOID)"))
+
+
+def found_links(text: Column, host: str) -> Column:
+    """(dataset, job, model) named in a text: the dataset of a link on ``host``, else the first pair of names with a slash that is part of no link; the
+    first link to a job; the model's link behind the mark of a training log. Null for none."""
+    import re
+
+    site = re.escape(host)
+    first = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    linked = first(text, rf"https?://{site}/datasets/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)")
+    bare = first(F.regexp_replace(text, r"https?://\S+", " "), r"\b([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)\b")
+    return F.struct(F.coalesce(linked, bare).alias("dataset"), first(text, rf"(https://{site}/jobs/[^\s)]+)").alias("job"), first(text, rf"AUTO_FINETUNE_MODEL_URL=(https://{site}/\S+)").alias("model"))
+
+
+def listed_files(files: DataFrame, prefix: str = "") -> DataFrame:
+    """Files under a path, by path."""
+    return files.where(F.startswith("path", F.lit(prefix))).orderBy("path")
+
+
+def discussions(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The first discussions (num, title, status, is_pull_request) by number, the latest first, with a label of kind and status."""
+    label = F.concat_ws(" ", F.when(F.coalesce("is_pull_request", F.lit(False)), "PR").otherwise("discussion"), F.concat(F.lit("("), F.coalesce("status", F.lit("open")), F.lit(")")))
+    return rows.orderBy(F.desc("num")).limit(most).withColumn("label", label)
+
+
+def composite(parts: dict[str, DataFrame]) -> DataFrame:
+    """All parts' rows by name, in the order of the parts, with ``part`` and its ``place``; columns a part lacks are null."""
+    from functools import reduce
+
+    named = [df.withColumn("part", F.lit(name)).withColumn("place", F.lit(i)) for i, (name, df) in enumerate(parts.items())]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
+def rendered_context(label: Column, provider: Column, dataset: Column, sections: dict[str, Column]) -> Column:
+    """A workflow's context as text: label, provider, the dataset if there is one, then each section (array of lines) that has lines, a titled one
+    under its title. Empty without a label."""
+    lines = [F.lit("Selected ML workflow context:"), F.concat(F.lit("- Domain: "), label), F.concat(F.lit("- Compute provider: "), provider), F.when(F.trim(dataset) != "", F.concat(F.lit("- Dataset repo: "), dataset))]
+    for title, items in sections.items():
+        body = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+        lines.append(F.when(F.size(items) > 0, F.concat(F.lit(f"{title}:\n" if title else ""), body)))
+    return F.when(F.trim(label) != "", F.concat_ws("\n", *lines)).otherwise("")

@@ -22,10 +22,11 @@ def head_split(df: DataFrame, row_index: str, share: float = 0.95) -> DataFrame:
 
 
 def seeded_split(df: DataFrame, key: str, seed: int = 42, percent: int = 10, least: int = 20) -> DataFrame:
-    """Rows with ``part``: ``percent`` of the keys, by a seeded hash, are test; all are train in a table of under ``least`` rows. Rows of
-    one key stay together."""
+    """Rows with ``part``: ``percent`` of the keys, by the first 32 bits of the MD5 of seed and key, are test; all are train in a table of under
+    ``least`` rows. Rows of one key stay together; a null key is train."""
     few = df.limit(least).count() < least
-    test = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(100)) < percent
+    hashed = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.lit(8)), 16, 10).cast("long")
+    test = hashed % 100 < percent
     return df.withColumn("part", F.lit("train") if few else F.when(test, "test").otherwise("train"))
 
 

@@ -214,11 +214,14 @@ def bm25(docs: DataFrame, query: str, k: int = 10, k1: float = 1.2, b: float = 0
     return one.where(hit).select("doc_id", F.round(sum((part(i) for i in range(len(words))), F.lit(0.0)), 4).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+#: Endings that ``stem`` takes off, the first that matches, and what stands in their place.
+STEM_RULES = ((r"^(.{2,}ss)es$", "$1"), (r"^(.{3,})ies$", "$1y"), (r"^(.{4,})ing$", "$1"), (r"^(.{4,})ed$", "$1"), (r"^(.{2,}(?:x|ch|sh|z))es$", "$1"), (r"^(.{3,}[^su])s$", "$1"))
+
+
 def stem(word: Column) -> Column:
     """A word without a common English ending, if four letters or more stay: sses to ss, ies to y, ing, ed, es after a hiss, and a plural s."""
-    rules = ((r"^(.{2,}ss)es$", "$1"), (r"^(.{3,})ies$", "$1y"), (r"^(.{4,})ing$", "$1"), (r"^(.{4,})ed$", "$1"), (r"^(.{2,}(?:x|ch|sh|z))es$", "$1"), (r"^(.{3,}[^su])s$", "$1"))
     out = word
-    for pattern, to in reversed(rules):
+    for pattern, to in reversed(STEM_RULES):
         out = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, to)).otherwise(out)
     return out
 
@@ -231,7 +234,7 @@ def field_search(rows: DataFrame, fields: dict[str, float], query: str, k: int =
     """The first ``k`` rows, all columns and ``score``, by the weighted sum of each field's BM25 over stemmed words, for any word of the query;
     ties by ``order``. Rows that ``where`` does not admit count in the statistics but never take a place: the filter comes before the limit.
     Null fields are empty. A query without a word finds nothing."""
-    asked = sorted(set(_query_words(rows, query)))
+    asked = sorted(set(_query_words(query)))
     if not asked:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
     names = list(fields)
@@ -253,9 +256,17 @@ def field_search(rows: DataFrame, fields: dict[str, float], query: str, k: int =
     return admitted.orderBy(F.desc("score"), *order).limit(k)
 
 
-def _query_words(rows: DataFrame, query: str) -> list[str]:
-    one = rows.sparkSession.range(1).select(F.transform(F.regexp_extract_all(F.lower(F.lit(query)), F.lit("([a-z0-9]+)"), F.lit(1)), stem).alias("w"))
-    return one.first()["w"]
+def _query_words(query: str) -> list[str]:
+    """The stemmed words of one query, by the rules of ``stem``."""
+    import re
+
+    def one(word: str) -> str:
+        for pattern, to in STEM_RULES:
+            if m := re.match(pattern, word):
+                return m[1] + to[2:]
+        return word
+
+    return [one(w) for w in re.findall("[a-z0-9]+", query.lower())]
 
 
 def tagged(tag: str | None, tags: str = "tags") -> Column | None:

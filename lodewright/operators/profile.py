@@ -20,16 +20,17 @@ def _fingerprint(df: DataFrame):
     return F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b"))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row: row_count, column_count, missing_summary, missing_fraction, duplicate_count, duplicate_fraction. Missing is null or
-    blank; a null number counts too. The table is scanned once; copies meet under a 128-bit hash of the row, so no row is shuffled."""
+def profile(df: DataFrame, of: int | None = None) -> DataFrame:
+    """One row: row_count, column_count, missing_summary, missing_fraction, duplicate_count, duplicate_fraction, profiled_row_count and
+    statistics_basis: full_dataset, or sample_rows if the dataset has another number of rows, ``of``. Missing is null or blank; a null number counts too. The table is scanned once; copies meet under a 128-bit hash of the row, so no row is shuffled."""
     missing = [F.count_if(is_missing(_own(c)) if isinstance(df.schema[c].dataType, T.StringType) else _own(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
     one = df.agg(F.count("*").alias("n"), F.count_distinct(_fingerprint(df)).alias("d"), *missing)
     total = sum((F.col(f"m{i}") for i in range(len(missing))), F.lit(0))
     share = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(F.round(a / b, 6))
     names = [x for i, c in enumerate(df.columns) for x in (F.lit(c), F.col(f"m{i}"))]
     return one.select(
-        F.col("n").alias("row_count"), F.lit(len(df.columns)).alias("column_count"), F.create_map(*names).alias("missing_summary"),
+        F.col("n").alias("profiled_row_count"), F.when(F.lit(of).isNull() | (F.col("n") == F.lit(of)), "full_dataset").otherwise("sample_rows").alias("statistics_basis"),
+        F.coalesce(F.lit(of).cast("long"), F.col("n")).alias("row_count"), F.lit(len(df.columns)).alias("column_count"), F.create_map(*names).alias("missing_summary"),
         share(total, F.col("n") * len(df.columns)).alias("missing_fraction"), (F.col("n") - F.col("d")).alias("duplicate_count"), share(F.col("n") - F.col("d"), F.col("n")).alias("duplicate_fraction"),
     )
 

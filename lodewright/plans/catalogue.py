@@ -295,7 +295,7 @@ def head_split(docs: DataFrame) -> DataFrame:
     return L.head_split(docs, "doc_id").select("doc_id", "part")
 
 
-@query(None, "documents")
+@query("SELECT doc_id, CASE WHEN CAST('0x' || left(md5('42:' || doc_id), 8) AS BIGINT) % 100 < 10 THEN 'test' ELSE 'train' END AS part FROM documents", "documents")
 def seeded_split(docs: DataFrame) -> DataFrame:
     return L.seeded_split(docs, "doc_id").select("doc_id", "part")
 

@@ -41,11 +41,12 @@ def _tags(c: Column) -> Column:
 
 
 def endpoints(specs: DataFrame, spec: str = "spec", default_url: str = "") -> DataFrame:
-    """One row per path and verb of each OpenAPI document; tags joined by spaces, nested parts as JSON texts."""
+    """One row per path and verb of each OpenAPI document; tags and parameters' names joined by spaces, nested parts as JSON texts."""
     op = lambda key, empty: F.coalesce(F.get_json_object("_op", f"$.{key}"), F.lit(empty))
     return _operations(specs, spec).select(
         "path", F.upper("_verb").alias("method"), op("operationId", "").alias("operation_id"), op("summary", "").alias("summary"), op("description", "").alias("description"),
-        F.array_join(_tags(F.col("_op")), " ").alias("tags"), op("parameters", "[]").alias("parameters"), op("requestBody", "{}").alias("request_body"), op("responses", "{}").alias("responses"),
+        F.array_join(_tags(F.col("_op")), " ").alias("tags"), op("parameters", "[]").alias("parameters"),
+        F.array_join(F.from_json(op("parameters", "[]"), "array<struct<name:string>>")["name"], " ").alias("param_names"), op("requestBody", "{}").alias("request_body"), op("responses", "{}").alias("responses"),
         F.coalesce(F.get_json_object("_spec", "$.servers[0].url"), F.lit(default_url)).alias("base_url"),
     )
 

@@ -29,10 +29,24 @@ def sse(events: DataFrame) -> DataFrame:
     return events.select("session_id", "seq", F.format_string("id: %d\ndata: %s\n\n", F.col("seq"), body).alias("frame"))
 
 
-def card(summary: DataFrame) -> DataFrame:
-    """Markdown summary of a one-row table."""
-    lines = [F.concat(F.lit(f"- **{c}**: "), F.coalesce((F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c).cast("string")), F.lit("n/a"))) for c, t in summary.dtypes]
-    return summary.select(F.concat_ws("\n", F.lit("# Dataset"), *lines).alias("markdown"))
+#: The parts of a card, and of each its lines with the fields they show, first of some.
+CARD = {
+    "Source": {"Base model": ("base_model",), "Dataset": ("dataset.repo_id", "dataset.path"), "Row count": ("dataset.row_count", "row_count")},
+    "Training": {"Method": ("training.method",), "Hardware": ("training.hardware",), "Timeout": ("training.timeout",)},
+    "Quality Intelligence": {"Trainability Risk": ("trainability.risk_level", "trainability.risk"), "Strategy Recommendation": ("strategy.strategy",), "Golden Eval": ("golden_eval.case_count",), "Post-Training Eval": ("post_training_eval.status",)},
+}
+UNKNOWN = "Not specified"
+
+
+def card(provenance: Column, kind: str = "model") -> Column:
+    """The Markdown card of a provenance in JSON: source, training, quality and limitations; what is missing or blank is said to be so."""
+    shown = lambda paths: F.coalesce(*(F.nullif(F.trim(F.get_json_object(provenance, f"$.{p}")), F.lit("")) for p in paths), F.lit(UNKNOWN))
+    parts = [F.lit(f"# {'Model' if kind == 'model' else 'Dataset'} Provenance")]
+    for head, lines in CARD.items():
+        parts += [F.lit(f"\n## {head}"), *(F.concat(F.lit(f"- {name}: "), shown(paths), F.lit(" cases") if name == "Golden Eval" else F.lit("")) for name, paths in lines.items())]
+    limits = F.filter(F.from_json(F.get_json_object(provenance, "$.limitations"), "array<string>"), lambda x: F.trim(x) != "")
+    listed = F.array_join(F.transform(F.when(F.size(limits) > 0, limits).otherwise(F.array(F.lit(UNKNOWN + "."))), lambda x: F.concat(F.lit("- "), x)), "\n")
+    return redacted(F.concat_ws("\n", *parts, F.lit("\n## Limitations"), listed))
 
 
 #: A session is tried so often, and the k-th try (from 0) waits 2 ** k seconds before the next.

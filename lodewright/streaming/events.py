@@ -29,7 +29,7 @@ def sequenced(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Marks per user and UTC day; the watermark (an extension, the batch form has none) bounds the state."""
-    return events.withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("n")).select("user_id", F.to_date("window.start").alias("day"), "n")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("n")).select("user_id", F.to_date("window.start").alias("day"), "n")
 
 
 def replay(stored: DataFrame, live: DataFrame, after: int, key: tuple[str, ...] = ("session_id", "seq")) -> DataFrame:

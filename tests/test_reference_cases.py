@@ -26,6 +26,8 @@ def test_profile_counts_missing_and_copies(spark):
     r = P.profile(spark.createDataFrame([("", None), ("", None)], "prompt string, completion string")).first()
     assert (r.missing_fraction, r.duplicate_count, r.duplicate_fraction) == (1.0, 1, 0.5)
     assert P.profile(df.limit(0)).first().missing_fraction == 0.0
+    basis = lambda of: tuple(P.profile(df, of).select("row_count", "profiled_row_count", "statistics_basis").first())
+    assert [basis(n) for n in (None, 2, 9)] == [(2, 2, "full_dataset"), (2, 2, "full_dataset"), (9, 2, "sample_rows")]
 
 
 REFERENCE = ["Form No", "Category", "Purpose", "Due Dates"]
