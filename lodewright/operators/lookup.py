@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import aliases, is_missing_text, redacted, spaced
+from ..sources.sinks import scratch
 
 #: Scores below this answer nothing.
 LEAST_SCORE = 40
@@ -166,6 +167,15 @@ def overlap_top1(questions: DataFrame, rows: DataFrame) -> DataFrame:
     Questions or texts that are null share nothing; a question that shares no word has no row. Rows and questions of one id count apart."""
     asked = questions.select("question_id", F.monotonically_increasing_id().alias("q"), tokens(F.col("question")).alias("words")).where("size(words) > 0")
     held = rows.select(F.col("row_id").cast("long").alias("row_id"), F.monotonically_increasing_id().alias("r"), tokens(F.col("text")).alias("own")).where("size(own) > 0")
+    spark = rows.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Written once and read again: each text is taken apart once, and pairs are met once."""
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    held, asked = kept(held, "held"), kept(asked, "asked")
     counts = asked.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("asked"))
     often = held.select(F.explode("own").alias("word")).groupBy("word").agg(F.count("*").alias("held")).join(counts, "word")
     hot = [r.word for r in often.orderBy((F.col("asked").cast("double") * F.col("held")).desc(), "word").limit(FREQUENT).collect()]
@@ -181,11 +191,11 @@ def overlap_top1(questions: DataFrame, rows: DataFrame) -> DataFrame:
     wide = lambda x: F.expr(x).cast("decimal(38,0)")
     best = pairs.withColumn("shared", F.col("n") + F.bit_count(F.col("asks").bitwiseAND(F.col("has"))))
     packed = (wide("shared * 18446744073709551616BD") + (wide("9223372036854775807") - wide("row_id"))).cast("decimal(38,0)")
-    found = best.select("question_id", "q", packed.alias("x")).groupBy("question_id", "q").agg(F.max("x").alias("x"))
+    found = kept(best.select("question_id", "q", packed.alias("x")).groupBy("question_id", "q").agg(F.max("x").alias("x")), "found")
     open_ = ask.join(found.select("q", F.expr("x div 18446744073709551616BD").alias("top")), "q", "left").where("asks <> 0 AND coalesce(top, 0) <= bit_count(asks)")
     sets = open_.select("asks").distinct()
     lowest = have.where("has <> 0").groupBy("has").agg(F.min("row_id").alias("row_id"))
-    blocks = max(1, -(-sets.count() // SETS))
+    blocks = -(-sets.count() // SETS)
     for k in range(blocks):
         block = sets.where(F.pmod(F.xxhash64("asks"), F.lit(blocks)) == k).agg(F.collect_list("asks").alias("b")).scalar()
         each = lowest.select("row_id", "has", F.explode(block).alias("asks")).withColumn("shared", F.bit_count(F.col("asks").bitwiseAND(F.col("has")))).where("shared > 0")
