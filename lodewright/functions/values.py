@@ -67,3 +67,19 @@ def usage(c: Column) -> Column:
         prompt.alias("prompt_tokens"), done.alias("completion_tokens"), F.when(total == 0, prompt + done).otherwise(total).alias("total_tokens"),
         get("$.cache_read_tokens", "$.prompt_tokens_details.cached_tokens").alias("cache_read_tokens"), get("$.cache_creation_tokens").alias("cache_creation_tokens"),
     )
+
+
+def substituted(c: Column, variables: Column) -> Column:
+    """A text with ``${NAME}`` and ``${NAME:-default}`` replaced from a map of variables; a name that the map has not and that has no default is an error,
+    one with an empty default is empty. What comes in is not looked at again."""
+    place = r"\$\{([^}:]+)(?::(-)?([^}]*))?\}"
+    marks = F.regexp_extract_all(c, F.lit(place), F.lit(0))
+    between = F.split(c, place, -1)
+
+    def value(m: Column) -> Column:
+        name, has, default = (F.regexp_extract(m, place, k) for k in (1, 2, 3))
+        missing = F.raise_error(F.concat(F.lit("variable not set: "), name)).cast("string")
+        return F.coalesce(variables[name], F.when(has == "-", default), missing)
+
+    pieces = F.transform(F.arrays_zip(between.alias("text"), F.concat(F.transform(marks, value), F.array(F.lit(""))).alias("value")), lambda x: F.concat(x["text"], x["value"]))
+    return F.when(F.size(marks) > 0, F.array_join(pieces, "")).otherwise(c)

@@ -214,7 +214,7 @@ def strategy_per_source(docs: DataFrame) -> DataFrame:
 
 @query(
     """WITH p AS (SELECT p_partkey, trim(p_name) AS name, p_partkey % 5 AS k FROM part WHERE trim(p_name) <> '' ORDER BY p_partkey LIMIT 100000)
-    SELECT 'structured_reference_qa:' || p_partkey || ':lookup' AS case_id, CASE k WHEN 0 THEN 'passed' WHEN 1 THEN 'needs_more_data' WHEN 2 THEN 'needs_rag' ELSE 'failed' END AS status, CASE WHEN k IN (0, 4) THEN 1.0 ELSE 0.0 END AS score,
+    SELECT 'structured_reference_qa:' || p_partkey || ':lookup' AS case_id, CASE k WHEN 0 THEN 'passed' WHEN 1 THEN 'needs_more_data' WHEN 2 THEN 'needs_rag' ELSE 'failed' END AS status, CAST(CASE WHEN k IN (0, 4) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score,
     CASE WHEN k = 2 OR k = 3 THEN name END AS missing, CASE WHEN k IN (3, 4) THEN 'automatic guarante refund tax' END AS claim FROM p""", "part",
 )
 def eval_statuses(part: DataFrame) -> DataFrame:

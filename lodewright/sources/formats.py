@@ -32,11 +32,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, an object that holds a list under rows, data or examples, or a single object."""
-    df = spark.read.json(path, multiLine=True)
+    """An array of objects, an object that holds a list under rows, data or examples (the first of these that is a list), or a single object. What
+    is no object in such a list is left out; a file that is neither is an error."""
+    df = spark.read.json(path, multiLine=True, mode="FAILFAST")
     for name in ("rows", "data", "examples"):
         if name in df.columns and df.schema[name].dataType.typeName() == "array":
-            return df.select(F.inline(F.col(name)))
+            inner = df.schema[name].dataType.elementType
+            return df.select(F.inline(F.filter(name, lambda x: x.isNotNull()))) if inner.typeName() == "struct" else spark.createDataFrame([], "text string").limit(0)
     return df
 
 
@@ -87,10 +89,13 @@ def workbook_rows(content: bytes, sheet: str | None = None) -> tuple[list[str],
     return header, [(r + [""] * len(header))[: len(header)] for r in table[1:]]
 
 
-def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """One row per sheet row, all strings; one task per workbook. The header of the first workbook names the columns."""
+def read_xlsx(spark: SparkSession, path: str, sheet: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """One row per sheet row, all strings; one task per workbook. The header of the first workbook names the columns; ``required`` ones that it
+    lacks are an error."""
     books = spark.read.format("binaryFile").load(path)
     header = workbook_rows(bytes(books.select("content").first()[0]), sheet)[0]
+    if lacking := [c for c in required if c not in header]:
+        raise ValueError(f"columns missing: {', '.join(lacking)}")
 
     def run(it: Iterator) -> Iterator:
         import pandas as pd

@@ -2,13 +2,14 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodewright.functions import text as X
 from lodewright.functions import values as V
 from lodewright.operators import activity, conversations, evals, exchange
 from lodewright.operators import listings as L
-from lodewright.sources import apis, sinks
+from lodewright.sources import apis, formats, sinks
 from lodewright.streaming import events as S
 
 
@@ -55,6 +56,29 @@ def test_values(spark):
     assert column(spark, V.shown_date, ["2026-01-02T03:04:05", "soon", None]) == ["2026-01-02 03:04:05", "soon", "N/A"]
 
 
+def test_variables_in_texts(spark):
+    given = F.create_map(F.lit("A"), F.lit("x$1"), F.lit("B"), F.lit("${A}"))
+    texts = ["no mark", "${A}/${B}", "${C:-dflt}!", "${C:-}", None, "a${A}b${A}", "$A {A}"]
+    assert column(spark, lambda c: V.substituted(c, given), texts) == ["no mark", "x$1/${A}", "dflt!", "", None, "ax$1bx$1", "$A {A}"]
+    for text in ("${C}", "${C:x}"):
+        with pytest.raises(Exception, match="variable not set: C"):
+            column(spark, lambda c: V.substituted(c, given), [text])
+
+
+def test_json_files_and_required_columns(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"data": [{"a": 1}, null, {"a": 2}], "rows": 5}')
+    (tmp_path / "b.json").write_text('{"rows": [1, 2]}')
+    (tmp_path / "c.json").write_text('{"x": 1}')
+    (tmp_path / "d.json").write_text("5")
+    assert [r.a for r in formats.read_json(spark, str(tmp_path / "a.json")).collect()] == [1, 2]
+    assert formats.read_json(spark, str(tmp_path / "b.json")).count() == 0 and formats.read_json(spark, str(tmp_path / "c.json")).first().x == 1
+    with pytest.raises(Exception):
+        formats.read_json(spark, str(tmp_path / "d.json")).collect()
+    (tmp_path / "q.csv").write_text('"a,b","c\nd",c\n1,2,3,4\n')
+    assert [tuple(r) for r in formats.read_csv(spark, str(tmp_path / "q.csv")).collect()] == [("1", "2", "3")]
+    assert formats.read_csv(spark, str(tmp_path / "q.csv")).columns == ["a,b", "c\nd", "c"]
+
+
 def test_scripts_and_tags(spark):
     assert column(spark, L.push_to_hub, ["push_to_hub = TRUE", "push_to_hub=false", "x", None]) == [True, False, False, False]
     assert [bool(x) for x in column(spark, L.save_warning, ["m.from_pretrained('x')", "from_pretrained push_to_hub", "x"])] == [True, True, False]
