@@ -31,6 +31,19 @@ def daily_quota(marks: DataFrame) -> DataFrame:
     return day.withColumn("nth", F.row_number().over(W.partitionBy("user_id", "day").orderBy("ts", "mark_id"))).withColumn("admitted", F.col("nth") <= cap_for(F.col("plan")))
 
 
+def quota_balance(marks: DataFrame) -> DataFrame:
+    """Of (user_id, ts, mark_id, refund boolean): every mark with ``used``, what counts of the user's UTC day after it. A use adds one, a refund takes one
+    off but never below none; a null refund is a use. The count is the running sum less its lowest point below zero so far."""
+    day = W.partitionBy("user_id", "_d").orderBy("ts", "mark_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = marks.withColumn("_d", F.to_date("ts")).withColumn("_s", F.sum(F.when(F.coalesce("refund", F.lit(False)), -1).otherwise(1)).over(day))
+    return rows.withColumn("used", (F.col("_s") - F.least(F.lit(0), F.min("_s").over(day))).cast("long")).drop("_d", "_s")
+
+
+def stale(last: DataFrame, now: Column, hours: int, seen: str = "seen") -> DataFrame:
+    """Rows not seen for more than so many hours; rows never seen are not stale."""
+    return last.where(F.col(seen) < now - F.make_dt_interval(hours=F.lit(hours)))
+
+
 def running_spend(costs: DataFrame, cap: float) -> DataFrame:
     """Of (session_id, seq, cost): spend so far, four decimals, and what remains under the cap."""
     spend = F.round(F.sum("cost").over(W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)), 4)

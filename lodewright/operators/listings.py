@@ -113,6 +113,11 @@ def file_total(files: DataFrame) -> DataFrame:
     return one.withColumn("shown", human_size(F.col("bytes")))
 
 
+def top_values(df: DataFrame, column: str, order: str, limit: int = 5) -> DataFrame:
+    """(column, n): the ``limit`` most frequent values, a null one too; ties by where they come first."""
+    return df.groupBy(column).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first").limit(limit).select(column, "n")
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """(n, values): rows and the sorted distinct values of a column of few; nulls are left out."""
     return df.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(column)).alias("values"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import is_missing, redacted, truncated
+from ..functions.text import is_missing, redacted
 
 
 def _own(name: str):
@@ -35,10 +35,22 @@ def profile(df: DataFrame, of: int | None = None) -> DataFrame:
     )
 
 
+def cut_values(c: Column, kind: T.DataType, limit: int = 150) -> Column:
+    """A value with every text in it, however deep, cut at ``limit`` characters and marked; keys of maps stay."""
+    if isinstance(kind, T.StringType):
+        return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit)), F.lit("..."))).otherwise(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: cut_values(x, kind.elementType, limit))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda k, v: cut_values(v, kind.valueType, limit))
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.when(c.isNotNull(), F.struct(*(cut_values(c[f.name], f.dataType, limit).alias(f.name) for f in kind.fields)))
+    return c
+
+
 def sample(df: DataFrame, order: str, n: int = 3) -> DataFrame:
-    """First rows by the order column, long strings cut at 150 characters."""
-    cut = [truncated(_own(f.name), 150).alias(f.name) if isinstance(f.dataType, T.StringType) else _own(f.name) for f in df.schema]
-    return df.orderBy(order).limit(min(n, 10)).select(*cut)
+    """First rows by the order column, ten at most, texts in them cut at 150 characters."""
+    return df.orderBy(order).limit(min(n, 10)).select(*(cut_values(_own(f.name), f.dataType).alias(f.name) for f in df.schema))
 
 
 #: Columns that mark a reference table.

@@ -167,7 +167,7 @@ def token_overlap_top1(benchmark: DataFrame, docs: DataFrame) -> DataFrame:
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, min(doc_id) LIMIT 5", "documents")
 def category_top5(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).orderBy(F.desc("n"), "first").limit(5).select("source", "n")
+    return L.top_values(docs, "source", "doc_id")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY GROUPING SETS ((), (event_type))", "events")
@@ -188,8 +188,7 @@ def running_spend(events: DataFrame) -> DataFrame:
 
 @query("SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 24 HOUR", "events")
 def stale_sessions(events: DataFrame) -> DataFrame:
-    now = events.agg(F.max("ts").alias("now"))
-    return events.groupBy("user_id").agg(F.max("ts").alias("seen")).join(F.broadcast(now), F.expr("seen < now - INTERVAL 24 HOURS")).select("user_id")
+    return activity.stale(events.groupBy("user_id").agg(F.max("ts").alias("seen")), events.agg(F.max("ts")).scalar(), 24).select("user_id")
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN CAST(o_orderkey % 7 + 1 AS DOUBLE) WHEN 2 THEN (o_orderkey % 5 + 1) * 24.0 END::DOUBLE AS hours FROM orders", "orders")

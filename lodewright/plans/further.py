@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scrub import scrubbed_json
-from ..operators import conversations, decisions, evals, structure, telemetry, text_index
+from ..operators import activity, conversations, decisions, evals, structure, telemetry, text_index
 from ..sources import formats, pdf, sinks
 from ..streaming import replay
 from .catalogue import query
@@ -236,3 +236,13 @@ def call_loops(turns: DataFrame) -> DataFrame:
     """Conversations whose turns are calls: equal ones, alternating ones and ones of their own."""
     name = F.when(F.col("conv_id") % 3 == 0, "same").when(F.col("conv_id") % 3 == 1, F.when(F.col("turn") % 2 == 0, "a").otherwise("b")).otherwise(F.concat(F.lit("f"), F.col("turn").cast("string")))
     return conversations.repeated_calls(turns.select("conv_id", "turn", name.alias("name"), F.lit("{}").alias("arguments")), turns).select("conv_id", "kind")
+
+
+@query(
+    """WITH s AS (SELECT event_id, user_id, ts, CAST(ts AS DATE) AS d, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events)
+    SELECT event_id, user_id, CAST(s - least(0, min(s) OVER (PARTITION BY user_id, d ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS used FROM s""", "events",
+)
+def quota_after_refunds(events: DataFrame) -> DataFrame:
+    """Every event a use, errors refunds."""
+    marks = events.select(F.col("event_id").alias("mark_id"), "user_id", "ts", (F.col("event_type") == "error").alias("refund"))
+    return activity.quota_balance(marks).select(F.col("mark_id").alias("event_id"), "user_id", "used")

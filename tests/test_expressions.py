@@ -101,6 +101,22 @@ def test_runtime_states_and_approvals(spark):
     assert [r.d for r in df.select(activity.approval(*(F.col(f) for f in fields)).alias("d")).collect()] == [want for _, want in calls]
 
 
+def test_refunds_never_go_below_none(spark):
+    rows = [(i, 1, f"2026-01-01 00:00:{i:02d}", r) for i, r in enumerate([True, False, False, True, True, True, None, False])] + [(9, 1, "2026-01-02 00:00:00", False), (10, 2, "2026-01-01 00:00:00", True)]
+    df = spark.createDataFrame(rows, "mark_id int, user_id int, t string, refund boolean").withColumn("ts", F.col("t").cast("timestamp"))
+    assert [r.used for r in activity.quota_balance(df).orderBy("mark_id").collect()] == [0, 1, 2, 1, 0, 0, 1, 2, 1, 0]
+
+
+def test_sampled_values_are_cut_at_any_depth(spark):
+    from lodewright.operators import profile as P
+
+    long = "x" * 200
+    df = spark.createDataFrame([(1, long, [(long, {"k" * 200: long})], None)], "i int, a string, b array<struct<c:string,d:map<string,string>>>, e struct<f:string>")
+    r = P.sample(df, "i").first()
+    cut = "x" * 150 + "..."
+    assert (r.a, r.b[0].c, r.b[0].d, r.e) == (cut, cut, {"k" * 200: cut}, None) and P.sample(df.limit(0), "i").count() == 0
+
+
 def test_conversation_views(spark):
     turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", " [SYSTEM: go on]"), (1, 2, "user", "hi"), (1, 3, "tool", "t"), (1, 4, "assistant", "a")], "conv_id int, turn int, role string, text string")
     assert [r.turn for r in conversations.visible(turns).orderBy("turn").collect()] == [2, 4]
