@@ -345,3 +345,43 @@ def test_licenses_with_substitutions(spark):
             want |= {(len(docs) - 1, n) for n, t in licenses.TEMPLATES.items() if len(grams(cut(t)) & have) >= 0.8 * len(grams(cut(t)))}
     got = {(r.doc_id, r.license) for r in licenses.licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want and len(want) > 10
+
+
+def test_maxent_scores_by_brute_force(spark, sf):
+    """Scores recomputed word by word, in whole numbers and floats of Python, from the model's tables."""
+    docs = documents(spark, sf)
+    model, counts = maxent.train(docs, where=maxent.is_training())
+    own_counts = {bytes(r.word): r.c for r in counts.collect()}
+    got = {r.doc_id: r.score for r in maxent.score(docs, model, counts).collect()}
+    full, n = (1 << 64) - 1, len(model.head)
+    bits = lambda size: 65 - size.bit_length()
+    kinds = ((1, 0x9E3779B97F4A7C15), (5, 0xC2B2AE3D27D4EB4F))
+    buckets = len(model.weights) // maxent.KINDS
+    checked = 0
+    for d in docs.where("doc_id % 7 = 0").collect():
+        words = re.sub(b"[A-Z]", lambda m: m[0].lower(), (d.text or "").encode()).split()
+        seen, total = [], 0.0
+        for w in [*words, None]:
+            rank = model.head.get(w, -1) if w is not None else None
+            cls = maxent.END if w is None else int(model.classes[rank]) if rank >= 0 else maxent.group_of(w[-2:])
+            leaf = rank if rank is not None and rank >= 0 else n + cls
+            history = [(h + add) * times & full for h, (add, times) in zip((seen[-1] if seen else 1 << 40, seen[-2] if len(seen) > 1 else 1 << 40), kinds)]
+            z = [float(b) for b in model.bias]
+            for k, h in enumerate(history):
+                row = model.weights[(h >> bits(buckets)) + k * buckets]
+                z = [a + float(b) for a, b in zip(z, row)]
+            top = max(z)
+            total += (z[cls] - top - math.log(sum(math.exp(a - top) for a in z))) / math.log(10)
+            for i in range(int(model.at[leaf]), int(model.at[leaf + 1])):
+                node, turn = int(model.nodes[i]), float(model.turns[i])
+                mark, odds = (node + 1) * 0xD6E8FEB86659FD93 & full, float(model.odds[node])
+                for h in history[: maxent.INNER_KINDS]:
+                    odds += float(model.inner[((h ^ h >> 32) ^ mark) * 0x9E3779B97F4A7C15 % (full + 1) >> bits(len(model.inner))])
+                total -= math.log1p(math.exp(-turn * odds)) / math.log(10)
+            total += float(model.below[leaf]) / math.log(10)
+            if w is not None and rank < 0:
+                total += math.log10(own_counts.get(w, 0) + 0.1) - math.log10(model.tail_tokens[cls] + 0.1 * (model.tail_distinct[cls] + 1.0))
+            seen.append(leaf)
+            checked += 1
+        assert math.isclose(total, got[d.doc_id], rel_tol=1e-4, abs_tol=1e-3), d.doc_id
+    assert checked > 1000
