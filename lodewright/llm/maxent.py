@@ -16,6 +16,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,14 @@ LEAST_MET = 1 / 1024
 #: Rounds of training, each over its own part of the rows and from the average of the one before (further passes over the same rows fit
 #: them and lose held-out likelihood); decision weights sent in one row.
 ROUNDS, SLAB = 2, 4096
+#: Rows of class weights in one slab.
+PER_SLAB = SLAB // CLASSES
 SMOOTH = 0.1
 #: Step of a decision weight, divided by the root of the decisions that touched it.
 INNER_RATE = 1.5
 BATCH = 4096
+#: Rows of class probabilities worked on at once, so that they stay in a core's cache.
+CACHED = 1024
 #: Distinct words a counting task holds before it passes them on.
 HELD = 400_000
 
@@ -109,15 +114,13 @@ class Model:
 
     def ids(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """(context id, class, rank or -1, document) of each token, an end after each document, and the tail words in order."""
-        get, n = self.head.get, len(self.head)
-        rank, row, tail = [], [], []
-        for i, words in enumerate(docs):
-            r = [get(w, -1) for w in words]
-            tail += [w for w, x in zip(words, r) if x < 0]
-            rank += r
-            rank.append(-2)
-            row.append(len(words) + 1)
-        rank = np.array(rank, np.int64)
+        n, words = len(self.head), list(chain.from_iterable(docs))
+        row = np.fromiter((len(x) + 1 for x in docs), np.int64, len(docs))
+        rank = np.full(len(words) + len(docs), -2, np.int64)
+        at_word = np.ones(len(rank), bool)
+        at_word[np.cumsum(row) - 1] = False
+        rank[at_word] = found = np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
+        tail = [words[i] for i in np.flatnonzero(found < 0)]
         own = rank.copy()
         cls = np.full(len(rank), END, np.int64)
         known = rank >= 0
@@ -164,13 +167,16 @@ class Model:
         return token, self.turns[k], places, z
 
     def probabilities(self, f: np.ndarray) -> np.ndarray:
-        z = self.weights[f[0]]
-        z += self.weights[f[1]]
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+        out = np.empty((f.shape[1], CLASSES), np.float32)
+        for at in range(0, len(out), CACHED):
+            z = out[at : at + CACHED]
+            np.take(self.weights, f[0, at : at + CACHED], axis=0, out=z, mode="clip")
+            z += self.weights[f[1, at : at + CACHED]]
+            z += self.bias
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(axis=1, keepdims=True)
+        return out
 
 
 _GROUPS = _Groups()
@@ -210,9 +216,19 @@ def _moves(f: np.ndarray, n: np.ndarray, move: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), task, pa.array([x.tobytes() for x in n], pa.binary()), pa.array([x.tobytes() for x in move], pa.binary())], names=["f", "task", "n", "move"])
 
 
+def _moved(first: int, now: np.ndarray, start: np.ndarray, met: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The moves of the slabs that tokens met, numbered from ``first``."""
+    now, start = now.reshape(-1, SLAB), start.reshape(-1, SLAB)
+    met = met.reshape(len(now), -1)
+    slabs = met.any(axis=1).nonzero()[0]
+    for part in np.array_split(slabs, max(1, len(slabs) // 64)):
+        if len(part):
+            yield _moves(first + part, np.minimum(met[part], 65504).astype("<f2"), (now[part] - start[part]).astype("<f2"))
+
+
 def _steps(shared, rate: float):
-    """Gradient steps of one task; yields (row, task, tokens and move as float16, tokens 65,504 at most) of the class rows it touched, each with one number
-    of tokens, and, numbered after them, of the slabs of decision weights it touched, with a number for each weight."""
+    """Gradient steps of one task; yields (slab, task, tokens and moves as float16, tokens 65,504 at most) of the slabs it touched: first those of
+    class weights, with a number of tokens for each row, then those of decision weights, with a number for each weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -223,7 +239,8 @@ def _steps(shared, rate: float):
         try:
             energy = np.full(len(w), 1e-2, np.float32)
             touched = np.zeros(len(w), np.int64)
-            inner_sum, inner_touched = np.zeros(len(inner), np.float32), np.zeros(len(inner), np.float32)
+            inner_touched, last = np.zeros(len(inner), np.float32), np.zeros(len(inner), np.int32)
+            bits = (BATCH - 1).bit_length()
             for b in batches:
                 for _, docs in _gathered(b.column(0)):
                     own, cls, _, row, _ = m.ids(docs)
@@ -233,30 +250,28 @@ def _steps(shared, rate: float):
                         _, turn, places, z = m.decisions(own[at : at + BATCH], h[:, at : at + BATCH])
                         e = turn / -(1 + np.exp(np.clip(turn * z, -30, 30)))
                         for x in places:
-                            np.add.at(inner_sum, x, e)
-                            np.add.at(inner_touched, x, np.float32(1))
-                            # a place that comes more than once is set more than once, to the same value
-                            inner[x] -= INNER_RATE * inner_sum[x] / np.sqrt(inner_touched[x] + 1)
-                            inner_sum[x] = 0
+                            # all decisions at one place are summed at the last of them
+                            last[x] = np.arange(len(x), dtype=np.int32)
+                            at_last = last[x]
+                            n = np.bincount(at_last, minlength=len(x))
+                            own_place = np.flatnonzero(n)
+                            total, x = np.bincount(at_last, e, len(x))[own_place].astype(np.float32), x[own_place]
+                            inner_touched[x] = n = inner_touched[x] + n[own_place].astype(np.float32)
+                            inner[x] -= INNER_RATE * total / np.sqrt(n + 1)
                         part = f[:, at : at + BATCH]
                         g = m.probabilities(part)
                         g[np.arange(part.shape[1]), cls[at : at + BATCH]] -= 1
                         for k in range(KINDS):
-                            order = np.argsort(part[k], kind="stable")
-                            ids = part[k][order]
+                            # rows and positions in one number: such a sort is vectorised
+                            key = np.sort((part[k] << bits) | np.arange(part.shape[1]))
+                            order, ids = key & ((1 << bits) - 1), key >> bits
                             cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
                             rows, total = ids[cut], group_sums(g, order, cut)
                             energy[rows] += np.einsum("ij,ij->i", total, total) / CLASSES * 4
                             w[rows] -= total * (rate / np.sqrt(energy[rows]))[:, None]
                             touched[rows] += np.diff(np.append(cut, len(ids)))
-            for rows in np.array_split(np.flatnonzero(touched), max(1, np.count_nonzero(touched) // 4096)):
-                if len(rows):
-                    move = (w[rows] - start[rows]).astype("<f2")
-                    yield _moves(rows, np.minimum(touched[rows], 65504).astype("<f2")[:, None], move)
-            slabs = inner_touched.reshape(-1, SLAB).any(axis=1).nonzero()[0]
-            for part in np.array_split(slabs, max(1, len(slabs) // 64)):
-                if len(part):
-                    yield _moves(len(w) + part, np.minimum(inner_touched.reshape(-1, SLAB)[part], 65504).astype("<f2"), (inner - inner_start).reshape(-1, SLAB)[part].astype("<f2"))
+            yield from _moved(0, w, start, touched)
+            yield from _moved(len(w) // PER_SLAB, inner, inner_start, inner_touched)
         finally:
             m.weights, m.inner = start, inner_start
 
@@ -270,14 +285,14 @@ def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for f, _, n, v in zip(*(c.to_pylist() for c in b.columns)):
             n = np.frombuffer(n, "<f2").astype("<f4")
-            v = n * np.frombuffer(v, "<f2")
+            v = np.frombuffer(v, "<f2").astype("<f4").reshape(len(n), -1) * n[:, None]
             if f in total:
                 total[f] += v
-                weight[f] = weight[f] + n
+                weight[f] += n
             else:
                 total[f], weight[f] = v, n
     if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(v / np.maximum(weight[f], 1)).astype("<f4").tobytes() for f, v in total.items()], pa.binary())], names=["f", "move"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(v / np.maximum(weight[f], 1)[:, None]).astype("<f4").tobytes() for f, v in total.items()], pa.binary())], names=["f", "move"])
 
 
 def trees(mass: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -385,11 +400,9 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.6, text_col: st
         moves = part.mapInArrow(lean(_steps(shared, rate)), "f int, task int, n binary, move binary").repartition("f").sortWithinPartitions("f", "task").mapInArrow(lean(_averages), "f int, move binary").toArrow()
         model.weights, model.inner = model.weights.copy(), model.inner.copy()
         for f, v in zip(moves["f"].to_pylist(), moves["move"].to_pylist()):
-            if f < len(model.weights):
-                model.weights[f] += np.frombuffer(v, "<f4")
-            else:
-                i = (f - len(model.weights)) * SLAB
-                model.inner[i : i + SLAB] += np.frombuffer(v, "<f4")
+            own_slabs = len(model.weights) // PER_SLAB
+            held = model.weights.reshape(-1, SLAB)[f] if f < own_slabs else model.inner.reshape(-1, SLAB)[f - own_slabs]
+            held += np.frombuffer(v, "<f4")
         shared.destroy(blocking=True)
         # Spark deletes a round's shuffled moves once nothing on the driver refers to them any more
         del moves

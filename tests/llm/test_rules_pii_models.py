@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodewright.llm import chains, ledger, licenses, maxent, pii
@@ -385,3 +386,17 @@ def test_maxent_scores_by_brute_force(spark, sf):
             checked += 1
         assert math.isclose(total, got[d.doc_id], rel_tol=1e-4, abs_tol=1e-3), d.doc_id
     assert checked > 1000
+
+
+def test_maxent_moves_come_in_slabs(spark):
+    """A task sends a slab of weights a row, not each class row alone, and the averages of tasks are weighted by their tokens."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 3000}" for k in range(200))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    model, _ = maxent.train(docs, rounds=0)
+    shared = spark.sparkContext.broadcast(model)
+    moves = docs.select("text").mapInArrow(maxent._steps(shared, 0.6), "f int, task int, n binary, move binary").collect()
+    assert len({r.f for r in moves}) == len(moves) <= (model.weights.size + model.inner.size) // maxent.SLAB
+    n = np.array([[3.0], [1.0]], "<f2").repeat(maxent.SLAB // maxent.CLASSES, 1)
+    batch = pa.RecordBatch.from_pydict({"f": [7, 7], "task": [0, 1], "n": [x.tobytes() for x in n], "move": [np.full(maxent.SLAB, x, "<f2").tobytes() for x in (2.0, 6.0)]})
+    (out,) = maxent._averages(iter([batch]))
+    assert out.column(0).to_pylist() == [7] and np.all(np.frombuffer(out.column(1)[0].as_py(), "<f4") == 3)
