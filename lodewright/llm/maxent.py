@@ -20,13 +20,14 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import lean, ship, written
-from ._words import pieces
+from ._words import SPACE, lower, pieces, split
 
 #: Words that are sent to tasks at most; words that are a class of their own; classes of the other words, by the hash of their last two bytes.
 HEAD, SINGLE, GROUPS = 1 << 18, 31, 32
@@ -48,8 +49,10 @@ INNER_RATE = 1.5
 BATCH = 4096
 #: Rows of class probabilities worked on at once, so that they stay in a core's cache.
 CACHED = 1024
-#: Distinct words a counting task holds before it passes them on.
-HELD = 400_000
+#: Bytes of text worked on at once; from so many words they are looked up together.
+RUN, LOOKED_UP = 4 << 20, 150_000
+#: Words and counts a counting task holds before it sums them by word; it passes on what is then over half of that.
+HELD = 800_000
 
 
 def is_training(id_col: str = "doc_id") -> Column:
@@ -67,28 +70,30 @@ class _Groups(dict):
         return g
 
 
-def _texts(column: pa.Array) -> Iterator[list[bytes]]:
-    for a, b, raw, off in pieces(column):
-        data = raw.tobytes().lower()
-        for i in range(b - a):
-            yield data[off[i] : off[i + 1]].split()
+def _words(raw: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of rows as one array, and how many each row has."""
+    starts, ends, first = split(raw, off)
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=at[1:])
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(lower(raw)[~SPACE[raw]])]), np.diff(first)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held: list[pa.Table] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        words, counts = list(held), list(held.values())
-        held.clear()
-        for at in range(0, len(words), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())], names=["word", "c"])
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
     for b in batches:
-        for words in _texts(b.column(0)):
-            held.update(words)
-            if len(held) > HELD:
-                yield from flush()
-    yield from flush()
+        for _, _, raw, off in pieces(b.column(0)):
+            counted = _words(raw, off)[0].value_counts()
+            held.append(pa.table({"word": counted.field(0), "c": counted.field(1)}))
+            if sum(map(len, held)) > HELD:
+                held[:] = [summed()]
+                if len(held[0]) > HELD // 2:
+                    yield from held.pop().combine_chunks().to_batches(50_000)
+    if held:
+        yield from summed().combine_chunks().to_batches(50_000)
 
 
 @dataclass
@@ -112,22 +117,32 @@ class Model:
     odds: np.ndarray
     below: np.ndarray
 
-    def ids(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    def ranks(self, words: pa.Array) -> np.ndarray:
+        """Ranks of words, -1 outside the head."""
+        if len(words) < LOOKED_UP:
+            return np.fromiter(map(self.head.get, words.to_pylist(), repeat(-1)), np.int64, len(words))
+        # hashes the head once a call
+        known = self.__dict__.setdefault("_known", pc.SetLookupOptions(value_set=pa.array(list(self.head), pa.binary())))
+        return pc.index_in(words, options=known).fill_null(-1).to_numpy().astype(np.int64)
+
+    def ids(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        return self.ids_of(pa.array(list(chain.from_iterable(docs)), pa.binary()), np.array([len(x) for x in docs], np.int64))
+
+    def ids_of(self, words: pa.Array, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """(context id, class, rank or -1, document) of each token, an end after each document, and the tail words in order."""
-        n, words = len(self.head), list(chain.from_iterable(docs))
-        row = np.fromiter((len(x) + 1 for x in docs), np.int64, len(docs))
-        rank = np.full(len(words) + len(docs), -2, np.int64)
+        n, row = len(self.head), n_words + 1
+        rank = np.full(len(words) + len(row), -2, np.int64)
         at_word = np.ones(len(rank), bool)
         at_word[np.cumsum(row) - 1] = False
-        rank[at_word] = found = np.fromiter(map(self.head.get, words, repeat(-1)), np.int64, len(words))
-        tail = [words[i] for i in np.flatnonzero(found < 0)]
+        rank[at_word] = found = self.ranks(words)
+        tail = words.filter(pa.array(found < 0))
         own = rank.copy()
         cls = np.full(len(rank), END, np.int64)
         known = rank >= 0
         cls[known] = self.classes[rank[known]]
-        cls[rank == -1] = [_GROUPS[w[-2:]] for w in tail]
+        cls[rank == -1] = [_GROUPS[w] for w in pc.binary_slice(tail, -2).to_pylist()]
         own[~known] = n + cls[~known]
-        return own, cls, rank, np.repeat(np.arange(len(docs)), row), tail
+        return own, cls, rank, np.repeat(np.arange(len(row)), row), tail
 
     def histories(self, own: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The hashes of each token's histories; before a document stand its starts, id 2**40."""
@@ -158,9 +173,10 @@ class Model:
         places = np.empty((INNER_KINDS, len(token)), np.int64)
         shift = np.uint64(65 - len(self.inner).bit_length())
         for j in range(INNER_KINDS):
-            x = h[j][token]
-            x ^= x >> np.uint64(32)
-            places[j] = ((x ^ mark) * np.uint64(0x9E3779B97F4A7C15)) >> shift
+            x = (h[j] ^ (h[j] >> np.uint64(32)))[token]
+            x ^= mark
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            places[j] = x >> shift
         z = self.odds[node]
         for j in range(INNER_KINDS):
             z += self.inner[places[j]]
@@ -182,21 +198,14 @@ class Model:
 _GROUPS = _Groups()
 
 
-def _gathered(column: pa.Array, tokens: int = 100_000) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first row, words of rows) in runs of about ``tokens`` words."""
-    first, held, n = 0, [], 0
-    for i, words in enumerate(_texts(column)):
-        held.append(words)
-        n += len(words) + 1
-        if n >= tokens:
-            yield first, held
-            first, held, n = i + 1, [], 0
-    if held:
-        yield first, held
+def _gathered(column: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(first row, words, words of each row) in runs of some ``RUN`` bytes."""
+    for first, _, raw, off in pieces(column, RUN):
+        yield first, *_words(raw, off)
 
 
 def group_sums(g: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Sums of the rows ``g[order]`` between consecutive ``cut``: place by place over all groups, long groups' rests one by one."""
+    """Sums of the rows ``g[order]`` between consecutive ``cut``: place by place over all groups, long groups' rests in one product."""
     size = np.diff(np.append(cut, len(order)))
     total = g[order[cut]]
     for k in range(1, 8):
@@ -204,8 +213,14 @@ def group_sums(g: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
         if not len(more):
             return total
         total[more] += g[order[cut[more] + k]]
-    for i in np.flatnonzero(size > 8):
-        total[i] += g[order[cut[i] + 8 : cut[i] + size[i]]].sum(axis=0)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        rest = size[long] - 8
+        group = np.repeat(np.arange(len(long)), rest)
+        place = np.arange(len(group)) + np.repeat(cut[long] + 8 - (np.cumsum(rest) - rest), rest)
+        member = np.zeros((len(long), len(group)), g.dtype)
+        member[group, np.arange(len(group))] = 1
+        total[long] += member @ g[order[place]]
     return total
 
 
@@ -242,8 +257,8 @@ def _steps(shared, rate: float):
             inner_touched, last = np.zeros(len(inner), np.float32), np.zeros(len(inner), np.int32)
             bits = (BATCH - 1).bit_length()
             for b in batches:
-                for _, docs in _gathered(b.column(0)):
-                    own, cls, _, row, _ = m.ids(docs)
+                for _, words, n_words in _gathered(b.column(0)):
+                    own, cls, _, row, _ = m.ids_of(words, n_words)
                     h = m.histories(own, row)
                     f = m.rows(h)
                     for at in range(0, len(cls), BATCH):
@@ -427,8 +442,8 @@ def _scores(shared):
         logc = np.log10(m.counts + SMOOTH)
         end = np.log10(m.ends + SMOOTH)
         for b in batches:
-            for first, docs in _gathered(b.column(1)):
-                own, cls, rank, row, tail = m.ids(docs)
+            for first, words, n_words in _gathered(b.column(1)):
+                own, cls, rank, row, tail = m.ids_of(words, n_words)
                 h = m.histories(own, row)
                 f = m.rows(h)
                 lp, way = np.empty(len(cls)), np.empty(len(cls))
@@ -443,9 +458,9 @@ def _scores(shared):
                 count[known] = logc[rank[known]]
                 base = count - base_all
                 base[rank == -2] += end
-                n = len(docs)
+                n = len(n_words)
                 tails = np.bincount(row[rank == -1], minlength=n)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tails)]).astype(np.int32)), pa.array(tail, pa.binary()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(tails)]).astype(np.int32)), tail)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(at_row + np.arange(n)), b.column(0).slice(first, n), pa.array(np.bincount(row, minlength=n)),
                      pa.array(np.bincount(row, known | ((rank == -2) & (m.ends > 0)), n).astype(np.int64)), pa.array(np.bincount(row, base, n)), pa.array(np.bincount(row, lp, n)), lists],

@@ -400,3 +400,29 @@ def test_maxent_moves_come_in_slabs(spark):
     batch = pa.RecordBatch.from_pydict({"f": [7, 7], "task": [0, 1], "n": [x.tobytes() for x in n], "move": [np.full(maxent.SLAB, x, "<f2").tobytes() for x in (2.0, 6.0)]})
     (out,) = maxent._averages(iter([batch]))
     assert out.column(0).to_pylist() == [7] and np.all(np.frombuffer(out.column(1)[0].as_py(), "<f4") == 3)
+
+
+def test_maxent_words_counted_and_looked_up_together(monkeypatch):
+    """Counts, ranks and sums against plain Python, with short runs and odd rows."""
+    texts = [None, "", " \t\n", "One two\x0btwo", "x\x1cy z\x00 é É", "w " * 3000, *(" ".join(f"v{i * k % 97}" for k in range(40)) for i in range(50))]
+    docs = [(t or "").encode().lower().split() for t in texts]
+    for held in (1, 50, 800_000):
+        monkeypatch.setattr(maxent, "HELD", held)
+        got = Counter()
+        for b in maxent._count(iter([pa.RecordBatch.from_arrays([pa.array(texts[i : i + 9])], names=["text"]) for i in range(0, len(texts), 9)])):
+            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got[w] += c
+        assert got == Counter(w for words in docs for w in words)
+    model = maxent.Model({w: i for i, w in enumerate([b"w", b"two", b"v7", "é".encode()])}, *[None] * 15)
+    for least in (1, 10**9):
+        monkeypatch.setattr(maxent, "LOOKED_UP", least)
+        for run in (64, 4 << 20):
+            monkeypatch.setattr(maxent, "RUN", run)
+            ranks = [r for _, words, _ in maxent._gathered(pa.array(texts)) for r in model.ranks(words)]
+            assert ranks == [model.head.get(w, -1) for words in docs for w in words]
+            assert [n for _, _, rows in maxent._gathered(pa.array(texts)) for n in rows] == [len(x) for x in docs]
+    rng = np.random.default_rng(1)
+    ids = np.sort(np.minimum(rng.geometric(0.05, 900), 30))
+    g, order = rng.normal(size=(900, 4)), rng.permutation(900)
+    cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    assert np.allclose(maxent.group_sums(g, order, cut), [g[order[ids == i]].sum(axis=0) for i in np.unique(ids)])
