@@ -36,6 +36,8 @@ CLASSES = SINGLE + 1 + GROUPS
 #: Feature kinds of the class, and of the decisions, the first of these. Hash buckets of each grow with the training tokens, as do the weights of the decisions within classes, by powers of two
 #: between these: so many at most are held twice by each task and go to the driver once a round.
 KINDS, INNER_KINDS, BUCKETS, INNER = 2, 1, (1 << 12, 1 << 16), (1 << 16, 1 << 22)
+#: From 2**26 training tokens on, class buckets grow on, one to 1,024 tokens, up to this bound of memory.
+MOST_BUCKETS = 1 << 17
 #: Decisions depend on the history if at least this share of all tokens meets them; a Huffman tree's deeper ones are met by few.
 LEAST_MET = 1 / 1024
 #: Rounds of training, each over its own part of the rows and from the average of the one before (further passes over the same rows fit
@@ -349,6 +351,11 @@ def _sized(n: int, bounds: tuple[int, int]) -> int:
     return min(max(1 << max(n - 1, 0).bit_length(), bounds[0]), bounds[1])
 
 
+def buckets(tokens: int) -> int:
+    """Hash buckets of each feature kind of the class."""
+    return max(_sized(tokens, BUCKETS), _sized(tokens >> 10, (BUCKETS[0], MOST_BUCKETS)))
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word binary, c long) over all rows of the one text column: partial counts in the tasks, then one shuffle of distinct words."""
     return texts.mapInArrow(lean(_count), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -404,7 +411,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.6, text_col: st
     tail_distinct -= np.bincount(classes[rest], minlength=CLASSES)
     mass = np.concatenate([c + SMOOTH, tail_tokens + SMOOTH * (tail_distinct + 1.0)])
     tree = trees(mass, np.concatenate([classes, np.arange(CLASSES)]))
-    weights = np.zeros((KINDS * _sized(total, BUCKETS), CLASSES), np.float32)
+    weights = np.zeros((KINDS * buckets(total), CLASSES), np.float32)
     model = Model({w: i for i, w in enumerate(words)}, c, classes, weights, bias, total, distinct, ends, tail_tokens, tail_distinct, np.zeros(_sized(4 * total, INNER), np.float32), *tree)
     # few long tasks take more steps each and send fewer moves
     parts = own.rdd.getNumPartitions()
@@ -414,10 +421,10 @@ def train(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.6, text_col: st
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k)
         moves = part.mapInArrow(lean(_steps(shared, rate)), "f int, task int, n binary, move binary").repartition("f").sortWithinPartitions("f", "task").mapInArrow(lean(_averages), "f int, move binary").toArrow()
         model.weights, model.inner = model.weights.copy(), model.inner.copy()
-        for f, v in zip(moves["f"].to_pylist(), moves["move"].to_pylist()):
+        for f, v in zip(moves["f"].to_pylist(), moves["move"]):
             own_slabs = len(model.weights) // PER_SLAB
             held = model.weights.reshape(-1, SLAB)[f] if f < own_slabs else model.inner.reshape(-1, SLAB)[f - own_slabs]
-            held += np.frombuffer(v, "<f4")
+            held += np.frombuffer(v.as_buffer(), "<f4")
         shared.destroy(blocking=True)
         # Spark deletes a round's shuffled moves once nothing on the driver refers to them any more
         del moves

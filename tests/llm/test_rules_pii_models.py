@@ -426,3 +426,8 @@ def test_maxent_words_counted_and_looked_up_together(monkeypatch):
     g, order = rng.normal(size=(900, 4)), rng.permutation(900)
     cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     assert np.allclose(maxent.group_sums(g, order, cut), [g[order[ids == i]].sum(axis=0) for i in np.unique(ids)])
+
+
+def test_maxent_buckets_grow_beyond_small_corpora():
+    """Class buckets still grow where a corpus has tens of millions of tokens; what small ones get stays."""
+    assert [maxent.buckets(n) for n in (0, 70_000, 24_000_000, 121_930_000, 10**11)] == [1 << 12, 1 << 16, 1 << 16, 1 << 17, maxent.MOST_BUCKETS]
